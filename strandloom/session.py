@@ -27,13 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise df in the folder that all executors share (spark.checkpoint.dir) and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir).
 
-    A reliable checkpoint outlives lost executors. Only where the session names no folder, as in tests on one
-    machine, is a temporary one set.
+    Only where the session names none, as in tests on one machine, is a temporary one set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandloom-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared folder and go on from there; such a checkpoint outlives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
