@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandloom.llm import langid, packing, quality, simhash
+from strandloom.llm import langid, packing, quality, sharding, simhash, url_filter
 from strandloom.session import table
 
 
@@ -12,10 +13,20 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.filter_urls(table(spark, sf_dir, "pages"))
+    counts = [F.size(f"{kind}_terms").cast("long").alias(f"n_{kind}") for kind in ("strict", "soft")]
+    return found.select("page_id", "host", "path", "rule", "verdict", *counts)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return quality.judge(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
@@ -28,9 +39,14 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_pack": op2_pack,
+    "op3_shard": op3_shard,
     "op7_simhash": op7_simhash,
+    "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_shard": sharding.oracle_sql(),
+    "op8_url_filter": url_filter.oracle_sql(),
+}
