@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, chat, langid, packing, quality, sharding, simhash, url_filter
+from strandloom.llm import bpe, chat, html_extract, langid, packing, quality, sharding, simhash, url_filter
 from strandloom.session import table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.default_model(spark))
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html": op1_html,
     "op2_pack": op2_pack,
     "op3_shard": op3_shard,
     "op4_bpe": op4_bpe,
