@@ -228,7 +228,7 @@ def main_text(page: Page, marginal: np.ndarray) -> str:
     return "\n".join(line for line in lines if line)
 
 
-def fit(pages: DataFrame, *, html_col: str = "html", smoothing: float = 0.3) -> TreeModel:
+def fit(pages: DataFrame, *, html_col: str = "html", smoothing: float = 0.02) -> TreeModel:
     """Counts features and edges by state over pages labelled with data-label attributes (see labelled_pages).
 
     An element without a label has its parent's. What reaches the driver is one row for each distinct feature

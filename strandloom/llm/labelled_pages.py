@@ -35,6 +35,7 @@ _PLACES = (
     ('<section class="article">', "</section>"),
     ('<div class="page-body">', "</div>"),
     ("<div>", "</div>"),
+    ("", ""),
 )
 
 #: Parts that are not the article, on the page or within the article.
@@ -80,6 +81,11 @@ _BOILER = (
     '<menu>{links}</menu>',
     "<dialog><p>{sentence}</p></dialog>",
     "<button>Print</button>",
+    "<section class='comments' id='reader-comments'><h2>Comments</h2><article class='comment'><p>{sentence} {sentence}</p></article><article class='comment'><p>{sentence}</p></article></section>",
+    "<div id='sidebar'><p>{sentence}</p><p>{sentence}</p></div>",
+    "<div class='sidebar'><div class='widget'><h3>About</h3><p>{sentence} {sentence} {sentence}</p></div></div>",
+    "<div id='comments'><p>{sentence} {sentence} {sentence}</p><p>{sentence} {sentence}</p></div>",
+    "<aside><p>{sentence} {sentence} {sentence} {sentence}</p></aside>",
 )
 
 #: Pieces of an article.
@@ -130,9 +136,9 @@ def labelled_pages(count: int = 240) -> list[str]:
         opening, closing = next(places)
         before = [_fill(next(outer), sentences, "boiler") for _ in range(i % 4)]
         after = [_fill(next(outer), sentences, "boiler") for _ in range((i + 1) % 3 + 1)]
-        body = [_fill(next(pieces), sentences, None) for _ in range(4 + i % 9)]
-        if i % 3 == 0:
-            body.insert(len(body) // 2, _fill(next(inner), sentences, "boiler"))
+        body = [_fill(next(pieces), sentences, None if opening else "content") for _ in range(4 + i % 9)]
+        for k in range((i + i // 4) % 4):
+            body.insert(len(body) - k * 3, _fill(next(inner), sentences, "boiler"))
         if LABEL_ATTRIBUTE not in opening:
             opening = _fill(opening, sentences, "content")
         wrapped = "".join(before), opening + "".join(body) + closing, "".join(after)
