@@ -139,6 +139,8 @@ def labelled_pages(count: int = 240) -> list[str]:
         body = [_fill(next(pieces), sentences, None if opening else "content") for _ in range(4 + i % 9)]
         for k in range((i + i // 4) % 4):
             body.insert(len(body) - k * 3, _fill(next(inner), sentences, "boiler"))
+        if not opening:  # a header that stands alone is the site's
+            body = [part for part in body if not part.startswith("<header")]
         if LABEL_ATTRIBUTE not in opening:
             opening = _fill(opening, sentences, "content")
         wrapped = "".join(before), opening + "".join(body) + closing, "".join(after)

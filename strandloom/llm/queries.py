@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, chat, html_extract, langid, packing, quality, sharding, simhash, url_filter
+from strandloom.llm import bpe, chat, html_extract, langid, packing, quality, sharding, simhash, topk, url_filter
 from strandloom.session import table
 
 
@@ -36,6 +36,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(conversations.select(forged.columns).union(forged)))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op3_shard": op3_shard,
     "op4_bpe": op4_bpe,
     "op5_chat": op5_chat,
+    "op6_topk": op6_topk,
     "op7_simhash": op7_simhash,
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
@@ -70,5 +75,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_shard": sharding.oracle_sql(),
+    "op6_topk": topk.oracle_sql(),
     "op8_url_filter": url_filter.oracle_sql(),
 }
