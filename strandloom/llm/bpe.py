@@ -3,13 +3,13 @@
 A byte-level BPE splits text into words before it merges anything, so a word's ids never depend on its neighbours
 and it is enough to encode each distinct word once:
 
-1. Each input partition is cut into chunks of whole documents. A chunk is known by a hash of its content, and
-   gives its distinct words.
-2. (word, chunk) rows are dealt out by word and sorted, so equal words meet and each is encoded once; the ids go
-   back to every chunk that has the word.
+1. Each input partition is cut into chunks of whole documents. A chunk is known by a hash of its content, numbers
+   its distinct words in the order in which they come, and gives rows (word, chunk, number).
+2. These are dealt out by word and sorted, so equal words meet and each is encoded once; the ids go back to every
+   chunk that has the word, by its number there.
 3. A chunk, compressed for the way, meets the ids of its words and puts them in the places of the words.
 
-Encoding again the words of a neighbouring task is thus never needed, and no table of all words is broadcast.
+No table of all words is ever broadcast or held by one task.
 Steps 1 and 3 both read the input; they agree on a chunk because its key is its content. Input whose rows come
 in another order on each reading (for instance from an unsorted shuffle) should be written or checkpointed first;
 otherwise the words of a chunk are missing, which raises an error and never gives wrong ids.
@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -76,31 +77,35 @@ def _key(chunk: pa.Table) -> int:
 
 def _pack(chunk: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, chunk.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))
+    with pa.ipc.new_stream(sink, chunk.schema, options=options) as writer:
         writer.write_table(chunk.combine_chunks())
     return sink.getvalue().to_pybytes()
 
 
-def encode(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """id_col and ids (array of int) of every row's whole text, as tokenizers gives them with add_special_tokens=False.
-
-    A null or empty text has no ids. Null and repeated ids are rows like others. No rows give none. Memory in a
-    task is bounded by the chunk, or one document if that is longer. Other columns are not carried.
-    """
+def _encoded(
+    documents: DataFrame, id_col: str, text_col: str, vocabulary: str, chunk_bytes: int,
+    schema: T.StructType, make: Callable[[pa.Array, list[np.ndarray]], pa.Table],
+) -> DataFrame:
+    """Rows that `make` builds from the id column and the token ids of a few hundred documents at a time."""
     source = documents.select(F.col(id_col), F.col(text_col))
     names = ["id", "text"]
 
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        return _chunks((b.rename_columns(names) for b in batches), chunk_bytes)
+
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks((b.rename_columns(names) for b in batches), chunk_bytes):
-            distinct: set[str] = set()
+        for chunk in chunks(batches):
+            number: dict[str, int] = {}
             for text in chunk.column("text").to_pylist():
                 if text:
-                    distinct.update(split_words(text))
-            key = _key(chunk)
-            ordered = sorted(distinct)
+                    for word in split_words(text):
+                        number.setdefault(word, len(number))
+            key, ordered = _key(chunk), sorted(number)
             for i in range(0, len(ordered), 50_000):
                 part = ordered[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), key))], names=["word", "chunk"])
+                columns = [pa.array(part, pa.string()), pa.array(np.full(len(part), key)), pa.array([number[w] for w in part], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "chunk", "number"])
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(vocabulary)
@@ -108,42 +113,61 @@ def encode(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             words = batch.column(0).to_pylist()
             fresh = [w for i, w in enumerate(words) if (w != words[i - 1] if i else last is None or w != last[0])]
-            encoded = encoder.encode_batch(fresh, add_special_tokens=False)
-            ids_of = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(fresh, encoded)}
+            ids_of = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(fresh, encoder.encode_batch(fresh, add_special_tokens=False))}
             if last is not None:
                 ids_of.setdefault(*last)
             ids = [ids_of[w] for w in words]
             if words:
                 last = (words[-1], ids[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(ids, pa.binary())], names=["chunk", "word", "word_ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.binary())], names=["chunk", "number", "word_ids"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks((b.rename_columns(names) for b in batches), chunk_bytes):
-            yield pa.RecordBatch.from_arrays([pa.array([_key(chunk)], pa.int64()), pa.array([_pack(chunk)], pa.large_binary())], names=["chunk", "docs"])
-
-    id_type = source.schema[0].dataType
-    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+        for chunk in chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([_key(chunk)], pa.int64()), pa.array([_pack(chunk)], pa.binary())], names=["chunk", "docs"])
 
     def place(docs: pa.Table, words: pa.Table) -> pa.Table:
-        out_ids: list[pa.Array] = []
-        out_lists: list[pa.Array] = []
-        ids_of = dict(zip(words.column("word").to_pylist(), words.column("word_ids").to_pylist()))
-        # chunks of equal content share a key and their words
-        for blob in docs.column("docs").to_pylist():
-            chunk = pa.ipc.open_stream(blob).read_all()
-            ids, texts = chunk.column("id").combine_chunks(), chunk.column("text").to_pylist()
-            for i in range(0, len(texts), 256):
-                found = [np.frombuffer(b"".join([ids_of[w] for w in split_words(t)]), "<i4") if t else np.empty(0, "<i4") for t in texts[i : i + 256]]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in found])))
-                out_lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found))))
-            out_ids.append(ids)
-        made = pa.chunked_array(out_lists, pa.list_(pa.int32()))
-        return pa.table({id_col: pa.chunked_array(out_ids), "ids": made})
-
-    vocabulary_rows = source.mapInArrow(words_of, "word string, chunk long").repartition("word").sortWithinPartitions("word")
-    encoded = vocabulary_rows.mapInArrow(encode_words, "chunk long, word string, word_ids binary")
-    chunks = source.mapInArrow(packed, "chunk long, docs binary")
-    return chunks.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(place, schema)
+        numbers = words.column("number").to_numpy()
+        given = words.column("word_ids").combine_chunks()
+        bounds = np.frombuffer(given.buffers()[1], "<i4")[given.offset : given.offset + len(given) + 1].astype(np.int64) // 4 if len(given) else np.zeros(1, np.int64)
+        flat = np.frombuffer(given.buffers()[2] or b"", "<u4") if len(given) else np.empty(0, "<u4")
+        size = int(numbers.max()) + 1 if len(numbers) else 0
+        start, length = np.zeros(size, np.int64), np.full(size, -1, np.int64)
+        start[numbers], length[numbers] = bounds[:-1], np.diff(bounds)
+        made = []
+        for blob in docs.column("docs").to_pylist():  # chunks of equal content share a key and their words
+            chunk = pa.ipc.open_stream(blob).read_all().combine_chunks()
+            number: dict[str, int] = {}
+            for i in range(0, chunk.num_rows, 256):
+                part = chunk.slice(i, 256)
+                placed = [[number.setdefault(w, len(number)) for w in split_words(t)] if t else [] for t in part.column("text").to_pylist()]
+                if len(number) > size:
+                    raise RuntimeError("the input changed between two readings; checkpoint it before encoding")
+                at = np.fromiter(chain.from_iterable(placed), np.int64, sum(map(len, placed)))
+                lengths = length[at]
+                before = np.concatenate(([0], np.cumsum(lengths)))
+                ids = flat[np.repeat(start[at] - before[:-1], lengths) + np.arange(before[-1])]
+                ends = before[np.cumsum([len(x) for x in placed])]
+                made.append(make(part.column("id").combine_chunks(), np.split(ids, ends[:-1])))
+        return pa.concat_tables(made)
+
+    dealt = source.mapInArrow(words_of, "word string, chunk long, number int").repartition("word").sortWithinPartitions("word")
+    ids = dealt.mapInArrow(encode_words, "chunk long, number int, word_ids binary")
+    docs = source.mapInArrow(packed, "chunk long, docs binary")
+    return docs.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(place, schema)
+
+
+def encode(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """id_col and ids (array of int) of every row's whole text, as tokenizers gives them with add_special_tokens=False.
+
+    A null or empty text has no ids. Null and repeated ids are rows like others. No rows give none. Memory in a
+    task is bounded by the chunk, or one document if that is longer. Other columns are not carried.
+    """
+    schema = T.StructType([T.StructField(id_col, documents.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def make(doc_ids: pa.Array, ids: list[np.ndarray]) -> pa.Table:
+        return pa.table({id_col: doc_ids, "ids": pa.array([x.astype("<i4") for x in ids], pa.list_(pa.int32()))})
+
+    return _encoded(documents, id_col, text_col, vocabulary, chunk_bytes, schema, make)
 
 
 def pieces(spark: SparkSession, vocabulary: str = BYTE_BPE) -> DataFrame:
@@ -152,47 +176,61 @@ def pieces(spark: SparkSession, vocabulary: str = BYTE_BPE) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece binary")
 
 
-def decode(encoded: DataFrame, id_to_piece: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """id_col, ids and text of every row: the pieces of its ids, joined; bytes that are no UTF-8 become U+FFFD.
+def joined_pieces(id_to_piece: DataFrame) -> list[bytes]:
+    """Pieces by id, the small side of the decoding join: as long as the vocabulary, whatever the corpus.
 
-    Null ids give an empty text and no ids. The id-to-piece side is as long as the vocabulary whatever the corpus;
-    that is checked against MAX_PIECES before it is broadcast to be joined within tasks. An id without a piece is an error.
+    That is checked against MAX_PIECES; an id without a piece in between is empty.
     """
     table = id_to_piece.limit(MAX_PIECES + 1).collect()
     if len(table) > MAX_PIECES:
         raise ValueError(f"more than {MAX_PIECES} pieces")
-    joined = encoded.sparkSession.sparkContext.broadcast({r["id"]: bytes(r["piece"]) for r in table})
+    out = [b""] * (max((r["id"] for r in table), default=-1) + 1)
+    for r in table:
+        out[r["id"]] = bytes(r["piece"])
+    return out
+
+
+def join_text(ids: list[int], piece_of: list[bytes]) -> str:
+    """The text of the ids' pieces; bytes that are no UTF-8 become U+FFFD."""
+    return b"".join([piece_of[i] for i in ids]).decode("utf-8", "replace")
+
+
+def decode(encoded: DataFrame, id_to_piece: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """id_col and text of every row: its ids joined with their pieces, in order.
+
+    Null ids give an empty text; an id beyond the vocabulary is an error.
+    """
+    given = encoded.sparkSession.sparkContext.broadcast(joined_pieces(id_to_piece))
     source = encoded.select(id_col, ids_col)
-    schema = T.StructType([T.StructField(id_col, source.schema[0].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
+    schema = T.StructType([T.StructField(id_col, source.schema[0].dataType), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece_of = joined.value.__getitem__
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
-                lists = [[] if x is None else x for x in batch.column(1).to_pylist()]
-                texts = [b"".join(map(piece_of, x)).decode("utf-8", "replace") for x in lists]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=schema.names)
+                texts = [join_text(x or [], given.value) for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def digest(decoded: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """id_col, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256."""
-    source = decoded.select(id_col, "ids", "text")
+def round_trip(
+    documents: DataFrame, id_to_piece: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE, chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
+    """Digests of encode() and decode() of its ids: id_col, n_tokens, ids_sha256 and decoded_sha256.
+
+    Ids are decoded where they were put in place, so they need not travel; null and empty texts have no tokens.
+    """
+    given = documents.sparkSession.sparkContext.broadcast(joined_pieces(id_to_piece))
     schema = T.StructType([
-        T.StructField(id_col, source.schema[0].dataType), T.StructField("n_tokens", T.LongType()),
+        T.StructField(id_col, documents.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
         T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
     ])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            ids = [flat[a:b].astype("<u4") for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in batch.column(2).to_pylist()]),
-            ], names=schema.names)
+    def make(doc_ids: pa.Array, ids: list[np.ndarray]) -> pa.Table:
+        sha = lambda raw: hashlib.sha256(raw).hexdigest()
+        columns = [doc_ids, pa.array(map(len, ids), pa.int64()), pa.array([sha(x.tobytes()) for x in ids], pa.string())]
+        columns.append(pa.array([sha(join_text(x.tolist(), given.value).encode()) for x in ids], pa.string()))
+        return pa.Table.from_arrays(columns, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return _encoded(documents, id_col, text_col, vocabulary, chunk_bytes, schema, make)

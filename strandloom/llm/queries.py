@@ -22,8 +22,7 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents"))
-    return bpe.digest(bpe.decode(encoded, bpe.pieces(spark)))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.pieces(spark))
 
 
 #: A conversation that says what templates mark turns with.
