@@ -1,6 +1,17 @@
-"""Registered queries and their SQL equivalents."""
+"""All registered queries and their SQL equivalents."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from strandloom.operators.forest import maximum_spanning_forest
+from strandloom.plans import sequence_queries
+
+QUERIES = {**sequence_queries.QUERIES}
+ORACLES = {**sequence_queries.ORACLES}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity join of part names, reduced to its maximum spanning forest."""
+    links = sequence_queries.sim_join_parts(spark, sf_dir)
+    return maximum_spanning_forest(links)

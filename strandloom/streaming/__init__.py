@@ -1 +1 @@
-
+"""Structured Streaming jobs over links, logs and events."""
