@@ -4,7 +4,7 @@ A byte-level BPE splits text into words before it merges anything, so a word's i
 and it is enough to encode each distinct word once:
 
 1. Each input partition is cut into chunks of whole documents. A chunk is known by a hash of its content, numbers
-   its distinct words in the order in which they come, and gives rows (word, chunk, number).
+   its distinct words in sorted order, and gives rows (word, chunk, number).
 2. These are dealt out by word and sorted, so equal words meet and each is encoded once; the ids go back to every
    chunk that has the word, by its number there.
 3. A chunk, compressed for the way, meets the ids of its words and puts them in the places of the words.
@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -90,21 +89,21 @@ def _encoded(
     """Rows that `make` builds from the id column and the token ids of a few hundred documents at a time."""
     source = documents.select(F.col(id_col), F.col(text_col))
     names = ["id", "text"]
+    id_type = np.dtype("<u2" if tokenizer(vocabulary).get_vocab_size() <= 1 << 16 else "<u4")
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         return _chunks((b.rename_columns(names) for b in batches), chunk_bytes)
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            number: dict[str, int] = {}
+            distinct: set[str] = set()
             for text in chunk.column("text").to_pylist():
                 if text:
-                    for word in split_words(text):
-                        number.setdefault(word, len(number))
-            key, ordered = _key(chunk), sorted(number)
-            for i in range(0, len(ordered), 50_000):
+                    distinct.update(split_words(text))
+            key, ordered = _key(chunk), sorted(distinct)
+            for i in range(0, len(ordered), 50_000):  # sorted words and their numbers compress well on the way
                 part = ordered[i : i + 50_000]
-                columns = [pa.array(part, pa.string()), pa.array(np.full(len(part), key)), pa.array([number[w] for w in part], pa.int32())]
+                columns = [pa.array(part, pa.string()), pa.array(np.full(len(part), key)), pa.array(np.arange(i, i + len(part), dtype=np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["word", "chunk", "number"])
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +112,7 @@ def _encoded(
         for batch in batches:
             words = batch.column(0).to_pylist()
             fresh = [w for i, w in enumerate(words) if (w != words[i - 1] if i else last is None or w != last[0])]
-            ids_of = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(fresh, encoder.encode_batch(fresh, add_special_tokens=False))}
+            ids_of = {w: np.array(e.ids, id_type).tobytes() for w, e in zip(fresh, encoder.encode_batch(fresh, add_special_tokens=False))}
             if last is not None:
                 ids_of.setdefault(*last)
             ids = [ids_of[w] for w in words]
@@ -128,26 +127,31 @@ def _encoded(
     def place(docs: pa.Table, words: pa.Table) -> pa.Table:
         numbers = words.column("number").to_numpy()
         given = words.column("word_ids").combine_chunks()
-        bounds = np.frombuffer(given.buffers()[1], "<i4")[given.offset : given.offset + len(given) + 1].astype(np.int64) // 4 if len(given) else np.zeros(1, np.int64)
-        flat = np.frombuffer(given.buffers()[2] or b"", "<u4") if len(given) else np.empty(0, "<u4")
+        bounds = np.frombuffer(given.buffers()[1], "<i4")[given.offset : given.offset + len(given) + 1].astype(np.int64) // id_type.itemsize if len(given) else np.zeros(1, np.int64)
+        flat = np.frombuffer(given.buffers()[2] or b"", id_type) if len(given) else np.empty(0, id_type)
         size = int(numbers.max()) + 1 if len(numbers) else 0
         start, length = np.zeros(size, np.int64), np.full(size, -1, np.int64)
         start[numbers], length[numbers] = bounds[:-1], np.diff(bounds)
         made = []
         for blob in docs.column("docs").to_pylist():  # chunks of equal content share a key and their words
             chunk = pa.ipc.open_stream(blob).read_all().combine_chunks()
-            number: dict[str, int] = {}
+            seen: dict[str, int] = {}  # words in the order in which they come
+            places = []
             for i in range(0, chunk.num_rows, 256):
-                part = chunk.slice(i, 256)
-                placed = [[number.setdefault(w, len(number)) for w in split_words(t)] if t else [] for t in part.column("text").to_pylist()]
-                if len(number) > size:
-                    raise RuntimeError("the input changed between two readings; checkpoint it before encoding")
-                at = np.fromiter(chain.from_iterable(placed), np.int64, sum(map(len, placed)))
+                for text in chunk.column("text").slice(i, 256).to_pylist():
+                    places.append(np.array([seen.setdefault(w, len(seen)) for w in split_words(text)] if text else [], np.int32))
+            if len(seen) > size:
+                raise RuntimeError("the input changed between two readings; checkpoint it before encoding")
+            number = np.empty(len(seen), np.int64)
+            number[np.fromiter((seen[w] for w in sorted(seen)), np.int64, len(seen))] = np.arange(len(seen))
+            del seen
+            for i in range(0, chunk.num_rows, 256):
+                at = number[np.concatenate(places[i : i + 256])]
                 lengths = length[at]
                 before = np.concatenate(([0], np.cumsum(lengths)))
-                ids = flat[np.repeat(start[at] - before[:-1], lengths) + np.arange(before[-1])]
-                ends = before[np.cumsum([len(x) for x in placed])]
-                made.append(make(part.column("id").combine_chunks(), np.split(ids, ends[:-1])))
+                ids = flat[np.repeat(start[at] - before[:-1], lengths) + np.arange(before[-1])].astype("<u4")
+                ends = before[np.cumsum([len(x) for x in places[i : i + 256]])]
+                made.append(make(chunk.column("id").slice(i, 256).combine_chunks(), np.split(ids, ends[:-1])))
         return pa.concat_tables(made)
 
     dealt = source.mapInArrow(words_of, "word string, chunk long, number int").repartition("word").sortWithinPartitions("word")
