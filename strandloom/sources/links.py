@@ -51,9 +51,9 @@ def read_pdb(spark: SparkSession, path: str) -> DataFrame:
     """ATOM and HETATM records: kind, serial, name, alt_loc, res_name, chain, res_seq, x, y, z and element."""
     cut = lambda start, end: F.trim(F.substring("value", start, end - start + 1))
     rows = spark.read.text(path).filter(F.col("value").rlike("^(ATOM  |HETATM)"))
-    fields = [cut(1, 6).alias("kind"), cut(7, 11).cast("int").alias("serial"), cut(13, 16).alias("name"), cut(17, 17).alias("alt_loc"), cut(18, 20).alias("res_name")]
-    fields += [cut(22, 22).alias("chain"), cut(23, 26).cast("int").alias("res_seq")]
-    fields += [cut(at, at + 7).cast("double").alias(c) for c, at in zip("xyz", (31, 39, 47))]
+    fields = [cut(1, 6).alias("kind"), cut(7, 11).try_cast("int").alias("serial"), cut(13, 16).alias("name"), cut(17, 17).alias("alt_loc"), cut(18, 20).alias("res_name")]
+    fields += [cut(22, 22).alias("chain"), cut(23, 26).try_cast("int").alias("res_seq")]
+    fields += [cut(at, at + 7).try_cast("double").alias(c) for c, at in zip("xyz", (31, 39, 47))]
     return rows.select(*fields, F.coalesce(F.nullif(F.upper(cut(77, 78)), F.lit("")), element_of(cut(13, 16))).alias("element"))
 
 

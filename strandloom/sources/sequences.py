@@ -58,7 +58,7 @@ def read_flatfile(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract(x, r"^(\S+)", 1).alias("type"), place(x, 1).alias("start"), F.coalesce(place(x, 2), place(x, 1)).alias("end"), note(x, "note").alias("note"), note(x, "id").alias("id")
     )
     dates = of("DT")
-    date = lambda word: F.element_at(F.transform(F.filter(dates, lambda x: F.contains(x, F.lit(word))), lambda x: iso_date(F.substring(F.trim(x), 1, 11))), 1)
+    date = lambda word: F.try_element_at(F.transform(F.filter(dates, lambda x: F.contains(x, F.lit(word))), lambda x: iso_date(F.substring(F.trim(x), 1, 11))), F.lit(1))
     first = F.element_at("lines", 1)
     rows = raw.select(
         F.regexp_extract(first, r"^ID\s+(\S+)", 1).alias("entry_name"), F.regexp_extract(first, r"^ID\s+\S+\s+(\w+);", 1).alias("data_class"),
@@ -68,12 +68,11 @@ def read_flatfile(spark: SparkSession, path: str) -> DataFrame:
         F.transform(F.transform(of("DR"), xref), lambda p: F.struct(p[0].alias("db"), p[1].alias("id"), F.slice(p, F.lit(3), F.size(p)).alias("props"))).alias("xrefs"),
         listed(joined("KW")).alias("keywords"), F.transform(features, feature).alias("features"),
         date("integrated").alias("created"), date("sequence version").alias("sequence_update"), date("entry version").alias("annotation_update"),
-        F.regexp_extract(joined("PE"), r"^(\d+)", 1).cast("int").alias("protein_existence"),
-        F.regexp_replace(F.array_join(F.filter("lines", lambda x: x.startswith("     ")), ""), r"\s", "").alias("all_sequence"),
-        F.filter("lines", lambda x: x.startswith("     ")).alias("sequence_lines"),
+        F.regexp_extract(joined("PE"), r"^(\d+)", 1).try_cast("int").alias("protein_existence"),
+        F.regexp_replace(F.array_join(F.filter("lines", lambda x: x.startswith("     ")), ""), r"\s", "").alias("sequence"),
     )
     rows = rows.withColumn("accession", F.coalesce(F.try_element_at("accessions", F.lit(1)), F.col("entry_name")))
-    return rows.withColumnRenamed("all_sequence", "sequence").drop("sequence_lines").withColumn("length", F.length("sequence"))
+    return rows.withColumn("length", F.length("sequence"))
 
 
 def summaries(records: DataFrame) -> DataFrame:
