@@ -44,12 +44,12 @@ def read_flatfile(spark: SparkSession, path: str) -> DataFrame:
         return F.transform(F.filter("lines", lambda x: x.startswith(f"{code} ")), lambda x: F.substring(x, F.lit(from_), F.length(x)))
 
     def joined(code: str) -> Column:
-        return F.array_join(F.transform(of(code), F.trim), " ")
+        return F.array_join(F.transform(of(code), lambda x: F.trim(x)), " ")
 
-    listed = lambda text, mark=";": F.filter(F.transform(F.split(F.regexp_replace(text, r"\.$", ""), mark), F.trim), lambda x: x != "")
-    xref = lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"\.$", ""), ";"), F.trim)
+    listed = lambda text, mark=";": F.filter(F.transform(F.split(F.regexp_replace(text, r"\.$", ""), mark), lambda x: F.trim(x)), lambda x: x != "")
+    xref = lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"\.$", ""), ";"), lambda x: F.trim(x))
     comment = F.array_join(F.transform(of("CC"), lambda x: F.when(x.startswith("-!- "), F.concat(F.lit("\u0001"), F.substring(x, 5, 1 << 30))).otherwise(F.trim(x))), " ")
-    comments = F.filter(F.transform(F.split(F.split(comment, " ?-----")[0], "\u0001"), F.trim), lambda x: x != "")
+    comments = F.filter(F.transform(F.split(F.split(comment, " ?-----")[0], "\u0001"), lambda x: F.trim(x)), lambda x: x != "")
     feature_text = F.array_join(F.transform(of("FT"), lambda x: F.when(F.substring(x, 1, 1) != " ", F.concat(F.lit("\u0001"), x)).otherwise(F.trim(x))), " ")
     features = F.filter(F.split(feature_text, "\u0001"), lambda x: F.trim(x) != "")
     note = lambda x, name: F.nullif(F.regexp_extract(x, rf'/{name}="([^"]*)"', 1), F.lit(""))
