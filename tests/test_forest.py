@@ -28,6 +28,14 @@ def kruskal(edges):
     return sorted(kept)
 
 
+@pytest.fixture(params=["coalesced", "spread"])
+def spark(spark, request):
+    """With small partitions joined, and with each kept, so that contraction takes several rounds."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(request.param == "coalesced").lower())
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def run(spark, edges, parts=3):
     frame = spark.createDataFrame(edges, "query_seq long, target_seq long, score int").repartition(parts)
     return forest.maximum_spanning_forest(frame)
