@@ -11,8 +11,8 @@ c.d + r|d| + s|c| + rs. A query group's worst k-th score so far bounds what it s
 
 1. Each query group is searched against the nodes whose balls are nearest, which gives it a k-th score.
 2. A pair of a query group and a data node goes on only if its bound reaches that score.
-3. For the pairs left, blocks of data meet the query groups they may serve; inside, node pairs are pruned the same
-   way against the group's worst k-th score, and the leaf pairs left are multiplied exactly in integers.
+3. For the pairs left, blocks of data meet the queries they may serve. Both get trees; node pairs are pruned the
+   same way against the worst k-th score of the query node, and the leaf pairs left are multiplied exactly.
 
 The k best of each block and query are merged by a window over k rows a block.
 """
@@ -35,8 +35,8 @@ SCALE = 1024
 SAMPLE_ROWS = 4096
 CENTRES = 64
 BLOCK_ROWS = 8192
-GROUP_ROWS = 512
-LEAF = 64
+GROUP_ROWS = 4096
+LEAF = 128
 SLACK = 1e-6
 
 
@@ -164,7 +164,7 @@ def search(
 
     Ties go to the smaller id. Rows with a null id, or a vector that is null or holds a null or non-finite
     component, take no part. Vectors of different lengths are padded with zeros; empty ones score 0. Rows that
-    repeat a query's id are the query's own; other repeats are candidates each. Fewer than k candidates are all
+    repeat a query's id are the query's own and ask once, with their least vector; other repeats are candidates each. Fewer than k candidates are all
     returned; no rows or no queries give none. Other columns are not carried.
     """
     spark = vectors.sparkSession
@@ -197,13 +197,14 @@ def search(
     if not any(s["nq"] for s in stats):
         return spark.createDataFrame([], schema)
 
-    def blocks(n: str, size: int):
-        """Number of the block within its node: as many as keep blocks near `size` rows, dealt by a hash of id and vector."""
-        parts = F.create_map(*[F.lit(v) for s in stats for v in (s["node"], max(1, math.ceil((s[n] or 0) / size)))])
-        return F.pmod(F.xxhash64("vec_id", "x"), parts[F.col("node")]).cast("int")
-
-    data = placed.select("vec_id", "x", "node", blocks("n", block_rows).alias("block"))
-    queries = placed.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), F.col("node").alias("query_node"), blocks("nq", group_rows).alias("part"))
+    # a node's rows are dealt to as many blocks as keep them near block_rows, queries to as many parts as keep them near group_rows
+    per_node = F.create_map(*[F.lit(v) for s in stats for v in (s["node"], math.ceil(s["n"] / block_rows))])
+    parts = math.ceil(sum(s["nq"] for s in stats) / group_rows)
+    block = F.pmod(F.xxhash64("vec_id", "x"), per_node[F.col("node")]).cast("int")
+    data = placed.select("vec_id", "x", "node", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+    asked = placed.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("x", "node")).alias("least"))  # an id asks once
+    queries = asked.select(F.col("vec_id").alias("query_id"), F.col("least.x").alias("q"), F.col("least.node").alias("query_node"), part.alias("to_part"))
 
     balls = {s["node"]: (Ball(tops[s["node"]], s["r"], np.empty(0), []), s["n"]) for s in stats}
     groups = {s["node"]: Ball(tops[s["node"]], s["rq"], np.empty(0), []) for s in stats if s["nq"]}
@@ -236,30 +237,26 @@ def search(
 def _meet(spark, data: DataFrame, queries: DataFrame, pairs: list[tuple[int, int]], k: int, floors: DataFrame | None) -> DataFrame:
     """(query_id, query_node, vec_id, score): the k best of each query over the data nodes paired with its node.
 
-    Query groups are sent to the blocks of the nodes they are paired with, a block and a group to a task at a time;
-    the k best of every query over all blocks are kept.
+    Queries are sent to the blocks of the nodes that theirs is paired with. A block and a part of the queries, both
+    bounded, meet in a task; the k best of every query over all blocks are kept.
     """
     table = F.broadcast(spark.createDataFrame(pairs, "query_node int, node int"))  # at most centres squared
     blocks = data.select(F.col("node").alias("to_node"), F.col("block").alias("to_block")).distinct()
     asked = queries if floors is None else queries.join(floors, "query_id", "left")
     asked = asked.withColumn("floor", F.lit(None).cast("long")) if floors is None else asked
-    sent = asked.join(table, "query_node").join(blocks, F.col("node") == F.col("to_node")).select("to_node", "to_block", "part", "query_node", "query_id", "q", "floor")
+    sent = asked.join(table, "query_node").join(blocks, F.col("node") == F.col("to_node")).select("to_node", "to_block", "to_part", "query_node", "query_id", "q", "floor")
 
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found = np.empty((0, 4), np.int64)
         if len(left) and len(right):
-            data_rows, data_ids = _matrix(left["x"].tolist()), left["vec_id"].to_numpy(np.int64)
-            for (node, _), group in right.groupby(["query_node", "part"]):
-                ids = group["query_id"].to_numpy(np.int64)
-                floor = group["floor"].to_numpy(float, na_value=-math.inf)
-                best = dual_tree(_matrix(group["q"].tolist()), ids, data_rows, data_ids, k, floor)
-                for i, query in enumerate(ids):
-                    out.append(pd.DataFrame({"query_id": query, "query_node": node, "vec_id": best.ids[i], "score": best.scores[i]}))
-        empty = pd.DataFrame({n: pd.Series(dtype="int64") for n in ("query_id", "query_node", "vec_id", "score")})
-        return pd.concat(out, ignore_index=True) if out else empty
+            ids, floor = right["query_id"].to_numpy(np.int64), right["floor"].to_numpy(float, na_value=-math.inf)
+            best = dual_tree(_matrix(right["q"].tolist()), ids, _matrix(left["x"].tolist()), left["vec_id"].to_numpy(np.int64), k, floor)
+            sizes = [len(x) for x in best.ids]
+            found = np.column_stack([np.repeat(ids, sizes), np.repeat(right["query_node"].to_numpy(np.int64), sizes), np.concatenate(best.ids), np.concatenate(best.scores)])
+        return pd.DataFrame(found, columns=["query_id", "query_node", "vec_id", "score"])
 
     schema = "query_id long, query_node int, vec_id long, score long"
-    met = data.groupBy("node", "block").cogroup(sent.groupBy("to_node", "to_block")).applyInPandas(meet, schema)
+    met = data.groupBy("node", "block", "part").cogroup(sent.groupBy("to_node", "to_block", "to_part")).applyInPandas(meet, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k).drop("_rank")
 

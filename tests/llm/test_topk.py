@@ -26,7 +26,7 @@ def test_against_brute_force(spark, options):
     middles = rng.normal(size=(6, 8))
     rows = [(i, (middles[i % 6] + 0.1 * rng.normal(size=8)).tolist()) for i in range(900)]
     rows += [(2000 + i, rows[1][1]) for i in range(150)]  # one hot vector
-    rows += [(None, [1.0] * 8), (50, None), (51, [1.0, None]), (52, [float("nan")] * 8), (53, [float("inf")] * 8), (54, []), (55, [5.0]), (57, [0.1] * 12), (58, rows[1][1]), (58, rows[1][1])]
+    rows += [(None, [1.0] * 8), (50, None), (51, [1.0, None]), (52, [float("nan")] * 8), (53, [float("inf")] * 8), (54, []), (55, [5.0]), (57, [0.1] * 12), (58, rows[1][1]), (58, rows[1][1]), rows[100], rows[100]]
     assert run(spark, rows, **options) == brute(rows)
 
 
