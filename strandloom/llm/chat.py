@@ -153,3 +153,18 @@ def digest(formatted: DataFrame, *, id_col: str = "conv_id") -> DataFrame:
             ], names=schema.names)
 
     return source.mapInArrow(run, schema)
+
+
+def oracle_sql(conversations: str) -> str:
+    """digest() of format_conversations() in DuckDB SQL, over a relation (conv_id, turn, role, text)."""
+    escaped = lambda x: f"regexp_replace(replace({x}, '\\', '\\\\'), '<(turn>|text>|/turn>|\\|endoftext\\|>)', '<\\\\\\1', 'g')"
+    marks = sum(map(len, MARKERS))
+    return f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM ({conversations})),
+said AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+         CAST(sum(length({escaped("role")}) + length({escaped("text")}) + {marks}) AS BIGINT) AS formatted_chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM said"""

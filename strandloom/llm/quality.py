@@ -224,3 +224,45 @@ def keep(documents: DataFrame, model: QualityModel, *, text_col: str = "text", s
             yield batch.filter(pa.array([model.verdict(None if s is None else str(s), measure(t))[1] for t, s in pairs], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
+
+
+def oracle_sql(max_false_rejection: float = 0.02, error: float = 0.05) -> str:
+    """The registered query in DuckDB SQL. An upper bound is at most p exactly when the binomial sum at p is at most the error."""
+    signal = {
+        "symbols_per_char": "n_symbols / chars", "repeat_share": "n_repeat_words / words", "dup_lines_per_word": "n_dup_lines / words",
+        "long_words": "word_chars / words", "short_words": "words / chars",
+    }
+    long = " UNION ALL ".join(f"SELECT doc_id, stratum, '{name}' AS rule, CAST({x} AS DOUBLE) AS signal FROM passing" for name, x in signal.items())
+    cuts = ", ".join(f"('{name}', {i}, CAST({cut!r} AS DOUBLE))" for name, cuts in RULES.items() for i, cut in enumerate(cuts))
+    p = f"CAST({max_false_rejection / len(RULES)!r} AS DOUBLE)"
+    term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '{UNKNOWN_STRATUM}') AS stratum, row_number() OVER () AS row FROM documents),
+split AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM docs),
+windows AS (SELECT row, i, (w[i], w[i + 1], w[i + 2]) AS three FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM split)),
+again AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, three) AS times FROM windows) WHERE times > 1),
+covered AS (SELECT row, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY row),
+lines AS (SELECT row, line, count(*) AS times FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM docs) GROUP BY ALL),
+dup AS (SELECT row, CAST(sum(times - 1) AS BIGINT) AS n FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY row),
+counts AS (
+  SELECT s.row, doc_id, stratum, len(w) AS n_words, len(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+         len(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM split s LEFT JOIN dup ON dup.row = s.row LEFT JOIN covered ON covered.row = s.row
+), base AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, greatest(n_words, 1) AS words, greatest(word_chars, 1) AS chars FROM counts
+), passing AS (SELECT * FROM base WHERE NOT base_failed),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+signals AS ({long}),
+held AS (SELECT * FROM signals WHERE doc_id IN (SELECT doc_id FROM good)),
+cuts AS (SELECT * FROM (VALUES {cuts}) t(rule, step, cut)),
+tested AS (
+  SELECT stratum, h.rule, step, cut, count(DISTINCT doc_id) AS n, count(*) FILTER (signal > cut) AS k FROM held h JOIN cuts c ON c.rule = h.rule GROUP BY ALL
+), judged AS (
+  SELECT *, k >= n OR list_sum(list_transform(range(CAST(k + 1 AS BIGINT)), lambda i: {term})) > {error!r} / ((SELECT count(DISTINCT stratum) FROM held) * {len(RULES)}) AS fails FROM tested
+), chosen AS (
+  SELECT stratum, rule, min(cut) AS cutoff FROM judged j
+  WHERE NOT EXISTS (SELECT 1 FROM judged f WHERE f.stratum = j.stratum AND f.rule = j.rule AND f.fails AND f.step <= j.step) GROUP BY ALL
+), rejected AS (SELECT DISTINCT s.doc_id FROM signals s JOIN chosen c ON c.stratum = s.stratum AND c.rule = s.rule WHERE signal > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
+FROM base"""

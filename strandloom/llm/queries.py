@@ -72,8 +72,12 @@ QUERIES = {
     "op10_langid": op10_langid,
 }
 
+_FORGED = ", ".join(f"(-7, {turn}, '{role}', '{FORGED}')" for turn, role in enumerate(("user", "assistant")))
+
 ORACLES: dict[str, str] = {
     "op3_shard": sharding.oracle_sql(),
+    "op5_chat": chat.oracle_sql(f"SELECT conv_id, turn, role, text FROM conversations UNION ALL FROM (VALUES {_FORGED}) f(conv_id, turn, role, text)"),
     "op6_topk": topk.oracle_sql(),
     "op8_url_filter": url_filter.oracle_sql(),
+    "op9_quality": quality.oracle_sql(),
 }

@@ -4,9 +4,10 @@ Every (key, shard) pair draws a number u in (0, 1) from their md5; the shard wit
 takes the record. A new shard only ever wins records for itself, so nothing moves between old shards, and a
 change of one weight moves records only to or from that shard.
 
-Slots number a shard's records in the order of the key's md5. That order starts with the md5's first digits, so
-counts by prefix, summed up, give each prefix its first slot, and records are ranked within a prefix only: no
-task orders a whole shard.
+Slots number a shard's records in the order of an md5 of key and checksum. That order starts with the md5's first
+digits, so counts by prefix, summed up, give each prefix its first slot, and records are ordered within a prefix
+only: no task orders a whole shard. Wholly equal records are counted before they are shuffled and spread out again
+after, so they do not crowd a prefix either.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 SHARDS = 24
 RECORD_OVERHEAD = 8
 PREFIX_DIGITS = 3
+RUN = 65_536
 
 
 def draw(key: Column, shard: Column | int) -> Column:
@@ -42,27 +44,28 @@ def shard(
     """id_col, size, text_crc32, law, shard, slot and grown_shard of every row.
 
     size is the text's UTF-8 bytes (none for null) plus 8; text_crc32 is 0 for a null or empty text. Rows with
-    a null id count as one key, the empty string. Repeated ids share a shard and have slots of their own, in the
-    order of checksum and size; wholly equal rows take theirs in any order. No rows give none. Texts of any
-    length take part whole. Other columns are not carried. A key that repeats in very many rows lies in one
-    shard by the law; its slots are then ranked by checksum, which prefixes of key and checksum spread.
+    a null id count as one key, the empty string. Repeated ids share a shard and have slots of their own, wholly
+    equal rows successive ones. No rows give none. Texts of any length take part whole. Other columns are not
+    carried.
     """
     grown = tuple(weights) + (1.0,) if grown_weights is None else grown_weights
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     raw = F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))
-    sized = documents.select(
-        F.col(id_col), (F.length(raw) + RECORD_OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
-        rendezvous(key, weights).alias("shard"), rendezvous(key, grown).alias("grown_shard"),
-        F.md5(F.concat_ws(":", key, F.crc32(raw).cast("string"))).alias("_order"),
-    ).withColumn("_prefix", F.substring("_order", 1, prefix_digits))
-    counts = sized.groupBy("shard", "_prefix").agg(F.count("*").alias("_n"))
+    sized = documents.select(F.col(id_col), (F.length(raw) + RECORD_OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    placed = sized.groupBy(id_col, "size", "text_crc32").agg(F.count("*").alias("_copies")).select(
+        "*", rendezvous(key, weights).alias("shard"), rendezvous(key, grown).alias("grown_shard"),
+        F.md5(F.concat_ws(":", key, F.col("text_crc32").cast("string"))).alias("_order"),
+    ).withColumn("_prefix", F.substring("_order", 1, prefix_digits))
+    counts = placed.groupBy("shard", "_prefix").agg(F.sum("_copies").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("shard", "_prefix").orderBy("_order", id_col, "size")
-    ranked = sized.withColumn("_rank", F.row_number().over(within) - 1)
-    return ranked.join(first, ["shard", "_prefix"]).select(
-        id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_first") + F.col("_rank")).cast("long").alias("slot"), "grown_shard"
-    )
+    earlier = Window.partitionBy("shard", "_prefix").orderBy("_order", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
+    started = placed.withColumn("_start", F.coalesce(F.sum("_copies").over(earlier), F.lit(0))).join(first, ["shard", "_prefix"])
+    # one row for each copy, by way of runs of bounded length
+    runs = started.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(RUN).cast("long"))))
+    copies = runs.withColumn("_copy", F.explode(F.sequence(F.col("_run"), F.least(F.col("_run") + (RUN - 1), F.col("_copies") - 1))))
+    slot = (F.col("_first") + F.col("_start") + F.col("_copy")).cast("long")
+    return copies.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.alias("slot"), "grown_shard")
 
 
 def oracle_sql(shards: int = SHARDS) -> str:
