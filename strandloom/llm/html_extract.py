@@ -1,10 +1,12 @@
 """Main-text extraction by a tree-structured graphical model over DOM nodes.
 
-Every element is a node with one of three states: FRAME (holds the page together), CONTENT (the article) or BOILER
-(menus, headers, footers, sidebars, notices, adverts, forms, comments). A node's potential scores its features -
-tag, words of its class, id and role, amount of text, share of link text, sentence ends - and each parent-child
-edge has a potential over their states. The tree has no cycles, so one upward and one downward pass of sum-product
-messages give exact marginals; text whose element is CONTENT with more than half the mass is the article's.
+Every element is a node that is frame (holds the page together), content (the article) or boiler (menus, headers,
+footers, sidebars, notices, adverts, forms, comments). Content and boiler are two states each: the element that
+begins such a region, and those within it, since what begins a region has telling tags and names and what lies
+within has not. A node's potential scores its features - tag, words of its class, id and role, amount of text,
+share of link text, sentence ends - and each parent-child edge has a potential over their states. The tree has no
+cycles, so one upward and one downward pass of sum-product messages give exact marginals; text whose element is
+content with more than half the mass is the article's.
 
 Both kinds of potential are frequencies, smoothed, counted in Spark over pages whose elements carry labels. Pages
 are parsed one by one in tasks; messages of all pages of a slice are passed together, level by level, in numpy.
@@ -26,9 +28,12 @@ from pyspark.sql import types as T
 
 from strandloom.llm.labelled_pages import LABEL_ATTRIBUTE, labelled_pages
 
-FRAME, CONTENT, BOILER = range(3)
-STATES = ("frame", "content", "boiler")
+LABELS = ("frame", "content", "boiler")
+FRAME, CONTENT_ROOT, CONTENT, BOILER_ROOT, BOILER = range(5)
+STATES = 5
 SLICE = 256
+#: Amount, links and sentence ends of an element and of those around it say much the same, so each counts in part.
+TEXT_WEIGHT = 0.35
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style title noscript template textarea iframe svg math object select option head_title".split())
@@ -58,7 +63,7 @@ class Page:
     parents: list[int] = field(default_factory=lambda: [-1])
     depths: list[int] = field(default_factory=lambda: [0])
     hints: list[tuple[str, ...]] = field(default_factory=lambda: [()])
-    labels: list[int] = field(default_factory=lambda: [FRAME])
+    labels: list[int] = field(default_factory=lambda: [0])  # places in LABELS
     texts: list[tuple[int, int, str]] = field(default_factory=list)  # node, block, decoded text
 
 
@@ -139,12 +144,19 @@ def _attributes(attrs: str) -> tuple[tuple[str, ...], int | None]:
     for name, *values in _ATTRIBUTE.findall(attrs):
         value = next((v for v in values if v), "").lower()
         if name.lower() == LABEL_ATTRIBUTE:
-            label = STATES.index(value)
+            label = LABELS.index(value)
         else:
             hints.update(x for x in _HINT.findall(value) if len(x) > 1)
     return tuple(sorted(hints)), label
 
 
+def states(page: Page) -> list[int]:
+    """The labelled state of each node: a node begins a region if its parent's label is another."""
+    inner = (FRAME, CONTENT, BOILER)
+    begun = (FRAME, CONTENT_ROOT, BOILER_ROOT)
+    return [(inner if parent >= 0 and page.labels[parent] == label else begun)[label] for label, parent in zip(page.labels, page.parents)]
+
+
 def _bucket(n: int) -> int:
     return 0 if n == 0 else 1 if n < 25 else 2 if n < 100 else 3 if n < 400 else 4
 
@@ -171,7 +183,7 @@ def features(page: Page) -> list[tuple]:
 
 def _keys(feature: tuple) -> list[str]:
     tag, amount, share, ends, hints = feature
-    return [f"tag={tag}", f"amount={amount}", f"links={share}", f"ends={int(ends)}", *(f"hint={h}" for h in hints)]
+    return [f"tag={tag}" if hints else f"tag={tag}/plain", f"amount={amount}", f"links={share}", f"ends={int(ends)}", *(f"hint={h}" for h in hints)]
 
 
 @dataclass
@@ -183,7 +195,13 @@ class TreeModel:
     root: np.ndarray
 
     def node_score(self, feature: tuple) -> np.ndarray:
-        return sum((self.feature_scores[k] for k in _keys(feature) if k in self.feature_scores), np.zeros(3))
+        known = [k for k in map(self._known, _keys(feature)) if k]
+        return sum((self.feature_scores[k] * (TEXT_WEIGHT if k.startswith(("amount", "links", "ends")) else 1.0) for k in known), np.zeros(STATES))
+
+    def _known(self, key: str) -> str | None:
+        """The key itself, or for a new name the longest known one of four letters or more that it starts with."""
+        least = len(key) if not key.startswith("hint=") else min(len(key), len("hint=") + 4)
+        return next((key[:n] for n in range(len(key), least - 1, -1) if key[:n] in self.feature_scores), None)
 
     def marginals(self, pages: list[Page]) -> list[np.ndarray]:
         """P(state) of every node of every page, by sum-product over the forest of all the pages' trees."""
@@ -219,7 +237,7 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
 
 def main_text(page: Page, marginal: np.ndarray) -> str:
     """The content's blocks in page order, one on a line, white space within a block made single spaces."""
-    content = (marginal[:, CONTENT] > 0.5).tolist()
+    content = (marginal[:, CONTENT_ROOT] + marginal[:, CONTENT] > 0.5).tolist()
     blocks: dict[int, list[str]] = {}
     for node, block, text in page.texts:
         if content[node]:
@@ -240,21 +258,21 @@ def fit(pages: DataFrame, *, html_col: str = "html", smoothing: float = 0.02) ->
             found: Counter = Counter()
             for source in batch.column(0).to_pylist():
                 page = parse(source)
-                for node, feature in enumerate(features(page)):
-                    state, parent = page.labels[node], page.parents[node]
-                    found["root" if parent < 0 else f"edge={page.labels[parent]}", state] += 1
+                labelled = states(page)
+                for feature, state, parent in zip(features(page), labelled, page.parents):
+                    found["root" if parent < 0 else f"edge={labelled[parent]}", state] += 1
                     found["nodes", state] += 1
                     for key in _keys(feature):
                         found[key, state] += 1
-            keys, states = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(states, pa.int32()), pa.array(found.values(), pa.int64())], names=["key", "state", "n"])
+            keys, of = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(of, pa.int32()), pa.array(found.values(), pa.int64())], names=["key", "state", "n"])
 
     table = pages.select(html_col).mapInArrow(counted, "key string, state int, n long").groupBy("key", "state").agg(F.sum("n").alias("n")).collect()
     counts: dict[str, np.ndarray] = {}
     for r in table:
-        counts.setdefault(r["key"], np.zeros(3))[r["state"]] = r["n"]
+        counts.setdefault(r["key"], np.zeros(STATES))[r["state"]] = r["n"]
     nodes, root = counts.pop("nodes"), counts.pop("root")
-    edge = np.array([counts.pop(f"edge={s}", np.zeros(3)) + smoothing for s in range(3)])
+    edge = np.array([counts.pop(f"edge={s}", np.zeros(STATES)) + smoothing for s in range(STATES)])
     return TreeModel(
         {k: np.log((v + smoothing) / (nodes + 2 * smoothing)) for k, v in counts.items()},
         np.log(edge / edge.sum(axis=1, keepdims=True)), np.log((root + smoothing) / (root + smoothing).sum()),

@@ -1,11 +1,11 @@
-"""Labelled training pages for the extraction model, composed from hand-labelled parts.
+"""Labelled training pages for the extraction model, composed from parts whose labels are known by construction.
 
-data-label on an element gives its state and that of its descendants, up to another label.
+data-label on an element gives its label and that of its descendants, up to another label.
 """
 
 from __future__ import annotations
 
-from itertools import cycle
+from itertools import count, cycle
 
 LABEL_ATTRIBUTE = "data-label"
 
@@ -16,99 +16,90 @@ _SENTENCES = (
     "Les habitants ont attendu toute la nuit avant de rentrer chez eux.",
     "Los vecinos abrieron las puertas y ofrecieron mantas a todos.",
     "Short answer: yes.",
-    "She kept a list of every name, every house & every boat.",
+    "She kept a list of every name, every house &amp; every boat.",
 )
 
+#: Names of elements that hold an article, and of those that hold anything else.
+_CONTENT_NAMES = (
+    "content", "article", "content", "post", "entry", "story", "main", "content", "article-body", "entry-content", "post-content", "story-body", "article-content",
+    "main-content", "post-body", "article-text", "articleBody", "page-body text", "story text", "hentry post",
+)
+_BOILER_NAMES = (
+    "menu navbar navigation nav breadcrumb breadcrumbs header masthead topbar top banner footer bottom copyright legal disclaimer sidebar side widget "
+    "complementary archive ad ads advert advertisement adsense sponsored sponsor promo promotion cookie cookies consent gdpr notice alert notification "
+    "popup modal overlay paywall subscribe subscription newsletter signup search login register form comments comment commentlist reader discussion responses "
+    "replies respond disqus share social sharing related recommended popular trending pagination pager tags meta byline toolbar"
+).split()
+_SUFFIXES = ("", "", "", "", "", "", "", "", "", "", "", "", "-box", "-bar", "-list", "-area", "-section", "-block", "-inner", "-content", "-item", "-slot", "-container", "-links", "-wrap")
+
 #: Places of an article: what opens and closes around its body.
 _PLACES = (
-    ("<article>", "</article>"),
     ("<article>", "</article>"),
     ("<main data-label=frame><article data-label=content>", "</article></main>"),
     ("<main>", "</main>"),
-    ('<main id="content" role="main">', "</main>"),
-    ('<div class="content">', "</div>"),
-    ('<div id="content"><div class="post">', "</div></div>"),
-    ('<div class="article-body" itemprop="articleBody">', "</div>"),
-    ('<div class="entry-content">', "</div>"),
-    ('<div class="post-content">', "</div>"),
-    ('<div id="main-content" class="story text">', "</div>"),
-    ('<section class="article">', "</section>"),
-    ('<div class="page-body">', "</div>"),
+    ("<div{name}>", "</div>"),
+    ("<article>", "</article>"),
+    ("<section{name}>", "</section>"),
+    ("<div{name}>", "</div>"),
+    ('<main role="main"{name}>', "</main>"),
+    ("<div{name}><div{name}>", "</div></div>"),
+    ("<article{name}>", "</article>"),
     ("<div>", "</div>"),
     ("", ""),
 )
 
-#: Parts that are not the article, on the page or within the article.
-_BOILER = (
-    "<nav><ul>{links}</ul></nav>",
-    '<nav class="menu"><a href="/">Home</a> <a href="/news">News</a></nav>',
-    '<div id="menu" class="navbar navigation"><ul>{links}</ul></div>',
-    '<div class="breadcrumbs breadcrumb"><a href="/">Home</a> &gt; <a href="/a">Area</a></div>',
-    "<header><h1>The Daily Page</h1><p>News for everyone.</p></header>",
-    "<header><h1>The Daily Page</h1></header>",
-    "<header><h1>{sentence}</h1><nav><ul>{links}</ul></nav></header>",
-    "<header><p>{sentence}</p></header>",
-    "<header><h1>Site name</h1><p>{sentence}</p></header>",
-    '<header class="site-header masthead" role="banner"><a href="/">The Daily Page</a><p>Since 1901</p></header>',
-    '<div id="header" class="topbar top"><span>The Daily Page</span> <a href="/login">Log in</a></div>',
-    "<footer>&copy; 2020 The Daily Page. All rights reserved.</footer>",
-    "<footer><p>&copy; The Daily Page &middot; {sentence}</p><a href='/terms'>Terms</a></footer>",
-    '<div id="footer" class="site-footer bottom"><p>Copyright The Daily Page.</p></div>',
-    '<div class="copyright legal disclaimer">All rights reserved. {sentence}</div>',
-    "<aside><h3>More</h3><p>{sentence}</p></aside>",
-    '<aside class="sidebar"><h2>Popular</h2><ul>{links}</ul></aside>',
-    '<div class="sidebar side-bar widget" id="sidebar"><h4>Archive</h4><p>{sentence}</p><ul>{links}</ul></div>',
-    '<div class="ad">{sentence}</div>',
-    '<div class="ad">{sentence} {sentence}</div>',
-    '<div class="ads advert advertisement"><p>{sentence} Buy now!</p></div>',
-    '<div class="sponsored sponsor promo promotion"><p>{sentence}</p><a href="/buy">Order</a></div>',
-    '<div class="banner ad-banner adsense"><a href="/buy">Half price today</a></div>',
-    '<div class="cookie-notice cookie cookies consent gdpr"><p>We use cookies. {sentence}</p><button>Accept</button></div>',
-    '<div class="notice alert notification"><p>{sentence}</p></div>',
-    '<div class="popup modal overlay" role="dialog"><p>{sentence}</p><button>Close</button></div>',
-    '<div role="alert">{sentence}</div>',
-    '<div class="paywall subscribe subscription"><p>Subscribe to read on. {sentence}</p></div>',
-    '<form action="/search"><input name="q"><button>Search</button></form>',
-    '<form class="search login signup"><label>Name <input name="n"></label><p>{sentence}</p><button>Send</button></form>',
-    '<div class="newsletter signup"><form><p>Get our letter. {sentence}</p><input name="e"></form></div>',
-    '<section id="comments" class="comments"><h3>Comments</h3><div class="comment"><p>{sentence} {sentence}</p></div><div class="comment"><p>{sentence}</p></div></section>',
-    '<div class="comments comment-list"><ol><li class="comment"><b>Ann</b> <p>{sentence} {sentence} {sentence}</p></li><li class="comment"><p>{sentence}</p></li></ol></div>',
-    '<div id="disqus-thread" class="discussion responses replies reply"><p>{sentence}</p><p>{sentence} {sentence}</p></div>',
-    '<div class="share social sharing"><a href="/f">Share</a> <a href="/t">Post</a></div>',
-    '<div class="related recommended recommendations more"><h3>Read also</h3><ul>{links}</ul></div>',
-    '<div class="pagination pager"><a href="/1">Previous</a> <a href="/2">Next</a></div>',
-    '<div class="tags meta byline"><a href="/x">politics</a> <a href="/y">water</a></div>',
-    '<menu>{links}</menu>',
-    "<dialog><p>{sentence}</p></dialog>",
-    "<button>Print</button>",
-    "<section class='comments' id='reader-comments'><h2>Comments</h2><article class='comment'><p>{sentence} {sentence}</p></article><article class='comment'><p>{sentence}</p></article></section>",
-    "<div id='sidebar'><p>{sentence}</p><p>{sentence}</p></div>",
-    "<div class='sidebar'><div class='widget'><h3>About</h3><p>{sentence} {sentence} {sentence}</p></div></div>",
-    "<div id='comments'><p>{sentence} {sentence} {sentence}</p><p>{sentence} {sentence}</p></div>",
-    "<aside><p>{sentence} {sentence} {sentence} {sentence}</p></aside>",
+#: Elements that are not the article by their tag alone.
+_BOILER_TAGS = ("nav", "header", "footer", "aside", "form", "nav", "header", "footer", "aside", "dialog", "menu", "button")
+_BOILER_INSIDE = (
+    "{sentence}",
+    "<p>{sentence}</p>",
+    "<ul>{links}</ul>",
+    "<h3>Some words</h3><p>{sentence} {sentence}</p>",
+    "{sentence} {sentence}",
+    "<p>{sentence} {sentence} {sentence}</p><p>{sentence}</p>",
+    "<h2>Words</h2><ul>{links}</ul>",
+    '<a href="/">Some words</a>',
+    "<p>{sentence}</p><button>Good</button>",
+    "<ol><li><p>{sentence} {sentence}</p></li><li><p>{sentence}</p></li></ol>",
+    '<div class="item"><p>{sentence}</p></div><div><b>Ann</b><p>{sentence} {sentence}</p></div>',
+    '<span>Some words</span> <a href="/">more</a>',
+    "<article class='comment'><p>{sentence} {sentence}</p></article><article class='comment'><p>{sentence}</p></article>",
+    "<article><p>{sentence} {sentence}</p></article>",
+    "<p>{sentence} {sentence} {sentence} {sentence} {sentence} {sentence} {sentence}</p><p>{sentence} {sentence} {sentence} {sentence}</p>",
+    "<h3>Some words</h3><div class='comment'><p>{sentence} {sentence} {sentence} {sentence} {sentence}</p></div><div class='comment'><p>{sentence} {sentence}</p></div>",
+    "<p>{sentence} {sentence} {sentence} {sentence} {sentence}</p><blockquote>{sentence}</blockquote><p>{sentence} {sentence} {sentence} {sentence} {sentence} {sentence}</p>",
+    "<h1>The Daily Page</h1><p>{sentence}</p>",
+    '<div class="logo">The Daily Page</div><p>{sentence}</p>',
+    '<label>A word <input name="q"></label><button>Send</button>',
+    "<h1>The Daily Page</h1>",
+    "<div><p>{sentence} {sentence} {sentence}</p><p>{sentence}</p></div>",
+    "&copy; 2020 The Daily Page. All rights reserved.",
 )
+_BOILER_LISTS = ("{links}", "<li>{sentence}</li><li>{sentence} {sentence}</li>", "<li><p>{sentence}</p></li><li><p>{sentence} {sentence}</p></li>")
 
 #: Pieces of an article.
 _CONTENT = (
     "<h1>{sentence}</h1>",
     "<h1>A title</h1>",
-    "<h2>Part of the story</h2>",
     "<p>{sentence}</p>",
+    "<h2>Part of the story</h2>",
     "<p>{sentence} {sentence} {sentence}</p>",
     "<p>{sentence} {sentence} {sentence} {sentence} {sentence} {sentence} {sentence}</p>",
     "<p><b>{sentence}</b></p>",
+    "<div>{sentence} {sentence} {sentence}</div>",
     "<p><b>A heading<br>",
     "<p>Word</p>",
     "<p>{sentence} <a href='/r'>a link</a> and <em>more</em> <strong>of it</strong>. {sentence}</p>",
     "<p>{sentence} <span>{sentence}</span> <i>so</i> <code>x = 1</code></p>",
     "<ul><li>{sentence}</li><li>One point</li><li>Another point</li></ul>",
+    "<div><p>{sentence} {sentence}</p></div>",
     "<ol><li>{sentence}</li><li>{sentence}</li></ol>",
     "<blockquote><p>{sentence} {sentence}</p></blockquote>",
+    "<blockquote>{sentence} {sentence}</blockquote>",
     "<pre>a = 1\nb = 2</pre>",
     "<figure><figcaption>{sentence}</figcaption></figure>",
     "<table><tr><th>Year</th><th>Level</th></tr><tr><td>1901</td><td>4.2</td></tr></table>",
-    "<div><p>{sentence} {sentence}</p></div>",
-    "<div>{sentence} {sentence} {sentence}</div>",
+    "<div>{sentence}</div>",
     "<section><h2>Next</h2><p>{sentence} {sentence}</p></section>",
     "<header><h1>{sentence}</h1></header>",
     "<h3>Later</h3>",
@@ -117,33 +108,53 @@ _CONTENT = (
 )
 
 
-def _fill(part: str, sentences, label: str | None) -> str:
+def _fill(part: str, sentences) -> str:
     while "{sentence}" in part:
         part = part.replace("{sentence}", next(sentences), 1)
-    part = part.replace("{links}", "".join(f'<li><a href="/{x}">{x}</a></li>' for x in ("news", "local sport", "weather", "about us")))
-    if label and part.startswith("<"):
-        end = min(i for i in (part.find(" "), part.find(">")) if i > 0)
-        part = f"{part[:end]} {LABEL_ATTRIBUTE}={label}{part[end:]}"
-    return part
-
-
-def labelled_pages(count: int = 240) -> list[str]:
-    """Pages that go through all places, parts and pieces, with boilerplate before, within and after the article."""
-    places, sentences = cycle(_PLACES), cycle(_SENTENCES)
-    outer, inner, pieces = cycle(_BOILER), cycle(_BOILER[15:]), cycle(_CONTENT)
-    pages = []
-    for i in range(count):
+    return part.replace("{links}", "".join(f'<li><a href="/{x}">{x}</a></li>' for x in ("news", "local sport", "weather", "about us")))
+
+
+def _labelled(part: str, label: str) -> str:
+    """The part with a label on its first element."""
+    if not part.startswith("<"):
+        return part
+    end = min(i for i in (part.find(" "), part.find(">")) if i > 0)
+    return f"{part[:end]} {LABEL_ATTRIBUTE}={label}{part[end:]}"
+
+
+def _boiler(k: int) -> str:
+    """The k-th boilerplate element: by tag alone, by a name alone, or both, around one of the insides."""
+    inside = _BOILER_INSIDE[k * 7 % len(_BOILER_INSIDE)]
+    if k % 4 == 0:
+        tag = _BOILER_TAGS[k // 4 % len(_BOILER_TAGS)]
+        return f"<{tag}>{inside}</{tag}>"
+    name = _BOILER_NAMES[k * 5 % len(_BOILER_NAMES)] + _SUFFIXES[k * 3 % len(_SUFFIXES)]
+    tag = ("div", "div", "section", "ul", "div", "aside", "div", "footer", "nav", "header")[k // 4 % 10]
+    if tag == "ul":
+        inside = _BOILER_LISTS[k % len(_BOILER_LISTS)]
+    return f'<{tag} {"id" if k % 5 == 0 else "class"}="{name}">{inside}</{tag}>'
+
+
+def labelled_pages(pages: int = 600) -> list[str]:
+    """Pages that go through all places, names, parts and pieces, with boilerplate before, within and after the article."""
+    places, sentences, pieces, number = cycle(_PLACES), cycle(_SENTENCES), cycle(_CONTENT), count()
+    names = cycle(_CONTENT_NAMES)
+    boiler = lambda: _labelled(_fill(_boiler(next(number)), sentences), "boiler")
+    out = []
+    for i in range(pages):
         opening, closing = next(places)
-        before = [_fill(next(outer), sentences, "boiler") for _ in range(i % 4)]
-        after = [_fill(next(outer), sentences, "boiler") for _ in range((i + 1) % 3 + 1)]
-        body = [_fill(next(pieces), sentences, None if opening else "content") for _ in range(4 + i % 9)]
-        for k in range((i + i // 4) % 4):
-            body.insert(len(body) - k * 3, _fill(next(inner), sentences, "boiler"))
+        while "{name}" in opening:
+            opening = opening.replace("{name}", f' {"id" if i % 4 == 0 else "class"}="{next(names)}"', 1)
+        before, after = [boiler() for _ in range(i % 4)], [boiler() for _ in range(i % 3 + 1)]
+        body = [_fill(next(pieces), sentences) for _ in range(4 + i % 9)]
         if not opening:  # a header that stands alone is the site's
-            body = [part for part in body if not part.startswith("<header")]
-        if LABEL_ATTRIBUTE not in opening:
-            opening = _fill(opening, sentences, "content")
-        wrapped = "".join(before), opening + "".join(body) + closing, "".join(after)
-        inside = '<div class="{}">{}{}{}</div>'.format(("wrapper", "container", "page", "site")[i % 4], *wrapped) if i % 2 else "".join(wrapped)
-        pages.append(f"<!DOCTYPE html><html><head><title>x</title></head><body>{inside}</body></html>")
-    return pages
+            body = [_labelled(part, "content") for part in body if not part.startswith("<header")]
+        elif LABEL_ATTRIBUTE not in opening:
+            opening = _labelled(opening, "content")
+        for k in range((i + i // 4) % 4):
+            body.insert(max(0, len(body) - k * 3), boiler())
+        whole = "".join(before) + opening + "".join(body) + closing + "".join(after)
+        if i % 2:
+            whole = f'<div class="{("wrapper", "container", "page", "site")[i // 2 % 4]}">{whole}</div>'
+        out.append(f"<!DOCTYPE html><html><head><title>x</title></head><body>{whole}</body></html>")
+    return out

@@ -36,11 +36,11 @@ def test_pages(spark, model):
 
 
 def test_marginals_are_exact(model):
-    page = H.parse(f"<body><nav><a href=x>y</a></nav><div><p>{P}</p></div></body>")
+    page = H.parse(f"<nav><a href=x>y</a></nav><div class=post><p>{P}</p></div>")
     feats = H.features(page)
     n = len(page.tags)
-    total = np.zeros((n, 3))
-    for states in itertools.product(range(3), repeat=n):
+    total = np.zeros((n, H.STATES))
+    for states in itertools.product(range(H.STATES), repeat=n):
         score = model.root[states[0]] + sum(model.node_score(f)[s] for f, s in zip(feats, states))
         score += sum(model.edge[states[page.parents[i]], states[i]] for i in range(1, n))
         for i, s in enumerate(states):
