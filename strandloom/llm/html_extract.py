@@ -34,6 +34,8 @@ STATES = 5
 SLICE = 256
 #: Amount, links and sentence ends of an element and of those around it say much the same, so each counts in part.
 TEXT_WEIGHT = 0.35
+#: What lies within a region says little of its kind, and says it over and over: that difference counts in small part.
+INNER_WEIGHT = 0.05
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style title noscript template textarea iframe svg math object select option head_title".split())
@@ -183,7 +185,7 @@ def features(page: Page) -> list[tuple]:
 
 def _keys(feature: tuple) -> list[str]:
     tag, amount, share, ends, hints = feature
-    return [f"tag={tag}" if hints else f"tag={tag}/plain", f"amount={amount}", f"links={share}", f"ends={int(ends)}", *(f"hint={h}" for h in hints)]
+    return [f"tag={tag}" if hints else f"tag={tag}/plain", f"amount={amount}", f"links={share}", f"ends={int(ends)}", *(f"hint={h}" for h in hints), *([f"names={'+'.join(hints)}"] if hints else [])]
 
 
 @dataclass
@@ -196,7 +198,10 @@ class TreeModel:
 
     def node_score(self, feature: tuple) -> np.ndarray:
         known = [k for k in map(self._known, _keys(feature)) if k]
-        return sum((self.feature_scores[k] * (TEXT_WEIGHT if k.startswith(("amount", "links", "ends")) else 1.0) for k in known), np.zeros(STATES))
+        score = sum((self.feature_scores[k] * (TEXT_WEIGHT if k.startswith(("amount", "links", "ends")) else 1.0) for k in known), np.zeros(STATES))
+        inner = score[[CONTENT, BOILER]]
+        score[[CONTENT, BOILER]] = inner.mean() + INNER_WEIGHT * (inner - inner.mean())
+        return score
 
     def _known(self, key: str) -> str | None:
         """The key itself, or for a new name the longest known one of four letters or more that it starts with."""
@@ -273,9 +278,13 @@ def fit(pages: DataFrame, *, html_col: str = "html", smoothing: float = 0.02) ->
         counts.setdefault(r["key"], np.zeros(STATES))[r["state"]] = r["n"]
     nodes, root = counts.pop("nodes"), counts.pop("root")
     edge = np.array([counts.pop(f"edge={s}", np.zeros(STATES)) + smoothing for s in range(STATES)])
+    # potentials need not be probabilities: staying within a region costs nothing, or long regions would lose by their length alone
+    edge /= edge.sum(axis=1, keepdims=True)
+    for state, inner in ((CONTENT_ROOT, CONTENT), (CONTENT, CONTENT), (BOILER_ROOT, BOILER), (BOILER, BOILER)):
+        edge[state] /= edge[state, inner]
     return TreeModel(
         {k: np.log((v + smoothing) / (nodes + 2 * smoothing)) for k, v in counts.items()},
-        np.log(edge / edge.sum(axis=1, keepdims=True)), np.log((root + smoothing) / (root + smoothing).sum()),
+        np.log(edge), np.log((root + smoothing) / (root + smoothing).sum()),
     )
 
 

@@ -71,6 +71,8 @@ _BOILER_INSIDE = (
     "<h1>The Daily Page</h1><p>{sentence}</p>",
     '<div class="logo">The Daily Page</div><p>{sentence}</p>',
     '<label>A word <input name="q"></label><button>Send</button>',
+    "<header><h3>Some words</h3></header><p>{sentence} {sentence}</p>",
+    "<table><tr><td>A word</td><td>{sentence}</td></tr></table>",
     "<h1>The Daily Page</h1>",
     "<div><p>{sentence} {sentence} {sentence}</p><p>{sentence}</p></div>",
     "&copy; 2020 The Daily Page. All rights reserved.",

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -56,3 +57,44 @@ def test_test_pages_against_their_articles(spark, model):
         inside = re.search(r"<article>(.*?)(</article>|$)", row["html"], re.DOTALL)[1]
         blocks = [" ".join(lib.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", inside)]
         assert row["text"] == "\n".join(b for b in blocks if b)
+
+
+def composed(seed):
+    """A page put together from parts that training pages do not have in this form, and its article's text."""
+    rng = random.Random(seed)
+    words = "one two river bridge stone cat anhe thntor erou inland winter bread and to of was".split()
+    sentence = lambda n=None: " ".join(rng.choice(words) for _ in range(n or rng.randint(4, 25))).capitalize() + rng.choice(".!?")
+    prose = lambda: " ".join(sentence() for _ in range(rng.randint(1, 6)))
+    links = lambda: "".join(f'<li><a href="/{i}">{rng.choice(words)} {i}</a></li>' for i in range(4))
+    outside = [
+        f'<nav class="main-menu"><ul>{links()}</ul></nav>', f'<ul class="menu">{links()}</ul>', f'<header class="site-header"><a href="/">{sentence(3)}</a><p>{sentence(5)}</p></header>',
+        f'<div id="header"><h2>{sentence(3)}</h2></div>', f"<header><h1>{sentence(2)}</h1><p>{sentence()}</p></header>", f"<footer><p>&copy; {sentence(5)}</p></footer>", f'<div class="footer"><p>{prose()}</p></div>',
+    ]
+    anywhere = [
+        f"<aside><h3>{sentence(3)}</h3><p>{prose()}</p></aside>", f'<div class="sidebar"><p>{prose()}</p><p>{prose()}</p></div>', f'<div class="cookie-notice">{sentence()}</div>', f'<div class="site-notice"><p>{prose()}</p></div>',
+        f'<div class="ad">{sentence()}</div>', f'<div class="ad-box"><a href="/b">{sentence()}</a></div>', f'<section class="promo"><p>{sentence()}</p></section>', f'<div class="sponsored-content"><p>{prose()}</p></div>',
+        f"<form><p>{prose()}</p><input></form>", f'<div class="newsletter-signup"><p>{prose()}</p></div>', f'<div id="comments"><h3>{sentence(2)}</h3><ol><li><p>{prose()}</p></li><li><p>{prose()}</p></li></ol></div>',
+        f'<section id="reader-comments"><p>{prose()}</p><p>{prose()}</p></section>', f'<ul class="commentlist"><li>{prose()}</li><li>{prose()}</li></ul>', f'<div class="related-posts"><ul>{links()}</ul></div>',
+    ]
+    title = sentence(5)
+    body, text = [f"<h1>{title}</h1>"], [title]
+    for _ in range(rng.randint(2, 60)):
+        kind, a, b = rng.randrange(8), prose(), sentence(3)
+        made, lines = {
+            0: (f"<h2>{b}</h2>", [b]), 1: (f"<ul><li>{a}</li><li>{b}</li></ul>", [a, b]), 2: (f"<blockquote>{a}</blockquote>", [a]), 3: (f"<div>{a}</div>", [a]), 4: (f"<p>{a} <b>{b}</b> <a href=/x>{b}</a></p>", [f"{a} {b} {b}"]),
+        }.get(kind, (f"<p>{a}</p>", [a]))
+        body.append(made)
+        text += lines
+        if rng.random() < 0.1:
+            body.append(rng.choice(anywhere))
+    opening, closing = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div class="story-body">', "</div>"), ('<div id="main">', "</div>")])
+    around = lambda: "".join(rng.choice(outside + anywhere) for _ in range(rng.randint(1, 3)))
+    wrap = rng.choice(["", '<div class="wrapper">', '<div id="page">'])
+    return f"<html><body>{wrap}{around()}{opening}{''.join(body)}{closing}{around()}</body></html>", "\n".join(text)
+
+
+def test_composed_pages(model):
+    made = [composed(seed) for seed in range(300)]
+    parsed = [H.parse(page) for page, _ in made]
+    right = [H.main_text(p, m) == text for p, m, (_, text) in zip(parsed, model.marginals(parsed), made)]
+    assert sum(right) >= 0.98 * len(right)
