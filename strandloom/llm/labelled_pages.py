@@ -31,6 +31,7 @@ _BOILER_NAMES = (
     "replies respond disqus share social sharing related recommended popular trending pagination pager tags meta byline toolbar"
 ).split()
 _SUFFIXES = ("", "", "", "", "", "", "", "", "", "", "", "", "-box", "-bar", "-list", "-area", "-section", "-block", "-inner", "-content", "-item", "-slot", "-container", "-links", "-wrap")
+_PREFIXES = ("", "", "", "", "site-", "", "", "", "page-", "", "", "", "main-")
 
 #: Places of an article: what opens and closes around its body.
 _PLACES = (
@@ -130,7 +131,7 @@ def _boiler(k: int) -> str:
     if k % 4 == 0:
         tag = _BOILER_TAGS[k // 4 % len(_BOILER_TAGS)]
         return f"<{tag}>{inside}</{tag}>"
-    name = _BOILER_NAMES[k * 5 % len(_BOILER_NAMES)] + _SUFFIXES[k * 3 % len(_SUFFIXES)]
+    name = _PREFIXES[k * 3 % len(_PREFIXES)] + _BOILER_NAMES[k * 5 % len(_BOILER_NAMES)] + _SUFFIXES[k * 3 % len(_SUFFIXES)]
     tag = ("div", "div", "section", "ul", "div", "aside", "div", "footer", "nav", "header")[k // 4 % 10]
     if tag == "ul":
         inside = _BOILER_LISTS[k % len(_BOILER_LISTS)]
