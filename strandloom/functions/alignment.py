@@ -1,7 +1,9 @@
 """Local alignment with a linear gap penalty.
 
 The row recurrence H[j] = max(0, diagonal + s, up - g, left - g) is swept a row at a time for a whole block of
-targets: E[j] is the best without `left`, and since a run of left steps costs g each, H = cummax(E + g j) - g j.
+targets. A run of left steps costs g each, so with G[j] = H[j] + g j the row is a running maximum: of
+G'[j - 1] + s + g, G'[j] - g and g j, where G' is the row before. Targets lie side by side, so every step is a plain
+vector operation, in 16 bits where no score can leave them.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import types as T
 from strandloom.functions.alphabet import Scores, encode, matrix32
 
 GAP = 10
-_NEVER = -(1 << 20)
+BLOCK_CELLS = 1 << 17
 
 ALIGNMENT = T.StructType([
     T.StructField("score", T.IntegerType()), T.StructField("aligned_a", T.StringType()), T.StructField("aligned_b", T.StringType()),
@@ -28,29 +30,38 @@ ALIGNMENT = T.StructType([
 
 def batch_scores(query: np.ndarray, targets: Sequence[np.ndarray], matrix: np.ndarray, gap: int = GAP) -> np.ndarray:
     """Best local score of the query with each target. Targets of like length waste least: they share a padded block."""
-    if not len(targets):
-        return np.zeros(0, np.int32)
-    width = max(map(len, targets))
-    best = np.zeros(len(targets), np.int32)
+    out = np.zeros(len(targets), np.int32)
+    width = max(map(len, targets), default=0)
     if not width or not len(query):
-        return best
-    block = np.full((len(targets), width), 32, np.uint8)  # column 32: padding that no path crosses
+        return out
+    side = max(1, BLOCK_CELLS // width)
+    for i in range(0, len(targets), side):
+        out[i : i + side] = _block_scores(query, targets[i : i + side], width, matrix, gap)
+    return out
+
+
+def _block_scores(query: np.ndarray, targets: Sequence[np.ndarray], width: int, matrix: np.ndarray, gap: int) -> np.ndarray:
+    most = (width + 1) * gap + min(len(query), width) * int(matrix.max()) + int(matrix.max()) + gap
+    kind, never = (np.int16, -8000) if most < 30_000 and matrix.min() > -8000 else (np.int32, -(1 << 20))
+    block = np.full((width, len(targets)), 32, np.uint8)  # column 32: padding that no path crosses
     for i, target in enumerate(targets):
-        block[i, : len(target)] = target
-    wide = np.full((32, 33), _NEVER, np.int32)
-    wide[:, :32] = matrix
-    steps = (np.arange(width, dtype=np.int32) * gap)[None]
-    above = np.zeros((len(targets), width + 1), np.int32)
-    for residue in query:
-        row = above[:, :-1] + wide[residue][block]
-        np.maximum(row, above[:, 1:] - gap, out=row)
-        np.maximum(row, 0, out=row)
-        row += steps
-        np.maximum.accumulate(row, axis=1, out=row)
-        row -= steps
-        above[:, 1:] = row
-        np.maximum(best, row.max(axis=1), out=best)
-    return best
+        block[: len(target), i] = target
+    wide = np.full((32, 33), never, kind)
+    wide[:, :32] = matrix + gap
+    scored = {int(r): wide[r][block] for r in np.unique(query)}
+    steps = (np.arange(1, width + 1) * gap).astype(kind)[:, None]
+    row, up = np.empty((width, len(targets)), kind), np.empty((width, len(targets)), kind)
+    above = np.zeros((width + 1, len(targets)), kind)
+    above[1:] = steps
+    best = above[1:].copy()
+    for residue in query.tolist():
+        np.add(above[:-1], scored[residue], out=row)
+        np.subtract(above[1:], kind(gap), out=up)
+        np.maximum(row, up, out=row)
+        np.maximum(row, steps, out=row)
+        np.maximum.accumulate(row, axis=0, out=above[1:])
+        np.maximum(best, above[1:], out=best)
+    return (best - steps).max(axis=0)
 
 
 def align(a: str, b: str, matrix: np.ndarray, gap: int = GAP) -> tuple | None:

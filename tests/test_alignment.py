@@ -93,3 +93,9 @@ def test_lines_and_identity(spark):
 def test_sql_functions(spark):
     alignment.register(spark)
     assert spark.sql(f"SELECT sw_score('{A}', '{B}') AS s").first()["s"] == 98
+
+
+def test_scores_beyond_sixteen_bits():
+    a, b = "W" * 2100, "W" * 2000 + "A" * 50
+    scores = alignment.batch_scores(encode(a), [encode(b), encode("WW"), encode("")], matrix32())
+    assert scores.tolist() == [17 * 2000, 34, 0]
