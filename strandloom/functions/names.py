@@ -23,14 +23,14 @@ def among(words: list[str]):
     return lambda w: w.isin(words)
 
 
+#: Of several suffixes that a word ends with, the one tried first is also the longest that leaves enough, but for
+#: `ness`, before which `s` is always taken; so one expression that takes the shortest stem says the same.
+_STEM = rf"^(.{{{STEM_LENGTH + 1},}}?)(?:{'|'.join(s for s in SUFFIXES if s != 'ness')})$"
+
+
 def simple_stem(word: Column) -> Column:
-    """The word without the first suffix that leaves more than STEM_LENGTH letters, lower-cased."""
-    word = F.lower(word)
-    out = F.when(F.lit(False), word)
-    for suffix in SUFFIXES:
-        fits = (F.length(word) > len(suffix) + STEM_LENGTH) & word.endswith(suffix)
-        out = out.when(fits, F.substring(word, F.lit(1), F.length(word) - len(suffix)))
-    return out.otherwise(word)
+    """A lower-case word without the first suffix that leaves more than STEM_LENGTH letters."""
+    return F.regexp_replace(word, _STEM, "$1")
 
 
 def meaningful_tokens(name: Column, min_length: int = STEM_LENGTH) -> Column:
@@ -41,8 +41,9 @@ def meaningful_tokens(name: Column, min_length: int = STEM_LENGTH) -> Column:
     """
     name = F.regexp_replace(name, r";\s*[^;]+$", "")
     name = F.regexp_replace(F.regexp_replace(name, r"\{[^}]*\}", ""), r"\([^)]*\)", "")
-    words = F.regexp_extract_all(F.lower(name), F.lit(r"([a-z0-9]+)"), F.lit(1))
-    telling = F.filter(words, lambda w: ~w.rlike("^[0-9]+$") & (F.length(w) >= 3) & ~w.isin(STOPWORDS))
+    # stems are never longer than their words, so shorter runs need not be looked at
+    words = F.regexp_extract_all(F.lower(name), F.lit(f"([a-z0-9]{{{max(3, min_length)},}})"), F.lit(1))
+    telling = F.filter(words, lambda w: ~w.isin(STOPWORDS) & ~w.rlike("^[0-9]+$"))
     return F.filter(F.transform(telling, simple_stem), lambda w: F.length(w) >= min_length)
 
 

@@ -46,7 +46,10 @@ def record_filter(
 
 def phase0(name1: Column, name2: Column) -> Column:
     """toxins, uncharacterized or similar names, whichever holds first; else null."""
-    a, b = F.lower(name1), F.lower(name2)
+    return _phase0(F.lower(name1), F.lower(name2))
+
+
+def _phase0(a: Column, b: Column) -> Column:
     either = lambda word: F.contains(a, F.lit(word)) | F.contains(b, F.lit(word))
     start = lambda x: F.substring(x, 1, PREFIX_LENGTH)
     return (
@@ -59,7 +62,7 @@ def phase0(name1: Column, name2: Column) -> Column:
 def phase1(name1: Column, name2: Column) -> Column:
     """Stems that both names have, sorted and joined; null if none."""
     common = names.shared(names.meaningful_tokens(name1), names.meaningful_tokens(name2))
-    return F.when(F.size(common) > 0, F.array_join(common, ", "))
+    return F.nullif(F.array_join(common, ", "), F.lit(""))
 
 
 def phase2(r1: Column, r2: Column) -> Column:
@@ -89,7 +92,7 @@ def explain(finds: DataFrame, records: DataFrame | None = None) -> DataFrame:
     finds has name1 and name2, and with records (accession, xrefs, description, comments, features) id1 and id2.
     Records join from the left, so an unknown id only leaves its pair unexplained.
     """
-    zero, one = phase0(F.col("name1"), F.col("name2")), phase1(F.col("name1"), F.col("name2"))
+    zero, one = _phase0(F.col("_lower1"), F.col("_lower2")), phase1(F.col("name1"), F.col("name2"))
     two = F.lit(None).cast("string")
     out = finds
     if records is not None:
@@ -97,7 +100,7 @@ def explain(finds: DataFrame, records: DataFrame | None = None) -> DataFrame:
         for i in "12":
             out = out.join(records.select(F.col("accession").alias(f"id{i}"), packed.alias(f"_r{i}")), f"id{i}", "left")
         two = phase2(F.col("_r1"), F.col("_r2"))
-    out = out.withColumn("_zero", zero).withColumn("_one", one).withColumn("_two", two)
+    out = out.withColumns({f"_lower{i}": F.lower(f"name{i}") for i in "12"}).withColumn("_zero", zero).withColumn("_one", one).withColumn("_two", two)
     phase = F.when(F.col("_zero").isNotNull(), 0).when(F.col("_one").isNotNull(), 1).when(F.col("_two").isNotNull(), 2)
     return out.select(*finds.columns, phase.alias("phase"), F.coalesce("_zero", "_one", "_two").alias("reason"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import names
 from strandloom.functions.names import STEM_LENGTH, STOPWORDS, SUFFIXES
 from strandloom.operators import annotation
-from strandloom.session import table
+from strandloom.session import spread, table
 
 BRANDS = ["brand#2", "brand#7"]
 
@@ -44,7 +44,7 @@ def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Meaningful tokens of every document: how many, how many different, and the first by name."""
     tokens = names.meaningful_tokens(F.coalesce("text", F.lit("")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", tokens.alias("tokens"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tokens.alias("tokens"))
     return docs.select("doc_id", F.size("tokens").cast("long").alias("n"), F.size(F.array_distinct("tokens")).cast("long").alias("kinds"), F.array_min("tokens").alias("first"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import alignment, bias
 from strandloom.functions.alphabet import CHEMICAL_ORDER, letters_only, matrix32
 from strandloom.operators import integrity, ordering, patterns, similarity
-from strandloom.session import table
+from strandloom.session import spread, table
 from strandloom.sources.sequences import first_containing, subsequence
 
 THRESHOLD = 30
@@ -112,7 +112,7 @@ SELECT *, round(100.0 * len(replace(match_line, '.', '')) / len(match_line), 6)
 def bias_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters, entropy and commonest letter of every document's whole text; counted without taking texts apart."""
     counts = patterns.letter_counts(F.lower(F.coalesce("text", F.lit(""))))
-    counted = table(spark, sf_dir, "documents").select("doc_id", F.array(*[F.struct(n.cast("long").alias("n"), F.lit(c).alias("c")) for c, n in counts.items()]).alias("k"))
+    counted = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.array(*[F.struct(n.cast("long").alias("n"), F.lit(c).alias("c")) for c, n in counts.items()]).alias("k"))
     total = F.aggregate("k", F.lit(0).cast("long"), lambda acc, s: acc + s["n"])
     present = F.filter("k", lambda s: s["n"] > 0)
     bits = bias.entropy(F.transform(present, lambda s: s["n"]), total)
@@ -127,7 +127,7 @@ WITH letters AS (
 ), present AS (SELECT * FROM letters WHERE n > 0),
 totals AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS letters, count(*) AS kinds FROM present GROUP BY doc_id),
 found AS (
-  SELECT p.doc_id, letters, kinds, round(-sum(n / letters * log2(n / letters)), 6) AS entropy, arg_min(c, (-n, c)) AS top_letter, max(n) AS top_count
+  SELECT p.doc_id, letters, kinds, round(0.0 - sum(n / letters * log2(n / letters)), 6) AS entropy, arg_min(c, (-n, c)) AS top_letter, max(n) AS top_count
   FROM present p JOIN totals t ON p.doc_id = t.doc_id GROUP BY ALL
 )
 SELECT d.doc_id, coalesce(letters, 0) AS letters, coalesce(kinds, 0) AS kinds, coalesce(entropy, 0.0) AS entropy, top_letter, top_count

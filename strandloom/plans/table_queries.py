@@ -29,14 +29,16 @@ def nation_lineages(spark: SparkSession, sf_dir: str, key: str, lineage: str) ->
 def lineage_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traded parts by the class of customer's and supplier's nations: how many of each category, priority and reason."""
     t = lambda name: table(spark, sf_dir, name)
+    text = F.concat_ws(" ", "p_name", F.when(F.col("p_size") < 10, "histone"))
+    parts = t("part").select("p_partkey", taxonomy.is_housekeeping(text, F.col("p_type")).alias("dull"))
     lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    lines = lines.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    lines = lines.join(nation_lineages(spark, sf_dir, "c_nationkey", "la"), "c_nationkey").join(nation_lineages(spark, sf_dir, "s_nationkey", "lb"), "s_nationkey")
+    lines = lines.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    counted = lines.groupBy("c_nationkey", "s_nationkey", "dull").agg(F.count("*").alias("n"))  # before anything is said of a pair
+    pairs = counted.join(nation_lineages(spark, sf_dir, "c_nationkey", "la"), "c_nationkey").join(nation_lineages(spark, sf_dir, "s_nationkey", "lb"), "s_nationkey")
     lca = taxonomy.common_ancestor(F.col("la"), F.col("lb"))
     rank = F.when(lca >= 1000, "species").when(lca >= 100, "phylum").when(lca == 0, "superkingdom")
-    text = F.concat_ws(" ", "p_name", F.when(F.col("p_size") < 10, "histone"))
-    found = lines.select(taxonomy.classify(rank, taxonomy.is_housekeeping(text, F.col("p_type"))).alias("c"))
-    return found.groupBy(F.col("c.category").alias("category"), F.col("c.priority").cast("long").alias("priority"), F.col("c.reason").alias("reason")).agg(F.count("*").alias("n"))
+    found = pairs.select(taxonomy.classify(rank, F.col("dull")).alias("c"), "n")
+    return found.groupBy(F.col("c.category").alias("category"), F.col("c.priority").cast("long").alias("priority"), F.col("c.reason").alias("reason")).agg(F.sum("n").alias("n"))
 
 
 LINEAGE_LCA = f"""

@@ -16,6 +16,7 @@ def one(spark, column, **values):
 def test_stems_need_more_than_eight_letters(spark, suffix):
     short, long = "abcdefgh" + suffix, "abcdefghi" + suffix
     got = [one(spark, names.simple_stem(F.col("w")), w=w) for w in (short, long)]
+    assert one(spark, names.simple_stem(F.col("w")), w="abcdefghij" + "ases") == "abcdefghij"
     first = [next((w[: -len(s)] for s in names.SUFFIXES if len(w) > len(s) + 8 and w.endswith(s)), w) for w in (short, long)]
     assert got == first and got[1] != long
 
