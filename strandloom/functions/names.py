@@ -19,10 +19,6 @@ NAME_TOKEN_LENGTH = 4
 NAME_TOTAL_CHARS = 10
 
 
-def among(words: list[str]):
-    return lambda w: w.isin(words)
-
-
 #: Of several suffixes that a word ends with, the one tried first is also the longest that leaves enough, but for
 #: `ness`, before which `s` is always taken; so one expression that takes the shortest stem says the same.
 _STEM = rf"^(.{{{STEM_LENGTH + 1},}}?)(?:{'|'.join(s for s in SUFFIXES if s != 'ness')})$"
