@@ -79,6 +79,18 @@ def near_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.ring_bonds(bonds.select("i", "j"))
 
 
+# steps from one end of a bond to the other without it; the fewest, and the bond, make its smallest ring
+NEAR_RINGS = f"""
+WITH RECURSIVE bonds AS (SELECT i, j FROM ({NEAR_POINTS})),
+sides AS (SELECT i AS x, j AS y FROM bonds UNION ALL SELECT j, i FROM bonds),
+walk AS (
+  SELECT i, j, i AS here, 0 AS steps FROM bonds
+  UNION
+  SELECT walk.i, walk.j, y, steps + 1 FROM walk JOIN sides ON x = here WHERE steps < 5 AND here <> walk.j AND NOT (here = walk.i AND y = walk.j)
+)
+SELECT i, j, CAST(min(steps) + 1 AS INT) AS ring_size FROM walk WHERE here = j GROUP BY i, j HAVING min(steps) + 1 IN (5, 6)"""
+
+
 def point_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda at: F.array(*[F.col("embedding")[at + i].cast("double") for i in range(3)])
     return table(spark, sf_dir, "embeddings").select("label", part(0).alias("a"), part(3).alias("b"))
@@ -298,7 +310,7 @@ QUERIES = {
     "record_json": record_json, "resumed_links": resumed_links, "first_page": first_page,
 }
 ORACLES = {
-    "lineage_lca": LINEAGE_LCA, "near_points": NEAR_POINTS, "kabsch_sums": KABSCH_SUMS, "centred_labels": CENTRED_LABELS, "smooth_events": SMOOTH_EVENTS,
+    "lineage_lca": LINEAGE_LCA, "near_points": NEAR_POINTS, "near_rings": NEAR_RINGS, "kabsch_sums": KABSCH_SUMS, "centred_labels": CENTRED_LABELS, "smooth_events": SMOOTH_EVENTS,
     "integrity_zip": INTEGRITY_ZIP, "last_events": LAST_EVENTS, "log_categories": LOG_CATEGORIES, "log_stream": LOG_STREAM, "stream_sums": STREAM_SUMS,
     "windowed_events": WINDOWED_EVENTS, "event_sessions": EVENT_SESSIONS, "ship_overlaps": SHIP_OVERLAPS, "scalar_formats": SCALAR_FORMATS,
     "record_json": RECORD_JSON, "resumed_links": RESUMED_LINKS, "first_page": FIRST_PAGE,
