@@ -50,8 +50,8 @@ def work_left(lengths: DataFrame, id_col: str, length_col: str) -> DataFrame:
     order = [F.desc(length_col), F.asc(id_col)]
     rows = lengths.select(F.col(id_col), F.col(length_col).cast("long").alias(length_col))
     run = numbered(rows, order, {"upto": F.col(length_col)}, rank="place")
-    total = rows.agg(F.sum(length_col).alias("total"))
-    cells = run.join(F.broadcast(total), F.lit(True)).withColumn("cells", F.col(length_col) * (F.col("total") - F.col("upto") + F.col(length_col)))
+    total = rows.agg(F.sum(length_col)).first()[0] or 0
+    cells = run.withColumn("cells", F.col(length_col) * (total - F.col("upto") + F.col(length_col)))
     done = numbered(cells.select(id_col, length_col, "cells"), order, {"done": F.col("cells")}, rank="place")
-    all_cells = cells.agg(F.sum("cells").alias("all_cells"))
-    return done.join(F.broadcast(all_cells), F.lit(True)).select(id_col, length_col, (F.col("all_cells") - F.col("done") + F.col("cells")).alias("cells_left"))
+    all_cells = cells.agg(F.sum("cells")).first()[0] or 0
+    return done.select(id_col, length_col, (all_cells - F.col("done") + F.col("cells")).alias("cells_left"))
