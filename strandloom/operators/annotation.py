@@ -123,3 +123,10 @@ def split_biased(unexplained: DataFrame, sequences: DataFrame, threshold: float
 def reason_counts(explained: DataFrame) -> DataFrame:
     """(phase, reason, n) with totals for each phase and overall: phase and reason null where summed up."""
     return explained.rollup("phase", "reason").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+
+
+def reason_lines(explained: DataFrame) -> DataFrame:
+    """(reason, n, line): each reason's line of a report; reports list short reasons first, then by name."""
+    counts = explained.filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+    padded = F.when(F.length("reason") < 40, F.rpad("reason", 40, " ")).otherwise(F.col("reason"))
+    return counts.select("reason", "n", F.concat(padded, F.lit(" : "), F.lpad(F.col("n").cast("string"), 6, " ")).alias("line")).orderBy(F.length("reason"), "reason")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import names
-from strandloom.functions.formats import iso_date
+from strandloom.functions.formats import iso_date, overlaps
 from strandloom.operators.ordering import numbered
 
 
@@ -75,6 +75,28 @@ def read_flatfile(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("length", F.length("sequence"))
 
 
+SHORT_NOTE = 50
+
+
+def feature_table(features: Column, first: Column, last: Column) -> Column:
+    """Features (array of struct type, start, end, note, id) that meet the residues first to last, 0-based, as FT lines.
+
+    Starts and ends are 1-based. A note under SHORT_NOTE letters stands behind its place, other qualifiers on lines of
+    their own; without a feature the text is empty.
+    """
+    met = F.filter(features, lambda f: overlaps(f["start"] - 1, f["end"] - 1, first, last))
+
+    def lines(f: Column) -> Column:
+        place = F.concat(F.lit("FT   "), F.rpad(f["type"], 15, " "), F.lit(" "), f["start"].cast("string"), F.lit(".."), f["end"].cast("string"))
+        said = lambda name: F.concat(F.lit(f'/{name}="'), f[name], F.lit('"'))
+        own_line = lambda text: F.concat(F.lit("\nFT" + " " * 19), text)
+        note = F.when(F.length(f["note"]) < SHORT_NOTE, F.concat(F.lit(" "), said("note"))).otherwise(own_line(said("note")))
+        return F.concat(place, F.coalesce(note, F.lit("")), F.coalesce(own_line(said("id")), F.lit("")))
+
+    table = F.array_join(F.transform(met, lines), "\n")
+    return F.when(F.size(met) > 0, F.concat(F.lit("FT   Key             Location/Qualifiers\n"), table)).otherwise("")
+
+
 def summaries(records: DataFrame) -> DataFrame:
     """name, id, entry and length of annotated records."""
     return records.select(names.recommended_name(F.col("description"), F.col("organism")).alias("name"), F.col("accession").alias("id"), F.col("entry_name").alias("entry"), "length")

@@ -36,6 +36,7 @@ def test_phases(spark):
     frame = spark.createDataFrame([(i, a, b) for i, (a, b, _, _) in enumerate(rows)], "i int, name1 string, name2 string")
     got = annotation.explain(frame).orderBy("i").collect()
     assert [(r["phase"], r["reason"]) for r in got] == [(p, r) for _, _, p, r in rows]
+    assert [r["line"] for r in annotation.reason_lines(annotation.explain(frame)).collect()][0] == "toxins" + " " * 34 + " :      2"
     counts = {(r["phase"], r["reason"], r["level"]): r["n"] for r in annotation.reason_counts(annotation.explain(frame)).collect()}
     assert counts[None, None, 3] == len(rows) and counts[0, None, 1] == 5 and counts[0, "uncharacterized", 0] == 2
 

@@ -75,6 +75,9 @@ def test_flatfile(spark, put):
     assert (one["created"], one["sequence_update"], one["annotation_update"]) == ("2004-07-05", "1990-01-01", "2024-01-24")
     assert one["protein_existence"] == 1 and one["sequence"] == "MKVLLAAAAAKK" and one["length"] == 12 and one["keywords"] == ["Repeat", "Signal"]
     assert (two["sequence"], two["comments"], two["xrefs"], two["created"]) == ("ACD", [], [], None)
+    shown = lambda a, b: frame.filter("accession = 'P1'").select(sequences.feature_table(F.col("features"), F.lit(a), F.lit(b)).alias("t")).first()["t"]
+    assert shown(0, 3).split("\n") == ["FT   Key             Location/Qualifiers", 'FT   DOMAIN          2..9 /note="Kelch"', "FT" + " " * 19 + '/id="D1"']
+    assert shown(6, 6).count("\n") == 3 and shown(10, 11) == ""
     names = {r["id"]: r["name"] for r in sequences.summaries(frame).collect()}
     assert names == {"P1": "Alpha protein; Homo sapiens (Human)", "P2": "NAME MISSING"}
     assert '"db":"GO"' in sequences.to_json(frame).filter("accession = 'P1'").first()["json"]
