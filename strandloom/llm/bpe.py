@@ -68,12 +68,18 @@ def _key(chunk: pa.Table) -> int:
     """A 63-bit hash of the chunk's ids and texts in order."""
     digest = xxhash.xxh3_64(seed=7)
     for name in chunk.column_names:
-        for x in chunk.column(name).to_pylist():
+        for x in _values(chunk.column(name)):
             raw = b"\x00" if x is None else b"\x01" + str(x).encode()
             digest.update(len(raw).to_bytes(8, "little") + raw)
     return digest.intdigest() >> 1
 
 
+def _values(column: pa.ChunkedArray) -> Iterator:
+    """A column's values, of which a few hundred are Python objects at a time."""
+    for i in range(0, len(column), 256):
+        yield from column.slice(i, 256).to_pylist()
+
+
 def _pack(chunk: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))
@@ -97,10 +103,11 @@ def _encoded(
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             distinct: set[str] = set()
-            for text in chunk.column("text").to_pylist():
+            for text in _values(chunk.column("text")):
                 if text:
                     distinct.update(split_words(text))
             key, ordered = _key(chunk), sorted(distinct)
+            del distinct
             for i in range(0, len(ordered), 50_000):  # sorted words and their numbers compress well on the way
                 part = ordered[i : i + 50_000]
                 columns = [pa.array(part, pa.string()), pa.array(np.full(len(part), key)), pa.array(np.arange(i, i + len(part), dtype=np.int32))]
@@ -137,21 +144,22 @@ def _encoded(
             chunk = pa.ipc.open_stream(blob).read_all().combine_chunks()
             seen: dict[str, int] = {}  # words in the order in which they come
             places = []
-            for i in range(0, chunk.num_rows, 256):
-                for text in chunk.column("text").slice(i, 256).to_pylist():
-                    places.append(np.array([seen.setdefault(w, len(seen)) for w in split_words(text)] if text else [], np.int32))
+            for text in _values(chunk.column("text")):
+                places.append(np.array([seen.setdefault(w, len(seen)) for w in split_words(text)] if text else [], np.int32))
             if len(seen) > size:
                 raise RuntimeError("the input changed between two readings; checkpoint it before encoding")
             number = np.empty(len(seen), np.int64)
             number[np.fromiter((seen[w] for w in sorted(seen)), np.int64, len(seen))] = np.arange(len(seen))
-            del seen
-            for i in range(0, chunk.num_rows, 256):
+            doc_ids = chunk.column("id")
+            del seen, chunk  # neither words nor texts are needed any more
+            for i in range(0, len(doc_ids), 256):
                 at = number[np.concatenate(places[i : i + 256])]
                 lengths = length[at]
                 before = np.concatenate(([0], np.cumsum(lengths)))
                 ids = flat[np.repeat(start[at] - before[:-1], lengths) + np.arange(before[-1])].astype("<u4")
                 ends = before[np.cumsum([len(x) for x in places[i : i + 256]])]
-                made.append(make(chunk.column("id").slice(i, 256).combine_chunks(), np.split(ids, ends[:-1])))
+                made.append(make(doc_ids.slice(i, 256).combine_chunks(), np.split(ids, ends[:-1])))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(made)
 
     dealt = source.mapInArrow(words_of, "word string, chunk long, number int").repartition("word").sortWithinPartitions("word")

@@ -7,6 +7,7 @@ Python worker; none is shipped, copied or trained.
 from __future__ import annotations
 
 import base64
+import os
 from functools import lru_cache
 
 import public_tokenizers
@@ -21,6 +22,7 @@ END_OF_TEXT_ID = 50256
 @lru_cache(maxsize=4)
 def tokenizer(name: str = BYTE_BPE, added: tuple[str, ...] = ()) -> Tokenizer:
     """The tokenizers form, without truncation or padding; added strings become special tokens after the vocabulary."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; Spark runs them side by side
     found = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
     found.no_truncation()
     found.no_padding()
