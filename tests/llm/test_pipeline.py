@@ -29,7 +29,8 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert {r["doc_id"] for r in docs.collect()} == want and docs.count() == len(want) and docs.columns == given.columns
         assert 0.5 * len(kept) < len(want) <= len(kept)
         kept = want
-    assert corpus_pipeline.run(spark, SF).count() == docs.count()
+    # windows depend on how documents are dealt out, what they hold does not
+    check(corpus_pipeline.run(spark, SF).collect(), [(i, rows[i]["text"]) for i in kept])
 
 
 def test_odd_rows_go_through(spark, odd_documents, no_documents, tmp_path):
