@@ -38,7 +38,9 @@ TEXT_WEIGHT = 0.35
 INNER_WEIGHT = 0.05
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style title noscript template textarea iframe svg math object select option head_title".split())
+#: Elements whose inside is raw text up to their end tag or, without one, the page's end.
+RAW_TEXT = frozenset("script style title textarea".split())
+DROPPED = RAW_TEXT | frozenset("noscript template iframe svg math object select option".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -107,8 +109,7 @@ def parse(source: str | None) -> Page:
             continue
         attrs = found["attrs"]
         if tag in DROPPED and not attrs.endswith("/"):
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
-            at = end.end() if end else n
+            at = _raw_end(source, tag, at) if tag in RAW_TEXT else _dropped_end(source, tag, at, [page.tags[node] for node in stack[1:]])
             continue
         if tag in CLOSES_P and open_p:
             depth = max(i for i, node in enumerate(stack) if page.tags[node] == "p")
@@ -140,6 +141,42 @@ def parse(source: str | None) -> Page:
     return page
 
 
+def _raw_end(source: str, tag: str, at: int) -> int:
+    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
+    return end.end() if end else len(source)
+
+
+def _dropped_end(source: str, dropped: str, at: int, around: list[str]) -> int:
+    """Where what follows a dropped element begins: past its own end tag, or at the end tag of an element around it.
+
+    An option also ends where the next option or a block begins.
+    """
+    inner, opened = [dropped], Counter([dropped])
+    outer = set(around)
+    while found := _TOKEN.search(source, at):
+        at = found.end()
+        if found["tag"] is None:
+            continue
+        tag = found["tag"].lower()
+        if found["end"]:
+            if opened[tag]:
+                while (last := inner.pop()) != tag:
+                    opened[last] -= 1
+                opened[tag] -= 1
+                if not inner:
+                    return at
+            elif tag in outer:
+                return found.start()
+        elif dropped == "option" and (tag in CLOSES_P or tag in ("option", "optgroup")):
+            return found.start()
+        elif not found["attrs"].endswith("/") and tag in RAW_TEXT:
+            at = _raw_end(source, tag, at)
+        elif not found["attrs"].endswith("/") and tag not in VOID:
+            inner.append(tag)
+            opened[tag] += 1
+    return len(source)
+
+
 def _attributes(attrs: str) -> tuple[tuple[str, ...], int | None]:
     hints: set[str] = set()
     label = None
