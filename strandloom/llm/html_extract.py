@@ -71,8 +71,8 @@ class Page:
     texts: list[tuple[int, int, str]] = field(default_factory=list)  # node, block, decoded text
 
 
-def parse(source: str | None) -> Page:
-    """The elements and texts of a page; tolerant of unclosed, misnested and cut-off markup."""
+def parse(source: str | None, labelled: bool = False) -> Page:
+    """The elements and texts of a page; tolerant of unclosed, misnested and cut-off markup. Only labelled pages' labels are read."""
     page = Page()
     if not source:
         return page
@@ -128,7 +128,7 @@ def parse(source: str | None) -> Page:
             page.texts.append((stack[-1], block, " "))
         if tag in VOID:
             continue
-        hints, label = _attributes(attrs) if attrs.strip() else ((), None)
+        hints, label = _attributes(attrs, labelled) if attrs.strip() else ((), None)
         parent = stack[-1]
         page.tags.append(tag)
         page.parents.append(parent)
@@ -177,13 +177,13 @@ def _dropped_end(source: str, dropped: str, at: int, around: list[str]) -> int:
     return len(source)
 
 
-def _attributes(attrs: str) -> tuple[tuple[str, ...], int | None]:
+def _attributes(attrs: str, labelled: bool) -> tuple[tuple[str, ...], int | None]:
     hints: set[str] = set()
     label = None
     for name, *values in _ATTRIBUTE.findall(attrs):
         value = next((v for v in values if v), "").lower()
         if name.lower() == LABEL_ATTRIBUTE:
-            label = LABELS.index(value)
+            label = LABELS.index(value) if labelled and value in LABELS else label
         else:
             hints.update(x for x in _HINT.findall(value) if len(x) > 1)
     return tuple(sorted(hints)), label
@@ -299,7 +299,7 @@ def fit(pages: DataFrame, *, html_col: str = "html", smoothing: float = 0.02) ->
         for batch in batches:
             found: Counter = Counter()
             for source in batch.column(0).to_pylist():
-                page = parse(source)
+                page = parse(source, labelled=True)
                 labelled = states(page)
                 for feature, state, parent in zip(features(page), labelled, page.parents):
                     found["root" if parent < 0 else f"edge={labelled[parent]}", state] += 1

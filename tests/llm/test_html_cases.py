@@ -28,3 +28,17 @@ def test_raw_text_without_end_goes_to_the_end():
 def test_many_options(spark):
     source = "<div>" * 200 + "<option>a" * 20_000 + "<template><b>" * 5000 + f"</i></div><p>{P}</p>"
     assert text_of(source) == P
+
+
+@pytest.mark.parametrize("value", ["Price", "content", "boiler", "frame", ""])
+def test_labels_of_extracted_pages_do_nothing(spark, value):
+    model = H.default_model(spark)
+    page = '<article><h1>T</h1><p>{}</p><table><tr><td{}>4.2</td></tr></table></article>'
+    given = [(0, "u", page.format(P, f' data-label="{value}"')), (1, "u", page.format(P, ""))]
+    a, b = (r["text"] for r in H.extract(spark.createDataFrame(given, "page_id long, url string, html string"), model).orderBy("page_id").collect())
+    assert a == b and P in a
+
+
+def test_unknown_labels_of_labelled_pages_are_ignored():
+    labels = H.parse("<p data-label=content><b data-label=Price>x</b></p><div data-label=boiler>", labelled=True).labels
+    assert labels == [0, 1, 1, 2] and H.parse("<p data-label=content>").labels == [0, 0]
