@@ -36,6 +36,7 @@ RULES: dict[str, tuple[float, ...]] = {
     "long_words": tuple(float(30 - i) for i in range(23)),
     "short_words": tuple(round(1 / (1.5 + 0.1 * i), 4) for i in range(25)),
 }
+STEPS = max(map(len, RULES.values()))
 
 
 def measure(text: str | None) -> tuple[int, int, int, int, int]:
@@ -119,9 +120,10 @@ def _binomial_cdf(k: int, n: int, p: float) -> float:
 
 @dataclass
 class QualityModel:
-    """Cutoff of each stratum and rule; a rule without one is off there."""
+    """Cutoff of each stratum and rule; a rule without one is off there. Labelled strata without any are in `unproven`."""
 
     cutoffs: dict[str, dict[str, float]] = field(default_factory=dict)
+    unproven: list[str] = field(default_factory=list)
 
     def verdict(self, stratum: str | None, counts: tuple[int, int, int, int, int]) -> tuple[bool, bool]:
         """(base_failed, kept)"""
@@ -152,9 +154,9 @@ def count_signals(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def fit(
     documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
-    label_col: str = "quality", max_false_rejection: float = 0.02, error: float = 0.05,
+    label_col: str = "quality", max_false_rejection: float = 0.02, error: float = 0.05, joint: bool = False,
 ) -> QualityModel:
-    """Chooses cutoffs from all documents labelled 1 that pass the base check.
+    """Chooses cutoffs from all documents labelled 1 that pass the base check; with `joint`, see choose().
 
     Counts of rejected good documents for every stratum, rule and cutoff are one aggregation over all labelled
     documents; only that table, strata times a fixed number of columns, reaches the driver. A document with
@@ -174,20 +176,36 @@ def fit(
         "short_words": words / chars,
     }
     over = [F.sum((signal[name] > cut).cast("long")).alias(f"{name}:{i}") for name, cuts in RULES.items() for i, cut in enumerate(cuts)]
+    if joint:
+        over += [F.sum(F.greatest(*[signal[name] > cuts[min(i, len(cuts) - 1)] for name, cuts in RULES.items()]).cast("long")).alias(f"joint:{i}") for i in range(STEPS)]
     table = held.groupBy(F.coalesce("stratum", F.lit(UNKNOWN_STRATUM)).alias("stratum")).agg(F.count("*").alias("n"), *over).collect()
-    return choose({r["stratum"]: (r["n"], {name: [r[f"{name}:{i}"] for i in range(len(cuts))] for name, cuts in RULES.items()}) for r in table}, max_false_rejection, error)
+    counts = {r["stratum"]: (r["n"], {name: [r[f"{name}:{i}"] for i in range(len(cuts))] for name, cuts in RULES.items()}) for r in table}
+    return choose(counts, max_false_rejection, error, {r["stratum"]: [r[f"joint:{i}"] for i in range(STEPS)] for r in table} if joint else None)
 
 
-def choose(counts: dict[str, tuple[int, dict[str, list[int]]]], max_false_rejection: float, error: float) -> QualityModel:
-    """Cutoffs from, per stratum, the number of good documents and of those that each cutoff rejects."""
+def choose(counts: dict[str, tuple[int, dict[str, list[int]]]], max_false_rejection: float, error: float, joint: dict[str, list[int]] | None = None) -> QualityModel:
+    """Cutoffs from, per stratum, the number of good documents and of those that each cutoff rejects.
+
+    `joint` has those that all rules together reject, each at its i-th cutoff. A stratum with too few labels for
+    rules one by one, even if none were rejected, then tries these nested sets in turn: one sequence at the whole
+    allowed rate and the stratum's whole share of the error. Which way a stratum goes depends on its number of
+    labels alone, so the statements still hold at once.
+    """
     model = QualityModel()
     share = error / max(1, len(counts) * len(RULES))
     for stratum, (n, rejected) in counts.items():
+        if joint is not None and upper_bound(0, n, share) > max_false_rejection / len(RULES):
+            for i, k in enumerate(joint[stratum]):
+                if upper_bound(k, n, share * len(RULES)) > max_false_rejection:
+                    break
+                model.cutoffs[stratum] = {name: cuts[min(i, len(cuts) - 1)] for name, cuts in RULES.items()}
+            continue
         for name, cuts in RULES.items():
             for cut, k in zip(cuts, rejected[name]):
                 if upper_bound(k, n, share) > max_false_rejection / len(RULES):
                     break
                 model.cutoffs.setdefault(stratum, {})[name] = cut
+    model.unproven = sorted(counts.keys() - model.cutoffs.keys())
     return model
 
 
