@@ -40,7 +40,8 @@ INNER_WEIGHT = 0.05
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose inside is raw text up to their end tag or, without one, the page's end.
 RAW_TEXT = frozenset("script style title textarea".split())
-DROPPED = RAW_TEXT | frozenset("noscript template iframe svg math object select option".split())
+#: Elements whose inside a browser does not show as text of the page: raw text, what stands in for something else, drawings and choices of forms.
+DROPPED = RAW_TEXT | frozenset("noscript template iframe svg object select option".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -53,9 +54,8 @@ SIBLINGS = {
     "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "body": (("head",), ()),
 }
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL
-)
+_TAG = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)")
+_SPECIAL = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|aria-label|itemprop|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HINT = re.compile(r"[a-z]+")
 _SENTENCE = re.compile(r"[.!?…。]")
@@ -71,93 +71,172 @@ class Page:
     texts: list[tuple[int, int, str]] = field(default_factory=list)  # node, block, decoded text
 
 
+class _Markup:
+    """Finds a page's tags, comments and declarations in time linear in its length.
+
+    A tag ends at the first `>` outside quotes. Where none comes, its `<` is text; what is known of such places is
+    kept, so that no stretch is searched again for each `<` in it.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.last = {mark: source.rfind(mark) for mark in ">\"'"}
+        self.hopeless: set[int] = set()  # places outside quotes of > " ' from which no tag ends
+        self.searched = (0, -1)  # the first special character from a place on
+        self.ends: dict[str, re.Pattern] = {}
+        self.unended: set[str] = set()
+
+    def _special(self, at: int) -> int:
+        start, found = self.searched
+        if not start <= at <= found:
+            match = _SPECIAL.search(self.source, at)
+            found = match.start() if match else len(self.source)
+            self.searched = (at, found)
+        return found
+
+    def _close(self, at: int) -> int:
+        """The place of the `>` that ends the tag whose inside is read from `at` on, or -1."""
+        source, seen, size = self.source, [], len(self.source)
+        at = self._special(at)
+        while at < size and at not in self.hopeless:
+            mark = source[at]
+            if mark == ">":
+                return at
+            seen.append(at)
+            if self.last[mark] <= at:
+                break
+            match = _SPECIAL.search(source, source.index(mark, at + 1) + 1)
+            at = match.start() if match else size
+        self.hopeless.update(seen)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, re.Match | None]:
+        """Start and end of the next tag, comment or declaration, and the match of a tag's beginning; (n, n, None) at the end."""
+        source, size = self.source, len(self.source)
+        while (start := source.find("<", at)) >= 0:
+            follows = source[start + 1 : start + 2]
+            if follows == "!" and source.startswith("!--", start + 1):
+                end = source.find("-->", start + 4)
+                return start, size if end < 0 else end + 3, None
+            if self.last[">"] < start:
+                break  # nothing ends any more, but a comment may still begin
+            if follows and follows in "!?":
+                return start, source.index(">", start) + 1, None
+            tag = _TAG.match(source, start)
+            if tag:
+                end = self._close(tag.end())
+                if end >= 0:
+                    return start, end + 1, tag
+            at = start + 1
+        start = source.find("<!--", max(at, 0))
+        return (start, size, None) if start >= 0 else (size, size, None)
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where a raw element's inside and end tag end."""
+        if tag in self.unended:
+            return len(self.source)
+        pattern = self.ends.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.IGNORECASE))
+        end = pattern.search(self.source, at) if self.last[">"] >= at else None
+        if end is None:
+            self.unended.add(tag)
+        return end.end() if end else len(self.source)
+
+
+class _Open:
+    """The open elements, with where those of each name stand among them."""
+
+    def __init__(self, page: Page) -> None:
+        self.page, self.nodes = page, [0]
+        self.named: dict[str, list[int]] = {}
+        self.blocks = [0]  # those that are not inline
+
+    def push(self, node: int) -> None:
+        tag = self.page.tags[node]
+        depth = len(self.nodes)
+        self.named.setdefault(tag, []).append(depth)
+        if tag not in INLINE:
+            self.blocks.append(depth)
+        self.nodes.append(node)
+
+    def last(self, *tags: str) -> int:
+        """The depth of the innermost open element of any of the names, 0 if there is none."""
+        return max((found[-1] for tag in tags if (found := self.named.get(tag))), default=0)
+
+    def close(self, depth: int) -> None:
+        while len(self.nodes) > depth:
+            tag = self.page.tags[self.nodes.pop()]
+            self.named[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+
 def parse(source: str | None, labelled: bool = False) -> Page:
-    """The elements and texts of a page; tolerant of unclosed, misnested and cut-off markup. Only labelled pages' labels are read."""
+    """The elements and texts of a page; tolerant of unclosed, misnested and cut-off markup. Only labelled pages' labels are read.
+
+    Takes time in proportion to the page's length, whatever its markup: nothing is searched twice, and elements are
+    found by name among the open ones.
+    """
     page = Page()
     if not source:
         return page
-    stack, block, at, n = [0], 0, 0, len(source)
-    open_p = 0
-
-    def close(depth: int) -> None:
-        nonlocal open_p
-        for node in stack[depth:]:
-            open_p -= page.tags[node] == "p"
-        del stack[depth:]
-
+    markup, opened = _Markup(source), _Open(page)
+    block, at, n = 0, 0, len(source)
     while at < n:
-        found = _TOKEN.search(source, at)
-        start = found.start() if found else n
-        if start > at:
-            page.texts.append((stack[-1], block, html_lib.unescape(source[at:start])))
-        if not found:
-            break
-        at = found.end()
-        tag = found["tag"]
-        if tag is None:
+        text_from = at
+        start, at, found = markup.next(at)
+        if start > text_from:
+            page.texts.append((opened.nodes[-1], block, html_lib.unescape(source[text_from:start])))
+        if found is None:
             continue
-        tag = tag.lower()
+        tag = found["tag"].lower()
         if found["end"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                name = page.tags[stack[depth]]
-                if name == tag:
-                    close(depth)
-                    break
-                if tag in INLINE and name not in INLINE:
-                    break
+            depth = opened.last(tag)
+            if depth and (tag not in INLINE or depth > opened.blocks[-1]):
+                opened.close(depth)
             block += tag not in INLINE
             continue
-        attrs = found["attrs"]
-        if tag in DROPPED and not attrs.endswith("/"):
-            at = _raw_end(source, tag, at) if tag in RAW_TEXT else _dropped_end(source, tag, at, [page.tags[node] for node in stack[1:]])
+        attrs = source[found.end() : at - 1]
+        selfclosed = attrs.endswith("/")
+        if tag in DROPPED and not selfclosed:
+            at = markup.raw_end(tag, at) if tag in RAW_TEXT else _dropped_end(markup, tag, at, opened)
             continue
-        if tag in CLOSES_P and open_p:
-            depth = max(i for i, node in enumerate(stack) if page.tags[node] == "p")
-            close(depth)
+        if tag in CLOSES_P and (depth := opened.last("p")):
+            opened.close(depth)
         if tag in SIBLINGS:
             own, until = SIBLINGS[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if page.tags[stack[depth]] in until:
+            while (depth := opened.last(*own)) > opened.last(*until):
+                opened.close(depth)
+                if tag != "tr":
                     break
-                if page.tags[stack[depth]] in own:
-                    close(depth)
-                    if tag != "tr":
-                        break
         block += tag not in INLINE
         if tag == "br":
-            page.texts.append((stack[-1], block, " "))
+            page.texts.append((opened.nodes[-1], block, " "))
         if tag in VOID:
             continue
         hints, label = _attributes(attrs, labelled) if attrs.strip() else ((), None)
-        parent = stack[-1]
+        parent = opened.nodes[-1]
         page.tags.append(tag)
         page.parents.append(parent)
         page.depths.append(page.depths[parent] + 1)
         page.hints.append(hints)
         page.labels.append(page.labels[parent] if label is None else label)
-        if not attrs.endswith("/") or tag in INLINE or tag in CLOSES_P:
-            stack.append(len(page.tags) - 1)
-            open_p += tag == "p"
+        if not selfclosed or tag in INLINE or tag in CLOSES_P:
+            opened.push(len(page.tags) - 1)
     return page
 
 
-def _raw_end(source: str, tag: str, at: int) -> int:
-    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
-    return end.end() if end else len(source)
-
-
-def _dropped_end(source: str, dropped: str, at: int, around: list[str]) -> int:
+def _dropped_end(markup: _Markup, dropped: str, at: int, around: _Open) -> int:
     """Where what follows a dropped element begins: past its own end tag, or at the end tag of an element around it.
 
     An option also ends where the next option or a block begins.
     """
-    inner, opened = [dropped], Counter([dropped])
-    outer = set(around)
-    while found := _TOKEN.search(source, at):
-        at = found.end()
-        if found["tag"] is None:
+    inner, opened, n = [dropped], Counter([dropped]), len(markup.source)
+    while at < n:
+        start, at, found = markup.next(at)
+        if found is None:
             continue
         tag = found["tag"].lower()
+        selfclosed = markup.source[at - 2] == "/"
         if found["end"]:
             if opened[tag]:
                 while (last := inner.pop()) != tag:
@@ -165,16 +244,16 @@ def _dropped_end(source: str, dropped: str, at: int, around: list[str]) -> int:
                 opened[tag] -= 1
                 if not inner:
                     return at
-            elif tag in outer:
-                return found.start()
+            elif around.last(tag):
+                return start
         elif dropped == "option" and (tag in CLOSES_P or tag in ("option", "optgroup")):
-            return found.start()
-        elif not found["attrs"].endswith("/") and tag in RAW_TEXT:
-            at = _raw_end(source, tag, at)
-        elif not found["attrs"].endswith("/") and tag not in VOID:
+            return start
+        elif not selfclosed and tag in RAW_TEXT:
+            at = markup.raw_end(tag, at)
+        elif not selfclosed and tag not in VOID:
             inner.append(tag)
             opened[tag] += 1
-    return len(source)
+    return n
 
 
 def _attributes(attrs: str, labelled: bool) -> tuple[tuple[str, ...], int | None]:

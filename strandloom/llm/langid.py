@@ -4,33 +4,30 @@ A known word scores its log frequency in each language. An unseen word is scored
 longest order of which it has a known one, from four characters down to one; the mean of that order's known
 n-grams counts for the word. A document's scores are sums over all its words; its language is the best sum.
 
-Counting runs in Spark over a bounded sample of labelled documents: at most `docs_per_language` of each language
-in expectation, chosen by a hash of the id. Of the counts, each language keeps its `words_per_language` most
-frequent words and `grams_per_order` n-grams of each order, so the model that reaches the tasks is bounded too.
+A word is a run of letters and combining marks that begins with a letter. Counting runs in Spark over a bounded
+sample of labelled documents: at most `docs_per_language` of each language in expectation, chosen by a hash of the
+id. The model has every word and n-gram of the sample, so the sample bounds it.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.session import cut_lineage
-
 UNDETERMINED = "und"
 ORDERS = (4, 3, 2, 1)
 DOCS_PER_LANGUAGE = 600
-WORDS_PER_LANGUAGE = 20_000
-GRAMS_PER_ORDER = 10_000
 FOLDS = 5
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -39,7 +36,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    return _WORD.findall(text.lower())
 
 
 def grams_of(word: str, order: int) -> list[str]:
@@ -107,10 +104,9 @@ def _counted(sample: DataFrame) -> DataFrame:
 
 
 def fit(
-    documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE,
-    words_per_language: int = WORDS_PER_LANGUAGE, grams_per_order: int = GRAMS_PER_ORDER, smoothing: float = 0.5,
+    documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, smoothing: float = 0.5
 ) -> LanguageModel:
-    """Learns from rows with a text and a language whose id is not held out."""
+    """Learns from rows with a text and a language whose id is not held out; of each language a sample, see above."""
     usable = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(
         F.col("lang").isNotNull() & ~held_out(F.col("id"))
     )
@@ -118,61 +114,37 @@ def fit(
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, docs_per_language / r["count"]))]) if sizes else F.lit(None)
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
     sample = usable.filter(F.col("text").isNotNull() & (draw < (share[F.col("lang")] if sizes else F.lit(0.0)))).select("text", "lang")
-    counted = cut_lineage(_counted(sample))  # bounded by the sample
-    levels = counted.groupBy("lang", "kind", "n").agg(F.count("*").alias("tokens"), F.sum("n").alias("total")).collect()
-    table = counted.join(F.broadcast(_least_counts(documents.sparkSession, levels, words_per_language, grams_per_order)), ["lang", "kind"])
-    return build(table.filter("n >= least").select("lang", "kind", "token", "n", "total").toPandas(), smoothing)
-
+    return build(_counted(sample).toPandas(), smoothing)  # bounded by the sample
 
-def _least_counts(spark, levels: list, words_per_language: int, grams_per_order: int) -> DataFrame:
-    """For each language and kind, the total and the least count whose tokens are few enough to keep; ties go together.
 
-    levels: how many tokens have each count, a few hundred rows a language. One row for each of its 5 kinds comes back.
-    """
-    by_kind: dict[tuple, list] = {}
-    for r in levels:
-        by_kind.setdefault((r["lang"], r["kind"]), []).append((r["n"], r["tokens"], r["total"]))
-    rows = []
-    for (lang, kind), found in by_kind.items():
-        room, least = grams_per_order if kind else words_per_language, max(n for n, _, _ in found) + 1
-        for n, tokens, _ in sorted(found, reverse=True):
-            room -= tokens
-            if room < 0:
-                break
-            least = n
-        rows.append((lang, kind, least, sum(total for _, _, total in found)))
-    return spark.createDataFrame(rows, "lang string, kind int, least long, total long")
-
-
-def build(table, smoothing: float = 0.5) -> LanguageModel:
-    """The model of a table (lang, kind, token, n, total); smoothing is added to each count."""
+def build(table: pd.DataFrame, smoothing: float = 0.5) -> LanguageModel:
+    """The model of counts (lang, kind, token, n); smoothing is added to each count, unseen tokens among them."""
     languages = sorted(set(table["lang"]))
-    at = {lang: i for i, lang in enumerate(languages)}
-    rows: dict[tuple[int, str], int] = {}
-    where = [rows.setdefault(key, len(rows)) for key in zip(table["kind"], table["token"])]
-    totals, sizes = np.zeros((5, len(languages))), np.zeros(5)
-    for lang, kind, total in set(zip(table["lang"], table["kind"], table["total"])):
-        totals[kind, at[lang]] = total
-    for kind, _ in rows:
-        sizes[kind] += 1
-    kinds = np.array([kind for kind, _ in rows], dtype=int)
-    counts = np.zeros((len(rows), len(languages)))
-    np.add.at(counts, (where, [at[x] for x in table["lang"]]), table["n"].to_numpy(float) if len(table) else [])
-    scores = np.log((counts + smoothing) / (totals[kinds] + smoothing * sizes[kinds][:, None] + smoothing)) if rows else np.zeros((0, 0))
-    return LanguageModel(
-        languages, {t: r for (kind, t), r in rows.items() if kind == 0}, {t: r for (kind, t), r in rows.items() if kind}, scores.astype(np.float32)
-    )
+    keys = table.groupby(["kind", "token"], sort=True).ngroup().to_numpy()
+    where = pd.Series(table["lang"], dtype=pd.CategoricalDtype(languages)).cat.codes.to_numpy()
+    counts = np.zeros((keys.max() + 1 if len(table) else 0, len(languages)))
+    np.add.at(counts, (keys, where), table["n"].to_numpy(float))
+    tokens = table.assign(key=keys).drop_duplicates("key").sort_values("key")
+    kinds = tokens["kind"].to_numpy(int)
+    scores = np.zeros_like(counts)
+    for kind in set(kinds.tolist()):
+        of_kind = counts[kinds == kind]
+        scores[kinds == kind] = np.log((of_kind + smoothing) / (of_kind.sum(axis=0) + smoothing * len(of_kind) + smoothing))
+    words = kinds == 0
+    row = dict(zip(tokens["token"][words], np.flatnonzero(words).tolist()))
+    gram_row = dict(zip(tokens["token"][~words], np.flatnonzero(~words).tolist()))
+    return LanguageModel(languages, row, gram_row, scores.astype(np.float32))
 
 
 def predict(documents: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out, lang_pred and score of every row.
 
-    A null text or one without letters is `und` with score 0; so is every text where no language was learned.
+    A null text or one without letters (Unicode's, so neither digits nor fractions) is `und` with score 0; so is every text where no language was learned.
     Repeated rows are judged one by one, texts of any length whole; no rows give none. Other columns, the
     language's own among them, are neither read nor carried.
     """
     source = documents.select(id_col, text_col)
-    given = source.sparkSession.sparkContext.broadcast(model)  # bounded by the model's parameters
+    given = source.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was fitted on
     schema = T.StructType([T.StructField(id_col, source.schema[0].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,10 +7,14 @@ one codeword. A segment's keys are the codewords of the words within one bit of
 at distance two have a word between them that is within one bit of both, so they share its codeword. Key for
 joining: which segment agrees, its bits, and a codeword index of the next one.
 
-Fingerprints are made distinct first, so exact copies cost nothing. Keys of few fingerprints are joined and the
-pairs verified. Near copies of one text may put very many fingerprints under a key; those fingerprints go another
-exact way: each lists the words within one bit of itself, and all that list the same word are within two bits of
-each other, so they are linked to the least of them, in linear work. Components of the links then give the groups.
+The third segment differs by two bits at most as well, so its codewords agree in the same way: keys that several
+fingerprints share are refined by them, which leaves hardly any chance meetings however many fingerprints there are.
+
+Fingerprints are made distinct first, so exact copies cost nothing. Near copies of one text may put very many of
+them under a key, so a key's members are not paired. Two words are within two bits of each other exactly if some
+third word, the middle, is within one bit of both. Each member lists the middles around it, and under every key
+those with a common middle are linked to the least of them: verified links, in work linear in the key's members.
+Components of the links then give the groups.
 """
 
 from __future__ import annotations
@@ -31,7 +35,6 @@ SHINGLE_WORDS = 3
 SEED = 42
 MAX_DISTANCE = 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and length
-FEW = 16
 GOLAY_GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
 
@@ -91,22 +94,39 @@ def golay_indices(words: np.ndarray, errors: np.ndarray) -> np.ndarray:
     return (words ^ errors[_syndromes(words)]) >> 11
 
 
+def codewords(fps: np.ndarray, segment: int, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position of the fingerprint, codeword index) for all distinct codewords of the words within a bit of its segment."""
+    first, length = SEGMENTS[segment]
+    words = ((fps >> np.uint64(first)) & np.uint64((1 << length) - 1)).astype(np.int64)
+    around = words[:, None] ^ np.concatenate(([0], 1 << np.arange(length)))
+    index = np.sort(golay_indices(around, errors), axis=1)
+    fresh = np.concatenate((np.ones((len(fps), 1), bool), index[:, 1:] != index[:, :-1]), axis=1)
+    row, col = np.nonzero(fresh)
+    return row, index[row, col]
+
+
 def fuzzy_keys(fps: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position of the fingerprint, key) for all its distinct keys."""
+    """(position of the fingerprint, key) for all its distinct keys: which segment agrees, its bits, a codeword of the next."""
     where, keys = [], []
     for i, (first, length) in enumerate(SEGMENTS):
-        exact = (fps >> np.uint64(first)) & np.uint64((1 << length) - 1)
-        first, length = SEGMENTS[(i + 1) % len(SEGMENTS)]
-        near = ((fps >> np.uint64(first)) & np.uint64((1 << length) - 1)).astype(np.int64)
-        around = near[:, None] ^ np.concatenate(([0], 1 << np.arange(length)))
-        index = np.sort(golay_indices(around, errors), axis=1)
-        fresh = np.concatenate((np.ones((len(fps), 1), bool), index[:, 1:] != index[:, :-1]), axis=1)
-        row, col = np.nonzero(fresh)
+        exact = ((fps >> np.uint64(first)) & np.uint64((1 << length) - 1)).astype(np.int64)
+        row, index = codewords(fps, (i + 1) % len(SEGMENTS), errors)
         where.append(row)
-        keys.append((i << 40) | (exact[row].astype(np.int64) << 12) | index[row, col])
+        keys.append((i << 40) | (exact[row] << 12) | index)
     return np.concatenate(where), np.concatenate(keys)
 
 
+def third_codewords(fps: np.ndarray, keys: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, codeword index) for the codewords of the segment that a fingerprint's key says nothing of."""
+    where, found = [], []
+    for i in range(len(SEGMENTS)):
+        at = np.flatnonzero(keys >> 40 == i)
+        row, index = codewords(fps[at], (i + 2) % len(SEGMENTS), errors)
+        where.append(at[row])
+        found.append(index)
+    return np.concatenate(where), np.concatenate(found)
+
+
 def _with_keys(fps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         errors = golay_errors()
@@ -119,20 +139,36 @@ def _with_keys(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "fp long, key long")
 
 
-def links(fps: DataFrame, few: int = FEW) -> DataFrame:
+def _refined(keyed: DataFrame) -> DataFrame:
+    """(fp, key, third) for each codeword of the segment left over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        errors = golay_errors()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 8192):
+                fp, key = (batch.column(c).slice(i, 8192).to_numpy(zero_copy_only=False) for c in range(2))
+                row, third = third_codewords(fp.view(np.uint64), key, errors)
+                yield pa.RecordBatch.from_arrays([pa.array(fp[row]), pa.array(key[row]), pa.array(third.astype(np.int32))], names=["fp", "key", "third"])
+
+    return keyed.select("fp", "key").mapInArrow(run, "fp long, key long, third int")
+
+
+def _shared(keyed: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose key another row has too."""
+    return keyed.join(keyed.groupBy(*by).count().filter("count > 1").select(*by), by)
+
+
+def links(fps: DataFrame) -> DataFrame:
     """Links (u, v) between distinct fingerprints fp such that the components are those of all pairs within two bits."""
-    keyed = cut_lineage(_with_keys(fps))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = keyed.join(sizes, "key")
-    some = shared.filter(F.col("n") <= few).groupBy("key").agg(F.collect_set("fp").alias("fps"))  # at most `few` each
-    pair = F.explode(F.expr("flatten(transform(fps, (a, i) -> transform(slice(fps, i + 2, size(fps)), b -> struct(a as u, b as v))))"))
-    verified = some.select(pair.alias("p")).select("p.u", "p.v").filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_DISTANCE)
-    many = shared.filter(F.col("n") > few).select("fp").distinct()
-    middle = F.explode(F.concat(F.array("fp"), F.expr("transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i))")))
-    middles = many.select("fp", middle.alias("middle"))
-    least = middles.groupBy("middle").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1")
-    starred = middles.join(least, "middle").filter("fp <> v").select(F.col("fp").alias("u"), "v")
-    return verified.union(starred).distinct()
+    shared = _shared(cut_lineage(_with_keys(fps)), ["key"])
+    fine = _shared(cut_lineage(_refined(shared)), ["key", "third"])
+    # under a key its first segment agrees, so middles differ from a member in the other two alone
+    first = F.element_at(F.array(*[F.lit(start) for start, _ in SEGMENTS]), (F.shiftright("key", 40) + 1).cast("int"))
+    after = F.element_at(F.array(*[F.lit(start + length) for start, length in SEGMENTS]), (F.shiftright("key", 40) + 1).cast("int"))
+    flipped = F.expr("transform(filter(sequence(0, 63), i -> i < first or i >= after), i -> fp ^ shiftleft(1L, i))")
+    middles = fine.select("fp", "key", "third", first.alias("first"), after.alias("after")).select("fp", "key", "third", F.explode(F.concat(F.array("fp"), flipped)).alias("middle"))
+    least = middles.groupBy("key", "third", "middle").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return middles.join(least, ["key", "third", "middle"]).filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
 def _grouped(found: DataFrame, linked: DataFrame, id_col: str) -> DataFrame:

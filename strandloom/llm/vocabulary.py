@@ -11,12 +11,18 @@ import os
 from functools import lru_cache
 
 import public_tokenizers
+import regex
 import tiktoken
 from tokenizers import Tokenizer
 
 BYTE_BPE = "byte_bpe_50k"
 END_OF_TEXT = "<|endoftext|>"
 END_OF_TEXT_ID = 50256
+#: Runs beyond this go to tokenizers one by one: tiktoken's pattern gives up on a million white-space characters, and
+#: its merging takes quadratic time on words of such lengths. What a run says does not depend on what lies around it.
+LONG_RUN = 4096
+_LONG_SPACE = regex.compile(rf"\p{{White_Space}}{{{LONG_RUN},}}+")
+_LONG_WORD = regex.compile(rf"[^\p{{White_Space}}]{{{LONG_RUN},}}+")
 
 
 @lru_cache(maxsize=4)
@@ -48,4 +54,33 @@ def fast_encoding(name: str = BYTE_BPE) -> tiktoken.Encoding:
 
 def encode_text(text: str, name: str = BYTE_BPE) -> list[int]:
     """Ids of a whole text as tokenizers gives them with add_special_tokens=False."""
-    return fast_encoding(name).encode(text, allowed_special="all", disallowed_special=())
+    if len(text) < LONG_RUN:
+        return _fast(text, name)
+    ids: list[int] = []
+    for number, part in enumerate(text.split(END_OF_TEXT)):  # words end where the end-of-text string stands
+        at = 0
+        if number:
+            ids.append(END_OF_TEXT_ID)
+        for start, end in _slow_spans(part):
+            ids += _fast(part[at:start], name)
+            ids += tokenizer(name).encode(part[start:end], add_special_tokens=False).ids
+            at = end
+        ids += _fast(part[at:], name)
+    return ids
+
+
+def _slow_spans(text: str) -> list[tuple[int, int]]:
+    """Spans that hold long runs and begin and end where words do, in order.
+
+    A white-space run is one word but for its last character, which stands alone or with the word after it, if there
+    is one. A run without white space goes with the one white-space character before it.
+    """
+    if len(text) < LONG_RUN:
+        return []
+    spans = [(found.start(), found.end() - (found.end() < len(text))) for found in _LONG_SPACE.finditer(text)]
+    spans += [(max(0, found.start() - 1), found.end()) for found in _LONG_WORD.finditer(text)]
+    return sorted(spans)
+
+
+def _fast(text: str, name: str) -> list[int]:
+    return fast_encoding(name).encode(text, allowed_special="all", disallowed_special=()) if text else []

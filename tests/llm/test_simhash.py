@@ -60,9 +60,9 @@ def test_links_of_close_and_crowded_fingerprints(spark):
     frame = spark.createDataFrame([(f,) for f in signed], "fp long").repartition(3)
     from strandloom.operators.components import connected_components
 
-    for few, spread in ((simhash.FEW, "true"), (2, "false")):
+    for spread in ("true", "false"):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", spread)
-        got = connected_components(simhash.links(frame, few)).collect()
+        got = connected_components(simhash.links(frame)).collect()
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         group = {r["node"] & (2**64 - 1): r["component"] for r in got}
         want = components(fps)
