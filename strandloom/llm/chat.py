@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from strandloom.llm.vocabulary import BYTE_BPE, tokenizer
+from strandloom.llm.vocabulary import BYTE_BPE, encode_with_offsets, tokenizer
 
 OPEN, BODY, CLOSE = "<turn>", "<text>", "</turn>"
 MARKERS = (OPEN, BODY, CLOSE)
@@ -73,18 +73,19 @@ def mask(offsets: np.ndarray, spans: Sequence[tuple[int, int]]) -> tuple[np.ndar
     for start, end in spans:
         first, last = np.searchsorted(ends, start, "right"), np.searchsorted(starts, end, "left")
         masked[first:last] = 1
-        here: list[tuple[int, int]] = []
-        for a, b in zip(np.maximum(starts[first:last], start).tolist(), np.minimum(ends[first:last], end).tolist()):
-            if here and a <= here[-1][1]:
-                here[-1] = (here[-1][0], max(b, here[-1][1]))
-            elif a < b:
-                here.append((a, b))
-        covered += here
+        a, b = np.maximum(starts[first:last], start), np.minimum(ends[first:last], end)
+        a, b = a[a < b], b[a < b]
+        if len(a):
+            gap = np.flatnonzero(a[1:] > b[:-1])  # ends never fall, so a gap to the token before is one to all before
+            covered += zip(a[np.concatenate(([0], gap + 1))].tolist(), b[np.concatenate((gap, [-1]))].tolist())
     return masked, covered
 
 
 def chat_tokenizer(vocabulary: str = BYTE_BPE) -> Tokenizer:
-    """The public vocabulary with the three markers as special tokens after its last id."""
+    """The public vocabulary with the three markers as special tokens after its last id.
+
+    Conversations take the same ids and offsets from vocabulary.encode_with_offsets, which is several times faster.
+    """
     return tokenizer(vocabulary, MARKERS)  # it has no post-processor, so offsets keep white space
 
 
@@ -116,17 +117,16 @@ def format_conversations(
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = chat_tokenizer(vocabulary)
         for whole in batches:
             for i in range(0, whole.num_rows, 128):
                 batch = whole.slice(i, 128)
                 turns = [list(zip(r, t)) for r, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
                 rendered = [render(x, trained_roles) for x in turns]
-                encoded = encoder.encode_batch([text for text, _ in rendered], add_special_tokens=False)
-                masks = [mask(np.array(e.offsets, np.int64).reshape(-1, 2), spans) for e, (_, spans) in zip(encoded, rendered)]
+                encoded = [encode_with_offsets(text, vocabulary, MARKERS) for text, _ in rendered]
+                masks = [mask(offsets, spans) for (_, offsets), (_, spans) in zip(encoded, rendered)]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0), pa.array(map(len, turns), pa.int64()), pa.array([text for text, _ in rendered], pa.string()),
-                    pa.array([e.ids for e in encoded], pa.list_(pa.int32())), pa.array([m for m, _ in masks], pa.list_(pa.int8())),
+                    pa.array([ids.astype(np.int32) for ids, _ in encoded], pa.list_(pa.int32())), pa.array([m for m, _ in masks], pa.list_(pa.int8())),
                     pa.array([[{"start": a, "end": b} for a, b in spans] for _, spans in masks], span_type),
                 ], names=schema.names)
 

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import regex
 import tiktoken
@@ -45,30 +47,60 @@ def ranks(name: str = BYTE_BPE) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=4)
-def fast_encoding(name: str = BYTE_BPE) -> tiktoken.Encoding:
+def special_ids(name: str = BYTE_BPE, added: tuple[str, ...] = ()) -> dict[str, int]:
+    """The end-of-text string and the added strings, which follow the vocabulary's last id."""
+    return {END_OF_TEXT: END_OF_TEXT_ID} | {x: tokenizer(name, added).token_to_id(x) for x in added}
+
+
+@lru_cache(maxsize=4)
+def fast_encoding(name: str = BYTE_BPE, added: tuple[str, ...] = ()) -> tiktoken.Encoding:
     """The same vocabulary in tiktoken, which gives the same ids several times faster (tests compare the two)."""
-    return tiktoken.Encoding(
-        name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(name), special_tokens={END_OF_TEXT: END_OF_TEXT_ID}
-    )
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(name), special_tokens=special_ids(name, added))
 
 
-def encode_text(text: str, name: str = BYTE_BPE) -> list[int]:
-    """Ids of a whole text as tokenizers gives them with add_special_tokens=False."""
+@lru_cache(maxsize=4)
+def _special_pattern(added: tuple[str, ...]) -> re.Pattern:
+    return re.compile("(" + "|".join(map(re.escape, (END_OF_TEXT, *added))) + ")")
+
+
+def encode_text(text: str, name: str = BYTE_BPE, added: tuple[str, ...] = ()) -> list[int]:
+    """Ids of a whole text as tokenizers gives them with add_special_tokens=False; added strings are special tokens."""
     if len(text) < LONG_RUN:
-        return _fast(text, name)
+        return _fast(text, name, added)
     ids: list[int] = []
-    for number, part in enumerate(text.split(END_OF_TEXT)):  # words end where the end-of-text string stands
+    for part in _special_pattern(added).split(text):  # words end where a special token stands
         at = 0
-        if number:
-            ids.append(END_OF_TEXT_ID)
         for start, end in _slow_spans(part):
-            ids += _fast(part[at:start], name)
-            ids += tokenizer(name).encode(part[start:end], add_special_tokens=False).ids
+            ids += _fast(part[at:start], name, added)
+            ids += tokenizer(name, added).encode(part[start:end], add_special_tokens=False).ids
             at = end
-        ids += _fast(part[at:], name)
+        ids += _fast(part[at:], name, added)
     return ids
 
 
+@lru_cache(maxsize=4)
+def piece_lengths(name: str = BYTE_BPE, added: tuple[str, ...] = ()) -> np.ndarray:
+    """Bytes of each id's piece."""
+    of = {i: len(piece) for piece, i in ranks(name).items()} | {i: len(x.encode()) for x, i in special_ids(name, added).items()}
+    out = np.zeros(max(of) + 1, np.int64)
+    out[list(of)] = list(of.values())
+    return out
+
+
+def encode_with_offsets(text: str, name: str = BYTE_BPE, added: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and start and end of each token in code points.
+
+    Pieces' bytes follow each other without a gap, so their lengths say where each lies; a token that holds part of
+    a character's bytes has that character's span.
+    """
+    ids = np.array(encode_text(text, name, added), np.int64)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    character = np.cumsum((raw & 0xC0) != 0x80) - 1  # of each byte
+    ends = np.cumsum(piece_lengths(name, added)[ids])
+    starts = np.concatenate(([0], ends[:-1])) if len(ids) else ends
+    return ids, np.column_stack((character[starts], character[ends - 1] + 1))
+
+
 def _slow_spans(text: str) -> list[tuple[int, int]]:
     """Spans that hold long runs and begin and end where words do, in order.
 
@@ -82,5 +114,5 @@ def _slow_spans(text: str) -> list[tuple[int, int]]:
     return sorted(spans)
 
 
-def _fast(text: str, name: str) -> list[int]:
-    return fast_encoding(name).encode(text, allowed_special="all", disallowed_special=()) if text else []
+def _fast(text: str, name: str, added: tuple[str, ...]) -> list[int]:
+    return fast_encoding(name, added).encode(text, allowed_special="all", disallowed_special=()) if text else []
