@@ -4,11 +4,13 @@ Each input partition is one stream. A document's tokens first fill whole windows
 remainder is routed to the smallest tier that holds it. Every tier is packed from its longest pieces down, and
 the gap that a piece leaves in its window is filled from shorter tiers: by the longest piece that fits, else by
 a cut of the shortest one. What cannot fill a window is carried on. Only a partition's last tokens, fewer than
-one window, are left; they go to tail windows at powers of two, so nothing is padded. Finished windows join step
-groups of one tier that all hold the same number of tokens.
+one window, are left; they go to tail windows at powers of two, so nothing is padded.
 
-The work is one pass without a shuffle: memory holds one Arrow batch, one document's ids and a bounded buffer of
-remainders, and a lost task is repeated from its input split with the same result.
+Packing is one pass without a shuffle: memory holds one Arrow batch, one document's ids and a bounded buffer of
+remainders, and a lost task is repeated from its input split with the same result. Its pieces are written, windows of
+each length are counted by partition, and running totals of these counts number them over all partitions. Windows
+that follow each other in that numbering form step groups, which hold the same number of tokens all over: only the
+last group of each window length may be short.
 """
 
 from __future__ import annotations
@@ -20,16 +22,19 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm.vocabulary import BYTE_BPE, encode_text
+from strandloom.session import cut_lineage
 
 TIERS = (256, 512, 1024, 2048)
 DOCUMENT_END = 1
 STEP_TOKENS = 65_536
 BUFFER_TOKENS = 1 << 20
 _STREAM_BITS = 36
+_STEP_BITS = 40
 
 
 class _Packer:
@@ -40,7 +45,8 @@ class _Packer:
         self.sequences, self.steps, self.serial = base, base, 0
         self.pool: list[tuple] = []
         self.buffered = 0
-        self.open_steps: dict[int, list[int]] = {}  # window length -> [step id, tokens so far]
+        self.open_steps: dict[int, list[int]] = {}  # window length -> [step id, tokens so far], within this stream
+        self.made: dict[int, int] = {}  # windows of each length so far
         self.rows: list[tuple] = []
 
     def add(self, doc: tuple, ids: np.ndarray) -> None:
@@ -103,9 +109,11 @@ class _Packer:
             step[:] = [self.steps, 0]
             self.steps += 1
         step[1] += window
+        nth = self.made.get(window, 0)
+        self.made[window] = nth + 1
         offset = 0
         for n, _, (doc_id, doc_tokens), start, ids in pieces:
-            self.rows.append((doc_id, start, n, zlib.crc32(ids.tobytes()), doc_tokens, self.sequences, offset, window, step[0]))
+            self.rows.append((doc_id, start, n, zlib.crc32(ids.tobytes()), doc_tokens, self.sequences, offset, window, step[0], nth))
             offset += n
         self.sequences += 1
 
@@ -114,7 +122,10 @@ def pack_stream(
     documents: Iterable[tuple[object, str | None]], stream: int = 0, *, tiers: tuple[int, ...] = TIERS,
     step_tokens: int = STEP_TOKENS, vocabulary: str = BYTE_BPE, document_end: int = DOCUMENT_END,
 ) -> Iterator[tuple]:
-    """Rows (doc_id, start, length, crc, doc tokens, sequence, offset, window, step) of one stream of documents."""
+    """Rows (doc_id, start, length, crc, doc tokens, sequence, offset, window, step, nth) of one stream of documents.
+
+    step numbers the step groups that the stream would form alone, nth its windows of each length from 0.
+    """
     packer = _Packer(tiers, step_tokens, stream << _STREAM_BITS)
     for doc_id, text in documents:
         ids = encode_text(text or "", vocabulary)
@@ -139,9 +150,24 @@ def pack(
     token lies in exactly one piece. Ids may be null or repeated: rows are packed one by one. Texts of any length
     are packed whole. No rows give no pieces. Other columns are not carried, so their names cannot clash.
 
+    A partition is one stream, so which documents share windows depends on how the input is partitioned; that each
+    token lies in one piece, and that windows are full, does not.
+
     Returns id_col, start, length, ids_crc32 (of the piece's ids as little-endian unsigned 32-bit integers),
     doc_tokens, sequence_id, offset (of the piece in its sequence), window (the sequence's length) and step_id.
     """
+    pieces = cut_lineage(_pieces(documents, id_col, text_col, tiers, step_tokens, vocabulary, document_end))
+    stream = F.shiftright("sequence_id", _STREAM_BITS)
+    made = pieces.filter("offset = 0").groupBy(stream.alias("stream"), "window").agg(F.count("*").alias("n"))  # a few rows a partition
+    before = Window.partitionBy("window").orderBy("stream").rowsBetween(Window.unboundedPreceding, -1)
+    first = made.select("stream", "window", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    numbered = pieces.withColumn("stream", stream).join(first, ["stream", "window"])
+    group = F.floor((F.col("first") + F.col("nth")) * F.col("window") / max(step_tokens, max(tiers))).cast("long")
+    step = F.shiftleft(F.col("window").cast("long"), _STEP_BITS) + group
+    return numbered.select(*[c for c in pieces.columns if c not in ("window", "nth")], "window", step.alias("step_id"))
+
+
+def _pieces(documents: DataFrame, id_col: str, text_col: str, tiers: tuple[int, ...], step_tokens: int, vocabulary: str, document_end: int) -> DataFrame:
     if any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be powers of two")
     source = documents.select(id_col, text_col)
@@ -149,7 +175,7 @@ def pack(
     schema = T.StructType(
         [T.StructField(id_col, source.schema[0].dataType)]
         + [T.StructField(n, long) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
-        + [T.StructField("window", T.IntegerType()), T.StructField("step_id", long)]
+        + [T.StructField("window", T.IntegerType()), T.StructField("nth", long)]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +196,7 @@ def pack(
         for row in pack_stream(
             rows(), TaskContext.get().partitionId(), tiers=tiers, step_tokens=step_tokens, vocabulary=vocabulary, document_end=document_end
         ):
-            held.append(row)
+            held.append((*row[:8], row[9]))
             if len(held) == 16_384:
                 yield made(held)
                 held = []

@@ -64,3 +64,33 @@ def test_tiers_must_be_powers_of_two(odd_documents):
 @pytest.mark.parametrize("text", ["", " ", "  a", "a  \n b", "<|endoftext|>", "x <|endoftext|>y", "\u00a0\u2003x\x85y", "١٢٣ ½ Ⅷ²", "é\u0301漢字😀👩‍👩‍👧", "\x1c\x1fa", "don't DON'T 'll", "a" * 5000])
 def test_fast_encoding_equals_tokenizers(text):
     assert [*encode_text(text), 1] == ids_of(text)
+
+
+def plain(documents):
+    """Lengths of the windows of a packer that cuts the documents' ids, one after the other, at every 2048 and the rest at powers of two."""
+    total = sum(len(ids_of(text)) for _, text in documents)
+    return [2048] * (total // 2048) + [1 << b for b in range(11) if total % 2048 >> b & 1]
+
+
+def test_windows_hold_what_plain_packing_holds(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = packing.pack(frame).collect()
+    check(got, rows)
+    windows = {r["sequence_id"]: r["window"] for r in got}
+    # shorter tiers make more windows, never more tokens than the plain packer's, which pads nothing either
+    assert sum(windows.values()) == sum(plain(rows))
+    assert sum(r["length"] for r in got) == sum(windows.values())
+
+
+def test_step_groups_are_equal_over_all_partitions(spark):
+    rows = [(i, "word " * (1 + 37 * i % 3000)) for i in range(1000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), step_tokens=16_384).collect()
+    check(got, rows)
+    tokens, windows = defaultdict(int), defaultdict(set)
+    for r in got:
+        tokens[r["step_id"]] += r["length"]
+        windows[r["step_id"]].add(r["window"])
+    assert all(len(w) == 1 for w in windows.values()) and max(tokens.values()) == 16_384
+    short = [next(iter(windows[s])) for s, n in tokens.items() if n < 16_384]
+    assert len(short) == len(set(short))  # at most one short group of each window length
