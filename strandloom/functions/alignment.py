@@ -29,14 +29,18 @@ ALIGNMENT = T.StructType([
 
 
 def batch_scores(query: np.ndarray, targets: Sequence[np.ndarray], matrix: np.ndarray, gap: int = GAP) -> np.ndarray:
-    """Best local score of the query with each target. Targets of like length waste least: they share a padded block."""
+    """Best local score of the query with each target. Targets of like length share a padded block, so little is wasted."""
     out = np.zeros(len(targets), np.int32)
-    width = max(map(len, targets), default=0)
-    if not width or not len(query):
+    if not len(query):
         return out
-    side = max(1, BLOCK_CELLS // width)
-    for i in range(0, len(targets), side):
-        out[i : i + side] = _block_scores(query, targets[i : i + side], width, matrix, gap)
+    sizes = np.fromiter(map(len, targets), np.int64, len(targets))
+    order = np.argsort(-sizes, kind="stable")
+    at, end = 0, int((sizes > 0).sum())
+    while at < end:
+        width = int(sizes[order[at]])
+        block = order[at : min(end, at + max(1, BLOCK_CELLS // width))]
+        out[block] = _block_scores(query, [targets[i] for i in block], width, matrix, gap)
+        at += len(block)
     return out
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The Dayhoff PAM250 matrix, lower triangle in the order of its first column.
@@ -36,6 +38,8 @@ X  0 -1  0 -1 -3 -1 -1 -1 -1 -1 -1 -1 -1 -2 -1  0  0 -4 -2 -1 -1 -1 -1
 # Fixed value: residues in chemical order.
 CHEMICAL_ORDER = "GATSDEQNVLIKRMCFYWHP"
 
+MAX_MATRICES = 1000
+
 Scores = dict[tuple[str, str], int]
 
 
@@ -64,6 +68,23 @@ def register_matrix(name: str, scores: Scores) -> None:
     MATRICES[name] = scores
 
 
+def read_matrices(spark: SparkSession, folder: str) -> dict[str, Scores]:
+    """Matrices by name of the text files in a folder: each file's name without its ending; files are small, a few thousand bytes."""
+    files = spark.read.text(folder, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^([^.]+)", 1).alias("name"), "value").limit(MAX_MATRICES).collect()
+    return {r["name"]: parse_matrix(r["value"]) for r in files}
+
+
+def matrix_table(spark: SparkSession, names: Sequence[str] = ("PAM250",)) -> DataFrame:
+    """(name, a, b, score) of the known matrices of those names."""
+    return spark.createDataFrame([(n, a, b, score) for n in names for (a, b), score in MATRICES[n].items()], "name string, a string, b string, score int")
+
+
+def square_text(scores: Scores) -> str:
+    """The text form that parse_matrix reads."""
+    residues = list(dict.fromkeys(a for a, _ in scores))
+    return "\n".join(["   " + "  ".join(residues), *(f"{a} " + " ".join(f"{scores[a, b]:2d}" for b in residues) for a in residues)]) + "\n"
+
+
 def matrix32(scores: str | Scores = "PAM250") -> np.ndarray:
     """32 x 32 scores indexed by character code & 31; pairs without a score have 0.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.session import cut_lineage
+
 # Words of everyday genes, and the level of each rank.
 HOUSEKEEPING = (
     "ribosom", "histone", "ubiquitin", "actin", "tubulin", "chaperon", "heat shock", "polymerase", "kinase", "atpase",
@@ -23,6 +25,32 @@ def common_ancestor(lineage_a: Column, lineage_b: Column) -> Column:
     return F.try_element_at(F.array_intersect(lineage_a, lineage_b), F.lit(-1))
 
 
+def ancestor_rank(lineage_a: Column, lineage_b: Column, rank_of: Column) -> Column:
+    """The rank of the deepest common ancestor: `no rank` for two known lineages without any, null where a lineage is unknown.
+
+    rank_of: map of taxon to rank.
+    """
+    shared = common_ancestor(lineage_a, lineage_b)
+    known = lineage_a.isNotNull() & lineage_b.isNotNull()
+    return F.when(known & shared.isNull(), "no rank").when(known, F.coalesce(F.try_element_at(rank_of, shared), F.lit("no rank")))
+
+
+def lineages(taxa: DataFrame, max_steps: int = 16) -> DataFrame:
+    """(taxid, rank, lineage): each taxon's path from its root down, of a table (taxid, parent, rank); roots have no parent or themselves.
+
+    Paths double in length with each step, so a step is one join and there are as many as the logarithm of the depth.
+    """
+    up = F.when(F.col("parent") != F.col("taxid"), F.col("parent"))
+    now = cut_lineage(taxa.select("taxid", "rank", F.array("taxid").alias("lineage"), up.alias("up")))
+    for _ in range(max_steps):
+        if now.filter("up is not null").isEmpty():
+            return now.select("taxid", "rank", "lineage")
+        above = now.select(F.col("taxid").alias("up"), F.col("lineage").alias("_above"), F.col("up").alias("_next"))
+        longer = F.concat(F.coalesce("_above", F.array().cast("array<long>")), "lineage")
+        now = cut_lineage(now.join(above, "up", "left").select("taxid", "rank", longer.alias("lineage"), F.col("_next").alias("up")))
+    raise RuntimeError(f"paths are longer than {2**max_steps}")
+
+
 def is_housekeeping(description_a: Column, description_b: Column) -> Column:
     text = F.lower(F.concat_ws(" ", description_a, description_b))
     return F.exists(F.array(*map(F.lit, HOUSEKEEPING)), lambda word: F.contains(text, word))

@@ -15,6 +15,11 @@ def zip_compare(left: DataFrame, right: DataFrame, on: str, columns: list[str])
     return a.join(b, on, "full_outer").select(on, status.otherwise("equal").alias("status"))
 
 
+def first_mismatches(zipped: DataFrame, on: str, limit: int = 10) -> DataFrame:
+    """The first rows of zip_compare() that are not equal, after which a comparison gives up."""
+    return zipped.filter("status <> 'equal'").orderBy(on).limit(limit)
+
+
 def length_stats(sequences: DataFrame, seq_col: str) -> DataFrame:
     """n, total, mean, shortest and longest of the lengths; nulls do not count."""
     size = F.length(seq_col)

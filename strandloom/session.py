@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,11 +40,14 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests on one machine, is a temporary one set.
+    Where the session names none, a temporary one is set in local mode, as in tests; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandloom-ckpt-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandloom-ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -51,3 +55,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder and go on from there; such a checkpoint outlives lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of that name within the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settled(df: DataFrame, folder: str) -> DataFrame:
+    """df cut from the files of a scratch folder, which is removed."""
+    out = cut_lineage(df)
+    remove_folder(df.sparkSession, folder)
+    return out

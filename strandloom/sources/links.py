@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.operators.ordering import numbered
+from strandloom.sources.sequences import FILE_PLACE, in_file_order
+
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:
     """(query_seq, target_seq, score) of CSV files with three or more columns; malformed rows and header lines go."""
@@ -23,17 +26,38 @@ def deduplicated(links: DataFrame) -> DataFrame:
     return links.dropDuplicates(["query_seq", "target_seq", "score"])
 
 
+# Fixed value: the head line of a find.
+FIND_HEAD = r"^\s*([A-Z0-9]+)-([A-Z0-9]+)\s+s\((\d+)\)\s+Length:\s+(\d+)/(\d+)"
+
+
 def read_finds(spark: SparkSession, path: str) -> DataFrame:
-    """(id1, id2, score, len1, len2, name1, name2) of find reports: a head line and two name lines each."""
-    head = r"(?m)^\s*([A-Z0-9]+-[A-Z0-9]+\s+s\(\d+\)\s+Length:\s+\d+/\d+)[^\n]*\n[ \t]+(\S[^\n]*)\n[ \t]+(\S[^\n]*)"
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r", "").alias("t"))
-    blocks = text.select(F.explode(F.regexp_extract_all("t", F.lit(head), F.lit(0))).alias("b"))
-    part = lambda i: F.trim(F.regexp_extract("b", head, i))
-    field = lambda i: F.regexp_extract(part(1), r"^([A-Z0-9]+)-([A-Z0-9]+)\s+s\((\d+)\)\s+Length:\s+(\d+)/(\d+)", i)
+    """(id1, id2, score, len1, len2, name1, name2) of find reports: a head line and two indented name lines each.
+
+    Lines are numbered in file order, and a head meets the two lines after it by their numbers; all other lines go.
+    """
+    raw = spark.read.text(path).selectExpr("regexp_replace(value, '\\r', '') AS value", *FILE_PLACE)
+    lines = in_file_order(raw, "line_no")
+    heads = lines.filter(F.col("value").rlike(FIND_HEAD))
+    name = lambda n: lines.filter(F.col("value").rlike(r"^[ \t]+\S")).select((F.col("line_no") - n).alias("line_no"), F.trim(F.regexp_replace("value", "^\t+", "")).alias(f"name{n}"))
+    field = lambda i: F.regexp_extract("value", FIND_HEAD, i)
+    blocks = heads.join(name(1), "line_no").join(name(2), "line_no")
     return blocks.select(
-        field(1).alias("id1"), field(2).alias("id2"), field(3).cast("int").alias("score"), field(4).cast("int").alias("len1"),
-        field(5).cast("int").alias("len2"), part(2).alias("name1"), part(3).alias("name2"),
-    )
+        field(1).alias("id1"), field(2).alias("id2"), field(3).cast("int").alias("score"), field(4).cast("int").alias("len1"), field(5).cast("int").alias("len2"), "name1", "name2"
+    )
+
+
+def finds_report(finds: DataFrame) -> DataFrame:
+    """(line_no, line): the report of finds (id1, id2, score, len1, len2, name1, name2), best score first, under a line with their number."""
+    ranked = numbered(finds, [F.desc("score"), F.asc("id1"), F.asc("id2")], rank="place")
+    head = F.format_string("%s-%s s(%d) Length: %d/%d", "id1", "id2", "score", "len1", "len2")
+    lines = ranked.select("place", F.posexplode(F.array(head, F.concat(F.lit(" "), "name1"), F.concat(F.lit(" "), "name2"))).alias("k", "line"))
+    top = finds.agg(F.count("*").alias("n")).select(F.lit(0).cast("long").alias("line_no"), F.format_string("found %d finds", "n").alias("line"))
+    return top.union(lines.select((F.col("place") * 3 - 2 + F.col("k")).alias("line_no"), "line"))
+
+
+def write_lines(report: DataFrame, path: str) -> None:
+    """A report (line_no, line) as text files whose names are in the order of their lines."""
+    report.repartitionByRange("line_no").sortWithinPartitions("line_no").select("line").write.text(path)
 
 
 def find_text(finds: DataFrame) -> DataFrame:
@@ -42,19 +66,37 @@ def find_text(finds: DataFrame) -> DataFrame:
     return finds.select("score", F.concat(head, F.lit("\n "), "name1", F.lit("\n "), "name2").alias("text"))
 
 
+# The elements that are told from atoms' names.
+ELEMENTS = ("H", "C", "N", "O", "F", "P", "S", "CL", "CA", "FE", "BR", "I")
+
+
 def element_of(atom_name: Column) -> Column:
-    """An element guessed from an atom's name: its first letter after digits."""
-    return F.upper(F.regexp_extract(atom_name, r"^\s*\d*([A-Za-z])", 1))
+    """An element guessed from an atom's name without digits and quotes: its first two letters, else its first, if these are one; else C.
+
+    CA is taken for a carbon alpha, which every residue has, and not for calcium; a file that means calcium has to name it.
+    """
+    clean = F.upper(F.trim(F.regexp_replace(atom_name, "[0-9'\"]", "")))
+    two, one = F.substring(clean, 1, 2), F.substring(clean, 1, 1)
+    return F.when(two.isin(*ELEMENTS) & (two != "CA"), two).when(one.isin(*ELEMENTS), one).otherwise("C")
 
 
 def read_pdb(spark: SparkSession, path: str) -> DataFrame:
-    """ATOM and HETATM records: kind, serial, name, alt_loc, res_name, chain, res_seq, x, y, z and element."""
+    """ATOM and HETATM records: kind, serial, name, alt_loc, res_name, chain, res_seq, x, y, z and element.
+
+    Lines too short for coordinates are left out, a blank chain is A, and elements are guessed for lines that end before theirs.
+    """
     cut = lambda start, end: F.trim(F.substring("value", start, end - start + 1))
-    rows = spark.read.text(path).filter(F.col("value").rlike("^(ATOM  |HETATM)"))
+    rows = spark.read.text(path).filter(F.col("value").rlike("^(ATOM|HETATM)") & (F.length("value") >= 54))
     fields = [cut(1, 6).alias("kind"), cut(7, 11).try_cast("int").alias("serial"), cut(13, 16).alias("name"), cut(17, 17).alias("alt_loc"), cut(18, 20).alias("res_name")]
-    fields += [cut(22, 22).alias("chain"), cut(23, 26).try_cast("int").alias("res_seq")]
+    fields += [F.coalesce(F.nullif(cut(22, 22), F.lit("")), F.lit("A")).alias("chain"), cut(23, 26).try_cast("int").alias("res_seq")]
     fields += [cut(at, at + 7).try_cast("double").alias(c) for c, at in zip("xyz", (31, 39, 47))]
-    return rows.select(*fields, F.coalesce(F.nullif(F.upper(cut(77, 78)), F.lit("")), element_of(cut(13, 16))).alias("element"))
+    return rows.select(*fields, F.when(F.length("value") >= 78, F.upper(cut(77, 78))).otherwise(element_of(cut(13, 16))).alias("element"))
+
+
+def pdb_line(serial: Column, name: Column, chain: Column, res_seq: Column, x: Column, y: Column, z: Column, res_name: str = "GLY") -> Column:
+    """An ATOM line; x, y and z are texts of at most eight characters."""
+    right = lambda c, n: F.lpad(c.cast("string"), n, " ")
+    return F.concat(F.lit("ATOM  "), right(serial, 5), F.lit(" "), F.rpad(name, 4, " "), F.lit(" " + res_name.ljust(3) + " "), F.rpad(chain, 1, " "), right(res_seq, 4), F.lit(" " * 4), right(x, 8), right(y, 8), right(z, 8))
 
 
 def backbone(atoms: DataFrame) -> DataFrame:
