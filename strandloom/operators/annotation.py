@@ -125,6 +125,13 @@ def reason_counts(explained: DataFrame) -> DataFrame:
     return explained.rollup("phase", "reason").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
+def phase_percentages(explained: DataFrame) -> DataFrame:
+    """(phase, n, percent): pairs that each phase explains, of all pairs; phase is null for those that none does."""
+    counts = explained.groupBy("phase").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select("phase", "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
+
+
 def reason_lines(explained: DataFrame) -> DataFrame:
     """(reason, n, line): each reason's line of a report; reports list short reasons first, then by name."""
     counts = explained.filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))

@@ -55,3 +55,23 @@ def work_left(lengths: DataFrame, id_col: str, length_col: str) -> DataFrame:
     done = numbered(cells.select(id_col, length_col, "cells"), order, {"done": F.col("cells")}, rank="place")
     all_cells = cells.agg(F.sum("cells")).first()[0] or 0
     return done.select(id_col, length_col, (all_cells - F.col("done") + F.col("cells")).alias("cells_left"))
+
+
+def work_estimates(lengths: DataFrame, id_col: str, length_col: str, cells_per_second: int) -> DataFrame:
+    """(id_col, length, residues_done, cells_done, cells_left, seconds_left) once each query is done, longest queries first.
+
+    residues_done and cells_done are percents; a run that has done a share f of the residues has done 1 - (1 - f)^2 of
+    the triangular join's cells. cells_left counts them exactly.
+    """
+    total = lengths.agg(F.sum(length_col)).first()[0] or 0
+    left = work_left(lengths, id_col, length_col)
+    rows = lengths.select(F.col(id_col), F.col(length_col).cast("long").alias(length_col))
+    upto = numbered(rows, [F.desc(length_col), F.asc(id_col)], {"upto": F.col(length_col)}, rank="place").select(id_col, "upto")
+    joined = left.join(upto, id_col)
+    share = F.col("upto") / F.lit(float(max(total, 1)))
+    # a query's own cells meet what comes from it on
+    after = F.col("cells_left") - F.col(length_col) * (total - F.col("upto") + F.col(length_col))
+    return joined.select(
+        id_col, length_col, (share * 100).alias("residues_done"), (100 * (1 - (1 - share) * (1 - share))).alias("cells_done"), after.alias("cells_left"),
+        F.floor(after / cells_per_second).alias("seconds_left"),
+    )
