@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import bias, names
 from strandloom.functions.alignment import sw_align
+from strandloom.operators.ordering import numbered
+from strandloom.session import cut_lineage
 
 # Names of organisms, words of unknown proteins, and the databases whose ids are compared.
 ORGANISMS = {
@@ -90,19 +92,24 @@ def explain(finds: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """finds with phase (0, 1, 2, null) and reason; the first phase that explains a pair names it.
 
     finds has name1 and name2, and with records (accession, xrefs, description, comments, features) id1 and id2.
-    Records join from the left, so an unknown id only leaves its pair unexplained.
+    Records join from the left, so an unknown id only leaves its pair unexplained. What the names explain is told
+    first, each in one pass over the lower-cased names, and only the pairs left are joined with their records.
     """
     zero, one = _phase0(F.col("_lower1"), F.col("_lower2")), phase1(F.col("name1"), F.col("name2"))
-    two = F.lit(None).cast("string")
-    out = finds
-    if records is not None:
-        packed = F.struct("xrefs", "description", "comments", "features")
-        for i in "12":
-            out = out.join(records.select(F.col("accession").alias(f"id{i}"), packed.alias(f"_r{i}")), f"id{i}", "left")
-        two = phase2(F.col("_r1"), F.col("_r2"))
-    out = out.withColumns({f"_lower{i}": F.lower(f"name{i}") for i in "12"}).withColumn("_zero", zero).withColumn("_one", one).withColumn("_two", two)
-    phase = F.when(F.col("_zero").isNotNull(), 0).when(F.col("_one").isNotNull(), 1).when(F.col("_two").isNotNull(), 2)
-    return out.select(*finds.columns, phase.alias("phase"), F.coalesce("_zero", "_one", "_two").alias("reason"))
+    named = finds.withColumns({f"_lower{i}": F.lower(f"name{i}") for i in "12"}).withColumn("_zero", zero)
+    # the reason of phase 0 is tried first, so tokens are made for the other pairs alone
+    told = named.withColumn("_reason", F.coalesce("_zero", one)).withColumn("phase", F.when(F.col("_zero").isNotNull(), 0).when(F.col("_reason").isNotNull(), 1))
+    told = told.select(*finds.columns, "phase", F.col("_reason").alias("reason"))
+    if records is None:
+        return told
+    told = cut_lineage(told)
+    left = told.filter("phase is null").drop("phase", "reason")
+    packed = F.struct("xrefs", "description", "comments", "features")
+    for i in "12":
+        left = left.join(records.select(F.col("accession").alias(f"id{i}"), packed.alias(f"_r{i}")), f"id{i}", "left")
+    left = left.withColumn("reason", phase2(F.col("_r1"), F.col("_r2")))
+    left = left.select(*finds.columns, F.when(F.col("reason").isNotNull(), 2).alias("phase"), "reason")
+    return told.filter("phase is not null").union(left)
 
 
 def split_biased(unexplained: DataFrame, sequences: DataFrame, threshold: float = bias.PIPELINE_BIASED_UNDER) -> DataFrame:
@@ -132,6 +139,21 @@ def phase_percentages(explained: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("phase", "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
 
 
+def reasons_report(explained: DataFrame) -> DataFrame:
+    """(line_no, line): the report of reasons, short ones first, with totals by phase and of the pairs kept."""
+    lines = reason_lines(explained).select("reason", "n", "line")
+    ranked = numbered(lines.withColumn("size", F.length("reason")), [F.asc("size"), F.asc("reason")], rank="place").select((F.col("place") + 2).alias("line_no"), "line")
+    rule = "=" * 80
+    said = lambda label, n: F.concat(F.lit(label), n.cast("string"))
+    phases = [F.count_if(F.col("phase") == p).alias(f"n{p}") for p in range(3)]
+    total = explained.agg(F.count_if(F.col("phase").isNull()).alias("kept"), F.count_if(F.col("phase").isNotNull()).alias("gone"), F.count_distinct("reason").alias("kinds"), *phases)
+    after = F.array(F.lit(""), F.lit(rule), said("Total filtered: ", F.col("gone")), *[said(f"  phase {p}: ", F.col(f"n{p}")) for p in range(3)], said("Total kept: ", F.col("kept")))
+    below = total.select("kinds", F.posexplode(after).alias("k", "line")).select((F.col("kinds") + 3 + F.col("k")).alias("line_no"), "line")
+    head = F.array(F.lit("FILTERING REASONS (sorted by length - shortest first)"), F.lit(rule), F.lit(""))
+    above = total.select(F.posexplode(head).alias("line_no", "line")).select(F.col("line_no").cast("long"), "line")
+    return above.union(ranked).union(below)
+
+
 def reason_lines(explained: DataFrame) -> DataFrame:
     """(reason, n, line): each reason's line of a report; reports list short reasons first, then by name."""
     counts = explained.filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.components import connected_components
+from strandloom.operators.ordering import numbered
 from strandloom.session import cut_lineage
 
 EDGES = "u long, v long, score long"
@@ -121,6 +122,83 @@ def isolated(nodes: DataFrame, forest: DataFrame, id_col: str = "node") -> DataF
     return nodes.join(ends, id_col, "left_anti")
 
 
+def in_order(tree: DataFrame) -> DataFrame:
+    """tree with `place`, `last` (of its parent's children, best score first) and `sort_key`, which sorts depth first and children best first."""
+    siblings = Window.partitionBy("parent").orderBy(F.desc("score"), "node")
+    every = Window.partitionBy("parent")
+    own = tree.withColumn("_place", F.when(F.col("parent").isNull(), F.lit(1)).otherwise(F.row_number().over(siblings)))
+    own = own.withColumn("last", F.col("parent").isNotNull() & (F.col("_place") == F.count("*").over(every)))
+    own = cut_lineage(own.withColumn("place", F.struct((-F.coalesce("score", F.lit(0))).alias("minus"), F.col("node").alias("node"))).drop("_place"))
+    # what lies on a node's path, from the root down
+    steps = own.select("node", F.posexplode("path").alias("depth", "above"))
+    met = steps.join(own.select(F.col("node").alias("above"), "place", F.col("last").alias("above_last")), "above")
+    keys = met.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("depth", "place", "above_last"))).alias("_steps"))  # of one path each
+    keys = keys.select("node", F.transform("_steps", lambda s: s["place"]).alias("sort_key"), F.transform("_steps", lambda s: s["above_last"]).alias("lasts"))
+    return own.join(keys, "node")
+
+
+PREFIX_COLUMNS = 40
+
+
+def ascii_tree(tree: DataFrame, names: DataFrame | None = None, threshold: int = 0) -> DataFrame:
+    """(component, sort_key, line): the trees as drawn lines; sort by component, then sort_key.
+
+    The tree with most nodes is component 0, the others are numbered from 2 in the order of their roots. A child of a
+    score under the threshold is a stub, and what hangs below it is left out. Of a long prefix, the part from the
+    last multiple of PREFIX_COLUMNS on is shown behind that number. names has node, id, name and length.
+    """
+    placed = in_order(tree)
+    sizes = placed.groupBy("root").agg(F.count("*").alias("n"))
+    best = sizes.orderBy(F.desc("n"), "root").limit(1).select(F.col("root").alias("best"))
+    others = numbered(sizes.join(best, sizes["root"] == best["best"], "left_anti").select("root"), [F.asc("root")], rank="place").select("root", (F.col("place") + 1).alias("component"))
+    placed = placed.join(others, "root", "left").withColumn("component", F.coalesce("component", F.lit(0)))
+    weak = placed.filter(F.col("score") < threshold).select(F.col("node").alias("cut"))  # under a stub nothing is drawn
+    if threshold > 0:
+        below = placed.select("node", F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("cut")).join(weak, "cut", "left_semi").select("node").distinct()
+        placed = placed.join(below, "node", "left_anti")
+    labelled = placed.select("*", F.col("node").cast("string").alias("id"), F.lit("").alias("name"), F.lit(None).cast("long").alias("length")) if names is None else placed.join(names, "node", "left")
+    depth = F.size("path") - 1
+    inner = F.slice("lasts", F.lit(2), F.greatest(depth - 1, F.lit(0)))
+    prefix = F.array_join(F.transform(inner, lambda last: F.when(last, "   ").otherwise("\u2502  ")), "")
+    over = F.greatest(F.length(prefix) - PREFIX_COLUMNS, F.lit(0))
+    start = over - over % PREFIX_COLUMNS
+    shown = F.concat(start.cast("string"), F.lit(":"), F.substring(prefix, start + 1, F.length(prefix)))
+    long, short = (F.when(F.col("last"), f"\u2514{bar} ").otherwise(f"\u251c{bar} ") for bar in ("\u2500\u2500", "\u2500"))
+    said = F.concat(F.col("id"), F.lit(" Length:"), F.coalesce(F.col("length").cast("string"), F.lit("?")))
+    root = F.concat(shown, said, F.lit(" [ROOT "), F.col("component").cast("string"), F.lit("] "), F.coalesce("name", F.lit("")), F.lit(" "))
+    stub = F.concat(prefix, long, F.lit("[STUB: Node "), F.col("node").cast("string"), F.lit(", score "), F.col("score").cast("string"), F.lit(" < threshold]"))
+    child = F.concat(shown, short, said, F.lit(" (s:"), F.col("score").cast("string"), F.lit(") "), F.coalesce("name", F.lit("")))
+    line = F.when(F.col("parent").isNull(), root).when((F.lit(threshold) > 0) & (F.col("score") < threshold), stub).otherwise(child)
+    return labelled.select("component", "sort_key", line.alias("line"))
+
+
+def tree_report(tree: DataFrame, nodes: DataFrame, names: DataFrame, threshold: int = 0) -> DataFrame:
+    """(line_no, line): the drawn trees under a head, and the nodes without a link under a line with their number.
+
+    nodes has every node; names has node, id, name and length.
+    """
+    rule = "=" * 80
+    drawn = numbered(ascii_tree(tree, names, threshold), [F.asc("component"), F.asc("sort_key")], rank="place").select((F.col("place") + 3).alias("line_no"), "line")
+    root = largest_root(tree).select("node")
+    links = tree.filter("parent is not null").agg(F.count("*").alias("links"))
+    head = links.crossJoin(root).select(F.posexplode(F.array(F.format_string("Maximum Spanning Tree (root: node %d)", "node"), F.format_string("Total links: %d", "links"), F.lit(rule), F.lit(""))).alias("line_no", "line"))
+    alone = isolated(nodes.select("node"), tree.select(F.col("node").alias("u"), F.col("node").alias("v"))).join(names, "node", "left")
+    above = drawn.agg(F.coalesce(F.max("line_no"), F.lit(3)).alias("above"))
+    count = alone.agg(F.count("*").alias("n")).filter("n > 0").crossJoin(above)  # one row each
+    under = count.select("above", F.posexplode(F.array(F.lit(""), F.lit(rule), F.format_string("ISOLATED NODES (no connections): %d", "n"), F.lit("-" * 80))).alias("k", "line"))
+    listed = numbered(alone.select("node", "name"), [F.asc("node")], rank="place").crossJoin(F.broadcast(above))
+    listed = listed.select((F.col("above") + 4 + F.col("place")).alias("line_no"), F.concat(F.lit("Node "), F.col("node").cast("string"), F.lit(": "), F.coalesce("name", F.lit(""))).alias("line"))
+    return head.select(F.col("line_no").cast("long"), "line").union(drawn).union(under.select((F.col("above") + 1 + F.col("k")).alias("line_no"), "line")).union(listed)
+
+
+def to_json(tree: DataFrame) -> DataFrame:
+    """(node, json): node, parent, score and children, best first, of each node as a JSON object."""
+    below = in_order(tree).filter("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.array_sort(F.collect_list("place")).alias("c"))
+    below = below.select("node", F.transform("c", lambda s: s["node"]).alias("children"))
+    record = F.struct("node", "parent", F.coalesce("score", F.lit(-1)).alias("score"), F.coalesce("children", F.array().cast("array<long>")).alias("children"))
+    return tree.select("node", "parent", "score").join(below, "node", "left").select("node", F.to_json(record, {"ignoreNullFields": "false"}).alias("json"))
+
+
 def report(tree: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(root, line_key, line): an indented line for each node, in depth-first order of line_key."""
     label = F.col("node").cast("string")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.functions import names
+from strandloom.functions import bias, names
+from strandloom.functions.alphabet import letters_only
 from strandloom.functions.names import STEM_LENGTH, STOPWORDS, SUFFIXES
 from strandloom.operators import annotation
 from strandloom.session import spread, table
@@ -104,11 +105,86 @@ steps AS (SELECT a.l_partkey, min(least(a.l_suppkey, b.l_suppkey)) AS s FROM par
 SELECT n.l_partkey, format('PTHR{:05d}', c) AS common, format('PTHR{:05d}', s) || '/' || format('PTHR{:05d}', s + 1) AS sequential
 FROM neighbours n LEFT JOIN common ON n.l_partkey = common.l_partkey LEFT JOIN steps ON n.l_partkey = steps.l_partkey"""
 
+def pair_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names of equal length as they stand, each with the first of its length."""
+    t = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("seq_no")).select("seq_no", letters_only(F.col("name")).alias("sequence"))
+    rows = t.withColumn("n", F.length("sequence"))
+    first = rows.groupBy("n").agg(F.min(F.struct("seq_no", "sequence")).alias("f")).select("n", F.col("f.seq_no").alias("first_no"), F.col("f.sequence").alias("first"))
+    return rows.join(first, "n")
+
+
+def bias_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compositional bias of what each part name has in common with the first of its length, place by place."""
+    judged = bias.assess(F.col("first"), F.col("sequence"))
+    return pair_names(spark, sf_dir).withColumn("b", judged).select(
+        "first_no", "seq_no", F.round("b.goodness", 6).alias("goodness"), F.col("b.reason").alias("reason"), F.round("b.entropy", 6).alias("entropy"), F.col("b.num_matches").cast("long").alias("matches"),
+        F.col("b.unique_residues").cast("long").alias("kinds"),
+    )
+
+
+def _bias_sql(pairs: str) -> str:
+    """DuckDB CTEs: judged(key, goodness, reason, entropy, matches, kinds) of a relation pairs(key, same), same being the residues that agree."""
+    share = lambda n: f"CAST(round_even(100.0 * {n} / total, 0) AS INT)"
+    return f"""
+pairs AS ({pairs}),
+places AS (SELECT key, same[i] AS c, i FROM (SELECT key, same, unnest(range(1, len(same) + 1)) AS i FROM pairs)),
+counted AS (SELECT key, c, count(*) AS n, min(i) AS seen FROM places GROUP BY key, c),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, seen) AS r, sum(n) OVER (PARTITION BY key) AS total FROM counted),
+sums AS (
+  SELECT key, any_value(total) AS total, count(*) AS kinds, 0.0 - sum(n / total * log2(n / total)) AS bits, max(n) AS top, sum(n) FILTER (r <= 3) AS top3,
+         max(c) FILTER (r = 1) AS one, string_agg(c, '' ORDER BY r) FILTER (r <= 2) AS two FROM ranks GROUP BY key
+),
+judged AS (
+  SELECT p.key, coalesce(0.45 * bits / 4.32 + 0.40 * (1 - pow(CAST(top AS DOUBLE) / total, 0.8)) + 0.15 * least(1.0, kinds / sqrt(total) / 2), 1.0) AS goodness,
+         CASE WHEN total IS NULL THEN 'No-matches' WHEN 100.0 * top / total >= 60 THEN one || '-Rich (' || {share("top")} || '%)' WHEN 100.0 * top / total >= 40 THEN one || '-Biased (' || {share("top")} || '%)'
+              WHEN 100.0 * top3 / total >= 75 THEN two || '-Biased (' || {share("top3")} || '%)' WHEN bits < 2.0 THEN 'Low-complexity (' || two || ')' ELSE 'Diverse' END AS reason,
+         coalesce(bits, 0.0) AS entropy, coalesce(total, 0) AS matches, coalesce(kinds, 0) AS kinds
+  FROM pairs p LEFT JOIN sums s ON s.key = p.key
+)"""
+
+
+_NAMES = "names AS (SELECT min(p_partkey) AS seq_no, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS sequence FROM part GROUP BY p_name)"
+_SAME = "array_to_string(list_transform(list_filter(range(1, len(first) + 1), lambda i: first[i] = sequence[i]), lambda i: first[i]), '')"
+BIAS_NAMES = f"""WITH {_NAMES},
+firsts AS (SELECT len(sequence) AS n, arg_min(sequence, seq_no) AS first, min(seq_no) AS first_no FROM names GROUP BY ALL),
+{_bias_sql(f"SELECT (first_no, seq_no) AS key, {_SAME} AS same FROM names JOIN firsts ON len(sequence) = n")}
+SELECT key[1] AS first_no, key[2] AS seq_no, round(goodness, 6) AS goodness, reason, round(entropy, 6) AS entropy, CAST(matches AS BIGINT) AS matches, CAST(kinds AS BIGINT) AS kinds FROM judged"""
+
+
+def bias_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of parts of one name, aligned whole, that their composition explains."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("accession"), letters_only(F.col("p_name")).alias("sequence"), "p_name")
+    first = parts.groupBy("p_name").agg(F.min(F.col("accession").cast("long")).cast("string").alias("id1"))
+    pairs = parts.join(first, "p_name").select("id1", F.col("accession").alias("id2"), F.lit(None).cast("string").alias("reason"))
+    return annotation.split_biased(pairs, parts).select("id1", "id2", F.round("goodness", 6).alias("goodness"), "reason")
+
+
+BIAS_PHASE = f"""WITH parts AS (SELECT p_partkey, p_name, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS sequence FROM part),
+firsts AS (SELECT p_name, min(p_partkey) AS id1 FROM parts GROUP BY p_name),
+{_bias_sql("SELECT p_partkey AS key, regexp_replace(regexp_replace(sequence, '^[OU]+', ''), '[OU]+$', '') AS same FROM parts")}
+SELECT CAST(id1 AS VARCHAR) AS id1, CAST(p.p_partkey AS VARCHAR) AS id2, round(goodness, 6) AS goodness, CASE WHEN goodness < 0.7 THEN 'Compositional: ' || reason END AS reason
+FROM parts p JOIN firsts f ON f.p_name = p.p_name JOIN judged ON key = p.p_partkey"""
+
+
+def reasons_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the reasons that explain neighbouring documents."""
+    return annotation.reasons_report(explain_documents(spark, sf_dir).withColumn("phase", F.col("phase").cast("int")))
+
+
+REASONS_REPORT = f"""WITH {PAIRS},
+counts AS (SELECT reason, count(*) AS n FROM reasons WHERE reason IS NOT NULL GROUP BY reason),
+total AS (SELECT count(*) FILTER (phase IS NULL) AS kept, count(*) FILTER (phase IS NOT NULL) AS gone, count(*) FILTER (phase = '0') AS n0, count(*) FILTER (phase = '1') AS n1, (SELECT count(*) FROM counts) AS kinds FROM reasons)
+SELECT CAST(k AS BIGINT) AS line_no, ['FILTERING REASONS (sorted by length - shortest first)', repeat('=', 80), ''][k + 1] AS line FROM range(3) t(k)
+UNION ALL SELECT row_number() OVER (ORDER BY len(reason), reason) + 2, CASE WHEN len(reason) < 40 THEN rpad(reason, 40, ' ') ELSE reason END || ' : ' || CASE WHEN n < 1000000 THEN lpad(CAST(n AS VARCHAR), 6, ' ') ELSE CAST(n AS VARCHAR) END FROM counts
+UNION ALL SELECT kinds + 3 + k, ['', repeat('=', 80), 'Total filtered: ' || gone, '  phase 0: ' || n0, '  phase 1: ' || n1, '  phase 2: 0', 'Total kept: ' || kept][k + 1] FROM total, range(7) t(k)"""
+
 QUERIES = {
+    "bias_names": bias_names, "bias_phase": bias_phase, "reasons_report": reasons_report,
     "munge_filter": munge_filter, "document_tokens": document_tokens, "explain_documents": explain_documents, "reason_histogram": reason_histogram,
     "shared_longest": shared_longest, "panther_neighbours": panther_neighbours,
 }
 ORACLES = {
+    "bias_names": BIAS_NAMES, "bias_phase": BIAS_PHASE, "reasons_report": REASONS_REPORT,
     "munge_filter": MUNGE_FILTER,
     "document_tokens": f"""SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS kinds, list_min(t) AS first FROM (SELECT doc_id, {_tokens_sql("coalesce(text, '')")} AS t FROM documents)""",
     "explain_documents": f"WITH {PAIRS} SELECT doc_id, phase, reason FROM reasons",

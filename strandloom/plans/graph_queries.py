@@ -129,13 +129,80 @@ def forest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/forest-{query.lastProgress['batchId']}")
 
 
+def strong_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The forest's edges of average score or more, hung up, and a score that some of them lie under."""
+    found = forest.maximum_spanning_forest(trade_links(spark, sf_dir))
+    mean = found.agg(F.avg("score").alias("m"))  # one row
+    strong = found.join(F.broadcast(mean), F.col("score") >= F.col("m")).select("u", "v", "score")
+    return forest.rooted(strong), int(mean.first()["m"] or 0) + 2
+
+
+def nation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey").cast("long")
+    return table(spark, sf_dir, "nation").select(key.alias("node"), F.col("n_name").alias("id"), F.format_string("in region %d", "n_regionkey").alias("name"), (key * 10).alias("length"))
+
+
+def tree_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees of strong trade as drawn lines, with stubs, further roots and nations without strong trade."""
+    tree, threshold = strong_tree(spark, sf_dir)
+    names = nation_names(spark, sf_dir)
+    return forest.tree_report(tree, names, names, threshold)
+
+
+_STRONG = f"""{TRADE_FOREST},
+strong AS (SELECT * FROM forest WHERE score >= (SELECT avg(score) FROM forest)),
+sides AS (SELECT u AS x, v AS y, score FROM strong UNION ALL SELECT v, u, score FROM strong),
+reached AS (SELECT DISTINCT x AS node, x AS seen FROM sides UNION SELECT reached.node, y FROM reached JOIN sides ON x = seen),
+roots AS (SELECT DISTINCT min(seen) OVER (PARTITION BY node) AS root FROM reached),
+tree AS (
+  SELECT root AS node, CAST(NULL AS BIGINT) AS parent, CAST(NULL AS BIGINT) AS score, root FROM roots
+  UNION ALL
+  SELECT y, x, sides.score, root FROM tree JOIN sides ON x = node WHERE y IS DISTINCT FROM parent
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY score DESC, node) = count(*) OVER (PARTITION BY parent) AS last FROM tree WHERE parent IS NOT NULL),
+sizes AS (SELECT root, count(*) AS n FROM tree GROUP BY root),
+best AS (SELECT root FROM sizes ORDER BY n DESC, root LIMIT 1),
+parts AS (SELECT root, 0 AS component FROM best UNION ALL SELECT root, row_number() OVER (ORDER BY root) + 1 FROM sizes WHERE root NOT IN (SELECT root FROM best))"""
+_TREE_DRAWING = f"""WITH RECURSIVE {_STRONG},
+cut AS (SELECT CAST(floor(avg(score)) AS BIGINT) + 2 AS least FROM forest),
+drawn AS (
+  SELECT root AS node, component, '' AS prefix, '' AS branch, [CAST(0 AS BIGINT), root] AS key, false AS stub,
+         '0:' || n_name || ' Length:' || root * 10 || ' [ROOT ' || component || '] in region ' || n_regionkey || ' ' AS line
+  FROM parts JOIN nation ON n_nationkey = root
+  UNION ALL
+  SELECT p.node, component, prefix || branch, CASE WHEN last THEN '   ' ELSE '│  ' END, list_concat(key, [-p.score, p.node]), p.score < least,
+         CASE WHEN p.score < least THEN prefix || branch || CASE WHEN last THEN '└── ' ELSE '├── ' END || '[STUB: Node ' || p.node || ', score ' || p.score || ' < threshold]'
+              ELSE (greatest(len(prefix || branch) - 40, 0) // 40 * 40) || ':' || substr(prefix || branch, greatest(len(prefix || branch) - 40, 0) // 40 * 40 + 1) || CASE WHEN last THEN '└─ ' ELSE '├─ ' END
+                   || n_name || ' Length:' || p.node * 10 || ' (s:' || p.score || ') in region ' || n_regionkey END
+  FROM drawn JOIN placed p ON p.parent = drawn.node JOIN nation ON n_nationkey = p.node, cut WHERE NOT stub
+),
+numbered AS (SELECT row_number() OVER (ORDER BY component, key) + 3 AS line_no, line FROM drawn),
+alone AS (SELECT n_nationkey AS node, n_regionkey FROM nation WHERE n_nationkey NOT IN (SELECT node FROM tree)),
+top AS (SELECT coalesce(max(line_no), 3) AS above, (SELECT count(*) FROM alone) AS n FROM numbered)
+SELECT CAST(k AS BIGINT) AS line_no, ['Maximum Spanning Tree (root: node ' || (SELECT root FROM best) || ')', 'Total links: ' || (SELECT count(*) FROM strong), repeat('=', 80), ''][k + 1] AS line FROM range(4) t(k)
+UNION ALL SELECT * FROM numbered
+UNION ALL SELECT above + 1 + k, ['', repeat('=', 80), 'ISOLATED NODES (no connections): ' || n, repeat('-', 80)][k + 1] FROM top, range(4) t(k) WHERE n > 0
+UNION ALL SELECT above + 4 + row_number() OVER (ORDER BY node), 'Node ' || node || ': in region ' || n_regionkey FROM alone, top"""
+
+
+def forest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trees of strong trade as a JSON object."""
+    return forest.to_json(strong_tree(spark, sf_dir)[0])
+
+
+_FOREST_JSON = f"""WITH RECURSIVE {_STRONG},
+below AS (SELECT parent AS node, list(node ORDER BY score DESC, node) AS children FROM placed GROUP BY parent)
+SELECT t.node, CAST(to_json({{'node': t.node, 'parent': parent, 'score': coalesce(score, -1), 'children': coalesce(children, CAST([] AS BIGINT[]))}}) AS VARCHAR) AS json FROM tree t LEFT JOIN below b ON b.node = t.node"""
+
 QUERIES = {
+    "tree_drawing": tree_drawing, "forest_json": forest_json,
     "forest_nations": forest_nations, "tree_children": tree_children, "tree_descendants": tree_descendants, "tree_root": tree_root, "tree_report": tree_report,
     "link_stats": link_stats, "forest_supply": forest_supply, "supply_components": supply_components, "isolated_parts": isolated_parts, "forest_stream": forest_stream,
 }
 _FOREST = f"WITH RECURSIVE {TRADE_FOREST} SELECT u, v, score FROM forest"
 _DESCENDANTS = "SELECT node, count(*) - 1 AS descendants FROM (SELECT unnest(path) AS node FROM tree) GROUP BY node"
 ORACLES = {
+    "tree_drawing": _TREE_DRAWING, "forest_json": _FOREST_JSON,
     "forest_nations": _FOREST, "forest_stream": _FOREST,
     "tree_children": f"WITH RECURSIVE {TRADE_TREE} SELECT parent, node, score, row_number() OVER (PARTITION BY parent ORDER BY score DESC, node) AS place FROM tree WHERE parent IS NOT NULL",
     "tree_descendants": f"WITH RECURSIVE {TRADE_TREE} {_DESCENDANTS}",
