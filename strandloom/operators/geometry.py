@@ -105,6 +105,16 @@ def apply_transform(point: Column, transform: Column) -> Column:
     return F.array(*[sum((r[3 * i + j] * point[j] for j in range(3)), t[i]) for i in range(3)])
 
 
+def superposition_json(name_a: Column, name_b: Column, transform: Column, digits: int) -> Column:
+    """A superposition as a JSON object of both names, RMSD, rotation matrix and translation vector, to that many digits."""
+    whole = lambda x: F.round(x, digits) + F.lit(0.0)  # noqa: E731  no negative zeros
+    r = transform["rotation"]
+    matrix = F.array(*[F.array(*[whole(r[3 * i + j]) for j in range(3)]) for i in range(3)])
+    return F.to_json(F.struct(
+        name_a.alias("protein_A"), name_b.alias("protein_B"), whole(transform["rmsd"]).alias("rmsd"), matrix.alias("rotation_matrix"), F.transform(transform["translation"], whole).alias("translation_vector"),
+    ))
+
+
 def smoothed(points: DataFrame, keys: list[str], order: list[str], coords: tuple[str, ...] = ("x", "y", "z"), amount: float = 0.5) -> DataFrame:
     """points with each coordinate moved by `amount` towards its nearest place on the segment between its neighbours.
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import alphabet, names
 from strandloom.functions.alphabet import letters_only
-from strandloom.operators import integrity
+from strandloom.operators import annotation, integrity
 from strandloom.plans.annotation_queries import _tokens_sql
 from strandloom.plans.sequence_queries import FIND_NAMES, find_names
-from strandloom.session import scratch_folder, settled, table
+from strandloom.session import cut_lineage, scratch_folder, settled, table
 from strandloom.sources import links, sequences
 
 TITLE = "Seen again"
@@ -117,7 +117,7 @@ def part_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
              F.when(size % 7 == 0, xref("PANTHER", text("PTHR%05d:SF1", key % 9), F.lit("some")))).alias("xrefs"),
         F.array(F.lit("Repeat"), F.initcap("p_type")).alias("keywords"),
         F.array(feature("DOMAIN", (size % 5 + 1).cast("int"), (size % 5 + 4).cast("int"), F.concat(kind, F.lit(" part")), text("D%d", key)),
-                feature("REGION", (size % 3 + 2).cast("int"), (size % 3 + 6).cast("int"), F.rpad(F.lit("long note"), 60, "x"), text("R%d", key))).alias("features"),
+                feature("CHAIN", (size % 3 + 2).cast("int"), (size % 3 + 6).cast("int"), F.rpad(F.lit("long note"), 60, "x"), text("R%d", key))).alias("features"),
         F.lit("2001-02-03").alias("created"), F.lit("2004-07-05").alias("sequence_update"), F.lit("2024-12-24").alias("annotation_update"), (size % 3 + 1).cast("int").alias("sequence_version"),
         size.cast("int").alias("entry_version"), (size % 5 + 1).cast("int").alias("protein_existence"),
         F.array(F.struct(F.lit(1).alias("number"), F.lit("MADE.").alias("positions"), F.concat("p_brand", F.lit(" A., Other B.")).alias("authors"), F.lit(TITLE).alias("title"),
@@ -167,7 +167,7 @@ SELECT seq_no, entry_name, CASE WHEN size % 4 = 0 THEN 'Unreviewed' ELSE 'Review
        array_to_string(list_filter([CASE WHEN size % 3 = 0 THEN printf('GO GO:%07d C:x', size) END, CASE WHEN size % 5 = 0 THEN printf('InterPro IPR%06d %s.1', key % 7, kind) END,
          CASE WHEN size % 7 = 0 THEN printf('PANTHER PTHR%05d:SF1 some', key % 9) END], lambda x: x IS NOT NULL), '|') AS xrefs,
        'Repeat|' || upper(type[1]) || lower(type[2:]) AS keywords,
-       printf('DOMAIN %d %d D%d %d|REGION %d %d R%d 60', size % 5 + 1, size % 5 + 4, key, len(kind) + 5, size % 3 + 2, size % 3 + 6, key) AS features,
+       printf('DOMAIN %d %d D%d %d|CHAIN %d %d R%d 60', size % 5 + 1, size % 5 + 4, key, len(kind) + 5, size % 3 + 2, size % 3 + 6, key) AS features,
        '2001-02-03' AS created, '2004-07-05' AS sequence_update, '2024-12-24' AS annotation_update, CAST(size % 3 + 1 AS BIGINT) AS sequence_version, CAST(size AS BIGINT) AS entry_version,
        CAST(size % 5 + 1 AS BIGINT) AS protein_existence, CAST(len(name) * 110 AS BIGINT) AS molecular_weight, printf('%016X', key) AS crc64, len(sequence) AS length, sequence,
        '1|MADE.|' || brand || ' A., Other B.|{TITLE}|J. Parts ' || size || ':1-2(2001)|PubMed|' || key AS reference
@@ -365,10 +365,10 @@ def feature_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FEATURE_TABLES = f"""WITH {PART_ENTRIES}, lines AS (
   SELECT key AS part, 'FT   DOMAIN          ' || (size % 5 + 1) || '..' || (size % 5 + 4) || ' /note="' || kind || ' part"' || chr(10) || repeat(' ', 0) || 'FT' || repeat(' ', 19) || '/id="D' || key || '"' AS domain,
-         'FT   REGION          ' || (size % 3 + 2) || '..' || (size % 3 + 6) || chr(10) || 'FT' || repeat(' ', 19) || '/note="' || rpad('long note', 60, 'x') || '"' || chr(10) || 'FT' || repeat(' ', 19) || '/id="R' || key || '"' AS region,
-         size % 5 <= 2 AS has_domain, size % 3 + 1 <= 2 AS has_region FROM parts
+         'FT   CHAIN           ' || (size % 3 + 2) || '..' || (size % 3 + 6) || chr(10) || 'FT' || repeat(' ', 19) || '/note="' || rpad('long note', 60, 'x') || '"' || chr(10) || 'FT' || repeat(' ', 19) || '/id="R' || key || '"' AS chain,
+         size % 5 <= 2 AS has_domain, size % 3 + 1 <= 2 AS has_chain FROM parts
 )
-SELECT part, CASE WHEN has_domain OR has_region THEN 'FT   Key             Location/Qualifiers' || CASE WHEN has_domain THEN chr(10) || domain ELSE '' END || CASE WHEN has_region THEN chr(10) || region ELSE '' END ELSE '' END AS lines
+SELECT part, CASE WHEN has_domain OR has_chain THEN 'FT   Key             Location/Qualifiers' || CASE WHEN has_domain THEN chr(10) || domain ELSE '' END || CASE WHEN has_chain THEN chr(10) || chain ELSE '' END ELSE '' END AS lines
 FROM lines"""
 
 
@@ -385,13 +385,40 @@ def short_tokens_sql(text: str) -> str:
 _POOLED = f"list_sort(list_distinct(list_concat({short_tokens_sql("name || ' maker'")}, {short_tokens_sql('name')})))"
 NAME_TOKENS = f"WITH {PART_ENTRIES} SELECT key AS part, array_to_string({_POOLED}, ' ') AS tokens FROM parts"
 
+def explain_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of parts three keys apart, explained by their names or by their records of the flat files."""
+    folder = scratch_folder(spark, "flat")
+    records = cut_lineage(part_records(spark, sf_dir, folder).select("accession", "xrefs", "description", "comments", "features"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" maker")).alias("name"))
+    ident = lambda c: F.format_string("P%06d", c)
+    other = parts.select((F.col("p_partkey") - 3).alias("p_partkey"), F.col("name").alias("name2"))
+    finds = parts.join(other, "p_partkey").select(ident("p_partkey").alias("id1"), ident(F.col("p_partkey") + 3).alias("id2"), F.col("name").alias("name1"), "name2")
+    return settled(annotation.explain(finds, records).select("id1", "id2", F.col("phase").cast("string").alias("phase"), "reason"), folder)
+
+
+_SHARED = f"list_sort(list_intersect({_POOLED.replace('name', 'a.name')}, {_POOLED.replace('name', 'b.name')}))"
+_STEMS = f"""list_sort(list_distinct(list_intersect({_tokens_sql("a.name || ' maker'")}, {_tokens_sql("b.name || ' maker'")})))"""
+EXPLAIN_RECORDS = f"""WITH {PART_ENTRIES}, said AS (
+  SELECT a.accession AS id1, b.accession AS id2,
+    CASE WHEN contains(a.name, 'toxin') AND contains(b.name, 'toxin') THEN 'toxins' WHEN lower(a.name || ' maker')[1:11] = lower(b.name || ' maker')[1:11] THEN 'similar names' END AS zero,
+    nullif(array_to_string({_STEMS}, ', '), '') AS one,
+    CASE WHEN a.size % 5 = 0 AND b.size % 5 = 0 AND a.key % 7 = b.key % 7 THEN printf('InterPro: IPR%06d', a.key % 7) WHEN a.size % 7 = 0 AND b.size % 7 = 0 AND a.key % 9 = b.key % 9 THEN printf('Panther: PTHR%05d', a.key % 9)
+         WHEN a.size % 7 = 0 AND b.size % 7 = 0 AND abs(a.key % 9 - b.key % 9) = 1 THEN printf('Panther: PTHR%05d/PTHR%05d', least(a.key % 9, b.key % 9), greatest(a.key % 9, b.key % 9))
+         WHEN list_sum(list_transform({_SHARED}, lambda x: len(x))) >= 10 THEN 'Name: ' || array_to_string({_SHARED}, ', ')
+         WHEN a.size % 6 = 0 AND b.size % 6 = 0 AND a.kind = b.kind THEN '-!- SIMILARITY: ' || a.kind WHEN a.size % 10 = 0 AND b.size % 10 = 0 AND a.key % 3 = b.key % 3 THEN printf('Family: fam%d', a.key % 3)
+         WHEN a.kind = b.kind THEN 'Domain: ' || a.kind END AS two
+  FROM parts a JOIN parts b ON b.key = a.key + 3
+) SELECT id1, id2, CASE WHEN zero IS NOT NULL THEN '0' WHEN one IS NOT NULL THEN '1' WHEN two IS NOT NULL THEN '2' END AS phase, coalesce(zero, one, two) AS reason FROM said"""
+
 QUERIES = {
+    "explain_records": explain_records,
     "fasta_records": fasta_records, "fasta_lookups": fasta_lookups, "packed_records": packed_records, "first_last_lengths": first_last_lengths, "flatfile_records": flatfile_records,
     "record_summaries": record_summaries, "integrity_files": integrity_files, "integrity_mismatches": integrity_mismatches, "links_files": links_files, "finds_report": finds_report,
     "finds_read": finds_read, "structure_atoms": structure_atoms, "structure_places": structure_places, "matrix_scores": matrix_scores, "residue_codes": residue_codes,
     "remote_sequences": remote_sequences, "feature_tables": feature_tables, "name_tokens": name_tokens,
 }
 ORACLES = {
+    "explain_records": EXPLAIN_RECORDS,
     "fasta_records": FASTA_RECORDS, "fasta_lookups": FASTA_LOOKUPS, "packed_records": PACKED_RECORDS, "first_last_lengths": FIRST_LAST_LENGTHS, "flatfile_records": FLATFILE_RECORDS,
     "record_summaries": RECORD_SUMMARIES, "integrity_files": INTEGRITY_FILES, "integrity_mismatches": f"SELECT * FROM ({INTEGRITY_FILES}) WHERE status <> 'equal' ORDER BY seq_no LIMIT 10",
     "links_files": LINKS_FILES, "finds_report": FINDS_REPORT, "finds_read": FINDS_READ, "structure_atoms": STRUCTURE_ATOMS, "structure_places": STRUCTURE_PLACES, "matrix_scores": MATRIX_SCORES,

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.operators import forest
 from strandloom.operators.components import connected_components
-from strandloom.session import shared_folder, table
+from strandloom.session import scratch_folder, settled, table
 from strandloom.streaming import jobs
 
 STRONG = 80
@@ -120,13 +118,13 @@ SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT u FROM links W
 
 def forest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nations' forest again, kept over a stream of link files."""
-    folder = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "forest")
     links = trade_links(spark, sf_dir)
     links.repartition(3, "query_seq").write.parquet(f"{folder}/links")
     stream = spark.readStream.schema(links.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/links")
     query = jobs.forest_stream(stream, folder)
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/forest-{query.lastProgress['batchId']}")
+    return settled(spark.read.parquet(f"{folder}/forest-{query.lastProgress['batchId']}"), folder)
 
 
 def strong_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:

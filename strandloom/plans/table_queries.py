@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import formats, taxonomy
 from strandloom.functions.taxonomy import HOUSEKEEPING
-from strandloom.operators import geometry, integrity
-from strandloom.session import shared_folder, table
-from strandloom.sources.links import deduplicated
+from strandloom.operators import geometry, integrity, patterns
+from strandloom.session import scratch_folder, settled, table
+from strandloom.sources.links import deduplicated, read_links
 from strandloom.streaming import jobs
 
 CUTOFF = 0.05
@@ -193,13 +191,13 @@ SELECT category, count(*) AS n, string_agg(line, '|' ORDER BY seq_no) FILTER (pl
 
 def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same last lines, kept over a stream of line files."""
-    folder = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "log")
     lines = log_lines(spark, sf_dir)
     lines.repartition(3, "seq_no").write.parquet(f"{folder}/lines")
     query = jobs.log_stream(spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/lines"), folder, n=LAST)
     query.awaitTermination()
     kept = spark.read.parquet(f"{folder}/lines-{query.lastProgress['batchId']}")
-    return kept.select(formats.line_category(F.col("line")).alias("category"), "seq_no", "line")
+    return settled(kept.select(formats.line_category(F.col("line")).alias("category"), "seq_no", "line"), folder)
 
 
 LOG_STREAM = f"""WITH {LOG_LINES} SELECT category, seq_no, line FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY seq_no DESC) AS place FROM lines) WHERE place <= {LAST}"""
@@ -210,7 +208,8 @@ def stream_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = jobs.event_stream(spark, sf_dir)
     good = F.when(F.col("value").isNotNull() & ~F.isnan("value"), F.col("value"))
     sums = events.groupBy("event_type").agg(F.count("*").alias("records"), F.count(good).alias("n"), F.sum(F.round(good * 100).cast("long")).alias("hundredths"))
-    return jobs.run_available(sums, f"{shared_folder(spark)}/sums-{uuid.uuid4().hex}")
+    folder = scratch_folder(spark, "sums")
+    return settled(jobs.run_available(sums, folder), folder)
 
 
 STREAM_SUMS = """
@@ -219,11 +218,12 @@ FROM events GROUP BY event_type"""
 
 
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by hour and type over the stream, late ones up to a day."""
+    """Events by hour and type over the stream so far. All windows are put out each time, so none is closed and no event is late."""
     events = jobs.event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
     counts = events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    out = jobs.run_available(counts, f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}")
-    return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")
+    folder = scratch_folder(spark, "windows")
+    out = jobs.run_available(counts, folder)
+    return settled(out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n"), folder)
 
 
 WINDOWED_EVENTS = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL"
@@ -303,13 +303,145 @@ def first_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FIRST_PAGE = "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 20"
 
+def closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by hour and type over the stream, of the hours that are closed: a day before the last event seen, so later ones are dropped."""
+    folder = scratch_folder(spark, "closed")
+    events = jobs.event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
+    counts = events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    out = jobs.append_available(counts, folder)
+    return settled(out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n"), folder)
+
+
+CLOSED_WINDOWS = """
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL"""
+
+
+def closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user over the stream, once they are closed."""
+    folder = scratch_folder(spark, "sessions")
+    events = jobs.event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
+    sessions = events.groupBy(F.session_window("ts", "12 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
+    out = jobs.append_available(sessions, folder)
+    return settled(out.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n"), folder)
+
+
+CLOSED_SESSIONS = """
+WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 12 HOURS, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, session
+HAVING max(ts) + INTERVAL 12 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"""
+
+
+def flushed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links by way of a stream that is flushed each second, stopped, and taken up again, read back from its files."""
+    folder = scratch_folder(spark, "flush")
+    lines = table(spark, sf_dir, "lineitem")
+    links = lines.groupBy(F.col("l_partkey").alias("query_seq"), F.col("l_suppkey").alias("target_seq")).agg(F.count("*").cast("int").alias("score"))
+    for part in range(2):
+        links.filter(F.col("query_seq") % 2 == part).write.mode("append").parquet(f"{folder}/in")
+        query = jobs.flush_links(spark.readStream.schema(links.schema).parquet(f"{folder}/in"), folder, "1 second")
+        query.processAllAvailable()
+        query.stop()
+    return settled(deduplicated(read_links(spark, f"{folder}/links")), folder)
+
+
+FLUSHED_LINKS = "SELECT l_partkey AS query_seq, l_suppkey AS target_seq, CAST(count(*) AS INT) AS score FROM lineitem GROUP BY ALL"
+
+
+def taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as species of their regions; the last region has a root of its own."""
+    t = lambda name: table(spark, sf_dir, name)
+    none = F.lit(None).cast("long")
+    roots = t("region").select((F.when(F.col("r_regionkey") == 4, 2).otherwise(1)).cast("long").alias("taxid"), none.alias("parent"), F.lit("root").alias("rank")).distinct()
+    regions = t("region").select((F.col("r_regionkey") + 100).cast("long").alias("taxid"), F.when(F.col("r_regionkey") == 4, 2).otherwise(1).cast("long").alias("parent"), F.lit("phylum").alias("rank"))
+    nations = t("nation").select((F.col("n_nationkey") + 1000).cast("long").alias("taxid"), (F.col("n_regionkey") + 100).cast("long").alias("parent"), F.lit("species").alias("rank"))
+    return roots.union(regions).union(nations)
+
+
+def taxonomy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers in pairs by the class of their taxa; some taxa are unknown, and some share no ancestor."""
+    lines = taxonomy.lineages(taxa(spark, sf_dir))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), (F.col("s_nationkey") + 1000).cast("long").alias("tb"), "s_name")
+    n = suppliers.count()
+    customers = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 50 == 7, 9999).otherwise(F.col("c_nationkey") + 1000).cast("long").alias("ta"), (F.col("c_custkey") % n).alias("key"), "c_mktsegment")
+    pairs = customers.join(suppliers, "key")
+    of = lambda end: lines.select(F.col("taxid").alias(f"t{end}"), F.col("lineage").alias(f"l{end}"))
+    ranks = lines.agg(F.map_from_entries(F.collect_list(F.struct("taxid", "rank"))).alias("ranks"))  # of a taxonomy, which is small
+    met = pairs.join(of("a"), "ta", "left").join(of("b"), "tb", "left").crossJoin(F.broadcast(ranks))
+    dull = taxonomy.is_housekeeping(F.when(F.col("c_mktsegment") == "MACHINERY", "a kinase").otherwise("x"), F.col("s_name"))
+    found = met.select(taxonomy.classify(taxonomy.ancestor_rank(F.col("la"), F.col("lb"), F.col("ranks")), dull).alias("c"))
+    return found.groupBy(F.col("c.category").alias("category"), F.col("c.priority").cast("long").alias("priority"), F.col("c.reason").alias("reason")).agg(F.count("*").alias("n"))
+
+
+TAXONOMY_PAIRS = """
+WITH pairs AS (
+  SELECT c_custkey % 50 = 7 AS unknown, c_mktsegment = 'MACHINERY' AS dull, n1.n_nationkey = n2.n_nationkey AS same, n1.n_regionkey = n2.n_regionkey AS near, (n1.n_regionkey = 4) = (n2.n_regionkey = 4) AS joined
+  FROM customer JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier) JOIN nation n1 ON n1.n_nationkey = c_nationkey JOIN nation n2 ON n2.n_nationkey = s_nationkey
+), ranked AS (SELECT dull, CASE WHEN unknown THEN 'error' WHEN same THEN 'species' WHEN near THEN 'phylum' WHEN joined THEN 'root' ELSE 'no rank' END AS rank FROM pairs)
+SELECT CASE rank WHEN 'error' THEN 'TaxID Error' WHEN 'species' THEN 'Close Relative' WHEN 'phylum' THEN CASE WHEN dull THEN 'Distant Homolog' ELSE 'High Value' END ELSE CASE WHEN dull THEN 'Deep Housekeeping' ELSE 'Deep Novelty' END END AS category,
+       CAST(CASE rank WHEN 'error' THEN 5 WHEN 'species' THEN 5 WHEN 'phylum' THEN CASE WHEN dull THEN 4 ELSE 2 END ELSE CASE WHEN dull THEN 4 ELSE 1 END END AS BIGINT) AS priority,
+       CASE rank WHEN 'error' THEN 'Invalid TaxID' WHEN 'species' THEN 'Likely paralog or recent speciation' WHEN 'phylum' THEN CASE WHEN dull THEN 'Common metabolic/structural gene' ELSE 'Inter-Phylum match (phylum)' END
+                 ELSE CASE WHEN dull THEN 'Deep divergence (' || rank || ') but likely ortholog' ELSE 'Major Discovery: ' || rank || ' separation, non-housekeeping' END END AS reason, count(*) AS n
+FROM ranked GROUP BY ALL"""
+
+
+def taxon_lineages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every taxon's rank and path from its root."""
+    return taxonomy.lineages(taxa(spark, sf_dir)).select("taxid", "rank", F.array_join(F.transform("lineage", lambda x: x.cast("string")), "/").alias("lineage"))
+
+
+TAXON_LINEAGES = """
+WITH r AS (SELECT r_regionkey AS k, CASE WHEN r_regionkey = 4 THEN 2 ELSE 1 END AS root FROM region)
+SELECT DISTINCT CAST(root AS BIGINT) AS taxid, 'root' AS rank, CAST(root AS VARCHAR) AS lineage FROM r
+UNION ALL SELECT k + 100, 'phylum', root || '/' || (k + 100) FROM r UNION ALL SELECT n_nationkey + 1000, 'species', root || '/' || (k + 100) || '/' || (n_nationkey + 1000) FROM nation JOIN r ON k = n_regionkey"""
+
+
+def vector_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of every vector, three components a point, beside the points turned by a quarter and moved."""
+    points = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 3).cast("int") - 1), lambda k: F.array(*[F.try_element_at("embedding", k * 3 + i + 1).cast("double") for i in range(3)]))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(points).alias("a"))
+    return rows.withColumn("b", F.array(1 - F.col("a")[1], 2 + F.col("a")[0], 3 + F.col("a")[2]))
+
+
+def superposition_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The superposition of every vector's points on the turned ones, as JSON objects."""
+    found = geometry.superpose(vector_turns(spark, sf_dir), ["vec_id"])
+    name = lambda end: F.concat(F.lit(end), F.col("vec_id").cast("string"))
+    return found.select("vec_id", geometry.superposition_json(name("A"), name("B"), F.col("transform"), 5).alias("json"))
+
+
+SUPERPOSITION_JSON = """
+SELECT vec_id, CAST(to_json({'protein_A': 'A' || vec_id, 'protein_B': 'B' || vec_id, 'rmsd': CAST(0 AS DOUBLE), 'rotation_matrix': [[0.0::DOUBLE, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]], 'translation_vector': [1.0::DOUBLE, 2.0, 3.0]}) AS VARCHAR) AS json
+FROM embeddings"""
+
+
+def interval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line items of every order as intervals, laid out in two rows."""
+    start = F.unix_date(F.col("l_shipdate").cast("date"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("end")).alias("i"))
+    laid = rows.groupBy("l_orderkey").agg(F.collect_list("i").alias("i"))  # the few of an order
+    return laid.select("l_orderkey", F.array_join(F.transform(patterns.two_rows(F.col("i")), lambda x: x.cast("string")), "").alias("rows"))
+
+
+INTERVAL_ROWS = """
+WITH i AS (SELECT l_orderkey, CAST(l_shipdate AS DATE) - DATE '1970-01-01' AS s, CAST(l_quantity AS INT) AS q FROM lineitem),
+l AS (SELECT l_orderkey, list_sort(list({'s': s, 'e': CAST(s + q AS DOUBLE), 'e0': CAST(-1e30 AS DOUBLE), 'e1': CAST(-1e30 AS DOUBLE), 'rows': ''})) AS items FROM i GROUP BY l_orderkey),
+r AS (SELECT l_orderkey, list_reduce(list_prepend({'s': CAST(0 AS BIGINT), 'e': CAST(0 AS DOUBLE), 'e0': CAST(-1e30 AS DOUBLE), 'e1': CAST(-1e30 AS DOUBLE), 'rows': ''}, items),
+  lambda a, x: {'s': x.s, 'e': x.e, 'e0': CASE WHEN a.e0 <= a.e1 THEN x.e ELSE a.e0 END, 'e1': CASE WHEN a.e0 <= a.e1 THEN a.e1 ELSE x.e END, 'rows': a.rows || CASE WHEN a.e0 <= a.e1 THEN '0' ELSE '1' END}) AS z FROM l)
+SELECT l_orderkey, z.rows AS rows FROM r"""
+
 QUERIES = {
+    "closed_windows": closed_windows, "closed_sessions": closed_sessions, "flushed_links": flushed_links, "taxonomy_pairs": taxonomy_pairs, "taxon_lineages": taxon_lineages,
+    "superposition_json": superposition_json, "interval_rows": interval_rows,
     "lineage_lca": lineage_lca, "near_points": near_points, "near_rings": near_rings, "kabsch_sums": kabsch_sums, "kabsch_rmsd": kabsch_rmsd, "centred_labels": centred_labels,
     "smooth_events": smooth_events, "integrity_zip": integrity_zip, "last_events": last_events, "log_categories": log_categories, "log_stream": log_stream,
     "stream_sums": stream_sums, "windowed_events": windowed_events, "event_sessions": event_sessions, "ship_overlaps": ship_overlaps, "scalar_formats": scalar_formats,
     "record_json": record_json, "resumed_links": resumed_links, "first_page": first_page,
 }
 ORACLES = {
+    "closed_windows": CLOSED_WINDOWS, "closed_sessions": CLOSED_SESSIONS, "flushed_links": FLUSHED_LINKS, "taxonomy_pairs": TAXONOMY_PAIRS, "taxon_lineages": TAXON_LINEAGES,
+    "superposition_json": SUPERPOSITION_JSON, "interval_rows": INTERVAL_ROWS,
     "lineage_lca": LINEAGE_LCA, "near_points": NEAR_POINTS, "near_rings": NEAR_RINGS, "kabsch_sums": KABSCH_SUMS, "centred_labels": CENTRED_LABELS, "smooth_events": SMOOTH_EVENTS,
     "integrity_zip": INTEGRITY_ZIP, "last_events": LAST_EVENTS, "log_categories": LOG_CATEGORIES, "log_stream": LOG_STREAM, "stream_sums": STREAM_SUMS,
     "windowed_events": WINDOWED_EVENTS, "event_sessions": EVENT_SESSIONS, "ship_overlaps": SHIP_OVERLAPS, "scalar_formats": SCALAR_FORMATS,

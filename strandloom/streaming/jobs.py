@@ -69,3 +69,20 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) ->
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}*")
+
+
+def append_available(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream over what is there now in append mode and returns all it put out: rows that no later one can change."""
+    query = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def flush_links(links: DataFrame, folder: str, every: str = "60 seconds") -> StreamingQuery:
+    """Appends links (query_seq, target_seq, score) to CSV files in folder/links, one flush each time `every` has passed.
+
+    What is flushed is recorded in folder/checkpoint, so a run that was stopped goes on where its last flush ended.
+    """
+    rows = links.select("query_seq", "target_seq", "score")
+    out = rows.writeStream.format("csv").option("header", True).option("checkpointLocation", f"{folder}/checkpoint")
+    return out.trigger(processingTime=every).start(f"{folder}/links")
