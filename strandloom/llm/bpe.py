@@ -7,7 +7,11 @@ and it is enough to encode each distinct word once:
    its distinct words in sorted order, and gives rows (word, chunk, number).
 2. These are dealt out by word and sorted, so equal words meet and each is encoded once; the ids go back to every
    chunk that has the word, by its number there.
-3. A chunk, compressed for the way, meets the ids of its words and puts them in the places of the words.
+3. A chunk's documents, as sequences of word numbers, meet the ids of its words, which take the words' places.
+
+Decoding takes each document's ids apart, joins them with the vocabulary's pieces, and puts the pieces together. The
+pieces are as many as the vocabulary has, whatever the corpus, so they are broadcast, and nothing is shuffled: rows
+of a partition keep their order through such a join. Every position is checked; a gap is an error, never a wrong text.
 
 No table of all words is ever broadcast or held by one task.
 Steps 1 and 3 both read the input; they agree on a chunk because its key is its content. Input whose rows come
@@ -19,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -80,22 +84,44 @@ def _values(column: pa.ChunkedArray) -> Iterator:
         yield from column.slice(i, 256).to_pylist()
 
 
-def _pack(chunk: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))
-    with pa.ipc.new_stream(sink, chunk.schema, options=options) as writer:
-        writer.write_table(chunk.combine_chunks())
-    return sink.getvalue().to_pybytes()
+def _word_numbers(chunk: pa.Table) -> tuple[list[str], list[np.ndarray]]:
+    """The chunk's distinct words, sorted, and each document's words as numbers among them."""
+    seen: dict[str, int] = {}  # in the order in which they come
+    places = [np.array([seen.setdefault(w, len(seen)) for w in split_words(text)] if text else [], np.int32) for text in _values(chunk.column("text"))]
+    ordered = sorted(seen)
+    number = np.empty(len(seen), np.int32)
+    number[np.fromiter((seen[w] for w in ordered), np.int64, len(seen))] = np.arange(len(seen), dtype=np.int32)
+    return ordered, [number[x] for x in places]
 
 
-def _encoded(
-    documents: DataFrame, id_col: str, text_col: str, vocabulary: str, chunk_bytes: int,
-    schema: T.StructType, make: Callable[[pa.Array, list[np.ndarray]], pa.Table],
-) -> DataFrame:
-    """Rows that `make` builds from the id column and the token ids of a few hundred documents at a time."""
+def _pack_numbers(places: list[np.ndarray], words: int) -> tuple[bytes, bytes]:
+    """Words' numbers by how often they come, and the documents' words as places in that order, by planes of bytes: both compressed."""
+    flat = np.concatenate([*places, np.empty(0, np.int32)])
+    order = np.argsort(-np.bincount(flat, minlength=words), kind="stable").astype("<i4")
+    rank = np.empty(words, "<i4")
+    rank[order] = np.arange(words, dtype="<i4")
+    planes = rank[flat].view(np.uint8).reshape(-1, 4).T
+    return pa.compress(order.tobytes(), "zstd", asbytes=True), pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+
+
+def _unpack_numbers(order: bytes, codes: bytes, words: int, total: int) -> np.ndarray:
+    numbers = np.frombuffer(pa.decompress(order, 4 * words, "zstd", asbytes=True), "<i4")
+    planes = np.frombuffer(pa.decompress(codes, 4 * total, "zstd", asbytes=True), np.uint8).reshape(4, total)
+    return numbers[np.ascontiguousarray(planes.T).view("<i4").ravel()]
+
+
+def encode(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """id_col and ids (array of int) of every row's whole text, as tokenizers gives them with add_special_tokens=False.
+
+    A null or empty text has no ids. Null and repeated ids are rows like others. No rows give none. Memory in a
+    task is bounded by the chunk, or one document if that is longer. Other columns are not carried.
+    """
     source = documents.select(F.col(id_col), F.col(text_col))
     names = ["id", "text"]
+    id_kind = source.schema[0].dataType
     id_type = np.dtype("<u2" if tokenizer(vocabulary).get_vocab_size() <= 1 << 16 else "<u4")
+    rows = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(id_kind)), T.StructField("sizes", T.ArrayType(T.IntegerType()))])
+    rows = T.StructType([*rows, T.StructField("words", T.IntegerType()), T.StructField("word_order", T.BinaryType()), T.StructField("codes", T.BinaryType())])
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         return _chunks((b.rename_columns(names) for b in batches), chunk_bytes)
@@ -127,122 +153,133 @@ def _encoded(
                 last = (words[-1], ids[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.binary())], names=["chunk", "number", "word_ids"])
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([_key(chunk)], pa.int64()), pa.array([_pack(chunk)], pa.binary())], names=["chunk", "docs"])
+            ordered, places = _word_numbers(chunk)
+            order, codes = _pack_numbers(places, len(ordered))
+            doc_ids = chunk.column("id").combine_chunks()
+            columns = [pa.array([_key(chunk)]), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids), pa.array([[len(x) for x in places]], pa.list_(pa.int32()))]
+            columns += [pa.array([len(ordered)], pa.int32()), pa.array([order], pa.binary()), pa.array([codes], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=rows.names)
 
     def place(docs: pa.Table, words: pa.Table) -> pa.Table:
         numbers = words.column("number").to_numpy()
         given = words.column("word_ids").combine_chunks()
         bounds = np.frombuffer(given.buffers()[1], "<i4")[given.offset : given.offset + len(given) + 1].astype(np.int64) // id_type.itemsize if len(given) else np.zeros(1, np.int64)
         flat = np.frombuffer(given.buffers()[2] or b"", id_type) if len(given) else np.empty(0, id_type)
-        size = int(numbers.max()) + 1 if len(numbers) else 0
+        size = docs.column("words")[0].as_py() if docs.num_rows else 0
         start, length = np.zeros(size, np.int64), np.full(size, -1, np.int64)
-        start[numbers], length[numbers] = bounds[:-1], np.diff(bounds)
+        if len(numbers) and numbers.max() < size:
+            start[numbers], length[numbers] = bounds[:-1], np.diff(bounds)
+        if not docs.num_rows or (length < 0).any():
+            raise RuntimeError("the input changed between two readings; checkpoint it before encoding")
         made = []
-        for blob in docs.column("docs").to_pylist():  # chunks of equal content share a key and their words
-            chunk = pa.ipc.open_stream(blob).read_all().combine_chunks()
-            seen: dict[str, int] = {}  # words in the order in which they come
-            places = []
-            for text in _values(chunk.column("text")):
-                places.append(np.array([seen.setdefault(w, len(seen)) for w in split_words(text)] if text else [], np.int32))
-            if len(seen) > size:
-                raise RuntimeError("the input changed between two readings; checkpoint it before encoding")
-            number = np.empty(len(seen), np.int64)
-            number[np.fromiter((seen[w] for w in sorted(seen)), np.int64, len(seen))] = np.arange(len(seen))
-            doc_ids = chunk.column("id")
-            del seen, chunk  # neither words nor texts are needed any more
-            for i in range(0, len(doc_ids), 256):
-                at = number[np.concatenate(places[i : i + 256])]
-                lengths = length[at]
+        for row in range(docs.num_rows):  # chunks of equal content share a key and their words
+            sizes = docs.column("sizes")[row].values.to_numpy()
+            doc_ids = docs.column("ids")[row].values
+            at = _unpack_numbers(docs.column("word_order")[row].as_py(), docs.column("codes")[row].as_py(), size, int(sizes.sum()))
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            for i in range(0, len(sizes), 256):
+                inside = at[ends[i] : ends[min(i + 256, len(sizes))]]
+                lengths = length[inside]
                 before = np.concatenate(([0], np.cumsum(lengths)))
-                ids = flat[np.repeat(start[at] - before[:-1], lengths) + np.arange(before[-1])].astype("<u4")
-                ends = before[np.cumsum([len(x) for x in places[i : i + 256]])]
-                made.append(make(doc_ids.slice(i, 256).combine_chunks(), np.split(ids, ends[:-1])))
+                ids = flat[np.repeat(start[inside] - before[:-1], lengths) + np.arange(before[-1])].astype(np.int32)
+                offsets = before[ends[i : i + 257] - ends[i]].astype(np.int32)
+                made.append(pa.Table.from_arrays([doc_ids.slice(i, 256), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=[id_col, "ids"]))
         pa.default_memory_pool().release_unused()
         return pa.concat_tables(made)
 
+    parts = 2 * max(source.rdd.getNumPartitions(), source.sparkSession.sparkContext.defaultParallelism)  # chunks lie apart
     dealt = source.mapInArrow(words_of, "word string, chunk long, number int").repartition("word").sortWithinPartitions("word")
-    ids = dealt.mapInArrow(encode_words, "chunk long, number int, word_ids binary")
-    docs = source.mapInArrow(packed, "chunk long, docs binary")
+    ids = dealt.mapInArrow(encode_words, "chunk long, number int, word_ids binary").repartition(parts, "chunk")
+    docs = source.mapInArrow(numbered, rows).repartition(parts, "chunk")
+    schema = T.StructType([T.StructField(id_col, id_kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return docs.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(place, schema)
 
 
-def encode(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """id_col and ids (array of int) of every row's whole text, as tokenizers gives them with add_special_tokens=False.
-
-    A null or empty text has no ids. Null and repeated ids are rows like others. No rows give none. Memory in a
-    task is bounded by the chunk, or one document if that is longer. Other columns are not carried.
-    """
-    schema = T.StructType([T.StructField(id_col, documents.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-
-    def make(doc_ids: pa.Array, ids: list[np.ndarray]) -> pa.Table:
-        return pa.table({id_col: doc_ids, "ids": pa.array([x.astype("<i4") for x in ids], pa.list_(pa.int32()))})
-
-    return _encoded(documents, id_col, text_col, vocabulary, chunk_bytes, schema, make)
-
-
 def pieces(spark: SparkSession, vocabulary: str = BYTE_BPE) -> DataFrame:
     """(id, piece) of the whole vocabulary, special tokens included."""
     rows = [(i, bytearray(p)) for p, i in ranks(vocabulary).items()] + [(END_OF_TEXT_ID, bytearray(END_OF_TEXT.encode()))]
     return spark.createDataFrame(rows, "id int, piece binary")
 
 
-def joined_pieces(id_to_piece: DataFrame) -> list[bytes]:
-    """Pieces by id, the small side of the decoding join: as long as the vocabulary, whatever the corpus.
-
-    That is checked against MAX_PIECES; an id without a piece in between is empty.
-    """
-    table = id_to_piece.limit(MAX_PIECES + 1).collect()
-    if len(table) > MAX_PIECES:
+def _with_pieces(encoded: DataFrame, id_to_piece: DataFrame, id_col: str, ids_col: str) -> DataFrame:
+    """(id, n, pos, token, piece): every id of every row with its piece, in order; a row without ids has one line of nulls."""
+    if id_to_piece.count() > MAX_PIECES:
         raise ValueError(f"more than {MAX_PIECES} pieces")
-    out = [b""] * (max((r["id"] for r in table), default=-1) + 1)
-    for r in table:
-        out[r["id"]] = bytes(r["piece"])
-    return out
-
-
-def join_text(ids: list[int], piece_of: list[bytes]) -> str:
-    """The text of the ids' pieces; bytes that are no UTF-8 become U+FFFD."""
-    return b"".join([piece_of[i] for i in ids]).decode("utf-8", "replace")
+    rows = encoded.select(F.col(id_col).alias("id"), F.coalesce(F.size(ids_col), F.lit(0)).alias("n"), F.posexplode_outer(ids_col).alias("pos", "token"))
+    table = id_to_piece.select(F.col("id").cast("int").alias("token"), "piece")
+    return rows.join(F.broadcast(table), "token", "left").select("id", "n", "pos", "token", "piece")  # as long as a vocabulary, see above
+
+
+def _regrouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[tuple[np.ndarray, bytes]]]]:
+    """Ids of rows, and for each its tokens and the bytes of their pieces, from lines of _with_pieces()."""
+    tokens: list[np.ndarray] = []  # of a row that goes on in the next batch
+    raw: list[bytes] = []
+    have = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size, pos, token, piece = (batch.column(i) for i in range(1, 5))
+        size, at, number = size.to_numpy(), pos.fill_null(-1).to_numpy(), token.fill_null(0).to_numpy()
+        if piece.null_count > pos.null_count:
+            raise ValueError("an id has no piece")
+        bounds = np.frombuffer(piece.buffers()[1], "<i4")[piece.offset : piece.offset + len(piece) + 1]
+        data = piece.buffers()[2]
+        starts = np.flatnonzero(at <= 0)
+        edges = [0, *starts[starts > 0].tolist(), batch.num_rows]
+        whole, found = [], []
+        for first, end in zip(edges, edges[1:]):
+            expected = 0 if at[first] <= 0 else have
+            n = 0 if at[first] < 0 else end - first
+            if (at[first] <= 0 and have) or (n and (at[first] != expected or at[end - 1] != expected + n - 1)):
+                raise RuntimeError("lines have lost their order")
+            tokens.append(number[first : first + n])
+            raw.append(data[bounds[first] : bounds[first + n]].to_pybytes() if n and data is not None else b"")
+            have += n
+            if have == size[first]:
+                whole.append(first)
+                found.append((np.concatenate(tokens), b"".join(raw)))
+                tokens, raw, have = [], [], 0
+        if whole:
+            yield batch.column(0).take(pa.array(whole)), found
+    if have:
+        raise RuntimeError("lines are missing")
 
 
 def decode(encoded: DataFrame, id_to_piece: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """id_col and text of every row: its ids joined with their pieces, in order.
+    """id_col and text of every row: its ids joined with their pieces, in order; bytes that are no UTF-8 become U+FFFD.
 
     Null ids give an empty text; an id beyond the vocabulary is an error.
     """
-    given = encoded.sparkSession.sparkContext.broadcast(joined_pieces(id_to_piece))
-    source = encoded.select(id_col, ids_col)
-    schema = T.StructType([T.StructField(id_col, source.schema[0].dataType), T.StructField("text", T.StringType())])
+    schema = T.StructType([T.StructField(id_col, encoded.schema[id_col].dataType), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                batch = whole.slice(i, 512)
-                texts = [join_text(x or [], given.value) for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.names)
+        for ids, found in _regrouped(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([raw.decode("utf-8", "replace") for _, raw in found], pa.string())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return _with_pieces(encoded, id_to_piece, id_col, ids_col).mapInArrow(run, schema)
 
 
-def round_trip(
-    documents: DataFrame, id_to_piece: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE, chunk_bytes: int = CHUNK_BYTES
-) -> DataFrame:
-    """Digests of encode() and decode() of its ids: id_col, n_tokens, ids_sha256 and decoded_sha256.
-
-    Ids are decoded where they were put in place, so they need not travel; null and empty texts have no tokens.
-    """
-    given = documents.sparkSession.sparkContext.broadcast(joined_pieces(id_to_piece))
+def digest(encoded: DataFrame, id_to_piece: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """id_col, n_tokens, and the SHA-256 of the ids as little-endian unsigned 32-bit integers and of the text that decode() gives."""
     schema = T.StructType([
-        T.StructField(id_col, documents.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
+        T.StructField(id_col, encoded.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
         T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
     ])
 
-    def make(doc_ids: pa.Array, ids: list[np.ndarray]) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
-        columns = [doc_ids, pa.array(map(len, ids), pa.int64()), pa.array([sha(x.tobytes()) for x in ids], pa.string())]
-        columns.append(pa.array([sha(join_text(x.tolist(), given.value).encode()) for x in ids], pa.string()))
-        return pa.Table.from_arrays(columns, names=schema.names)
+        for ids, found in _regrouped(batches):
+            columns = [ids, pa.array([len(t) for t, _ in found], pa.int64()), pa.array([sha(t.astype("<u4").tobytes()) for t, _ in found], pa.string())]
+            columns.append(pa.array([sha(raw.decode("utf-8", "replace").encode()) for _, raw in found], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return _with_pieces(encoded, id_to_piece, id_col, ids_col).mapInArrow(run, schema)
 
-    return _encoded(documents, id_col, text_col, vocabulary, chunk_bytes, schema, make)
+
+def round_trip(
+    documents: DataFrame, id_to_piece: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE, chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
+    """Digests of encode() and decode() of its ids: id_col, n_tokens, ids_sha256 and decoded_sha256; null and empty texts have no tokens."""
+    return digest(encode(documents, id_col=id_col, text_col=text_col, vocabulary=vocabulary, chunk_bytes=chunk_bytes), id_to_piece, id_col=id_col)
