@@ -29,12 +29,22 @@ def draw(key: Column, shard: Column | int) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / 2.0**52
 
 
-def rendezvous(key: Column, weights: Sequence[float]) -> Column:
-    """The shard of a key; shard i has weight weights[i]. Equal scores go to the lower shard."""
+def _cost(key: Column, shard: int, weight: float) -> Column:
+    """What a shard bids for a key: the least cost takes it."""
+    return -F.log(draw(key, shard)) / float(weight)
+
+
+def cheapest(key: Column, weights: Sequence[float]) -> Column:
+    """Struct of cost and shard of the shard that takes a key; shard i has weight weights[i]. Equal costs go to the lower shard."""
     if not weights or min(weights) <= 0:
         raise ValueError("every shard needs a weight above zero")
-    costs = [F.struct((-F.log(draw(key, i)) / float(w)).alias("cost"), F.lit(i).alias("shard")) for i, w in enumerate(weights)]
-    return (F.least(*costs) if len(costs) > 1 else costs[0]).getField("shard")
+    costs = [F.struct(_cost(key, i, w).alias("cost"), F.lit(i).alias("shard")) for i, w in enumerate(weights)]
+    return F.least(*costs) if len(costs) > 1 else costs[0]
+
+
+def rendezvous(key: Column, weights: Sequence[float]) -> Column:
+    """The shard of a key; shard i has weight weights[i]. Equal scores go to the lower shard."""
+    return cheapest(key, weights).getField("shard")
 
 
 def shard(
@@ -48,14 +58,18 @@ def shard(
     equal rows successive ones. No rows give none. Texts of any length take part whole. Other columns are not
     carried.
     """
-    grown = tuple(weights) + (1.0,) if grown_weights is None else grown_weights
+    grown = tuple(weights) + (1.0,) if grown_weights is None else tuple(grown_weights)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     raw = F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))
     sized = documents.select(F.col(id_col), (F.length(raw) + RECORD_OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    placed = sized.groupBy(id_col, "size", "text_crc32").agg(F.count("*").alias("_copies")).select(
-        "*", rendezvous(key, weights).alias("shard"), rendezvous(key, grown).alias("grown_shard"),
-        F.md5(F.concat_ws(":", key, F.col("text_crc32").cast("string"))).alias("_order"),
-    ).withColumn("_prefix", F.substring("_order", 1, prefix_digits))
+    drawn = sized.withColumn("_best", cheapest(key, weights))  # in the scan's tasks, once
+    if grown[:-1] == tuple(weights):  # only the new shard's draw is new
+        moved = F.when(_cost(key, len(weights), grown[-1]) < F.col("_best.cost"), len(weights)).otherwise(F.col("_best.shard"))
+    else:
+        moved = rendezvous(key, grown)
+    drawn = drawn.select(id_col, "size", "text_crc32", F.col("_best.shard").alias("shard"), moved.alias("grown_shard"))
+    counted = drawn.groupBy(*drawn.columns).agg(F.count("*").alias("_copies"))
+    placed = counted.withColumn("_order", F.md5(F.concat_ws(":", key, F.col("text_crc32").cast("string")))).withColumn("_prefix", F.substring("_order", 1, prefix_digits))
     counts = placed.groupBy("shard", "_prefix").agg(F.sum("_copies").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
