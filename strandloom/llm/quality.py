@@ -37,6 +37,8 @@ RULES: dict[str, tuple[float, ...]] = {
     "short_words": tuple(round(1 / (1.5 + 0.1 * i), 4) for i in range(25)),
 }
 STEPS = max(map(len, RULES.values()))
+#: As many labels go to the documents' tasks; of more, documents are measured first and meet their labels by their ids alone.
+BROADCAST_LABELS = 1_000_000
 
 
 def measure(text: str | None) -> tuple[int, int, int, int, int]:
@@ -109,13 +111,22 @@ def upper_bound(rejected: int, n: int, error: float) -> float:
 
 
 def _binomial_cdf(k: int, n: int, p: float) -> float:
+    """P(X <= k), its terms summed from the k-th down until they no longer count: some square root of n of them where p is k / n or more."""
     if p <= 0:
         return 1.0
     if p >= 1:
         return float(k >= n)
-    i = np.arange(k + 1, dtype=float)
-    choose = math.lgamma(n + 1) - np.array([math.lgamma(x + 1) + math.lgamma(n - x + 1) for x in i])
-    return float(min(1.0, np.exp(choose + i * math.log(p) + (n - i) * math.log1p(-p)).sum()))
+    first = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    total, term = 0.0, 1.0  # in units of the k-th term
+    for top in range(k, -1, -4096):
+        i = np.arange(top, max(top - 4096, 0), -1, dtype=float)  # a term over the one above it
+        terms = term * np.concatenate(([1.0], np.cumprod(i * (1 - p) / ((n - i + 1) * p))))
+        last = top - 4096 < 0
+        total += terms.sum() if last else terms[:-1].sum()
+        term = terms[-1]
+        if term < 1e-18 * total:
+            break
+    return float(min(1.0, math.exp(first) * total))
 
 
 @dataclass
@@ -161,8 +172,12 @@ def fit(
     Counts of rejected good documents for every stratum, rule and cutoff are one aggregation over all labelled
     documents; only that table, strata times a fixed number of columns, reaches the driver. A document with
     several labels counts as good only if all say so. Null ids match no label; a null stratum is one of its own.
+    The bounds take labelled documents for independent draws. Exact copies among them are not: labels should be of
+    documents of which copies were removed, or bounds are as sure as for fewer documents.
     """
     good = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).groupBy("id").agg(F.min("label").alias("label")).filter("label = 1")
+    if good.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
+        documents = documents.select(*dict.fromkeys((id_col, text_col, stratum_col))).join(F.broadcast(good.select(F.col("id").alias("_good"))), F.col(id_col) == F.col("_good"), "left_semi")
     counted = count_signals(documents, id_col=id_col, text_col=text_col, stratum_col=stratum_col)
     held = counted.join(good, "id", "left_semi").filter(
         (F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= MAX_REPEAT_PERCENT * F.col("n_words"))
