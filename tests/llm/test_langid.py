@@ -1,10 +1,83 @@
+import math
+import unicodedata
 import zlib
+from collections import Counter, defaultdict
 
 import pandas as pd
 
 from strandloom.llm import langid
 
 
+def slow_words(text):
+    words, word = [], ""
+    for c in (text or "").lower():
+        kind = unicodedata.category(c)[0]
+        if kind == "L" or (kind == "M" and word):
+            word += c
+        else:
+            words += [word] * bool(word)
+            word = ""
+    return words + [word] * bool(word)
+
+
+def slow_grams(word, n):
+    marked = word if n == 1 else f"^{word}$"
+    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+
+
+def slow_predictor(documents):
+    """A predictor learned from (doc_id, text, lang) of the training folds, by plain counting."""
+    counts = defaultdict(lambda: defaultdict(Counter))  # kind -> language -> token
+    for doc_id, text, lang in documents:
+        if text is None or lang is None or zlib.crc32(str(doc_id).encode()) % 5 == 0:
+            continue
+        for word in slow_words(text):
+            counts[0][lang][word] += 1
+            for n in (4, 3, 2, 1):
+                counts[n][lang].update(slow_grams(word, n))
+    languages = sorted(counts[0])
+    known = {kind: set().union(*by.values()) for kind, by in counts.items()}
+    totals = {(kind, lang): sum(counts[kind][lang].values()) for kind in counts for lang in languages}
+
+    def score(kind, lang, token):
+        return math.log((counts[kind][lang][token] + 0.5) / (totals[kind, lang] + 0.5 * len(known[kind]) + 0.5))
+
+    def predict(text):
+        words = slow_words(text)
+        if not words or not languages:
+            return "und", 0.0
+        sums = dict.fromkeys(languages, 0.0)
+        for word in words:
+            kind, tokens = 0, [word] * (word in known[0])
+            while not tokens and kind < 4:
+                kind += 1
+                tokens = [g for g in slow_grams(word, 5 - kind) if g in known[5 - kind]]
+            order = 0 if kind == 0 else 5 - kind
+            for lang in languages:
+                sums[lang] += sum(score(order, lang, t) for t in tokens) / max(1, len(tokens))
+        best = max(languages, key=lambda x: sums[x])
+        return best, 1 / sum(math.exp(s - sums[best]) for s in sums.values())
+
+    return predict
+
+
+def test_against_plain_counting(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    predict = slow_predictor(rows)
+    texts = {i: t for i, t, _ in rows}
+    for r in langid.predict(docs, langid.fit(docs)).collect():
+        lang, score = predict(texts[r["doc_id"]])
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-3
+
+
+def test_letters():
+    model = langid.build(pd.DataFrame([("de", 0, "wort", 1), ("en", 0, "word", 1)], columns=["lang", "kind", "token", "n"]))
+    for text in ("\u00bd", "\u00b2\u00b3", "\u2460", "12", "\u0301", "!"):
+        assert model.predict(text) == ("und", 0.0)
+    assert langid.words_of("\u0939\u093f\u0928\u094d\u0926\u0940 a1b \u0301c") == slow_words("\u0939\u093f\u0928\u094d\u0926\u0940 a1b \u0301c") == ["\u0939\u093f\u0928\u094d\u0926\u0940", "a", "b", "c"]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.predict(docs, langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
