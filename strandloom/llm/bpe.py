@@ -9,9 +9,10 @@ and it is enough to encode each distinct word once:
    chunk that has the word, by its number there.
 3. A chunk's documents, as sequences of word numbers, meet the ids of its words, which take the words' places.
 
-Decoding takes each document's ids apart, joins them with the vocabulary's pieces, and puts the pieces together. The
-pieces are as many as the vocabulary has, whatever the corpus, so they are broadcast, and nothing is shuffled: rows
-of a partition keep their order through such a join. Every position is checked; a gap is an error, never a wrong text.
+Decoding goes block by block of some hundred rows: the distinct ids of a block are joined with the vocabulary's pieces,
+and the pieces are put in the places of the ids. The pieces are as many as the vocabulary has, whatever the corpus, so
+they are broadcast, and nothing is shuffled: a block's rows, its ids as they stand and then one for each distinct id,
+keep their order through such a join. Their number is checked; a gap is an error, never a wrong text.
 
 No table of all words is ever broadcast or held by one task.
 Steps 1 and 3 both read the input; they agree on a chunk because its key is its content. Input whose rows come
@@ -23,21 +24,24 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.vocabulary import BYTE_BPE, END_OF_TEXT, END_OF_TEXT_ID, ranks, tokenizer
+from strandloom.llm.vocabulary import BYTE_BPE, END_OF_TEXT, END_OF_TEXT_ID, encode_text, ranks, tokenizer
 
 CHUNK_BYTES = 32 << 20
 MAX_PIECES = 1 << 20
+BLOCK_ROWS = 1024
 _WORD = regex.compile(public_tokenizers.PATTERN)
 _SPECIAL = re.compile(f"({re.escape(END_OF_TEXT)})")
 
@@ -120,6 +124,7 @@ def encode(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     names = ["id", "text"]
     id_kind = source.schema[0].dataType
     id_type = np.dtype("<u2" if tokenizer(vocabulary).get_vocab_size() <= 1 << 16 else "<u4")
+    kind = "H" if id_type.itemsize == 2 else "I"
     rows = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(id_kind)), T.StructField("sizes", T.ArrayType(T.IntegerType()))])
     rows = T.StructType([*rows, T.StructField("words", T.IntegerType()), T.StructField("word_order", T.BinaryType()), T.StructField("codes", T.BinaryType())])
 
@@ -140,12 +145,11 @@ def encode(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays(columns, names=["word", "chunk", "number"])
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizer(vocabulary)
         last: tuple[str, bytes] | None = None  # a word's rows may go on in the next batch
         for batch in batches:
             words = batch.column(0).to_pylist()
             fresh = [w for i, w in enumerate(words) if (w != words[i - 1] if i else last is None or w != last[0])]
-            ids_of = {w: np.array(e.ids, id_type).tobytes() for w, e in zip(fresh, encoder.encode_batch(fresh, add_special_tokens=False))}
+            ids_of = {w: array(kind, encode_text(w, vocabulary)).tobytes() for w in fresh}
             if last is not None:
                 ids_of.setdefault(*last)
             ids = [ids_of[w] for w in words]
@@ -204,47 +208,57 @@ def pieces(spark: SparkSession, vocabulary: str = BYTE_BPE) -> DataFrame:
 
 
 def _with_pieces(encoded: DataFrame, id_to_piece: DataFrame, id_col: str, ids_col: str) -> DataFrame:
-    """(id, n, pos, token, piece): every id of every row with its piece, in order; a row without ids has one line of nulls."""
+    """(ids, sizes, flat, kinds, token, piece): by block a line with its rows' ids, their numbers of tokens and all tokens, and
+    how many lines follow: one for each distinct token, with its piece."""
     if id_to_piece.count() > MAX_PIECES:
         raise ValueError(f"more than {MAX_PIECES} pieces")
-    rows = encoded.select(F.col(id_col).alias("id"), F.coalesce(F.size(ids_col), F.lit(0)).alias("n"), F.posexplode_outer(ids_col).alias("pos", "token"))
+    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    schema = T.StructType([T.StructField("ids", T.ArrayType(rows.schema[0].dataType)), T.StructField("sizes", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*schema, T.StructField("flat", T.BinaryType()), T.StructField("kinds", T.IntegerType()), T.StructField("token", T.IntegerType())])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK_ROWS):
+                ids, tokens = batch.column(0).slice(i, BLOCK_ROWS), batch.column(1).slice(i, BLOCK_ROWS)
+                flat = tokens.flatten().to_numpy(zero_copy_only=False).astype("<i4")
+                kinds = np.flatnonzero(np.bincount(flat)) if len(flat) else flat
+                sizes = pc.fill_null(pc.list_value_length(tokens), 0).cast(pa.int32())
+                head = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), sizes)]
+                head += [pa.array([flat.tobytes()], pa.binary()), pa.array([len(kinds)], pa.int32()), pa.nulls(1, pa.int32())]
+                yield pa.RecordBatch.from_arrays(head, names=schema.names)
+                follow = [pa.nulls(len(kinds), x.type) for x in head[:4]]
+                yield pa.RecordBatch.from_arrays([*follow, pa.array(kinds, pa.int32())], names=schema.names)
+
     table = id_to_piece.select(F.col("id").cast("int").alias("token"), "piece")
-    return rows.join(F.broadcast(table), "token", "left").select("id", "n", "pos", "token", "piece")  # as long as a vocabulary, see above
+    lines = rows.mapInArrow(blocks, schema).join(F.broadcast(table), "token", "left")  # as long as a vocabulary, see above
+    return lines.select("ids", "sizes", "flat", "kinds", "token", "piece")
 
 
 def _regrouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[tuple[np.ndarray, bytes]]]]:
     """Ids of rows, and for each its tokens and the bytes of their pieces, from lines of _with_pieces()."""
-    tokens: list[np.ndarray] = []  # of a row that goes on in the next batch
-    raw: list[bytes] = []
-    have = 0
+    head: tuple | None = None  # ids, sizes, tokens and the number of lines that follow
+    piece_of: dict[int, bytes] = {}
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        size, pos, token, piece = (batch.column(i) for i in range(1, 5))
-        size, at, number = size.to_numpy(), pos.fill_null(-1).to_numpy(), token.fill_null(0).to_numpy()
-        if piece.null_count > pos.null_count:
-            raise ValueError("an id has no piece")
-        bounds = np.frombuffer(piece.buffers()[1], "<i4")[piece.offset : piece.offset + len(piece) + 1]
-        data = piece.buffers()[2]
-        starts = np.flatnonzero(at <= 0)
-        edges = [0, *starts[starts > 0].tolist(), batch.num_rows]
-        whole, found = [], []
-        for first, end in zip(edges, edges[1:]):
-            expected = 0 if at[first] <= 0 else have
-            n = 0 if at[first] < 0 else end - first
-            if (at[first] <= 0 and have) or (n and (at[first] != expected or at[end - 1] != expected + n - 1)):
-                raise RuntimeError("lines have lost their order")
-            tokens.append(number[first : first + n])
-            raw.append(data[bounds[first] : bounds[first + n]].to_pybytes() if n and data is not None else b"")
-            have += n
-            if have == size[first]:
-                whole.append(first)
-                found.append((np.concatenate(tokens), b"".join(raw)))
-                tokens, raw, have = [], [], 0
-        if whole:
-            yield batch.column(0).take(pa.array(whole)), found
-    if have:
-        raise RuntimeError("lines are missing")
+        kinds = batch.column(3).to_numpy(zero_copy_only=False)
+        heads = np.flatnonzero(batch.column(3).is_valid().to_numpy(zero_copy_only=False)).tolist()
+        for first, end in zip([0, *heads], [*heads, batch.num_rows]):
+            if first in heads and end > first:
+                head = (batch.column(0)[first].values, batch.column(1)[first].values.to_numpy(), np.frombuffer(batch.column(2)[first].as_py(), "<i4"), int(kinds[first]))
+                piece_of, first = {}, first + 1
+            if end > first:
+                piece_of.update(zip(batch.column(4).slice(first, end - first).to_pylist(), batch.column(5).slice(first, end - first).to_pylist()))
+            if head is not None and len(piece_of) == head[3]:
+                ids, sizes, flat, _ = head
+                if None in piece_of.values():
+                    raise ValueError("an id has no piece")
+                ends = np.cumsum(sizes)
+                raw = [b"".join([piece_of[t] for t in flat[e - n : e].tolist()]) for e, n in zip(ends.tolist(), sizes.tolist())]
+                yield ids, list(zip(np.split(flat, ends[:-1]), raw))
+                head = None
+            elif head is not None and end < batch.num_rows:
+                raise RuntimeError("lines of a block are missing")
+    if head is not None:
+        raise RuntimeError("lines of a block are missing")
 
 
 def decode(encoded: DataFrame, id_to_piece: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
