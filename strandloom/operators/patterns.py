@@ -36,7 +36,7 @@ def period_at(sequence: Column, index: Column, periods: Sequence[int] = PERIODS,
     """
     at = lambda i: F.substring(sequence, i + 1, F.lit(1))
     n = F.length(sequence)
-    best_period, best = F.lit(0), F.lit(0.0)
+    scores = []
     for p in periods:
         matched, compared = F.lit(0.0), F.lit(0)
         for k in range(p):
@@ -50,10 +50,9 @@ def period_at(sequence: Column, index: Column, periods: Sequence[int] = PERIODS,
                     worth = worth.when(distance <= 5, 0.3) if arm == 1 else worth
                 matched = matched + F.when(there < n, worth.otherwise(0.0)).otherwise(0.0)
                 compared = compared + F.when(there < n, 1).otherwise(0)
-        score = F.when(compared > 0, matched / compared).otherwise(0.0)
-        better = score > best * PREFERENCE
-        best_period, best = F.when(better, F.lit(p)).otherwise(best_period), F.when(better, score).otherwise(best)
-    return F.struct(best_period.alias("period"), best.alias("score"))
+        scores.append(F.struct(F.lit(p).alias("period"), F.coalesce(F.try_divide(matched, compared), F.lit(0.0)).alias("score")))
+    none = F.struct(F.lit(0).alias("period"), F.lit(0.0).alias("score"))
+    return F.aggregate(F.array(*scores), none, lambda best, s: F.when(s["score"] > best["score"] * PREFERENCE, s).otherwise(best))
 
 
 def mosaic(sequence: Column, width: int) -> Column:

@@ -9,6 +9,7 @@ from strandloom.functions import bias, names
 from strandloom.functions.alphabet import letters_only
 from strandloom.functions.names import STEM_LENGTH, STOPWORDS, SUFFIXES
 from strandloom.operators import annotation
+from strandloom.plans.sequence_queries import align_parts_sql
 from strandloom.session import spread, table
 
 BRANDS = ["brand#2", "brand#7"]
@@ -184,6 +185,7 @@ QUERIES = {
     "shared_longest": shared_longest, "panther_neighbours": panther_neighbours,
 }
 ORACLES = {
+    "align_parts": align_parts_sql(_bias_sql),
     "bias_names": BIAS_NAMES, "bias_phase": BIAS_PHASE, "reasons_report": REASONS_REPORT,
     "munge_filter": MUNGE_FILTER,
     "document_tokens": f"""SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS kinds, list_min(t) AS first FROM (SELECT doc_id, {_tokens_sql("coalesce(text, '')")} AS t FROM documents)""",

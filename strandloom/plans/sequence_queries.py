@@ -188,15 +188,96 @@ def periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("seq_no", "place", F.col("p.period").alias("period"), F.round("p.score", 6).alias("score"))
 
 
-def _period_sql() -> str:
+def _period_sql(periods=PERIODS) -> str:
     ctes = ["places AS (SELECT seq_no, sequence, unnest(range(len(sequence))) AS place FROM seqs)", "b0 AS (SELECT *, 0 AS period, CAST(0 AS DOUBLE) AS score FROM places)"]
-    for n, p in enumerate(PERIODS):
+    for n, p in enumerate(periods):
         tests = [(k, k + arm * p) for k in range(p) for arm in (1, 2)]
         hit = " + ".join(f"CASE WHEN place + {j} < len(sequence) AND sequence[place + {i + 1}] = sequence[place + {j + 1}] THEN 1.0 ELSE 0.0 END" for i, j in tests)
         all_ = " + ".join(f"CASE WHEN place + {j} < len(sequence) THEN 1 ELSE 0 END" for _, j in tests)
         ctes.append(f"s{n} AS (SELECT *, CASE WHEN ({all_}) > 0 THEN CAST({hit} AS DOUBLE) / ({all_}) ELSE 0 END AS new FROM b{n})")
         ctes.append(f"b{n + 1} AS (SELECT seq_no, sequence, place, CASE WHEN new > score * 1.1 THEN {p} ELSE period END AS period, CASE WHEN new > score * CAST(1.1 AS DOUBLE) THEN new ELSE score END AS score FROM s{n})")
-    return f"WITH {PART_SEQUENCES}, {', '.join(ctes)} SELECT seq_no, CAST(place AS INT) AS place, CAST(period AS INT) AS period, round(score, 6) AS score FROM b{len(PERIODS)}"
+    return f"WITH {PART_SEQUENCES}, {', '.join(ctes)} SELECT seq_no, CAST(place AS INT) AS place, CAST(period AS INT) AS period, round(score, 6) AS score FROM b{len(periods)}"
+
+
+#: A repeat is shown where its score is at least this: for equal residues, and where like ones count in part.
+EXACT_LEAST, CHEMICAL_LEAST = 0.5, 0.6
+
+
+def repeat_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeat that begins at each place of each distinct part name, with its unit in canonical rotation."""
+    seqs = part_sequences(spark, sf_dir)
+    places = seqs.select("seq_no", "sequence", F.posexplode(F.split("sequence", "")).alias("place", "residue"))
+    found = places.withColumn("p", patterns.period_at(F.col("sequence"), F.col("place"))).filter(F.col("p.score") >= EXACT_LEAST)
+    unit = F.substring("sequence", F.col("place") + 1, F.col("p.period"))
+    return found.select("seq_no", "place", F.col("p.period").alias("period"), F.round("p.score", 6).alias("score"), unit.alias("unit"), patterns.canonical_rotation(unit).alias("rotation"))
+
+
+REPEAT_UNITS = f"""
+WITH found AS (SELECT x.*, sequence FROM ({_period_sql(patterns.PERIODS)}) x JOIN (WITH {PART_SEQUENCES} SELECT * FROM seqs) s ON s.seq_no = x.seq_no WHERE score >= {EXACT_LEAST}),
+units AS (SELECT seq_no, place, period, score, sequence[place + 1 : place + period] AS unit FROM found),
+turned AS (SELECT *, unit[i + 1:] || unit[1:i] AS t FROM (SELECT *, unnest(range(len(unit))) AS i FROM units)),
+keyed AS (SELECT *, list_transform(string_split(t, ''), lambda r: greatest(instr('{CHEMICAL_ORDER}', r) - 1, 0)) AS k FROM turned)
+SELECT seq_no, place, period, score, unit, arg_min(t, (k, t)) AS rotation FROM keyed GROUP BY ALL"""
+
+
+def chemical_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of like residues that begin at each place of each distinct part name."""
+    seqs = part_sequences(spark, sf_dir)
+    places = seqs.select("seq_no", "sequence", F.posexplode(F.split("sequence", "")).alias("place", "residue"))
+    found = places.withColumn("p", patterns.period_at(F.col("sequence"), F.col("place"), chemical=True)).filter(F.col("p.score") >= CHEMICAL_LEAST)
+    return found.select("seq_no", "place", F.col("p.period").alias("period"), F.round("p.score", 6).alias("score"))
+
+
+def _chemical_sql() -> str:
+    rank = lambda at: f"(instr('{CHEMICAL_ORDER}', sequence[{at}]))"
+    ctes = ["places AS (SELECT seq_no, sequence, unnest(range(len(sequence))) AS place FROM seqs)", "b0 AS (SELECT *, 0 AS period, CAST(0 AS DOUBLE) AS score FROM places)"]
+    for n, p in enumerate(patterns.PERIODS):
+        hits, all_ = [], []
+        for k in range(p):
+            for arm in (1, 2):
+                a, b = f"place + {k + 1}", f"place + {k + arm * p + 1}"
+                far = f"CASE WHEN {rank(a)} = 0 OR {rank(b)} = 0 THEN 100 ELSE abs({rank(a)} - {rank(b)}) END"
+                less = f"WHEN {far} <= 5 THEN 0.3" if arm == 1 else ""
+                hits.append(f"CASE WHEN {b} > len(sequence) THEN 0.0 WHEN sequence[{a}] = sequence[{b}] THEN 1.0 WHEN {far} <= 3 THEN 0.7 {less} ELSE 0.0 END")
+                all_.append(f"CASE WHEN {b} <= len(sequence) THEN 1 ELSE 0 END")
+        ctes.append(f"s{n} AS (SELECT *, CASE WHEN ({' + '.join(all_)}) > 0 THEN CAST({' + '.join(hits)} AS DOUBLE) / ({' + '.join(all_)}) ELSE 0 END AS new FROM b{n})")
+        ctes.append(f"b{n + 1} AS (SELECT seq_no, sequence, place, CASE WHEN new > score * CAST(1.1 AS DOUBLE) THEN {p} ELSE period END AS period, CASE WHEN new > score * CAST(1.1 AS DOUBLE) THEN new ELSE score END AS score FROM s{n})")
+    return f"WITH {PART_SEQUENCES}, {', '.join(ctes)} SELECT seq_no, CAST(place AS INT) AS place, CAST(period AS INT) AS period, round(score, 6) AS score FROM b{len(patterns.PERIODS)} WHERE score >= {CHEMICAL_LEAST}"
+
+
+def _alignments(pairs: str) -> str:
+    """DuckDB CTEs: aligned(q, t, score, aligned_a, aligned_b, a_start, b_start) of a relation pairs(q, t, a, b), from whole score tables."""
+    matrix = "[" + ",".join(map(str, matrix32().ravel().tolist())) + "]"
+    letter = lambda s, at: f"(ascii(substr({s}, CAST({at} AS INT), 1)) & 31)"
+    score = lambda i, j: f"({matrix})[{letter('a', i)} * 32 + {letter('b', j)} + 1]"
+    reach = f"list_transform(range(1, len(b) + 1), lambda j: greatest(0, (CASE WHEN j = 1 THEN 0 ELSE h[j - 1] END) + {score('i + 1', 'j')}, h[j] - 10))"
+    row = "list_transform(range(1, len(e) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: e[k] - 10 * (j - k))))"
+    # a cell of the table with its border: rows and columns from 0 on
+    cell = lambda i, j: f"CASE WHEN {i} = 0 OR {j} = 0 THEN 0 ELSE hs[CAST({i} AS INT)][CAST({j} AS INT)] END"
+    return f"""
+pairs AS ({pairs}),
+dp AS (
+  SELECT q, t, a, b, 0 AS i, list_transform(range(len(b)), lambda x: 0) AS h, CAST([] AS INT[][]) AS hs FROM pairs
+  UNION ALL
+  SELECT q, t, a, b, i + 1, h2, list_append(hs, h2) FROM (
+    SELECT q, t, a, b, i, hs, {row} AS h2 FROM (SELECT q, t, a, b, i, hs, {reach} AS e FROM dp WHERE i < len(a)) r
+  ) s
+),
+tables AS (SELECT q, t, a, b, hs, list_max(list_transform(hs, lambda r: list_max(r))) AS score FROM dp WHERE i = len(a)),
+ends AS (
+  SELECT *, list_position(list_transform(hs, lambda r: list_max(r)), score) AS i0 FROM tables WHERE score > 0
+),
+trace AS (
+  SELECT q, t, a, b, hs, score, i0 AS i, list_position(hs[i0], score) AS j, '' AS top, '' AS bottom FROM ends
+  UNION ALL
+  SELECT q, t, a, b, hs, score, i - CASE WHEN step = 'left' THEN 0 ELSE 1 END, j - CASE WHEN step = 'up' THEN 0 ELSE 1 END,
+         CASE WHEN step = 'left' THEN '-' ELSE substr(a, CAST(i AS INT), 1) END || top, CASE WHEN step = 'up' THEN '-' ELSE substr(b, CAST(j AS INT), 1) END || bottom
+  FROM (
+    SELECT *, CASE WHEN now = ({cell('(i - 1)', '(j - 1)')}) + {score('i', 'j')} THEN 'diagonal' WHEN now = ({cell('(i - 1)', 'j')}) - 10 THEN 'up' ELSE 'left' END AS step
+    FROM (SELECT *, {cell('i', 'j')} AS now FROM trace) n WHERE now > 0
+  )
+),
+aligned AS (SELECT q, t, score, top AS aligned_a, bottom AS aligned_b, i AS a_start, j AS b_start FROM trace WHERE ({cell('i', 'j')}) = 0)"""
 
 
 def mosaic_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,12 +317,30 @@ LOOKUP_SLICES = """
 SELECT c_custkey AS seq_no, c_name AS id, c_name[1:8] AS front, c_name[len(c_name) - 3 : len(c_name) - 1] AS back
 FROM customer WHERE contains(c_name, '77') ORDER BY c_custkey LIMIT 1"""
 
+def align_parts_sql(bias_sql) -> str:
+    """The oracle of align_parts; bias_sql is the SQL of bias assessments."""
+    pairs = "SELECT x.seq_no AS q, y.seq_no AS t, x.sequence AS a, y.sequence AS b FROM seqs x JOIN seqs y ON y.seq_no > x.seq_no"
+    columns = "range(1, len(aligned_a) + 1)"
+    same = f"array_to_string(list_transform(list_filter({columns}, lambda i: aligned_a[i] = aligned_b[i]), lambda i: aligned_a[i]), '')"
+    line = f"array_to_string(list_transform({columns}, lambda i: CASE WHEN aligned_a[i] = '-' OR aligned_b[i] = '-' THEN ' ' WHEN aligned_a[i] = aligned_b[i] THEN '|' ELSE '.' END), '')"
+    bias = bias_sql(f"SELECT (q, t) AS key, {same} AS same FROM found").replace("pairs AS (", "judged_pairs AS (", 1).replace("FROM pairs", "FROM judged_pairs")
+    return f"""WITH RECURSIVE {PART_SEQUENCES}, {_alignments(pairs)},
+found AS (SELECT *, {line} AS match_line FROM aligned WHERE score >= {THRESHOLD}),
+{bias}
+SELECT q AS query_seq, t AS target_seq, CAST(score AS INT) AS score, aligned_a, match_line, aligned_b, CAST(a_start AS INT) AS a_start, CAST(b_start AS INT) AS b_start,
+       round(100.0 * len(replace(replace(match_line, '.', ''), ' ', '')) / len(match_line), 6) AS identity,
+       round(100.0 * len(replace(replace(match_line, '.', ''), ' ', '')) / len(replace(match_line, ' ', '')), 6) AS ungapped_identity, round(goodness, 6) AS goodness, reason
+FROM found JOIN judged ON key = (q, t)"""
+
+
 QUERIES = {
+    "repeat_units": repeat_units, "chemical_repeats": chemical_repeats,
     "sim_join_parts": sim_join_parts, "sim_query_vs_db": sim_query_vs_db, "find_names": find_names, "align_parts": align_parts, "identity_names": identity_names,
     "bias_entropy": bias_entropy, "length_rank": length_rank, "inverse_index_check": inverse_index_check, "work_left": work_left, "length_stats": length_stats,
     "sorted_check": sorted_check, "periodicity": periodicity, "mosaic_window": mosaic_window, "canonical_rotations": canonical_rotations, "lookup_slices": lookup_slices,
 }
 ORACLES = {
+    "repeat_units": REPEAT_UNITS, "chemical_repeats": _chemical_sql(),
     "sim_join_parts": SIM_JOIN_PARTS, "sim_query_vs_db": SIM_QUERY_VS_DB, "find_names": FIND_NAMES, "identity_names": IDENTITY_NAMES, "bias_entropy": BIAS_ENTROPY,
     "length_rank": LENGTH_RANK, "inverse_index_check": INVERSE_INDEX_CHECK, "work_left": WORK_LEFT, "length_stats": LENGTH_STATS, "sorted_check": SORTED_CHECK,
     "periodicity": _period_sql(), "mosaic_window": MOSAIC_WINDOW, "canonical_rotations": CANONICAL_ROTATIONS, "lookup_slices": LOOKUP_SLICES,
