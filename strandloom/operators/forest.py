@@ -19,9 +19,10 @@ def _kruskal(edges: DataFrame) -> DataFrame:
     """Each partition's own forest: its edges from the best on, without those that close a cycle.
 
     An edge that closes a cycle of better ones in a part closes it in the whole, so nothing of the answer is lost.
+    What is known of many nodes is forgotten from time to time, which bounds memory and only keeps more edges.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -36,6 +37,8 @@ def _kruskal(edges: DataFrame) -> DataFrame:
                 a, b = root(a), root(b)
                 keep.append(a != b)
                 parent[a] = b
+            if len(parent) > most:
+                parent.clear()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return edges.sortWithinPartitions(F.desc("score"), "u", "v").mapInArrow(run, EDGES)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.ordering import numbered
+
 
 def zip_compare(left: DataFrame, right: DataFrame, on: str, columns: list[str]) -> DataFrame:
     """(on, status): equal, left only, right only, or the first column that differs; nulls equal each other."""
@@ -30,6 +32,15 @@ def length_stats(sequences: DataFrame, seq_col: str) -> DataFrame:
 
 
 def out_of_order(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """(keys, breaks): in each group, rows whose value is above the one before them in order. 0: sorted descending."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_up", (F.col(value) > F.lag(value).over(w)).cast("long")).groupBy(*keys).agg(F.coalesce(F.sum("_up"), F.lit(0)).alias("breaks"))
+    """(keys, breaks): in each group, rows whose value is above the one before them in order. 0: sorted descending.
+
+    Rows are numbered over ranges of keys and order and meet the row before them by its number, so a group may span
+    any number of tasks.
+    """
+    ranked = numbered(df.select(*keys, order, value), [F.asc(c) for c in (*keys, order)], rank="_place")
+    before = ranked.select((F.col("_place") + 1).alias("_place"), *[F.col(k).alias(f"_before_{k}") for k in keys], F.col(value).alias("_before"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_before_{k}"))
+    up = F.when(same & (F.col(value) > F.col("_before")), 1).otherwise(0)
+    return ranked.join(before, "_place", "left").groupBy(*keys).agg(F.sum(up).cast("long").alias("breaks"))
