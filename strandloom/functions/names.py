@@ -11,6 +11,17 @@ STOPWORDS = (
     "probable putative possible predicted potential abnormal disabled uncharacterized hypothetical unknown "
     "small large short long terminal internal type like related homolog ortholog paralog family superfamily class"
 ).split()
+# What names, families and domains are taken out by.
+NAME_PATTERN = r"(?:Full|Short)=([^;{]+)"
+EVIDENCE_PATTERN = r"\{ECO:[^}]*\}"
+BELONGS_PATTERN = r"(?i)^(Belongs|Member) to the\s+"
+FAMILY_PHRASE = r"(?U)(?i)([\w\s/-]+?)\s+(?:super)?family"
+MIXED_CASE = r"(?U)(\b[A-Za-z0-9]+[A-Z0-9][A-Za-z0-9]*\b)"
+LONG_WORDS = ((r"(?U)(\b\w+(?:/\w+)+\b)", 4), (r"(?U)(\b\w+(?:-\w+)+\b)", 6), (r"(?U)(\b[A-Za-z]{3,}\b)", 6))
+FAMILY_SAID = r"(?U)(?i)Family:\s*([\w-]+(?:\s+\d+)?)"
+FAMILY_BELONGS = r"(?U)(?i)Belongs to the\s+([\w-]+(?:\s+[\w-]+)?(?:\s+\d+)?)\s+family"
+DOMAIN_WORDS = r"(\b[a-z]{5,}\b)"
+RECOMMENDED_NAME = r"RecName: Full=([^;{]+)"
 SIMILARITY_STOPWORDS = [*STOPWORDS, *"proteins subfamily group contains domains repeat repeats region regions motif motifs sequence sequences".split()]
 # Suffixes in the order in which they are tried.
 SUFFIXES = ("ase", "ases", "ing", "ed", "es", "s", "tion", "sion", "ness", "ment")
@@ -50,29 +61,27 @@ def shared(a: Column, b: Column) -> Column:
 
 def longest(terms: Column, min_length: int = 3) -> Column:
     """The longest term, of those as long the first by name; null if under min_length."""
-    best = F.array_min(F.transform(terms, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))).getField("t")
-    return F.when(F.length(best) >= min_length, best)
+    enough = F.filter(terms, lambda t: F.length(t) >= min_length)
+    return F.array_min(F.transform(enough, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))).getField("t")
 
 
 def all_name_terms(description: Column) -> Column:
     """Tokens of all Full= and Short= names of a description."""
-    names = F.regexp_extract_all(description, F.lit(r"(?:Full|Short)=([^;{]+)"), F.lit(1))
+    names = F.regexp_extract_all(description, F.lit(NAME_PATTERN), F.lit(1))
     return F.array_distinct(F.flatten(F.transform(names, lambda n: meaningful_tokens(F.trim(n), NAME_TOKEN_LENGTH))))
 
 
 def similarity_terms(comments: Column) -> Column:
     """Terms of SIMILARITY comments: the family's name, mixed-case names, and slashed, hyphenated and long words."""
-    word = r"(?U)"
-
     def of(comment: Column) -> Column:
-        text = F.regexp_replace(F.trim(F.substring(comment, 12, 1 << 30)), r"\{ECO:[^}]*\}", "")
-        text = F.regexp_replace(text, r"(?i)^(Belongs|Member) to the\s+", "")
-        family = F.lower(F.trim(F.regexp_extract(text, word + r"(?i)([\w\s/-]+?)\s+(?:super)?family", 1)))
+        text = F.regexp_replace(F.trim(F.substring(comment, 12, 1 << 30)), EVIDENCE_PATTERN, "")
+        text = F.regexp_replace(text, BELONGS_PATTERN, "")
+        family = F.lower(F.trim(F.regexp_extract(text, FAMILY_PHRASE, 1)))
         families = F.filter(F.array(family), lambda t: F.length(t) >= 3)
-        mixed = F.regexp_extract_all(text, F.lit(word + r"(\b[A-Za-z0-9]+[A-Z0-9][A-Za-z0-9]*\b)"), F.lit(1))
+        mixed = F.regexp_extract_all(text, F.lit(MIXED_CASE), F.lit(1))
         found = [families, mixed]
-        for pattern, least in ((r"(\b\w+(?:/\w+)+\b)", 4), (r"(\b\w+(?:-\w+)+\b)", 6), (r"(\b[A-Za-z]{3,}\b)", 6)):
-            words = F.transform(F.regexp_extract_all(text, F.lit(word + pattern), F.lit(1)), F.lower)
+        for pattern, least in LONG_WORDS:
+            words = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lower)
             found.append(F.filter(words, lambda t, least=least: (F.length(t) >= least) & ~t.isin(SIMILARITY_STOPWORDS)))
         return F.concat(*found)
 
@@ -81,8 +90,8 @@ def similarity_terms(comments: Column) -> Column:
 
 def family_terms(description: Column, comments: Column) -> Column:
     """Family names said by the description or by comments."""
-    said = F.regexp_extract(description, r"(?U)(?i)Family:\s*([\w-]+(?:\s+\d+)?)", 1)
-    belongs = F.transform(comments, lambda c: F.regexp_extract(c, r"(?U)(?i)Belongs to the\s+([\w-]+(?:\s+[\w-]+)?(?:\s+\d+)?)\s+family", 1))
+    said = F.regexp_extract(description, FAMILY_SAID, 1)
+    belongs = F.transform(comments, lambda c: F.regexp_extract(c, FAMILY_BELONGS, 1))
     return F.array_distinct(F.filter(F.transform(F.concat(F.array(said), belongs), F.lower), lambda t: t != ""))
 
 
@@ -97,7 +106,7 @@ def domain_terms(xrefs: Column, features: Column | None = None) -> Column:
     terms = F.filter(names, lambda n: F.length(n) >= 4)
     if features is not None:
         kinds = F.filter(features, lambda f: f["type"].isin("DOMAIN", "REPEAT", "REGION") & f["note"].isNotNull())
-        terms = F.concat(terms, F.flatten(F.transform(kinds, lambda f: F.regexp_extract_all(F.lower(f["note"]), F.lit(r"(\b[a-z]{5,}\b)"), F.lit(1)))))
+        terms = F.concat(terms, F.flatten(F.transform(kinds, lambda f: F.regexp_extract_all(F.lower(f["note"]), F.lit(DOMAIN_WORDS), F.lit(1)))))
     return F.array_distinct(terms)
 
 
@@ -124,5 +133,5 @@ def sequential_ids(a: Column, b: Column, prefix: str = "PTHR") -> Column:
 
 def recommended_name(description: Column, organism: Column) -> Column:
     """`{RecName Full}; {organism}`, or NAME MISSING."""
-    full = F.regexp_extract(description, r"RecName: Full=([^;{]+)", 1)
+    full = F.regexp_extract(description, RECOMMENDED_NAME, 1)
     return F.when(full == "", "NAME MISSING").otherwise(F.concat_ws("; ", F.trim(full), organism))

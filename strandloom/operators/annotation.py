@@ -72,7 +72,7 @@ def phase2(r1: Column, r2: Column) -> Column:
 
     r1, r2: structs with xrefs, description, comments and features; a missing record explains nothing.
     """
-    said = lambda prefix, x: F.when(x.isNotNull(), F.concat(F.lit(prefix), x))
+    said = lambda prefix, x: F.concat(F.lit(prefix), x)  # noqa: E731  null without x
     checks = [said(f"{shown}: ", names.common_id(names.xref_ids(r1["xrefs"], db, strip), names.xref_ids(r2["xrefs"], db, strip))) for db, shown, strip in ID_DATABASES]
     panther = [names.xref_ids(r["xrefs"], "PANTHER", True) for r in (r1, r2)]
     checks.append(said("Panther: ", names.sequential_ids(*panther)))
