@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -114,12 +114,10 @@ def _unpack_numbers(order: bytes, codes: bytes, words: int, total: int) -> np.nd
     return numbers[np.ascontiguousarray(planes.T).view("<i4").ravel()]
 
 
-def encode(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """id_col and ids (array of int) of every row's whole text, as tokenizers gives them with add_special_tokens=False.
-
-    A null or empty text has no ids. Null and repeated ids are rows like others. No rows give none. Memory in a
-    task is bounded by the chunk, or one document if that is longer. Other columns are not carried.
-    """
+def _encoded(
+    documents: DataFrame, id_col: str, text_col: str, vocabulary: str, chunk_bytes: int, schema: T.StructType, make: Callable[[pa.Array, pa.ListArray], list[pa.Table]]
+) -> DataFrame:
+    """Rows that `make` builds from the ids and tokens of some hundred documents at a time."""
     source = documents.select(F.col(id_col), F.col(text_col))
     names = ["id", "text"]
     id_kind = source.schema[0].dataType
@@ -183,13 +181,13 @@ def encode(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             doc_ids = docs.column("ids")[row].values
             at = _unpack_numbers(docs.column("word_order")[row].as_py(), docs.column("codes")[row].as_py(), size, int(sizes.sum()))
             ends = np.concatenate(([0], np.cumsum(sizes)))
-            for i in range(0, len(sizes), 256):
-                inside = at[ends[i] : ends[min(i + 256, len(sizes))]]
+            for i in range(0, len(sizes), BLOCK_ROWS):
+                inside = at[ends[i] : ends[min(i + BLOCK_ROWS, len(sizes))]]
                 lengths = length[inside]
                 before = np.concatenate(([0], np.cumsum(lengths)))
                 ids = flat[np.repeat(start[inside] - before[:-1], lengths) + np.arange(before[-1])].astype(np.int32)
-                offsets = before[ends[i : i + 257] - ends[i]].astype(np.int32)
-                made.append(pa.Table.from_arrays([doc_ids.slice(i, 256), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=[id_col, "ids"]))
+                offsets = before[ends[i : i + BLOCK_ROWS + 1] - ends[i]].astype(np.int32)
+                made += make(doc_ids.slice(i, BLOCK_ROWS), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)))
         pa.default_memory_pool().release_unused()
         return pa.concat_tables(made)
 
@@ -197,41 +195,63 @@ def encode(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     dealt = source.mapInArrow(words_of, "word string, chunk long, number int").repartition("word").sortWithinPartitions("word")
     ids = dealt.mapInArrow(encode_words, "chunk long, number int, word_ids binary").repartition(parts, "chunk")
     docs = source.mapInArrow(numbered, rows).repartition(parts, "chunk")
-    schema = T.StructType([T.StructField(id_col, id_kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return docs.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(place, schema)
 
 
+def encode(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """id_col and ids (array of int) of every row's whole text, as tokenizers gives them with add_special_tokens=False.
+
+    A null or empty text has no ids. Null and repeated ids are rows like others. No rows give none. Memory in a
+    task is bounded by the chunk, or one document if that is longer. Other columns are not carried.
+    """
+    schema = T.StructType([T.StructField(id_col, documents.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    make = lambda ids, tokens: [pa.Table.from_arrays([ids, tokens], names=[id_col, "ids"])]
+    return _encoded(documents, id_col, text_col, vocabulary, chunk_bytes, schema, make)
+
+
 def pieces(spark: SparkSession, vocabulary: str = BYTE_BPE) -> DataFrame:
     """(id, piece) of the whole vocabulary, special tokens included."""
     rows = [(i, bytearray(p)) for p, i in ranks(vocabulary).items()] + [(END_OF_TEXT_ID, bytearray(END_OF_TEXT.encode()))]
     return spark.createDataFrame(rows, "id int, piece binary")
 
 
-def _with_pieces(encoded: DataFrame, id_to_piece: DataFrame, id_col: str, ids_col: str) -> DataFrame:
-    """(ids, sizes, flat, kinds, token, piece): by block a line with its rows' ids, their numbers of tokens and all tokens, and
-    how many lines follow: one for each distinct token, with its piece."""
-    if id_to_piece.count() > MAX_PIECES:
-        raise ValueError(f"more than {MAX_PIECES} pieces")
+def _lines_schema(id_kind: T.DataType) -> T.StructType:
+    """By block a line with its rows' ids, their numbers of tokens, all tokens, and how many lines follow: one for each distinct token."""
+    fields = [T.StructField("ids", T.ArrayType(id_kind)), T.StructField("sizes", T.ArrayType(T.IntegerType()))]
+    return T.StructType([*fields, T.StructField("flat", T.BinaryType()), T.StructField("kinds", T.IntegerType()), T.StructField("token", T.IntegerType())])
+
+
+def _block_lines(ids: pa.Array, tokens: pa.ListArray) -> list[pa.Table]:
+    """The lines of a block."""
+    flat = tokens.flatten().to_numpy(zero_copy_only=False).astype("<i4")
+    kinds = np.flatnonzero(np.bincount(flat)) if len(flat) else flat
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).cast(pa.int32())
+    one = pa.array([0, len(ids)], pa.int32())
+    head = [pa.ListArray.from_arrays(one, ids), pa.ListArray.from_arrays(one, sizes), pa.array([flat.tobytes()], pa.binary()), pa.array([len(kinds)], pa.int32()), pa.nulls(1, pa.int32())]
+    follow = [pa.nulls(len(kinds), x.type) for x in head[:4]] + [pa.array(kinds, pa.int32())]
+    names = ["ids", "sizes", "flat", "kinds", "token"]
+    return [pa.Table.from_arrays(head, names=names), pa.Table.from_arrays(follow, names=names)]
+
+
+def _lines(encoded: DataFrame, id_col: str, ids_col: str) -> DataFrame:
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    schema = T.StructType([T.StructField("ids", T.ArrayType(rows.schema[0].dataType)), T.StructField("sizes", T.ArrayType(T.IntegerType()))])
-    schema = T.StructType([*schema, T.StructField("flat", T.BinaryType()), T.StructField("kinds", T.IntegerType()), T.StructField("token", T.IntegerType())])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, BLOCK_ROWS):
-                ids, tokens = batch.column(0).slice(i, BLOCK_ROWS), batch.column(1).slice(i, BLOCK_ROWS)
-                flat = tokens.flatten().to_numpy(zero_copy_only=False).astype("<i4")
-                kinds = np.flatnonzero(np.bincount(flat)) if len(flat) else flat
-                sizes = pc.fill_null(pc.list_value_length(tokens), 0).cast(pa.int32())
-                head = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), sizes)]
-                head += [pa.array([flat.tobytes()], pa.binary()), pa.array([len(kinds)], pa.int32()), pa.nulls(1, pa.int32())]
-                yield pa.RecordBatch.from_arrays(head, names=schema.names)
-                follow = [pa.nulls(len(kinds), x.type) for x in head[:4]]
-                yield pa.RecordBatch.from_arrays([*follow, pa.array(kinds, pa.int32())], names=schema.names)
+                for table in _block_lines(batch.column(0).slice(i, BLOCK_ROWS), batch.column(1).slice(i, BLOCK_ROWS)):
+                    yield from table.to_batches()
+
+    return rows.mapInArrow(blocks, _lines_schema(rows.schema[0].dataType))
 
+
+def _with_pieces(lines: DataFrame, id_to_piece: DataFrame) -> DataFrame:
+    """Lines with the piece of each token."""
+    if id_to_piece.count() > MAX_PIECES:
+        raise ValueError(f"more than {MAX_PIECES} pieces")
     table = id_to_piece.select(F.col("id").cast("int").alias("token"), "piece")
-    lines = rows.mapInArrow(blocks, schema).join(F.broadcast(table), "token", "left")  # as long as a vocabulary, see above
-    return lines.select("ids", "sizes", "flat", "kinds", "token", "piece")
+    joined = lines.join(F.broadcast(table), "token", "left")  # as long as a vocabulary, see above
+    return joined.select("ids", "sizes", "flat", "kinds", "token", "piece")
 
 
 def _regrouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[tuple[np.ndarray, bytes]]]]:
@@ -272,13 +292,17 @@ def decode(encoded: DataFrame, id_to_piece: DataFrame, *, id_col: str = "doc_id"
         for ids, found in _regrouped(batches):
             yield pa.RecordBatch.from_arrays([ids, pa.array([raw.decode("utf-8", "replace") for _, raw in found], pa.string())], names=schema.names)
 
-    return _with_pieces(encoded, id_to_piece, id_col, ids_col).mapInArrow(run, schema)
+    return _with_pieces(_lines(encoded, id_col, ids_col), id_to_piece).mapInArrow(run, schema)
 
 
 def digest(encoded: DataFrame, id_to_piece: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id_col, n_tokens, and the SHA-256 of the ids as little-endian unsigned 32-bit integers and of the text that decode() gives."""
+    return _digested(_lines(encoded, id_col, ids_col), id_to_piece, encoded.schema[id_col])
+
+
+def _digested(lines: DataFrame, id_to_piece: DataFrame, id_field: T.StructField) -> DataFrame:
     schema = T.StructType([
-        T.StructField(id_col, encoded.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
+        T.StructField(id_field.name, id_field.dataType), T.StructField("n_tokens", T.LongType()),
         T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
     ])
 
@@ -289,11 +313,16 @@ def digest(encoded: DataFrame, id_to_piece: DataFrame, *, id_col: str = "doc_id"
             columns.append(pa.array([sha(raw.decode("utf-8", "replace").encode()) for _, raw in found], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return _with_pieces(encoded, id_to_piece, id_col, ids_col).mapInArrow(run, schema)
+    return _with_pieces(lines, id_to_piece).mapInArrow(run, schema)
 
 
 def round_trip(
     documents: DataFrame, id_to_piece: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE, chunk_bytes: int = CHUNK_BYTES
 ) -> DataFrame:
-    """Digests of encode() and decode() of its ids: id_col, n_tokens, ids_sha256 and decoded_sha256; null and empty texts have no tokens."""
-    return digest(encode(documents, id_col=id_col, text_col=text_col, vocabulary=vocabulary, chunk_bytes=chunk_bytes), id_to_piece, id_col=id_col)
+    """Digests of encode() and decode() of its ids: id_col, n_tokens, ids_sha256 and decoded_sha256; null and empty texts have no tokens.
+
+    As digest() of encode(), whose tasks here make the lines that are joined.
+    """
+    field = documents.schema[id_col]
+    lines = _encoded(documents, id_col, text_col, vocabulary, chunk_bytes, _lines_schema(field.dataType), _block_lines)
+    return _digested(lines, id_to_piece, field)
