@@ -19,7 +19,8 @@ Components of the links then give the groups.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.operators.components import connected_components
+from strandloom.llm import jaccard
+from strandloom.llm.groups import grouped, keep_least
 from strandloom.session import cut_lineage
 
 SHINGLE_WORDS = 3
@@ -56,14 +58,14 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(id_col, fp as a signed long) of every row, without a shuffle."""
     source = documents.select(id_col, text_col)
     schema = T.StructType([T.StructField(id_col, source.schema[0].dataType), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
+            found = np.fromiter((fingerprint(t, shingle_words) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -171,13 +173,6 @@ def links(fps: DataFrame) -> DataFrame:
     return middles.join(least, ["key", "third", "middle"]).filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
-def _grouped(found: DataFrame, linked: DataFrame, id_col: str) -> DataFrame:
-    """(fp, least, group) for each distinct fingerprint: its smallest id and the least fingerprint of its group."""
-    of_fp = connected_components(linked).withColumnRenamed("node", "fp")
-    least = found.groupBy("fp").agg(F.min(id_col).alias("least")).join(of_fp, "fp", "left")
-    return least.select("fp", "least", F.coalesce("component", "fp").alias("group"))
-
-
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, fingerprint (16 hex digits) and component_id (the smallest id of the group) of every row.
 
@@ -186,37 +181,22 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     are hashed whole; no rows give none. Other columns are not carried.
     """
     found = cut_lineage(fingerprints(documents, id_col=id_col, text_col=text_col))
-    grouped = _grouped(found, links(found.select("fp").distinct()), id_col)
-    named = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
-    by_fp = grouped.join(named, "group").select("fp", "component_id")
+    of_fp = grouped(found, links(found.select("fp").distinct()), id_col)
+    named = of_fp.groupBy("group").agg(F.min("least").alias("component_id"))
+    by_fp = of_fp.join(named, "group").select("fp", "component_id")
     return found.join(by_fp, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of every group, with all its columns: that with the smallest id, nulls last; repeats of it go too."""
-    found = cut_lineage(fingerprints(documents, id_col=id_col, text_col=text_col))
-    return keep_least(documents, found, links(found.select("fp").distinct()), fingerprint, id_col=id_col, text_col=text_col)
-
-
-def keep_least(documents: DataFrame, found: DataFrame, linked: DataFrame, number_of: Callable[[str | None], int], *, id_col: str, text_col: str) -> DataFrame:
-    """The row with the smallest id of every group that links between numbers (fp) make; found has each row's id and number."""
-    best = F.min(F.struct(F.col("least").isNull(), F.col("least"), F.col("fp")))
-    chosen = _grouped(found, linked, id_col).groupBy("group").agg(best.alias("best")).select(F.col("best.least").alias("_kept_id"), F.col("best.fp").alias("_kept_fp"))
-    if found.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
-        # each id is one row, so the ids say which rows stay
-        return documents.join(chosen.select("_kept_id"), F.col(id_col) == F.col("_kept_id"), "left_semi")
-    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_row_fp") == F.col("_kept_fp"))
-    return fingerprinted(documents, text_col, number_of).join(chosen, same, "left_semi").dropDuplicates([id_col, "_row_fp"]).select(documents.columns)
-
+def keep_one(
+    documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, shingle_words: int = SHINGLE_WORDS
+) -> DataFrame:
+    """One row of every group, with all its columns: that with the smallest id, nulls last; repeats of it go too.
 
-def fingerprinted(documents: DataFrame, text_col: str = "text", number_of: Callable[[str | None], int] = fingerprint) -> DataFrame:
-    """The rows with all their columns and their fingerprint in _row_fp."""
-    at = documents.columns.index(text_col)
-    schema = T.StructType([*documents.schema, T.StructField("_row_fp", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.fromiter((number_of(t) for t in batch.column(at).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=schema.names)
-
-    return documents.mapInArrow(run, schema)
+    Fingerprints link rows, or with `similarity` the sets of their shingles: at a Jaccard similarity of that or more,
+    which 64 bits cannot tell, see jaccard.
+    """
+    if similarity is not None:
+        return jaccard.keep_one(documents, id_col=id_col, text_col=text_col, shingle_words=shingle_words, similarity=similarity)
+    number_of = partial(fingerprint, shingle_words=shingle_words)
+    found = cut_lineage(fingerprints(documents, id_col=id_col, text_col=text_col, shingle_words=shingle_words))
+    return keep_least(documents, found, links(found.select("fp").distinct()), number_of, id_col=id_col, text_col=text_col)
