@@ -88,30 +88,26 @@ def _values(column: pa.ChunkedArray) -> Iterator:
         yield from column.slice(i, 256).to_pylist()
 
 
-def _word_numbers(chunk: pa.Table) -> tuple[list[str], list[np.ndarray]]:
-    """The chunk's distinct words, sorted, and each document's words as numbers among them."""
+def _word_numbers(chunk: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many distinct words the chunk has, how many words each document, and all words as numbers among the sorted distinct ones."""
     seen: dict[str, int] = {}  # in the order in which they come
     places = [np.array([seen.setdefault(w, len(seen)) for w in split_words(text)] if text else [], np.int32) for text in _values(chunk.column("text"))]
-    ordered = sorted(seen)
+    sizes = np.array([len(x) for x in places], np.int32)
+    flat = np.concatenate([*places, np.empty(0, np.int32)])
+    del places
     number = np.empty(len(seen), np.int32)
-    number[np.fromiter((seen[w] for w in ordered), np.int64, len(seen))] = np.arange(len(seen), dtype=np.int32)
-    return ordered, [number[x] for x in places]
+    number[np.fromiter(map(seen.__getitem__, sorted(seen)), np.int64, len(seen))] = np.arange(len(seen), dtype=np.int32)
+    return len(seen), sizes, number[flat]
 
 
-def _pack_numbers(places: list[np.ndarray], words: int) -> tuple[bytes, bytes]:
-    """Words' numbers by how often they come, and the documents' words as places in that order, by planes of bytes: both compressed."""
-    flat = np.concatenate([*places, np.empty(0, np.int32)])
-    order = np.argsort(-np.bincount(flat, minlength=words), kind="stable").astype("<i4")
-    rank = np.empty(words, "<i4")
-    rank[order] = np.arange(words, dtype="<i4")
-    planes = rank[flat].view(np.uint8).reshape(-1, 4).T
-    return pa.compress(order.tobytes(), "zstd", asbytes=True), pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+def _pack_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, compressed: the upper planes hold next to nothing."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<i4", copy=False).view(np.uint8).reshape(-1, 4).T), "zstd", asbytes=True)
 
 
-def _unpack_numbers(order: bytes, codes: bytes, words: int, total: int) -> np.ndarray:
-    numbers = np.frombuffer(pa.decompress(order, 4 * words, "zstd", asbytes=True), "<i4")
-    planes = np.frombuffer(pa.decompress(codes, 4 * total, "zstd", asbytes=True), np.uint8).reshape(4, total)
-    return numbers[np.ascontiguousarray(planes.T).view("<i4").ravel()]
+def _unpack_numbers(packed: bytes, total: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * total, "zstd"), np.uint8).reshape(4, total)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def _encoded(
@@ -124,7 +120,7 @@ def _encoded(
     id_type = np.dtype("<u2" if tokenizer(vocabulary).get_vocab_size() <= 1 << 16 else "<u4")
     kind = "H" if id_type.itemsize == 2 else "I"
     rows = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(id_kind)), T.StructField("sizes", T.ArrayType(T.IntegerType()))])
-    rows = T.StructType([*rows, T.StructField("words", T.IntegerType()), T.StructField("word_order", T.BinaryType()), T.StructField("codes", T.BinaryType())])
+    rows = T.StructType([*rows, T.StructField("words", T.IntegerType()), T.StructField("numbers", T.BinaryType())])
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         return _chunks((b.rename_columns(names) for b in batches), chunk_bytes)
@@ -157,12 +153,14 @@ def _encoded(
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            ordered, places = _word_numbers(chunk)
-            order, codes = _pack_numbers(places, len(ordered))
-            doc_ids = chunk.column("id").combine_chunks()
-            columns = [pa.array([_key(chunk)]), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids), pa.array([[len(x) for x in places]], pa.list_(pa.int32()))]
-            columns += [pa.array([len(ordered)], pa.int32()), pa.array([order], pa.binary()), pa.array([codes], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=rows.names)
+            key, doc_ids = _key(chunk), chunk.column("id").combine_chunks()
+            words, sizes, flat = _word_numbers(chunk)
+            del chunk
+            one = pa.array([0, len(doc_ids)], pa.int32())
+            columns = [pa.array([key]), pa.ListArray.from_arrays(one, doc_ids), pa.ListArray.from_arrays(one, pa.array(sizes))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([words], pa.int32()), pa.array([_pack_numbers(flat)], pa.binary())], names=rows.names)
+            del flat
+            pa.default_memory_pool().release_unused()
 
     def place(docs: pa.Table, words: pa.Table) -> pa.Table:
         numbers = words.column("number").to_numpy()
@@ -179,7 +177,7 @@ def _encoded(
         for row in range(docs.num_rows):  # chunks of equal content share a key and their words
             sizes = docs.column("sizes")[row].values.to_numpy()
             doc_ids = docs.column("ids")[row].values
-            at = _unpack_numbers(docs.column("word_order")[row].as_py(), docs.column("codes")[row].as_py(), size, int(sizes.sum()))
+            at = _unpack_numbers(docs.column("numbers")[row].as_py(), int(sizes.sum()))
             ends = np.concatenate(([0], np.cumsum(sizes)))
             for i in range(0, len(sizes), BLOCK_ROWS):
                 inside = at[ends[i] : ends[min(i + BLOCK_ROWS, len(sizes))]]
