@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 #: Terms with weight STRICT block alone; soft ones add up.
 STRICT = 100
 SOFT_LIMIT = 2
+MAX_TERMS = 1_000_000
 VOCABULARY = {
     **dict.fromkeys(("porn", "porno", "xxx", "hentai", "xvideos", "camgirls", "escorts", "onlinecasino", "warez", "malware"), STRICT),
     **dict.fromkeys(("adult", "sex", "nude", "erotic", "casino", "poker", "betting", "slots", "viagra", "pills", "crack", "torrent", "keygen", "hookup", "dating"), 1),
@@ -94,17 +95,27 @@ class TermCounter:
         return strict, soft, bool(strict) or sum(self.weights[t] for t in soft) >= soft_limit
 
 
+def read_vocabulary(terms: DataFrame) -> dict[str, int]:
+    """Weights by term of a table (term, weight)."""
+    lowered = terms.select(F.lower("term").alias("term"), F.col("weight").cast("int").alias("weight")).filter("term <> '' and weight is not null")
+    found = lowered.groupBy("term").agg(F.max("weight").alias("weight")).limit(MAX_TERMS + 1).collect()
+    if len(found) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms")
+    return {r["term"]: r["weight"] for r in found}
+
+
 def filter_urls(
     pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES,
-    vocabulary: dict[str, int] | None = None, soft_limit: int = SOFT_LIMIT,
+    vocabulary: dict[str, int] | DataFrame | None = None, soft_limit: int = SOFT_LIMIT,
 ) -> DataFrame:
     """id_col, host, path, rule, verdict and the strict and soft terms found, for every row.
 
     A null URL or one without `://` has empty host and path, fits no rule, holds no term and is allowed. Query
     and fragment are not judged. Repeated rows are judged one by one, URLs of any length whole; no rows give
-    none. Other columns are not carried. Rules and vocabulary are parameters held by the driver.
+    none. Other columns are not carried. Rules and vocabulary are parameters held by the driver; a vocabulary may also
+    be a table (term, weight) of at most MAX_TERMS rows, of which the greatest weight of a term counts and nulls do not.
     """
-    counter_of = dict(VOCABULARY if vocabulary is None else vocabulary)
+    counter_of = read_vocabulary(vocabulary) if isinstance(vocabulary, DataFrame) else dict(VOCABULARY if vocabulary is None else vocabulary)
     host, path = host_and_path(F.col(url_col))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     parts = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).select(id_col, "host", "path", rule.alias("rule"), verdict.alias("verdict"))

@@ -48,3 +48,11 @@ def test_bound_holds():
 def test_large_integers_stay_exact():
     a = np.array([[2**30, 3]], dtype=np.int64)
     assert topk.products(a, np.array([[2**30, 5]], dtype=np.int64))[0, 0] == 2**60 + 15
+
+
+def test_clashing_columns_and_values_beyond_64_bits(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [-1e300, 0.0]), (3, [1.0, 1.0])]
+    frame = spark.createDataFrame([(i, v, 7, 7, 7, 7, 7, 7) for i, v in rows], "vec_id long, embedding array<double>, query_id int, rank int, node int, part int, x int, spot int")
+    found = topk.search(frame, k=2)
+    assert found.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 2**63 - 1)]

@@ -27,3 +27,11 @@ def test_vocabulary_weights(spark):
     rows = url_filter.filter_urls(frame, rules=(), vocabulary={"one": 2, "two": 1, "three": url_filter.STRICT}, soft_limit=3).collect()
     assert {r["page_id"]: r["verdict"] for r in rows} == {1: "block", 2: "allow", 3: "block"}
     assert all(r["verdict"] == "allow" for r in url_filter.filter_urls(frame, rules=(), vocabulary={}).collect())
+
+
+def test_vocabulary_table(spark):
+    terms = spark.createDataFrame([("Glücksspiel", 100), ("wette", 1), ("bonus", 1), ("bonus", None), (None, 5), ("", 9), ("wette", 0)], "term string, weight int")
+    assert url_filter.read_vocabulary(terms) == {"glücksspiel": 100, "wette": 1, "bonus": 1}
+    pages = spark.createDataFrame([(1, "http://a.net/wette/bonus"), (2, "http://a.net/wette"), (3, "http://a.net/glücksspiel"), (4, "http://a.net/wetter-bonus")], "page_id long, url string")
+    found = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, vocabulary=terms).collect()}
+    assert found == {1: "block", 2: "allow", 3: "block", 4: "allow"}
