@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -57,6 +58,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_unused(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffles and checkpoints that nothing refers to any more, which it otherwise does at some later time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder of that name within the shared one."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
