@@ -22,6 +22,7 @@ otherwise the words of a chunk are missing, which raises an error and never give
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 from array import array
@@ -42,6 +43,7 @@ from strandloom.llm.vocabulary import BYTE_BPE, END_OF_TEXT, END_OF_TEXT_ID, enc
 CHUNK_BYTES = 32 << 20
 MAX_PIECES = 1 << 20
 BLOCK_ROWS = 1024
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
 _WORD = regex.compile(public_tokenizers.PATTERN)
 _SPECIAL = re.compile(f"({re.escape(END_OF_TEXT)})")
 
@@ -91,13 +93,22 @@ def _values(column: pa.ChunkedArray) -> Iterator:
 def _word_numbers(chunk: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
     """How many distinct words the chunk has, how many words each document, and all words as numbers among the sorted distinct ones."""
     seen: dict[str, int] = {}  # in the order in which they come
-    places = [np.array([seen.setdefault(w, len(seen)) for w in split_words(text)] if text else [], np.int32) for text in _values(chunk.column("text"))]
-    sizes = np.array([len(x) for x in places], np.int32)
-    flat = np.concatenate([*places, np.empty(0, np.int32)])
-    del places
+    places, sizes = array("i"), []
+    for text in _values(chunk.column("text")):
+        before = len(places)
+        if text:
+            places.extend([seen.setdefault(w, len(seen)) for w in split_words(text)])
+        sizes.append(len(places) - before)
     number = np.empty(len(seen), np.int32)
     number[np.fromiter(map(seen.__getitem__, sorted(seen)), np.int64, len(seen))] = np.arange(len(seen), dtype=np.int32)
-    return len(seen), sizes, number[flat]
+    return len(seen), np.array(sizes, np.int32), number[np.frombuffer(places, np.int32)] if places else np.empty(0, np.int32)
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system: a worker holds a chunk at a time, and several workers share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def _pack_numbers(numbers: np.ndarray) -> bytes:
@@ -137,6 +148,8 @@ def _encoded(
                 part = ordered[i : i + 50_000]
                 columns = [pa.array(part, pa.string()), pa.array(np.full(len(part), key)), pa.array(np.arange(i, i + len(part), dtype=np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["word", "chunk", "number"])
+            del chunk, ordered
+            _give_back()
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, bytes] | None = None  # a word's rows may go on in the next batch
@@ -159,8 +172,8 @@ def _encoded(
             one = pa.array([0, len(doc_ids)], pa.int32())
             columns = [pa.array([key]), pa.ListArray.from_arrays(one, doc_ids), pa.ListArray.from_arrays(one, pa.array(sizes))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([words], pa.int32()), pa.array([_pack_numbers(flat)], pa.binary())], names=rows.names)
-            del flat
-            pa.default_memory_pool().release_unused()
+            del flat, columns, doc_ids
+            _give_back()
 
     def place(docs: pa.Table, words: pa.Table) -> pa.Table:
         numbers = words.column("number").to_numpy()
@@ -186,7 +199,7 @@ def _encoded(
                 ids = flat[np.repeat(start[inside] - before[:-1], lengths) + np.arange(before[-1])].astype(np.int32)
                 offsets = before[ends[i : i + BLOCK_ROWS + 1] - ends[i]].astype(np.int32)
                 made += make(doc_ids.slice(i, BLOCK_ROWS), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)))
-        pa.default_memory_pool().release_unused()
+        _give_back()
         return pa.concat_tables(made)
 
     parts = 2 * max(source.rdd.getNumPartitions(), source.sparkSession.sparkContext.defaultParallelism)  # chunks lie apart
