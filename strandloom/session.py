@@ -84,3 +84,49 @@ def settled(df: DataFrame, folder: str) -> DataFrame:
     out = cut_lineage(df)
     remove_folder(df.sparkSession, folder)
     return out
+
+
+class Workspace:
+    """Written tables in one scratch folder of the shared one.
+
+    A written table cuts lineage as a checkpoint does and outlives lost executors, but it can be removed as soon as
+    its readers are done. What is neither dropped nor closed stays until clear_results(), as does what result() returns.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder, self.made = spark, f"{results_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df as a written table."""
+        self.made += 1
+        return self._written(df, f"{self.folder}/{self.made}")
+
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *kept: DataFrame) -> None:
+        """Removes tables that keep() returned."""
+        for df in kept:
+            for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+                remove_folder(self.spark, folder)
+
+    def close(self) -> None:
+        """Removes all that keep() has written."""
+        remove_folder(self.spark, self.folder)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """df as a written table of its own; all that keep() has written goes."""
+        out = self._written(df, f"{results_folder(self.spark)}/{uuid.uuid4().hex}")
+        self.close()
+        return out
+
+
+def results_folder(spark: SparkSession) -> str:
+    """Where tables lie that queries have written; one folder for each application."""
+    return f"{shared_folder(spark)}/results-{spark.sparkContext.applicationId}"
+
+
+def clear_results(spark: SparkSession) -> None:
+    """Removes the written tables of this application; their DataFrames can't be read any more."""
+    remove_folder(spark, results_folder(spark))
