@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, chat, html_extract, langid, packing, quality, sharding, simhash, topk, url_filter
-from strandloom.session import spread, table
+from strandloom.llm import bpe, chat, html_extract, langid, merkle, packing, quality, sharding, simhash, topk, url_filter
+from strandloom.session import Workspace, spread, table
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +61,16 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents, langid.fit(documents))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the leaves, drawn by id, meets its witness with the text's capitals lower-cased."""
+    documents, work = table(spark, sf_dir, "documents"), Workspace(spark, "merkle")
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    drawn = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
+    altered = F.when(drawn, merkle.leaf_digest({f: F.col(f) for f in merkle.FIELDS} | {"text": lowered}))
+    found = merkle.manifest(documents, carried={"altered": altered}, work=work)
+    return work.result(merkle.proofs(found, F.col("altered")))
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_pack": op2_pack,
@@ -70,6 +82,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
+    "op12_merkle": op12_merkle,
 }
 
 _FORGED = ", ".join(f"(-7, {turn}, '{role}', '{FORGED}')" for turn, role in enumerate(("user", "assistant")))
@@ -80,4 +93,5 @@ ORACLES: dict[str, str] = {
     "op6_topk": topk.oracle_sql(),
     "op8_url_filter": url_filter.oracle_sql(),
     "op9_quality": quality.oracle_sql(),
+    "op12_merkle": merkle.oracle_sql(),
 }
