@@ -7,7 +7,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, chat, html_extract, langid, merkle, packing, quality, sharding, simhash, topk, url_filter
+from strandloom.llm import bpe, chat, html_extract, langid, merkle, packing, quality, sharding, simhash, token_files, topk, url_filter
 from strandloom.session import Workspace, spread, table
 
 
@@ -61,6 +61,12 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents, langid.fit(documents))
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark, "tokens")
+    token_files.write(spread(table(spark, sf_dir, "documents")), f"{work.folder}/files")
+    return work.result(token_files.digest(token_files.read(spark, f"{work.folder}/files"), work))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fifth of the leaves, drawn by id, meets its witness with the text's capitals lower-cased."""
     documents, work = table(spark, sf_dir, "documents"), Workspace(spark, "merkle")
@@ -82,6 +88,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
+    "op11_tokens": op11_tokens,
     "op12_merkle": op12_merkle,
 }
 
