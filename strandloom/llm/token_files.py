@@ -18,7 +18,6 @@ import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from strandloom.llm.vocabulary import tokenizer
+from strandloom.llm.vocabulary import encode_runs
 from strandloom.session import Workspace
 
 WORD_BPE = "word_bpe_49k"
@@ -41,8 +40,9 @@ DOCUMENT_END = 1
 FRAME_TOKENS = 1 << 15
 SPLIT_BYTES = 64 << 20
 LEVEL = 3
-SLICE_BYTES = 16 << 20
-KNOWN_RUNS = 1_500_000
+SLICE_BYTES = 6 << 20
+KNOWN_RUNS = 600_000
+ENCODED_AT_ONCE = 16_384  # runs
 SUFFIX = ".tokens.zst"
 # fixed values of the public zstandard formats
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -309,12 +309,11 @@ class RunTable:
         out = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         if unknown.any():
             new = runs.filter(pa.array(unknown))
-            found = [e.ids for e in tokenizer(self.vocabulary).encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            out[unknown] = len(self.runs) + np.arange(len(found))
+            out[unknown] = len(self.runs) + np.arange(len(new))
+            parts = [encode_runs(new.slice(i, ENCODED_AT_ONCE).to_pylist(), self.vocabulary) for i in range(0, len(new), ENCODED_AT_ONCE)]
             self.runs = pa.concat_arrays([self.runs, new])
-            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.int32, counts.sum())))
-            self.counts = np.concatenate((self.counts, counts))
+            self.ids = np.concatenate([self.ids, *[ids for ids, _ in parts]])
+            self.counts = np.concatenate([self.counts, *[counts for _, counts in parts]])
         return out
 
 

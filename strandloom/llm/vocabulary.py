@@ -7,6 +7,7 @@ Python worker; none is shipped, copied or trained.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from functools import lru_cache
@@ -116,3 +117,52 @@ def _slow_spans(text: str) -> list[tuple[int, int]]:
 
 def _fast(text: str, name: str, added: tuple[str, ...]) -> list[int]:
     return fast_encoding(name, added).encode(text, allowed_special="all", disallowed_special=()) if text else []
+
+
+#: Stands for the end of a word in tiktoken's bytes; texts that hold it go to tokenizers.
+WORD_END = "\0"
+#: Runs of ASCII and the Latin letters below need no normalizing but lower case, which is the same everywhere for them.
+_PLAIN = "!-~À-ÖØ-öø-ÿŒœ"
+_PLAIN_RUN = re.compile(f"[{_PLAIN}]*")
+_PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^ a-zß-öø-ÿœ0-9]+")  # the tokenizer file's pattern, for these characters
+_SPECIAL = "<|"
+
+
+@lru_cache(maxsize=2)
+def word_encoding(name: str) -> tuple[tiktoken.Encoding, np.ndarray]:
+    """A vocabulary with word ends in tiktoken, and whether each id ends a word.
+
+    A word's last byte and the end that follows it are merged before all else, as their ranks are the lowest, so words
+    begin as they do in the tokenizers form; from there both merge in the same order (tests compare the two).
+    """
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as lines:
+        model = json.load(lines)["model"]
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies show as themselves
+    of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    end = model["end_of_word_suffix"]
+    raw = {piece: bytes(of[c] for c in piece.removesuffix(end)) + (WORD_END.encode() if piece.endswith(end) else b"") for piece in model["vocab"]}
+    ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+    ends[[i for piece, i in model["vocab"].items() if piece.endswith(end)]] = True
+    return tiktoken.Encoding(name, pat_str=rf"[^{WORD_END} ]+{WORD_END}", mergeable_ranks={raw[piece]: i for piece, i in model["vocab"].items()}, special_tokens={}), ends
+
+
+def encode_runs(runs: list[str], name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of each run's) of runs without white space, for a vocabulary with word ends, as tokenizers gives them with add_special_tokens=False."""
+    plain = np.fromiter((bool(_PLAIN_RUN.fullmatch(x)) and _SPECIAL not in x and len(x) < LONG_RUN for x in runs), bool, len(runs))
+    encoding, ends = word_encoding(name)
+    marked = _PLAIN_WORDS.sub(rf"\g<0>{WORD_END}", " ".join([x for x, p in zip(runs, plain.tolist()) if p]).lower())
+    fast = np.array(encoding.encode_ordinary(marked), np.int32)
+    words = np.fromiter((x.count(WORD_END) for x in marked.split(" ")), np.int64) if plain.any() else np.zeros(0, np.int64)
+    word_ends = np.concatenate(([0], np.flatnonzero(ends[fast]) + 1))  # each word ends in one token that says so
+    upto = word_ends[np.cumsum(words)]
+    counts = np.zeros(len(runs), np.int64)
+    counts[plain] = np.diff(upto, prepend=0)
+    if plain.all():
+        return fast, counts
+    slow = [e.ids for e in tokenizer(name).encode_batch_fast([x for x, p in zip(runs, plain.tolist()) if not p], add_special_tokens=False)]
+    counts[~plain] = list(map(len, slow))
+    ids = np.zeros(counts.sum(), np.int32)
+    is_fast = np.repeat(plain, counts)
+    ids[is_fast] = fast
+    ids[~is_fast] = np.fromiter((i for x in slow for i in x), np.int32)
+    return ids, counts

@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from strandloom.llm import token_files
-from strandloom.llm.vocabulary import tokenizer
+from strandloom.llm.vocabulary import encode_runs, tokenizer
 from strandloom.session import Workspace
 from tests.llm.conftest import SF
 
@@ -114,7 +114,7 @@ def test_ids_that_do_not_fit(tmp_path):
 
 def test_runs_and_the_library():
     rng = random.Random(5)
-    letters = list(" \t\n\r\x0b\x0c\x1c\x85  　aABZ's-_<|>13é漢😀ΣσİIŉﬁ̈​̸=") + ["<|endoftext|>", "<|startoftext|>", " ", "'s"]
+    letters = 3 * list("ßÀÖØÿŒœ'st.,9aZé") + list(" \t\n\r\x0b\x0c\x1c\x85  　aABZ's-_<|>13éßÀÖØÿŒœ×÷²ª\x00漢😀ΣσİIŉﬁ̈​̸=") + ["<|endoftext|>", "<|startoftext|>", " ", "'s"]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(4000)] + [None, "", "  ", "x" * 100_000, " " * 100_000]
     offsets, ids = token_files.encode_column(pa.array(texts))
     for i, text in enumerate(texts):
@@ -127,3 +127,14 @@ def test_folder_with_files_is_not_written_again(spark):
     with pytest.raises(Exception, match="holds token files"):
         token_files.write(docs, folder)
     assert token_files.read(spark, folder).count() == 1
+
+
+def test_fast_runs_and_the_library(spark):
+    """Every distinct run of the documents, and made-up ones of the letters that go the fast way."""
+    runs = [r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").selectExpr("explode(split(text, '[ \\n]+')) as run").distinct().collect()]
+    rng = random.Random(9)
+    runs += ["".join(rng.choice("aeinrstlhou'dgßÀÖéüœ.,;!0-9ABT") for _ in range(rng.randrange(1, 30))) for _ in range(20_000)]
+    for some in (runs, [], [""], ["<|endoftext|>", "ΑΣ"]):
+        ids, counts = encode_runs(some, token_files.WORD_BPE)
+        want = [e.ids for e in tokenizer(token_files.WORD_BPE).encode_batch(some, add_special_tokens=False)]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
