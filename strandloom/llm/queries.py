@@ -7,7 +7,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, chat, html_extract, langid, merkle, packing, quality, sharding, simhash, token_files, topk, url_filter
+from strandloom.llm import bpe, chat, html_extract, langid, merkle, packing, prefix_trie, quality, sharding, simhash, token_files, topk, url_filter
 from strandloom.session import Workspace, spread, table
 
 
@@ -77,6 +77,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return work.result(merkle.proofs(found, F.col("altered")))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark, "trie")
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"), work)
+    rebuilt, conversations = prefix_trie.with_shared_heads(turns, work)
+    return work.result(prefix_trie.trie(rebuilt, conversations, work))
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_pack": op2_pack,
@@ -90,6 +97,7 @@ QUERIES = {
     "op10_langid": op10_langid,
     "op11_tokens": op11_tokens,
     "op12_merkle": op12_merkle,
+    "op13_trie": op13_trie,
 }
 
 _FORGED = ", ".join(f"(-7, {turn}, '{role}', '{FORGED}')" for turn, role in enumerate(("user", "assistant")))
@@ -101,4 +109,5 @@ ORACLES: dict[str, str] = {
     "op8_url_filter": url_filter.oracle_sql(),
     "op9_quality": quality.oracle_sql(),
     "op12_merkle": merkle.oracle_sql(),
+    "op13_trie": prefix_trie.oracle_sql(),
 }
