@@ -8,7 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.session import cut_lineage
+from strandloom.session import Workspace
+
+#: As many edges are reduced in one task, which holds their nodes.
+EDGES_OF_A_TASK = 500_000
 
 
 def _spanning(edges: DataFrame) -> DataFrame:
@@ -60,21 +63,35 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node on an edge; the component is its least node.
 
-    Edges within a partition are first reduced to a forest; then large and small stars alternate until each node
-    is linked to its component's least node alone. Both are joins and partial aggregations, so no group meets in
-    one task; the rounds grow with the logarithm of the longest path. Self-links and repeats do no harm; null
-    ends are ignored.
+    Edges within a partition are first reduced to a forest. What is left is one more such partition if it is no more
+    than a task takes; else large and small stars alternate until each node is linked to its component's least node
+    alone. Both are joins and partial aggregations, so no group meets in one task; the rounds grow with the logarithm
+    of the longest path. Self-links and repeats do no harm; null ends are ignored.
     """
-    now = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).filter("u <> v")
-    now = cut_lineage(_spanning(now).distinct())
+    work = Workspace(edges.sparkSession, "components")
+    given = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).filter("u <> v")
+    now = work.keep(_spanning(given).distinct())
+    if now.limit(EDGES_OF_A_TASK + 1).count() <= EDGES_OF_A_TASK:
+        return _of_stars(_replaced(work, now, _spanning(now.coalesce(1))))
     for _ in range(max_rounds):
         if _are_stars(now):
-            leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            return leaves.union(leaves.select(F.col("component").alias("node"), "component").distinct())
-        now = cut_lineage(_star(_star(now, large=True), large=False))
+            return _of_stars(now)
+        now = _replaced(work, now, _star(_star(now, large=True), large=False))
     raise RuntimeError(f"no convergence in {max_rounds} rounds")
 
 
+def _replaced(work: Workspace, old: DataFrame, new: DataFrame) -> DataFrame:
+    """new as a written table in place of the old one it reads."""
+    out = work.keep(new)
+    work.drop(old)
+    return out
+
+
+def _of_stars(stars: DataFrame) -> DataFrame:
+    leaves = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return leaves.union(leaves.select(F.col("component").alias("node"), "component").distinct())
+
+
 def _are_stars(edges: DataFrame) -> bool:
     """True if every node points to one other at most and none that is pointed to points on; edges lead to lesser nodes."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
