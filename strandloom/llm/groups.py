@@ -21,14 +21,21 @@ def grouped(found: DataFrame, linked: DataFrame, id_col: str) -> DataFrame:
 
 
 def keep_least(documents: DataFrame, found: DataFrame, linked: DataFrame, number_of: Callable[[str | None], int], *, id_col: str, text_col: str) -> DataFrame:
-    """The row with the smallest id of every group that links between numbers (fp) make; found has each row's id and number."""
+    """The row with the smallest id of every group that links between numbers (fp) make; found has each row's id and number.
+
+    Columns of any name are kept as they are: none of the documents' names can clash with those of the work.
+    """
     best = F.min(F.struct(F.col("least").isNull(), F.col("least"), F.col("fp")))
     chosen = grouped(found, linked, id_col).groupBy("group").agg(best.alias("best")).select(F.col("best.least").alias("_kept_id"), F.col("best.fp").alias("_kept_fp"))
+    inner = [f"c{i}" for i in range(len(documents.columns))]
+    named, id_name, text_name = documents.toDF(*inner), inner[documents.columns.index(id_col)], inner[documents.columns.index(text_col)]
     if found.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
         # each id is one row, so the ids say which rows stay
-        return documents.join(chosen.select("_kept_id"), F.col(id_col) == F.col("_kept_id"), "left_semi")
-    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_row_fp") == F.col("_kept_fp"))
-    return numbered_rows(documents, text_col, number_of).join(chosen, same, "left_semi").dropDuplicates([id_col, "_row_fp"]).select(documents.columns)
+        stay = named.join(chosen.select("_kept_id"), F.col(id_name) == F.col("_kept_id"), "left_semi")
+    else:
+        same = F.col(id_name).eqNullSafe(F.col("_kept_id")) & (F.col("_row_fp") == F.col("_kept_fp"))
+        stay = numbered_rows(named, text_name, number_of).join(chosen, same, "left_semi").dropDuplicates([id_name, "_row_fp"]).select(*inner)
+    return stay.toDF(*documents.columns)
 
 
 def numbered_rows(documents: DataFrame, text_col: str, number_of: Callable[[str | None], int]) -> DataFrame:

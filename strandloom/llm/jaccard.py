@@ -1,49 +1,53 @@
 """Near-duplicate groups by the exact Jaccard similarity of word shingles, for SimHash near-dedup at such a similarity.
 
-Fingerprints of 64 bits cannot tell similarities of 0.8 or so: such texts differ in ten bits in the middle, and no
-key of Golay codewords that tolerates ten is telling. So keys come from the shingles, and fingerprints check pairs.
-
-A document is the set of its distinct shingles, as 64-bit hashes. In any one order of all shingles, two sets as
-similar as asked share one of the first n - ceil(similarity * n) + 1 of each of them, its prefix. The order puts
-shingles that a sample of documents shares last, where prefixes hardly reach; the sample bears on the work alone.
-Equal sets are made one first. The sets under a key are not paired with each other, as there may be very many, but
-each with three of them: the first and the last in an order drawn for that key, and the most typical one, whose keys
-most sets share; so the work is linear in a key's sets. Similar sets have many keys in common, and each draws anew.
-Keys are told apart by size before: a set stands in the bucket of its size and in the next, so that sets of sizes
-that can be similar meet in one of them.
-Pairs of unlike size or with fingerprints more than FAR bits apart go; the others are verified by their whole sets.
-Components of the verified links give the groups.
-
-A pair within a crowd of near copies is seen only if one of it is among the three under some common key, so a
-document that is similar to few of a crowd may stay with small probability; tests compare with all pairs.
+A document is the set of its distinct shingles, as 64-bit hashes; equal sets are made one first. Fingerprints come
+first: sets whose SimHashes the Golay keys bring within two bits are verified and linked. But at a similarity of 0.8
+fingerprints of 64 bits differ in ten bits in the middle, and no key of Golay codewords that tolerates ten is telling,
+so a prefix filter looks for the rest. In any one order of all shingles, two sets as similar as asked share one of the
+first n - ceil(similarity * n) + 1 of each of them, its prefix. The order puts shingles that a sample of documents
+shares last, where prefixes hardly reach; the sample bears on the work alone.
+
+Keys, the shingles in prefixes, that few sets share give pairs, some for each set, which are verified by whole sets.
+Under keys of crowds pairs are not made. Each set of a crowd goes to two groups, those of its commonest keys, and
+groups are cut into blocks of bounded size. First a block drawn at random meets all blocks of its group, which links
+nearly all of a crowd into one component. Then, in groups of several blocks, what still has another label than the commonest meets all blocks; blocks
+of one and the same label don't meet. A task counts what two blocks have in common by a product of matrices, and its
+links are a forest. At last, keys of crowds under which labels differ are gone through for pairs with different labels
+that no group has compared; these are verified like the others. So every pair that is similar enough is verified or lies
+in one component already: components of the links are the groups.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm.groups import keep_least
-from strandloom.session import cut_lineage, drop_unused
+from strandloom.llm.places import placed
+from strandloom.operators.components import connected_components
+from strandloom.session import Workspace
 
 SEED = 42
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 SAMPLED = 20_000  # documents at most, and
 SAMPLED_SHARE = 0.05
-MARKS = 1 << 26  # bits
+LEAST_MARKS, MOST_MARKS = 1 << 22, 1 << 28  # bits
 HOT = 100_000  # shingles put last
-FAR = 22  # of 64 bits; at a similarity of 0.8 fingerprints differ in 10 with a deviation of 3
 SLICE = 256
+LIGHT = 8  # sets under a key of which pairs are made
+GROUPS_OF_A_SET = 2
+BLOCK_COST, LEAST_COST = 1 << 19, 1 << 10  # hashes of a block, and what the smallest set counts as
+MATRIX_COLUMNS = 4096
 
 
 def shingles(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -96,7 +100,7 @@ def _sets(documents: DataFrame, text_col: str, shingle_words: int, marks: np.nda
     given = None if marks is None else documents.sparkSession.sparkContext.broadcast(marks)
 
     def wanted(text: str | None) -> bool:
-        number = _text_hash(text) % MARKS
+        number = _text_hash(text) % (len(given.value) << 6)
         return bool(given.value[number >> 6] >> (number & 63) & 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +115,11 @@ def _sets(documents: DataFrame, text_col: str, shingle_words: int, marks: np.nda
 
 
 def _marks(numbers: DataFrame, column: str) -> np.ndarray:
-    """A bit for each number's remainder: MARKS bits, however many numbers there are."""
-    word = F.shiftright(F.pmod(column, F.lit(MARKS)), 6).cast("int")
+    """A bit for each number's remainder; some sixteen bits a number, within bounds (32 MB at most)."""
+    bits = min(MOST_MARKS, max(LEAST_MARKS, 1 << (16 * numbers.count()).bit_length()))
+    word = F.shiftright(F.pmod(column, F.lit(bits)), 6).cast("int")
     table = numbers.groupBy(word.alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("bits")).toPandas()
-    marks = np.zeros(MARKS >> 6, np.int64)
+    marks = np.zeros(bits >> 6, np.int64)
     marks[table["word"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64)
     return marks
 
@@ -150,48 +155,212 @@ def described(documents: DataFrame, ratio: Fraction, shingle_words: int, *, id_c
     return source.mapInArrow(run, schema)
 
 
-def candidates(found: DataFrame, ratio: Fraction) -> DataFrame:
-    """Distinct pairs (u, v) of sets that a key brings together and that size and fingerprint allow to be similar."""
-    sets = found.groupBy("fp").agg(F.first("size").alias("size"), F.first("sim").alias("sim"), F.first("prefix").alias("prefix"))
-    keyed = sets.select(F.explode("prefix").alias("key"), "fp")
-    shared = cut_lineage(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"))
-    weighed = shared.groupBy("fp").agg(F.sum("n").alias("weight")).join(sets.select("fp", "size", "sim"), "fp")
-    bucket = F.floor(F.log("size") / math.log(ratio.denominator / ratio.numerator)).cast("int")  # of one, sizes are similar enough, or of neighbours
-    members = shared.select("key", "fp").join(weighed.withColumn("bucket", bucket), "fp")
-    members = members.select("key", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), F.struct("weight", "fp", "size", "sim").alias("set"))
-    drawn = F.struct(F.xxhash64("set.fp", "key").alias("place"), "set")
-    stars = members.groupBy("key", "bucket").agg(F.min(drawn).alias("first"), F.max(drawn).alias("last"), F.max("set").alias("typical"), F.count("*").alias("n")).filter("n > 1")
-    centres = F.array("first.set", "last.set", "typical")
-    both = members.join(stars, ["key", "bucket"]).select("set", F.explode(centres).alias("other"))
-    near = F.bit_count(F.col("set.sim").bitwiseXOR(F.col("other.sim"))) <= FAR
-    alike = F.greatest("set.size", "other.size") * ratio.numerator <= F.least("set.size", "other.size") * ratio.denominator
-    return both.filter((F.col("set.fp") != F.col("other.fp")) & near & alike).select(F.least("set.fp", "other.fp").alias("u"), F.greatest("set.fp", "other.fp").alias("v")).distinct()
-
-
-def links(found: DataFrame, documents: DataFrame, ratio: Fraction, shingle_words: int = SHINGLE_WORDS, *, text_col: str = "text") -> DataFrame:
-    """Those of the candidate pairs (u, v) whose sets are as similar as asked."""
-    pairs = cut_lineage(candidates(found, ratio))
-    drop_unused(pairs.sparkSession)  # what keys took is not needed any more
-    ends = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
-    wanted = found.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text"))  # one text says what the set is
-    sets = _sets(documents, text_col, shingle_words, _marks(wanted, "text")).join(ends, "fp", "left_semi")
-    sets = sets.dropDuplicates(["fp"])  # dealt out by number once, for both ends
-    a, b = (sets.select(F.col("fp").alias(end), F.col("hashes").alias(name)) for end, name in (("u", "a"), ("v", "b")))
+def _alike(a: str, b: str, ratio: Fraction) -> Column:
+    """True if sets of these sizes can be similar enough."""
+    return F.greatest(a, b) * ratio.numerator <= F.least(a, b) * ratio.denominator
+
+
+def _ordered(u: str, v: str) -> list[Column]:
+    return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
+
+
+def _labelled(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """rows with fp and the `label` of its component so far."""
+    labels = connected_components(linked).withColumnRenamed("node", "fp")
+    return rows.join(labels, "fp", "left").withColumn("label", F.coalesce("component", "fp")).drop("component")
+
+
+def _unsettled(rows: DataFrame) -> DataFrame:
+    """Those rows (key, label) under whose key there are several labels, with the key's number of the label's rows."""
+    labels = rows.groupBy("key", "label").agg(F.count("*").alias("_same"))
+    several = labels.groupBy("key").agg(F.count("*").alias("_labels")).filter("_labels > 1").select("key")
+    return rows.join(labels.join(several, "key", "left_semi"), ["key", "label"])
+
+
+def _verified(pairs: DataFrame, whole: DataFrame, ratio: Fraction) -> DataFrame:
+    """Those of the pairs (u, v) whose whole sets (fp, hashes) are as similar as asked."""
+    a, b = (whole.select(F.col("fp").alias(end), F.col("hashes").alias(name)) for end, name in (("u", "a"), ("v", "b")))
     both = pairs.join(a, "u").join(b, "v").withColumn("common", F.size(F.array_intersect("a", "b")).cast("long"))
     union = F.size("a") + F.size("b") - F.col("common")
-    return cut_lineage(both.filter(F.col("common") * ratio.denominator >= union * ratio.numerator).select("u", "v"))
+    return both.filter(F.col("common") * ratio.denominator >= union * ratio.numerator).select("u", "v")
+
 
+def _block_pairs(work: Workspace, rows: DataFrame, order: list[Column], first_only: bool) -> tuple[DataFrame, DataFrame]:
+    """rows (key, fp, label, cost, ...) dealt out to pairs of blocks of their key: each with key, a, b and side; and the blocks (key, block).
 
-def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    With first_only a key's first block meets all; else all meet but those of one and the same label. A row goes to as
+    many pairs as its block is in.
+    """
+    run = placed(work, rows, "key", order, {"_upto": F.col("cost")})
+    cut = work.keep(run.withColumn("block", F.expr(f"(_upto - 1) div {BLOCK_COST}")).drop("place", "group_size", "_upto", "_part"))
+    blocks = work.keep(cut.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")))
+    one, two = (blocks.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "low", "high")]) for side in "ab")
+    meet = one.join(two, "key").filter("block_a <= block_b")
+    meet = meet.filter("block_a = 0") if first_only else meet.filter("not (low_a = high_a and low_b = high_b and low_a = low_b)")
+    meet = meet.select("key", F.col("block_a").alias("a"), F.col("block_b").alias("b"))
+    sides = [meet.select("key", F.col("a").alias("block"), "a", "b", F.lit(0).alias("side")), meet.filter("a < b").select("key", F.col("b").alias("block"), "a", "b", F.lit(1).alias("side"))]
+    return cut.join(sides[0].union(sides[1]), ["key", "block"]).drop("block"), blocks
+
+
+def _by_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each pair of blocks, from sorted ones."""
+    key, rows = None, []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        for row in zip(*columns):
+            if row[:3] != key and rows:
+                yield rows
+                rows = []
+            key = row[:3]
+            rows.append(dict(zip(batch.schema.names, row)))
+    if rows:
+        yield rows
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the links that connect what those before don't."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
+
+    found = []
+    for a, b in zip(u.tolist(), v.tolist()):
+        if (x := root(a)) != (y := root(b)):
+            parent[x] = y
+            found.append((a, b))
+    return found
+
+
+def common_counts(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """How many hashes each of the first `split` sets shares with each of the others, or of themselves if there are none."""
+    flat = np.concatenate(sets)
+    of = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+    fresh = np.concatenate(([True], flat[1:] != flat[:-1]))
+    column = np.cumsum(fresh) - 1
+    shared = np.bincount(column)[column] > 1
+    column, of = np.unique(column[shared], return_inverse=True)[1], of[shared]
+    n = int(column.max()) + 1 if len(column) else 0
+    rest = slice(split, None) if split < len(sets) else slice(None)
+    out = np.zeros((split, len(sets) - split if split < len(sets) else split), np.float32)
+    ends = np.searchsorted(column, np.arange(0, n + MATRIX_COLUMNS, MATRIX_COLUMNS))
+    for k in range(len(ends) - 1):
+        some = slice(ends[k], ends[k + 1])
+        matrix = np.zeros((len(sets), min(MATRIX_COLUMNS, n - k * MATRIX_COLUMNS)), np.float32)
+        matrix[of[some], column[some] - k * MATRIX_COLUMNS] = 1
+        out += matrix[:split] @ matrix[rest].T
+    return out.astype(np.int64)
+
+
+def _compared(dealt: DataFrame, ratio: Fraction) -> DataFrame:
+    """Links (u, v) between sets of different labels of each pair of blocks; dealt has key, a, b, side, fp, label, hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_pair(batches):
+            split = sum(r["side"] == 0 for r in rows)
+            fps, labels, sizes = (np.array([x(r) for r in rows]) for x in (lambda r: r["fp"], lambda r: r["label"], lambda r: len(r["hashes"])))
+            rest = slice(split, None) if split < len(rows) else slice(None)
+            common = common_counts([r["hashes"] for r in rows], split)
+            union = sizes[:split, None] + sizes[None, rest] - common
+            x, y = np.nonzero((common * ratio.denominator >= union * ratio.numerator) & (labels[:split, None] != labels[None, rest]))
+            found = _forest(fps[:split][x], fps[rest][y])
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    source = dealt.select("key", "a", "b", "side", "fp", "label", "hashes").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side")
+    return source.mapInArrow(run, "u long, v long").select(*_ordered("u", "v"))
+
+
+def _uncompared(dealt: DataFrame, ratio: Fraction) -> DataFrame:
+    """Distinct pairs (u, v) of sets of different labels that no group has in common; dealt has key, a, b, side, fp, label, size, groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_pair(batches):
+            split = sum(r["side"] == 0 for r in rows)
+            rest = slice(split, None) if split < len(rows) else slice(None)
+            fps, labels, sizes = (np.array([r[c] for r in rows]) for c in ("fp", "label", "size"))
+            groups = np.array([(list(r["groups"]) * GROUPS_OF_A_SET)[:GROUPS_OF_A_SET] for r in rows])
+            for i in range(split):
+                wanted = (labels[rest] != labels[i]) & (np.maximum(sizes[rest], sizes[i]) * ratio.numerator <= np.minimum(sizes[rest], sizes[i]) * ratio.denominator)
+                wanted &= ~(groups[rest][:, :, None] == groups[i][None, None, :]).any(axis=(1, 2))
+                other = fps[rest][wanted]
+                if len(other):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), fps[i])), pa.array(other)], names=["u", "v"])
+
+    source = dealt.select("key", "a", "b", "side", "fp", "label", "size", "groups").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side")
+    return source.mapInArrow(run, "u long, v long").select(*_ordered("u", "v")).distinct()
+
+
+def _near_pairs(sets: DataFrame, near: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """Pairs (u, v) of sets that `near` links by their SimHashes, or that share one; the least set stands for a SimHash."""
+    least = sets.groupBy("sim").agg(F.min("fp").alias("least"))
+    same = sets.join(least, "sim").filter("fp <> least").select(*_ordered("fp", "least"))
+    if near is None:
+        return same
+    by_sim = lambda end: least.select(F.col("sim").alias(end), F.col("least").alias(f"_{end}"))
+    linked = near(least.select(F.col("sim").alias("fp"))).select("u", "v")
+    return same.union(linked.join(by_sim("u"), "u").join(by_sim("v"), "v").select(*_ordered("_u", "_v")))
+
+
+def links(
+    work: Workspace, found: DataFrame, documents: DataFrame, ratio: Fraction, shingle_words: int = SHINGLE_WORDS, *, text_col: str = "text",
+    near: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Links (u, v) between distinct sets such that the components are those of all pairs as similar as asked."""
+    firsts = [F.first(c).alias(c) for c in ("size", "sim", "prefix")]
+    sets = work.keep(found.filter("size > 0").groupBy("fp").agg(F.min("text").alias("text"), *firsts))
+    keyed = sets.select(F.explode("prefix").alias("key"), "fp", "size")
+    shared = work.keep(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"))
+    light, heavy = shared.filter(f"n <= {LIGHT}"), shared.filter(f"n > {LIGHT}")
+    other = light.select("key", F.col("fp").alias("v"), F.col("size").alias("other"))
+    pairs = light.join(other, "key").filter((F.col("fp") < F.col("v")) & _alike("size", "other", ratio)).select(F.col("fp").alias("u"), "v").distinct()
+    pairs = work.keep(pairs.union(_near_pairs(sets, near)).distinct())
+    ends = work.keep(pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).union(heavy.select("fp")).distinct())
+    marks = _marks(sets.join(ends, "fp", "left_semi"), "text")  # one text says what the set is
+    whole = work.keep(_sets(documents, text_col, shingle_words, marks).join(ends, "fp", "left_semi").dropDuplicates(["fp"]))
+    linked = work.keep(_verified(pairs, whole, ratio))
+    work.drop(pairs, ends)
+    if heavy.isEmpty():
+        return linked
+
+    commonest = Window.partitionBy("fp").orderBy(F.desc("n"), "key")  # a set's own keys
+    members = work.keep(heavy.withColumn("_rank", F.row_number().over(commonest)).filter(f"_rank <= {GROUPS_OF_A_SET}").select("key", "fp", "size"))
+    cost = F.greatest("size", F.lit(LEAST_COST))
+    rows = work.keep(_unsettled(_labelled(members, linked)).withColumn("cost", cost))
+    dealt, blocks = _block_pairs(work, rows, [F.xxhash64("fp", "key"), F.asc("fp")], True)
+    linked = work.keep(linked.union(_compared(dealt.join(whole, "fp"), ratio)))
+    by_label = [F.desc("_same"), F.asc("label"), F.asc("fp")]
+    large = blocks.filter("block = 1").select("key")  # of one block, all have met
+    if not large.isEmpty():
+        rows = work.keep(_unsettled(_labelled(members.join(large, "key", "left_semi"), linked)).withColumn("cost", cost))
+        linked = work.keep(linked.union(_compared(_block_pairs(work, rows, by_label, False)[0].join(whole, "fp"), ratio)))
+    rows = work.keep(_unsettled(_labelled(heavy.select("key", "fp", "size"), linked)).withColumn("cost", F.lit(LEAST_COST >> 3).cast("long")))
+    if rows.isEmpty():
+        return linked
+    groups = members.groupBy("fp").agg(F.collect_list("key").alias("groups"))  # two at most
+    rest = _uncompared(_block_pairs(work, rows, by_label, False)[0].join(groups, "fp"), ratio)
+    return work.keep(linked.union(_verified(rest, whole, ratio)))
+
+
+def keep_one(
+    documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY,
+    near: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """One row of every group, with all its columns: that with the smallest id, nulls last; repeats of it go too.
 
     Rows are linked if their shingles' Jaccard similarity is `similarity` or more. Null, empty and wordless texts
-    are one group. Texts of any length are taken whole; no rows give none.
+    are one group. Texts of any length are taken whole; no rows give none. `near` links SimHashes, see simhash.links.
+    The result reads a few tables of ids in the shared folder, and the documents.
     """
     ratio = Fraction(str(similarity))
     if not 0 < ratio < 1:
         raise ValueError("the similarity must lie between 0 and 1")
-    found = cut_lineage(described(documents, ratio, shingle_words, id_col=id_col, text_col=text_col))
-    linked = links(found, documents, ratio, shingle_words, text_col=text_col)
+    work = Workspace(documents.sparkSession, "jaccard")
+    found = work.keep(described(documents, ratio, shingle_words, id_col=id_col, text_col=text_col))
+    linked = links(work, found, documents, ratio, shingle_words, text_col=text_col, near=near)
     numbers = found.select(F.col("id").alias(id_col), "fp")
     return keep_least(documents, numbers, linked, partial(set_number, shingle_words=shingle_words), id_col=id_col, text_col=text_col)

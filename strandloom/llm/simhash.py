@@ -192,11 +192,11 @@ def keep_one(
 ) -> DataFrame:
     """One row of every group, with all its columns: that with the smallest id, nulls last; repeats of it go too.
 
-    Fingerprints link rows, or with `similarity` the sets of their shingles: at a Jaccard similarity of that or more,
-    which 64 bits cannot tell, see jaccard.
+    Fingerprints link rows. With `similarity` the sets of their shingles do, at a Jaccard similarity of that or more:
+    fingerprints link what they bring within two bits, once verified, and what 64 bits can't tell is found as in jaccard.
     """
     if similarity is not None:
-        return jaccard.keep_one(documents, id_col=id_col, text_col=text_col, shingle_words=shingle_words, similarity=similarity)
+        return jaccard.keep_one(documents, id_col=id_col, text_col=text_col, shingle_words=shingle_words, similarity=similarity, near=links)
     number_of = partial(fingerprint, shingle_words=shingle_words)
     found = cut_lineage(fingerprints(documents, id_col=id_col, text_col=text_col, shingle_words=shingle_words))
     return keep_least(documents, found, links(found.select("fp").distinct()), number_of, id_col=id_col, text_col=text_col)

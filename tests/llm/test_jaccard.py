@@ -80,3 +80,53 @@ def test_prefix_is_never_short():
     for n in range(1, 40):
         assert len(jaccard.prefix(np.arange(n), Fraction(4, 5), none, none)) == n - -(-4 * n // 5) + 1
     assert len(jaccard.prefix(none, Fraction(4, 5), none, none)) == 0
+
+
+def crowd(n, words, changes, seed):
+    """Copies of one text, each with some words of its own: few of all pairs are similar enough."""
+    rng = random.Random(seed)
+    base, rows = [f"w{rng.randrange(5000)}" for _ in range(words)], []
+    for i in range(n):
+        text = list(base)
+        for k in rng.sample(range(words), changes):
+            text[k] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize(("block", "light"), [(1 << 19, 8), (1 << 15, 2)])
+def test_crowds(spark, monkeypatch, block, light):
+    """In one block, and in some ten; pairs are linked through few others, some not at all."""
+    monkeypatch.setattr(jaccard, "BLOCK_COST", block)
+    monkeypatch.setattr(jaccard, "LIGHT", light)
+    rows = crowd(300, 100, 2, 1) + [(1000 + i, t) for i, t in crowd(150, 80, 3, 2)]
+    want = brute(rows)
+    assert 100 < len(want) < 400
+    assert kept(jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == want
+
+
+def test_pairs_that_share_no_group(spark, monkeypatch):
+    """With one group for each set, what the groups leave is found by the keys of crowds."""
+    monkeypatch.setattr(jaccard, "GROUPS_OF_A_SET", 1)
+    monkeypatch.setattr(jaccard, "LIGHT", 1)
+    rows = crowd(120, 60, 1, 3)
+    assert kept(jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)
+
+
+def test_common_counts():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(9)]
+    for split in (4, 9):
+        rest = sets[split:] or sets
+        found = jaccard.common_counts(sets, split).tolist()
+        assert all(found[i][j] == len(set(a.tolist()) & set(b.tolist())) for i, a in enumerate(sets[:split]) for j, b in enumerate(rest) if a is not b)
+
+
+@pytest.mark.parametrize("repeat", [False, True])
+def test_clashing_names(spark, repeat):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "other words here")] + [(1, "a b c d e f g h")] * repeat
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("_kept_id", "_row_fp", "_kept_fp", "fp", "group", "least", "c0"):
+        docs = docs.withColumn(name, docs.text)
+    got = jaccard.keep_one(docs)
+    assert got.columns == docs.columns and kept(got) == ["1", "3"]
