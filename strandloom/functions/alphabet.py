@@ -69,8 +69,13 @@ def register_matrix(name: str, scores: Scores) -> None:
 
 
 def read_matrices(spark: SparkSession, folder: str) -> dict[str, Scores]:
-    """Matrices by name of the text files in a folder: each file's name without its ending; files are small, a few thousand bytes."""
-    files = spark.read.text(folder, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^([^.]+)", 1).alias("name"), "value").limit(MAX_MATRICES).collect()
+    """Matrices by name of the text files in a folder: each file's name without its ending; files are small, a few thousand bytes.
+
+    More than MAX_MATRICES files are an error.
+    """
+    files = spark.read.text(folder, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^([^.]+)", 1).alias("name"), "value").limit(MAX_MATRICES + 1).collect()
+    if len(files) > MAX_MATRICES:
+        raise ValueError(f"{folder} holds more than {MAX_MATRICES} matrices")
     return {r["name"]: parse_matrix(r["value"]) for r in files}
 
 

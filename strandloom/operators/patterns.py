@@ -56,15 +56,19 @@ def period_at(sequence: Column, index: Column, periods: Sequence[int] = PERIODS,
 
 
 def mosaic(sequence: Column, width: int) -> Column:
-    """For each residue the residues of the centred window of `width`, in chemical order; unknown ones last."""
-    back, on = (width - 1) // 2, width // 2
+    """For each residue the residues of the window of `width` centred on it, in chemical order; unknown ones last, as they stand.
+
+    A window reaches (width - 1) / 2 residues to either side, rounded down: an even width takes in one residue less.
+    """
+    reach = (width - 1) // 2
     n = F.length(sequence)
-    order = lambda r: F.struct(F.coalesce(chemical_rank(r), F.lit(len(CHEMICAL_ORDER))).alias("rank"), r.alias("residue"))
+    rank = lambda r: F.coalesce(chemical_rank(r), F.lit(len(CHEMICAL_ORDER)))
 
     def window(i: Column) -> Column:
-        start = F.greatest(i - back, F.lit(0))
-        taken = F.slice(F.split(sequence, ""), start + 1, F.least(i + on + 1, n) - start)
-        return F.array_join(F.transform(F.array_sort(F.transform(taken, order)), lambda s: s["residue"]), "")
+        start = F.greatest(i - reach, F.lit(0))
+        text = F.substring(sequence, start + 1, F.least(i + reach + 1, n) - start)
+        ranked = F.transform(F.split(text, ""), lambda r, k: F.struct(rank(r).alias("rank"), k.alias("place"), r.alias("residue")))
+        return F.array_join(F.transform(F.array_sort(ranked), lambda s: s["residue"]), "")
 
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), window)).otherwise(F.array().cast("array<string>"))
 

@@ -337,7 +337,7 @@ def residue_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = letters_only(F.col("p_name"))
     letters = F.split(s, "")
     codes = F.aggregate(letters, F.lit(0).cast("long"), lambda n, c: n + alphabet.residue_index(c))
-    steps = F.zip_with(letters, F.slice(letters, 2, 1000), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), alphabet.chemical_distance(a, b)))
+    steps = F.zip_with(letters, F.slice(letters, F.lit(2), F.greatest(F.size(letters) - 1, F.lit(0))), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), alphabet.chemical_distance(a, b)))
     far = F.aggregate(steps, F.lit(0).cast("long"), lambda n, d: n + F.coalesce(d, F.lit(0)))
     return table(spark, sf_dir, "part").select("p_partkey", codes.alias("codes"), far.alias("distance"))
 

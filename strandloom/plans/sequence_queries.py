@@ -287,9 +287,8 @@ def mosaic_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MOSAIC_WINDOW = f"""WITH {PART_SEQUENCES},
 places AS (SELECT seq_no, sequence, unnest(range(len(sequence))) AS place FROM seqs),
-taken AS (SELECT seq_no, place, unnest(string_split(sequence[greatest(place - 1, 0) + 1 : least(place + 3, len(sequence))], '')) AS r FROM places)
-SELECT seq_no, CAST(place AS INT) AS place,
-       string_agg(r, '' ORDER BY CASE WHEN instr('{CHEMICAL_ORDER}', r) > 0 THEN instr('{CHEMICAL_ORDER}', r) ELSE 99 END, r) AS residues
+taken AS (SELECT seq_no, place, k, sequence[k + 1] AS r FROM (SELECT *, unnest(range(greatest(place - 1, 0), least(place + 2, len(sequence)))) AS k FROM places))
+SELECT seq_no, CAST(place AS INT) AS place, string_agg(r, '' ORDER BY CASE WHEN instr('{CHEMICAL_ORDER}', r) > 0 THEN instr('{CHEMICAL_ORDER}', r) ELSE 99 END, k) AS residues
 FROM taken GROUP BY ALL"""
 
 

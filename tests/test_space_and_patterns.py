@@ -78,6 +78,9 @@ def test_rotation_mosaic_and_rows(spark):
     assert rotate("TGA") == "GAT" and rotate("PG") == "GP" and rotate("") == ""
     row = spark.createDataFrame([("PGAX", "")], "s string, e string").select(patterns.mosaic(F.col("s"), 3).alias("m"), patterns.mosaic(F.col("e"), 3).alias("e")).first()
     assert row["m"] == ["GP", "GAP", "GAX", "AX"] and row["e"] == []
+    even = spark.createDataFrame([("PZXGBA",)], "s string").select(*[patterns.mosaic(F.col("s"), w).alias(f"w{w}") for w in (1, 2, 4, 5)]).first()
+    assert even["w1"] == even["w2"] == list("PZXGBA") and even["w4"] == ["PZ", "PZX", "GZX", "GXB", "GAB", "AB"]
+    assert even["w5"] == ["PZX", "GPZX", "GPZXB", "GAZXB", "GAXB", "GAB"]  # unknown ones stay in order
     spans = spark.createDataFrame([([(1, 5), (2, 3), (4, 9), (6, 7)],)], "v array<struct<start:int,end:int>>")
     assert spans.select(patterns.two_rows(F.col("v")).alias("r")).first()["r"] == [0, 1, 1, 0]
 
