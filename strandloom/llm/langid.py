@@ -6,7 +6,7 @@ n-grams counts for the word. A document's scores are sums over all its words; it
 
 A word is a run of letters and combining marks that begins with a letter. Counting runs in Spark over a bounded
 sample of labelled documents: at most `docs_per_language` of each language in expectation, chosen by a hash of the
-id. The model has every word and n-gram of the sample, so the sample bounds it.
+id and the text. The model has every word and n-gram of the sample, so the sample bounds it.
 """
 
 from __future__ import annotations
@@ -112,7 +112,7 @@ def fit(
     )
     sizes = usable.groupBy("lang").count().collect()
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, docs_per_language / r["count"]))]) if sizes else F.lit(None)
-    draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) / 1_000_000  # by both: many rows may have one id, or none
     sample = usable.filter(F.col("text").isNotNull() & (draw < (share[F.col("lang")] if sizes else F.lit(0.0)))).select("text", "lang")
     return build(_counted(sample).toPandas(), smoothing)  # bounded by the sample
 
