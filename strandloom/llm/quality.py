@@ -3,8 +3,8 @@
 Each rule rejects a document whose signal exceeds a cutoff. Labelled documents choose the cutoffs: within a
 stratum, cutoffs are tried from the most lenient on, and one is taken while the exact (Clopper-Pearson) upper
 bound on its false rejection rate stays at or under the allowed rate; the first that fails ends the sequence, so
-the grid costs no correction. The error probability is divided by the number of rules times strata (Bonferroni),
-and the allowed rate by the number of rules, so all statements hold at once: with probability 1 - error, no
+the grid costs no correction. The error probability is divided among the strata in proportion to their labels, and
+among a stratum's rules (weighted Bonferroni), and the allowed rate by the number of rules, so all statements hold at once: with probability 1 - error, no
 stratum loses more than max_false_rejection of its good documents to the rules together. A stratum with too few
 labels to show this has no rules. The base check on length and repetition is fixed and needs no labels.
 """
@@ -207,8 +207,9 @@ def choose(counts: dict[str, tuple[int, dict[str, list[int]]]], max_false_reject
     labels alone, so the statements still hold at once.
     """
     model = QualityModel()
-    share = error / max(1, len(counts) * len(RULES))
+    labels = sum(n for n, _ in counts.values())
     for stratum, (n, rejected) in counts.items():
+        share = error * n / (labels * len(RULES)) if labels else 0.0
         if joint is not None and upper_bound(0, n, share) > max_false_rejection / len(RULES):
             for i, k in enumerate(joint[stratum]):
                 if upper_bound(k, n, share * len(RULES)) > max_false_rejection:
@@ -267,8 +268,14 @@ def oracle_sql(max_false_rejection: float = 0.02, error: float = 0.05) -> str:
     }
     long = " UNION ALL ".join(f"SELECT doc_id, stratum, '{name}' AS rule, CAST({x} AS DOUBLE) AS signal FROM passing" for name, x in signal.items())
     cuts = ", ".join(f"('{name}', {i}, CAST({cut!r} AS DOUBLE))" for name, cuts in RULES.items() for i, cut in enumerate(cuts))
-    p = f"CAST({max_false_rejection / len(RULES)!r} AS DOUBLE)"
-    term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))"
+    nested = ", ".join(f"('{name}', {i}, CAST({cuts[min(i, len(cuts) - 1)]!r} AS DOUBLE))" for name, cuts in RULES.items() for i in range(STEPS))
+    one, whole = (f"CAST({x!r} AS DOUBLE)" for x in (max_false_rejection / len(RULES), max_false_rejection))
+    share = f"{error!r} * n / ((SELECT count(DISTINCT doc_id) FROM held) * {len(RULES)})"
+
+    def binomial(p: str) -> str:  # of k or fewer among n
+        term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))"
+        return f"list_sum(list_transform(range(CAST(k + 1 AS BIGINT)), lambda i: {term}))"
+
     return f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '{UNKNOWN_STRATUM}') AS stratum, row_number() OVER () AS row FROM documents),
 split AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM docs),
@@ -291,10 +298,20 @@ cuts AS (SELECT * FROM (VALUES {cuts}) t(rule, step, cut)),
 tested AS (
   SELECT stratum, h.rule, step, cut, count(DISTINCT doc_id) AS n, count(*) FILTER (signal > cut) AS k FROM held h JOIN cuts c ON c.rule = h.rule GROUP BY ALL
 ), judged AS (
-  SELECT *, k >= n OR list_sum(list_transform(range(CAST(k + 1 AS BIGINT)), lambda i: {term})) > {error!r} / ((SELECT count(DISTINCT stratum) FROM held) * {len(RULES)}) AS fails FROM tested
-), chosen AS (
+  SELECT *, k >= n OR {binomial(one)} > {share} AS fails FROM tested WHERE pow(1 - {one}, n) <= {share}
+), chosen_alone AS (
   SELECT stratum, rule, min(cut) AS cutoff FROM judged j
   WHERE NOT EXISTS (SELECT 1 FROM judged f WHERE f.stratum = j.stratum AND f.rule = j.rule AND f.fails AND f.step <= j.step) GROUP BY ALL
+), nested AS (SELECT * FROM (VALUES {nested}) t(rule, step, cut)),
+tested_together AS (
+  SELECT stratum, step, count(DISTINCT doc_id) AS n, count(DISTINCT doc_id) FILTER (signal > cut) AS k FROM held h JOIN nested c ON c.rule = h.rule GROUP BY ALL
+), judged_together AS (
+  SELECT *, k >= n OR {binomial(whole)} > {share} * {len(RULES)} AS fails FROM tested_together WHERE pow(1 - {one}, n) > {share}
+), last_step AS (
+  SELECT stratum, max(step) AS step FROM judged_together j
+  WHERE NOT EXISTS (SELECT 1 FROM judged_together f WHERE f.stratum = j.stratum AND f.fails AND f.step <= j.step) GROUP BY stratum
+), chosen AS (
+  SELECT stratum, rule, cutoff FROM chosen_alone UNION ALL SELECT stratum, rule, cut AS cutoff FROM last_step JOIN nested USING (step)
 ), rejected AS (SELECT DISTINCT s.doc_id FROM signals s JOIN chosen c ON c.stratum = s.stratum AND c.rule = s.rule WHERE signal > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept

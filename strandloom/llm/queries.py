@@ -53,7 +53,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(table(spark, sf_dir, "documents"))
-    return quality.judge(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
+    return quality.judge(documents, quality.fit(documents, table(spark, sf_dir, "labels"), joint=True))
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
