@@ -74,7 +74,8 @@ def test_tree(spark):
     tree = forest.rooted(found).cache()
     rows = {r["node"]: r for r in tree.collect()}
     assert {n: r["parent"] for n, r in rows.items()} == {0: None, 1: 0, 2: 1, 3: 0, 4: 3, 7: None, 9: 7}
-    assert rows[4]["path"] == [0, 3, 4] and rows[9]["root"] == 7
+    assert {n: r["size"] for n, r in rows.items()} == {0: 5, 1: 2, 2: 1, 3: 2, 4: 1, 7: 2, 9: 1} and rows[9]["root"] == 7
+    assert {r["line_key"][-1]: r["line_key"] for r in forest.report(tree).collect()}[4] == [0, 3, 4]
     assert [(r["parent"], r["node"]) for r in forest.children(tree).filter("parent = 0").orderBy("place").collect()] == [(0, 1), (0, 3)]
     assert {r["node"]: r["descendants"] for r in forest.descendants(tree).collect()} == {0: 4, 1: 1, 2: 0, 3: 1, 4: 0, 7: 1, 9: 0}
     assert forest.largest_root(tree).first()["node"] == 0
@@ -84,6 +85,41 @@ def test_tree(spark):
     assert sorted(r["node"] for r in forest.isolated(nodes, found).collect()) == [5, 6, 8]
 
 
+def hung(edges):
+    """(parent, root, size) of each node, by walking from the least node of each tree."""
+    near = {}
+    for u, v, _ in edges:
+        near.setdefault(u, []).append(v)
+        near.setdefault(v, []).append(u)
+    found = {}
+    for root in sorted(near):
+        if root in found:
+            continue
+        walk = [(root, None)]
+        for node, parent in walk:
+            found[node] = [parent, root, 1]
+            walk += [(x, node) for x in near[node] if x != parent]
+        for node, parent in reversed(walk[1:]):
+            found[parent][2] += found[node][2]
+    return {n: tuple(x) for n, x in found.items()}
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "trees"])
+def test_hanging_trees(spark, monkeypatch, shape):
+    """Deep, wide and random trees; rounds go with the logarithm of the nodes."""
+    rng = random.Random(2)
+    n = 20_000 if shape == "path" else 300
+    edges = [(i, i + 1 if shape == "path" else 0 if shape == "star" else rng.choice([x for x in (i + 1, i + 2, i // 2, i // 3) if x != i]), i % 7) for i in range(1, n)]
+    if shape == "trees":
+        edges = kruskal(edges) + [(100_000 + i, 100_001 + i, 1) for i in range(0, 40, 2)]
+    elif shape == "star":
+        edges = [(v, u, s) for u, v, s in edges]
+    rounds, keep = [], forest.Workspace.keep
+    monkeypatch.setattr(forest.Workspace, "keep", lambda self, df: rounds.append(self) or keep(self, df))
+    rows = forest.rooted(spark.createDataFrame(edges, forest.EDGES).repartition(3)).collect()
+    assert {r["node"]: (r["parent"], r["root"], r["size"]) for r in rows} == hung(edges) and len(rounds) < 40
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(200)] + [(1000 + rng.randrange(50), 1000) for _ in range(100)] + [(5000, 5000), (None, 3), (7000, 6999)]
