@@ -7,22 +7,21 @@ so a prefix filter looks for the rest. In any one order of all shingles, two set
 first n - ceil(similarity * n) + 1 of each of them, its prefix. The order puts shingles that a sample of documents
 shares last, where prefixes hardly reach; the sample bears on the work alone.
 
-Keys, the shingles in prefixes, that few sets share give pairs, some for each set, which are verified by whole sets.
-Under keys of crowds pairs are not made. Each set of a crowd goes to two groups, those of its commonest keys, and
-groups are cut into blocks of bounded size. First a block drawn at random meets all blocks of its group, which links
-nearly all of a crowd into one component. Then, in groups of several blocks, what still has another label than the commonest meets all blocks; blocks
-of one and the same label don't meet. A task counts what two blocks have in common by a product of matrices, and its
-links are a forest. At last, keys of crowds under which labels differ are gone through for pairs with different labels
-that no group has compared; these are verified like the others. So every pair that is similar enough is verified or lies
-in one component already: components of the links are the groups.
+Pairs are not made of the sets that a fingerprint or a key, a shingle in a prefix, brings together. Sets with linked
+fingerprints are a group, and each set goes to the groups of its two commonest keys that it shares; groups are cut into
+blocks of bounded size. First a block drawn at random meets all blocks of its group, which links nearly all of a crowd
+into one component. Then, in groups of several blocks, what still has another label than the commonest meets all blocks;
+blocks of one and the same label don't meet. A task counts what two blocks have in common by a product of matrices, and
+its links are a forest. At last, keys under which labels differ are gone through for pairs with different labels that no
+group has compared; these are verified by their whole sets. So every pair that is similar enough is verified or lies in
+one component already: components of the links are the groups.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm.groups import keep_least
-from strandloom.llm.places import placed
 from strandloom.operators.components import connected_components
-from strandloom.session import Workspace
+from strandloom.operators.ordering import placed
+from strandloom.session import Workspace, drop_unused
 
 SEED = 42
 SHINGLE_WORDS = 5
@@ -44,9 +43,8 @@ SAMPLED_SHARE = 0.05
 LEAST_MARKS, MOST_MARKS = 1 << 22, 1 << 28  # bits
 HOT = 100_000  # shingles put last
 SLICE = 256
-LIGHT = 8  # sets under a key of which pairs are made
 GROUPS_OF_A_SET = 2
-BLOCK_COST, LEAST_COST = 1 << 19, 1 << 10  # hashes of a block, and what the smallest set counts as
+BLOCK_COST, LEAST_COST = 1 << 18, 1 << 9  # hashes of a block, and what the smallest set counts as
 MATRIX_COLUMNS = 4096
 
 
@@ -155,11 +153,6 @@ def described(documents: DataFrame, ratio: Fraction, shingle_words: int, *, id_c
     return source.mapInArrow(run, schema)
 
 
-def _alike(a: str, b: str, ratio: Fraction) -> Column:
-    """True if sets of these sizes can be similar enough."""
-    return F.greatest(a, b) * ratio.numerator <= F.least(a, b) * ratio.denominator
-
-
 def _ordered(u: str, v: str) -> list[Column]:
     return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
 
@@ -295,15 +288,12 @@ def _uncompared(dealt: DataFrame, ratio: Fraction) -> DataFrame:
     return source.mapInArrow(run, "u long, v long").select(*_ordered("u", "v")).distinct()
 
 
-def _near_pairs(sets: DataFrame, near: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
-    """Pairs (u, v) of sets that `near` links by their SimHashes, or that share one; the least set stands for a SimHash."""
-    least = sets.groupBy("sim").agg(F.min("fp").alias("least"))
-    same = sets.join(least, "sim").filter("fp <> least").select(*_ordered("fp", "least"))
-    if near is None:
-        return same
-    by_sim = lambda end: least.select(F.col("sim").alias(end), F.col("least").alias(f"_{end}"))
-    linked = near(least.select(F.col("sim").alias("fp"))).select("u", "v")
-    return same.union(linked.join(by_sim("u"), "u").join(by_sim("v"), "v").select(*_ordered("_u", "_v")))
+def _near_groups(sets: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, fp): groups of sets that share a SimHash or whose SimHashes `near` links; each set in the least linked one, which is in it too."""
+    linked = near(sets.select(F.col("sim").alias("fp")).distinct()).groupBy(F.col("u").alias("sim")).agg(F.min("v").alias("least"))
+    own = sets.select("sim", "fp").join(linked, "sim", "left").select(F.coalesce("least", "sim").alias("key"), "fp")
+    led = linked.select(F.col("least").alias("sim")).distinct().join(sets, "sim").groupBy(F.col("sim").alias("key")).agg(F.min("fp").alias("fp"))
+    return own.union(led).distinct()
 
 
 def links(
@@ -311,38 +301,42 @@ def links(
     near: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Links (u, v) between distinct sets such that the components are those of all pairs as similar as asked."""
+    spark = documents.sparkSession
     firsts = [F.first(c).alias(c) for c in ("size", "sim", "prefix")]
     sets = work.keep(found.filter("size > 0").groupBy("fp").agg(F.min("text").alias("text"), *firsts))
-    keyed = sets.select(F.explode("prefix").alias("key"), "fp", "size")
+    keyed = sets.select(F.explode("prefix").alias("key"), "fp")
     shared = work.keep(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"))
-    light, heavy = shared.filter(f"n <= {LIGHT}"), shared.filter(f"n > {LIGHT}")
-    other = light.select("key", F.col("fp").alias("v"), F.col("size").alias("other"))
-    pairs = light.join(other, "key").filter((F.col("fp") < F.col("v")) & _alike("size", "other", ratio)).select(F.col("fp").alias("u"), "v").distinct()
-    pairs = work.keep(pairs.union(_near_pairs(sets, near)).distinct())
-    ends = work.keep(pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).union(heavy.select("fp")).distinct())
+    drop_unused(spark)  # the shuffles of all keys
+    sizes = sets.select("fp", "size")
+    commonest = Window.partitionBy("fp").orderBy(F.desc("n"), "key")  # a set's own keys
+    members = shared.withColumn("_rank", F.row_number().over(commonest)).filter(f"_rank <= {GROUPS_OF_A_SET}").select("key", "fp")
+    members = work.keep(members.join(sizes, "fp"))
+    linked = spark.createDataFrame([], "u long, v long")
+    groups = [] if near is None else [work.keep(_near_groups(sets, near).join(sizes, "fp"))]
+    several = [g.join(g.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi") for g in groups]
+    ends = work.keep(reduce(DataFrame.union, [g.select("fp") for g in (*several, members)]).distinct())
     marks = _marks(sets.join(ends, "fp", "left_semi"), "text")  # one text says what the set is
     whole = work.keep(_sets(documents, text_col, shingle_words, marks).join(ends, "fp", "left_semi").dropDuplicates(["fp"]))
-    linked = work.keep(_verified(pairs, whole, ratio))
-    work.drop(pairs, ends)
-    if heavy.isEmpty():
-        return linked
+    drop_unused(spark)
 
-    commonest = Window.partitionBy("fp").orderBy(F.desc("n"), "key")  # a set's own keys
-    members = work.keep(heavy.withColumn("_rank", F.row_number().over(commonest)).filter(f"_rank <= {GROUPS_OF_A_SET}").select("key", "fp", "size"))
     cost = F.greatest("size", F.lit(LEAST_COST))
-    rows = work.keep(_unsettled(_labelled(members, linked)).withColumn("cost", cost))
-    dealt, blocks = _block_pairs(work, rows, [F.xxhash64("fp", "key"), F.asc("fp")], True)
-    linked = work.keep(linked.union(_compared(dealt.join(whole, "fp"), ratio)))
-    by_label = [F.desc("_same"), F.asc("label"), F.asc("fp")]
+    at_random, by_label = [F.xxhash64("fp", "key"), F.asc("fp")], [F.desc("_same"), F.asc("label"), F.asc("fp")]
+    for group in (*groups, members):
+        rows = work.keep(_unsettled(_labelled(group, linked)).withColumn("cost", cost))
+        dealt, blocks = _block_pairs(work, rows, at_random, True)
+        linked = work.keep(linked.union(_compared(dealt.join(whole, "fp"), ratio)))
+        drop_unused(spark)
     large = blocks.filter("block = 1").select("key")  # of one block, all have met
     if not large.isEmpty():
         rows = work.keep(_unsettled(_labelled(members.join(large, "key", "left_semi"), linked)).withColumn("cost", cost))
         linked = work.keep(linked.union(_compared(_block_pairs(work, rows, by_label, False)[0].join(whole, "fp"), ratio)))
-    rows = work.keep(_unsettled(_labelled(heavy.select("key", "fp", "size"), linked)).withColumn("cost", F.lit(LEAST_COST >> 3).cast("long")))
+        drop_unused(spark)
+    rows = work.keep(_unsettled(_labelled(shared.select("key", "fp"), linked)).join(sizes, "fp").withColumn("cost", F.lit(LEAST_COST >> 3).cast("long")))
     if rows.isEmpty():
         return linked
-    groups = members.groupBy("fp").agg(F.collect_list("key").alias("groups"))  # two at most
-    rest = _uncompared(_block_pairs(work, rows, by_label, False)[0].join(groups, "fp"), ratio)
+    groups_of = members.groupBy("fp").agg(F.collect_list("key").alias("groups"))  # two at most
+    rest = work.keep(_uncompared(_block_pairs(work, rows, by_label, False)[0].join(groups_of, "fp"), ratio))
+    drop_unused(spark)
     return work.keep(linked.union(_verified(rest, whole, ratio)))
 
 

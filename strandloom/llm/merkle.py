@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from strandloom.llm.places import placed
+from strandloom.operators.ordering import placed
 from strandloom.session import Workspace
 
 FAN = 16

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.places import placed
+from strandloom.operators.ordering import placed
 from strandloom.session import Workspace
 
 BLOCK_TURNS = 8

@@ -94,11 +94,10 @@ def crowd(n, words, changes, seed):
     return rows
 
 
-@pytest.mark.parametrize(("block", "light"), [(1 << 19, 8), (1 << 15, 2)])
-def test_crowds(spark, monkeypatch, block, light):
+@pytest.mark.parametrize("block", [1 << 18, 1 << 14])
+def test_crowds(spark, monkeypatch, block):
     """In one block, and in some ten; pairs are linked through few others, some not at all."""
     monkeypatch.setattr(jaccard, "BLOCK_COST", block)
-    monkeypatch.setattr(jaccard, "LIGHT", light)
     rows = crowd(300, 100, 2, 1) + [(1000 + i, t) for i, t in crowd(150, 80, 3, 2)]
     want = brute(rows)
     assert 100 < len(want) < 400
@@ -108,7 +107,6 @@ def test_crowds(spark, monkeypatch, block, light):
 def test_pairs_that_share_no_group(spark, monkeypatch):
     """With one group for each set, what the groups leave is found by the keys of crowds."""
     monkeypatch.setattr(jaccard, "GROUPS_OF_A_SET", 1)
-    monkeypatch.setattr(jaccard, "LIGHT", 1)
     rows = crowd(120, 60, 1, 3)
     assert kept(jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)
 
