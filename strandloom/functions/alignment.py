@@ -8,7 +8,7 @@ vector operation, in 16 bits where no score can leave them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,7 @@ from strandloom.functions.alphabet import Scores, encode, matrix32
 
 GAP = 10
 BLOCK_CELLS = 1 << 17
+KEPT_ROWS = 64
 
 ALIGNMENT = T.StructType([
     T.StructField("score", T.IntegerType()), T.StructField("aligned_a", T.StringType()), T.StructField("aligned_b", T.StringType()),
@@ -68,32 +69,71 @@ def _block_scores(query: np.ndarray, targets: Sequence[np.ndarray], width: int,
     return (best - steps).max(axis=0)
 
 
+def _rows(x: np.ndarray, y: np.ndarray, first: np.ndarray, matrix: np.ndarray, gap: int) -> Iterator[np.ndarray]:
+    """The rows of the score table for the residues x, each after the one before; first is the row above them."""
+    steps = np.arange(len(y), dtype=np.int32) * gap
+    scored = {int(r): matrix[r][y] for r in np.unique(x)}
+    above = first
+    for residue in x.tolist():
+        row = np.zeros(len(y) + 1, np.int32)
+        cells = np.maximum(np.maximum(above[:-1] + scored[residue], above[1:] - gap), 0) + steps
+        np.maximum.accumulate(cells, out=cells)
+        row[1:] = cells - steps
+        yield row
+        above = row
+
+
 def align(a: str, b: str, matrix: np.ndarray, gap: int = GAP) -> tuple | None:
     """(score, aligned_a, aligned_b, a_start, a_end, b_start, b_end), starts and ends 0-based and inclusive; None without a positive score.
 
     The end is the first best cell by rows. Going back, a diagonal step is preferred to a gap in b, that to a gap in a.
+    Memory is linear in b: of the table some KEPT_ROWS rows are kept, and the way back makes the rows between two of
+    them anew, in the same manner where there are many, and only up to the column where it stands.
     """
     x, y = encode(a), encode(b)
     if not len(x) or not len(y):
         return None
-    h = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    steps = np.arange(len(y), dtype=np.int32) * gap
-    for i, residue in enumerate(x):
-        row = np.maximum(np.maximum(h[i, :-1] + matrix[residue][y], h[i, 1:] - gap), 0)
-        h[i + 1, 1:] = np.maximum.accumulate(row + steps) - steps
-    end = int(h.argmax())
-    score = int(h.flat[end])
-    if score <= 0:
+    best, end, kept = 0, (0, 0), [np.zeros(len(y) + 1, np.int32)]
+    every = -(-len(x) // KEPT_ROWS)
+    for n, row in enumerate(_rows(x, y, kept[0], matrix, gap), 1):
+        if (most := int(row.max())) > best:
+            best, end = most, (n, int(row.argmax()))
+        if n % every == 0:
+            kept.append(row)
+    if best <= 0:
         return None
-    i, j = divmod(end, h.shape[1])
-    a_end, b_end = i - 1, j - 1
-    top, bottom = [], []
-    while h[i, j] > 0:
-        if h[i, j] == h[i - 1, j - 1] + matrix[x[i - 1], y[j - 1]]:
+    i, j = end
+    top: list[str] = []
+    bottom: list[str] = []
+    for k in range((i - 1) // every, -1, -1):
+        i, j, done = _back(a, b, x, y, k * every, i, j, kept[k], matrix, gap, top, bottom)
+        kept.pop()
+        if done:
+            break
+    return best, "".join(reversed(top)), "".join(reversed(bottom)), i, end[0] - 1, j, end[1] - 1
+
+
+def _back(a: str, b: str, x: np.ndarray, y: np.ndarray, low: int, i: int, j: int, first: np.ndarray, matrix: np.ndarray, gap: int, top: list[str], bottom: list[str]) -> tuple[int, int, bool]:
+    """Goes back from cell (i, j) to row `low`, which is `first`, or to a cell without a score; where it stands, and whether that is the start."""
+    y, first = y[:j], first[: j + 1]
+    if i - low > KEPT_ROWS:
+        every = -(-(i - low) // KEPT_ROWS)
+        kept = [first] + [row for n, row in enumerate(_rows(x[low:i], y, first, matrix, gap), 1) if n % every == 0]
+        for k in range((i - low - 1) // every, -1, -1):
+            i, j, done = _back(a, b, x, y, low + k * every, i, j, kept[k], matrix, gap, top, bottom)
+            if done:
+                return i, j, True
+        return i, j, False
+    h = [first, *_rows(x[low:i], y, first, matrix, gap)]
+    while h[i - low][j] > 0:
+        if i == low:
+            return i, j, False
+        now, above = int(h[i - low][j]), h[i - low - 1]
+        if now == int(above[j - 1]) + int(matrix[x[i - 1], y[j - 1]]):
             i, j = i - 1, j - 1
             top.append(a[i])
             bottom.append(b[j])
-        elif h[i, j] == h[i - 1, j] - gap:
+        elif now == int(above[j]) - gap:
             i -= 1
             top.append(a[i])
             bottom.append("-")
@@ -101,7 +141,7 @@ def align(a: str, b: str, matrix: np.ndarray, gap: int = GAP) -> tuple | None:
             j -= 1
             top.append("-")
             bottom.append(b[j])
-    return score, "".join(reversed(top)), "".join(reversed(bottom)), i, a_end, j, b_end
+    return i, j, True
 
 
 def sw_align(weights: str | Scores = "PAM250", gap: int = GAP):
@@ -127,10 +167,28 @@ def sw_score(weights: str | Scores = "PAM250", gap: int = GAP):
     return udf
 
 
+class AlignColumns:
+    """UDTF align_columns(a, b): a row (place from 1, residue_a, residue_b, mark) for each column of the alignment of two sequences; none if nothing aligns.
+
+    A gap is '-'; mark is | for equal residues, . for different ones, a space at gaps.
+    """
+
+    def __init__(self) -> None:
+        self.matrix = matrix32("PAM250")
+
+    def eval(self, a: str, b: str) -> Iterator[tuple[int, str, str, str]]:
+        found = align(a, b, self.matrix) if a and b else None
+        for place, (x, y) in enumerate(zip(*found[1:3]) if found else (), 1):
+            yield place, x, y, " " if "-" in (x, y) else "|" if x == y else "."
+
+
 def register(spark: SparkSession) -> None:
-    """SQL functions sw_score(a, b) and sw_align(a, b)."""
+    """SQL functions sw_score(a, b), sw_align(a, b), identity_percent(aligned_a, aligned_b), and the table function align_columns(a, b)."""
     spark.udf.register("sw_score", sw_score())
     spark.udf.register("sw_align", sw_align())
+    spark.udtf.register("align_columns", F.udtf(AlignColumns, returnType="place int, residue_a string, residue_b string, mark string"))
+    same = "size(filter(arrays_zip(split(a, ''), split(b, '')), z -> z['0'] = z['1'] AND z['0'] <> '-'))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION identity_percent(a STRING, b STRING) RETURNS DOUBLE RETURN try_divide(100.0D * {same}, length(a))")
 
 
 def _columns(a: Column, b: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandloom.functions import bias, names
@@ -46,6 +46,16 @@ def record_filter(
     return out
 
 
+def watched_filter(records: DataFrame, condition: Column) -> tuple[DataFrame, Observation]:
+    """The records that meet the condition, and counters `seen` and `accepted` of the pass that reads them.
+
+    The counters are there once an action has read the result; they cost no scan of their own.
+    """
+    counters = Observation()
+    counted = records.observe(counters, F.count(F.lit(1)).alias("seen"), F.count_if(F.coalesce(condition, F.lit(False))).alias("accepted"))
+    return counted.filter(condition), counters
+
+
 def phase0(name1: Column, name2: Column) -> Column:
     """toxins, uncharacterized or similar names, whichever holds first; else null."""
     return _phase0(F.lower(name1), F.lower(name2))

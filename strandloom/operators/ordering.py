@@ -96,5 +96,5 @@ def work_estimates(lengths: DataFrame, id_col: str, length_col: str, cells_per_s
     after = F.col("cells_left") - F.col(length_col) * (total - F.col("upto") + F.col(length_col))
     return joined.select(
         id_col, length_col, (share * 100).alias("residues_done"), (100 * (1 - (1 - share) * (1 - share))).alias("cells_done"), after.alias("cells_left"),
-        F.floor(after / cells_per_second).alias("seconds_left"),
+        F.floor(after / cells_per_second).cast("long").alias("seconds_left"),
     )

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.alignment import GAP, batch_scores
+from strandloom.functions.alignment import GAP, batch_scores, sw_align
 from strandloom.functions.alphabet import Scores, encode, matrix32
 from strandloom.session import cut_lineage, path_exists
 
@@ -159,13 +159,20 @@ def query_against(
     if len(few) > MAX_QUERIES:
         raise ValueError("too many queries to send to each partition: use similarity_join")
     given = [(q, encode(s)) for q, s in few]
+    most = np.maximum(matrix.max(axis=1), 0).astype(np.int64)  # what a residue can add at best
+    reach = [int(most[r].sum()) for _, r in given]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             targets = [encode(s) for s in batch.column(1).to_pylist()]
-            for query, residues in given:
-                scores = batch_scores(residues, targets, matrix, gap)
+            bound = np.array([most[t].sum() for t in targets])
+            for (query, residues), highest in zip(given, reach):
+                if highest < threshold:
+                    continue  # it can't reach the threshold with any
+                able = np.flatnonzero(bound >= threshold)
+                scores = np.zeros(len(targets), np.int32)
+                scores[able] = batch_scores(residues, [targets[i] for i in able], matrix, gap)
                 hit = scores >= threshold
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(hit.sum(), query, np.int64)), pa.array(ids[hit]), pa.array(scores[hit])], names=["query_seq", "target_seq", "score"])
 
@@ -173,6 +180,19 @@ def query_against(
     return rows.mapInArrow(run, LINKS)
 
 
+def compared(
+    pairs: DataFrame, sequences: DataFrame, *, a_col: str = "id_a", b_col: str = "id_b", id_col: str = "id", seq_col: str = "sequence", weights: str | Scores = "PAM250", gap: int = GAP
+) -> DataFrame:
+    """a_col, b_col and the alignment's fields of the sequences with these ids, for each pair that has both.
+
+    Nothing aligned leaves the fields null. A sequence that many pairs have does not go to one task: pairs are dealt
+    out anew before they are aligned.
+    """
+    side = lambda end, name: sequences.select(F.col(id_col).alias(end), F.col(seq_col).alias(name))
+    both = pairs.select(a_col, b_col).join(side(a_col, "_a"), a_col).join(side(b_col, "_b"), b_col)
+    return both.repartition(a_col, b_col).withColumn("_x", sw_align(weights, gap)("_a", "_b")).select(a_col, b_col, "_x.*")
+
+
 def with_names(links: DataFrame, sequences: DataFrame, *, id_col: str = "seq_no", name_col: str = "name") -> DataFrame:
     """Links with name1 and name2 of both ends; ends without a record keep null names."""
     named = lambda end, name: sequences.select(F.col(id_col).alias(end), F.col(name_col).alias(name))

@@ -10,8 +10,8 @@ from strandloom.functions.alphabet import letters_only
 from strandloom.operators import annotation, integrity
 from strandloom.plans.annotation_queries import _tokens_sql
 from strandloom.plans.sequence_queries import FIND_NAMES, find_names
-from strandloom.session import cut_lineage, scratch_folder, settled, table
-from strandloom.sources import links, sequences
+from strandloom.session import Workspace, cut_lineage, scratch_folder, settled, table
+from strandloom.sources import links, packed, sequences
 
 TITLE = "Seen again"
 
@@ -86,6 +86,18 @@ SELECT row_number() OVER (ORDER BY len(sequence) DESC, CAST(accession[2:] AS BIG
 FROM docs"""
 
 
+def packed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' sequences in packed files, longest first, read back in ranges of records, with the number of the record at each place."""
+    rows = document_sequences(spark, sf_dir)
+    given = rows.select(F.col("doc_id").alias("seq_no"), F.col("id").alias("description"), "sequence")
+    work = Workspace(spark, "packed")
+    packed.write_packed(given, f"{work.folder}/files")
+    index = sequences.inverse_index(given).select("position", F.col("seq_no").alias("original"))
+    read = packed.read_packed(spark, f"{work.folder}/files")
+    back = read.join(index, read["seq_no"] == index["position"])
+    return work.result(back.select("position", "original", "description", F.length("sequence").cast("long").alias("length"), F.md5("sequence").alias("digest")))
+
+
 def first_last_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty longest and the twenty shortest sequences of the packed order."""
     rows = document_sequences(spark, sf_dir).select(F.col("doc_id").alias("seq_no"), "sequence")
@@ -412,14 +424,14 @@ EXPLAIN_RECORDS = f"""WITH {PART_ENTRIES}, said AS (
 
 QUERIES = {
     "explain_records": explain_records,
-    "fasta_records": fasta_records, "fasta_lookups": fasta_lookups, "packed_records": packed_records, "first_last_lengths": first_last_lengths, "flatfile_records": flatfile_records,
+    "fasta_records": fasta_records, "fasta_lookups": fasta_lookups, "packed_records": packed_records, "packed_files": packed_files, "first_last_lengths": first_last_lengths, "flatfile_records": flatfile_records,
     "record_summaries": record_summaries, "integrity_files": integrity_files, "integrity_mismatches": integrity_mismatches, "links_files": links_files, "finds_report": finds_report,
     "finds_read": finds_read, "structure_atoms": structure_atoms, "structure_places": structure_places, "matrix_scores": matrix_scores, "residue_codes": residue_codes,
     "remote_sequences": remote_sequences, "feature_tables": feature_tables, "name_tokens": name_tokens,
 }
 ORACLES = {
     "explain_records": EXPLAIN_RECORDS,
-    "fasta_records": FASTA_RECORDS, "fasta_lookups": FASTA_LOOKUPS, "packed_records": PACKED_RECORDS, "first_last_lengths": FIRST_LAST_LENGTHS, "flatfile_records": FLATFILE_RECORDS,
+    "fasta_records": FASTA_RECORDS, "fasta_lookups": FASTA_LOOKUPS, "packed_records": PACKED_RECORDS, "packed_files": PACKED_RECORDS, "first_last_lengths": FIRST_LAST_LENGTHS, "flatfile_records": FLATFILE_RECORDS,
     "record_summaries": RECORD_SUMMARIES, "integrity_files": INTEGRITY_FILES, "integrity_mismatches": f"SELECT * FROM ({INTEGRITY_FILES}) WHERE status <> 'equal' ORDER BY seq_no LIMIT 10",
     "links_files": LINKS_FILES, "finds_report": FINDS_REPORT, "finds_read": FINDS_READ, "structure_atoms": STRUCTURE_ATOMS, "structure_places": STRUCTURE_PLACES, "matrix_scores": MATRIX_SCORES,
     "residue_codes": RESIDUE_CODES, "remote_sequences": REMOTE_SEQUENCES, "feature_tables": FEATURE_TABLES, "name_tokens": NAME_TOKENS,

@@ -11,7 +11,7 @@ from strandloom.operators import annotation, ordering, similarity
 from strandloom.plans.annotation_queries import BRANDS, MUNGE_FILTER, explain_documents, munge_filter, part_records
 from strandloom.plans.annotation_queries import PAIRS as EXPLAINED
 from strandloom.plans.sequence_queries import PART_SEQUENCES, _local_scores, part_sequences
-from strandloom.session import scratch_folder, settled, table
+from strandloom.session import Workspace, scratch_folder, settled, table
 from strandloom.sources.sequences import select_range
 
 THRESHOLD = 110
@@ -84,11 +84,21 @@ def query_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.query_against(first, docs.repartition(spark.sparkContext.defaultParallelism), THRESHOLD)
 
 
+def document_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignments of the first passage with every whole document that it is linked to, by their ids."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), letters_only(F.coalesce("text", F.lit(""))).alias("sequence"))
+    work = Workspace(spark, "alignments")
+    pairs = work.keep(query_documents(spark, sf_dir).select(F.lit("passage").alias("id_a"), F.concat(F.lit("document "), F.col("target_seq").cast("string")).alias("id_b")))
+    named = docs.select(F.concat(F.lit("document "), F.col("id").cast("string")).alias("id"), "sequence")
+    first = passages(spark, sf_dir).orderBy("seq_no").limit(1).select(F.lit("passage").alias("id"), "sequence")
+    return work.result(similarity.compared(pairs, named.union(first)))
+
+
 def work_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every part in the order of a run: residues and cells done with it in percent, cells left and the time they take."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.length("p_name").alias("length"))
     return ordering.work_estimates(parts, "p_partkey", "length", CELLS_PER_SECOND).select(
-        "p_partkey", "length", F.round("residues_done", 6).alias("residues_done"), F.round("cells_done", 6).alias("cells_done"), "cells_left", formats.duration(F.col("seconds_left")).alias("time_left")
+        "p_partkey", "length", F.round("residues_done", 6).alias("residues_done"), F.round("cells_done", 6).alias("cells_done"), F.col("cells_left").cast("long").alias("cells_left"), formats.duration(F.col("seconds_left")).alias("time_left")
     )
 
 
@@ -118,11 +128,11 @@ FROM b GROUP BY bucket"""
 
 def filter_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many part records the filter has seen and accepted, and the last ten accepted."""
-    records = part_records(spark, sf_dir)
-    accepted = munge_filter(spark, sf_dir)
+    found, counters = annotation.watched_filter(part_records(spark, sf_dir), annotation.record_filter(BRANDS, require_go=True))
+    work = Workspace(spark, "progress")
+    accepted = work.keep(found.select("p_partkey", "description"))  # the one pass
     last = accepted.orderBy(F.desc("p_partkey")).limit(10).agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%08d %s", "p_partkey", "description"))), "|").alias("last"))
-    totals = records.agg(F.count("*").alias("seen"), F.count_if(annotation.record_filter(BRANDS, require_go=True)).alias("accepted"))
-    return totals.crossJoin(last)  # one row each
+    return work.result(last.select(F.lit(counters.get["seen"]).alias("seen"), F.lit(counters.get["accepted"]).alias("accepted"), "last"))
 
 
 FILTER_PROGRESS = f"""WITH a AS ({MUNGE_FILTER})
@@ -138,7 +148,7 @@ def reason_percentages(spark: SparkSession, sf_dir: str) -> DataFrame:
 REASON_PERCENTAGES = f"WITH {EXPLAINED} SELECT phase, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM reasons), 6) AS percent FROM reasons GROUP BY phase"
 
 QUERIES = {
-    "sim_join_passages": sim_join_passages, "resumed_search": resumed_search, "range_search": range_search, "query_documents": query_documents, "work_estimates": work_estimates,
+    "sim_join_passages": sim_join_passages, "resumed_search": resumed_search, "range_search": range_search, "query_documents": query_documents, "document_alignments": document_alignments, "work_estimates": work_estimates,
     "padding_waste": padding_waste, "filter_progress": filter_progress, "reason_percentages": reason_percentages,
 }
 ORACLES = {

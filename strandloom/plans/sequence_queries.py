@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import alignment, bias
 from strandloom.functions.alphabet import CHEMICAL_ORDER, letters_only, matrix32
 from strandloom.operators import integrity, ordering, patterns, similarity
-from strandloom.session import spread, table
+from strandloom.session import Workspace, spread, table
 from strandloom.sources.sequences import first_containing, subsequence
 
 THRESHOLD = 30
@@ -93,6 +93,18 @@ def align_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def alignment_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column of the alignments of linked part names, in SQL: a lateral join with the table function."""
+    alignment.register(spark)
+    work = Workspace(spark, "columns")
+    seqs = part_sequences(spark, sf_dir)
+    links = work.keep(similarity.similarity_join(seqs, THRESHOLD, include_self=False))
+    return work.result(spark.sql(
+        """SELECT l.query_seq, l.target_seq, c.place, c.residue_a, c.residue_b, c.mark
+           FROM {links} l JOIN {seqs} a ON a.seq_no = l.query_seq JOIN {seqs} b ON b.seq_no = l.target_seq, LATERAL align_columns(a.sequence, b.sequence) c""", links=links, seqs=seqs,
+    ))
+
+
 def identity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Match line and identity of names of equal length as they stand, first with all others of its length."""
     names = part_sequences(spark, sf_dir).withColumn("n", F.length("sequence"))
@@ -152,7 +164,7 @@ SELECT count(*) = count(DISTINCT sorted_position) AND min(sorted_position) = 0 A
 
 def work_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", F.length("p_name").alias("length"))
-    return ordering.work_left(parts, "p_partkey", "length")
+    return ordering.work_left(parts, "p_partkey", "length").withColumn("cells_left", F.col("cells_left").cast("long"))
 
 
 WORK_LEFT = """
@@ -332,13 +344,24 @@ SELECT q AS query_seq, t AS target_seq, CAST(score AS INT) AS score, aligned_a,
 FROM found JOIN judged ON key = (q, t)"""
 
 
+def _columns_sql() -> str:
+    """The oracle of alignment_columns."""
+    pairs = "SELECT x.seq_no AS q, y.seq_no AS t, x.sequence AS a, y.sequence AS b FROM seqs x JOIN seqs y ON y.seq_no > x.seq_no"
+    mark = "CASE WHEN aligned_a[i] = '-' OR aligned_b[i] = '-' THEN ' ' WHEN aligned_a[i] = aligned_b[i] THEN '|' ELSE '.' END"
+    return f"""WITH RECURSIVE {PART_SEQUENCES}, {_alignments(pairs)}
+SELECT q AS query_seq, t AS target_seq, CAST(i AS INT) AS place, aligned_a[i] AS residue_a, aligned_b[i] AS residue_b, {mark} AS mark
+FROM (SELECT *, unnest(range(1, len(aligned_a) + 1)) AS i FROM aligned WHERE score >= {THRESHOLD})"""
+
+
 QUERIES = {
+    "alignment_columns": alignment_columns,
     "repeat_units": repeat_units, "chemical_repeats": chemical_repeats,
     "sim_join_parts": sim_join_parts, "sim_query_vs_db": sim_query_vs_db, "find_names": find_names, "align_parts": align_parts, "identity_names": identity_names,
     "bias_entropy": bias_entropy, "length_rank": length_rank, "inverse_index_check": inverse_index_check, "work_left": work_left, "length_stats": length_stats,
     "sorted_check": sorted_check, "periodicity": periodicity, "mosaic_window": mosaic_window, "canonical_rotations": canonical_rotations, "lookup_slices": lookup_slices,
 }
 ORACLES = {
+    "alignment_columns": _columns_sql(),
     "repeat_units": REPEAT_UNITS, "chemical_repeats": _chemical_sql(),
     "sim_join_parts": SIM_JOIN_PARTS, "sim_query_vs_db": SIM_QUERY_VS_DB, "find_names": FIND_NAMES, "identity_names": IDENTITY_NAMES, "bias_entropy": BIAS_ENTROPY,
     "length_rank": LENGTH_RANK, "inverse_index_check": INVERSE_INDEX_CHECK, "work_left": WORK_LEFT, "length_stats": LENGTH_STATS, "sorted_check": SORTED_CHECK,

@@ -99,3 +99,67 @@ def test_scores_beyond_sixteen_bits():
     a, b = "W" * 2100, "W" * 2000 + "A" * 50
     scores = alignment.batch_scores(encode(a), [encode(b), encode("WW"), encode("")], matrix32())
     assert scores.tolist() == [17 * 2000, 34, 0]
+
+
+def whole_table(a, b, matrix, gap=10):
+    """align() by the whole table."""
+    x, y = encode(a), encode(b)
+    h = np.zeros((len(x) + 1, len(y) + 1), int)
+    for i in range(len(x)):
+        for j in range(len(y)):
+            h[i + 1, j + 1] = max(0, h[i, j] + matrix[x[i], y[j]], h[i, j + 1] - gap, h[i + 1, j] - gap)
+    if h.max() <= 0:
+        return None
+    i, j = end = np.unravel_index(h.argmax(), h.shape)
+    top, bottom = "", ""
+    while h[i, j] > 0:
+        if h[i, j] == h[i - 1, j - 1] + matrix[x[i - 1], y[j - 1]]:
+            i, j, top, bottom = i - 1, j - 1, a[i - 1] + top, b[j - 1] + bottom
+        elif h[i, j] == h[i - 1, j] - gap:
+            i, top, bottom = i - 1, a[i - 1] + top, "-" + bottom
+        else:
+            j, top, bottom = j - 1, "-" + top, b[j - 1] + bottom
+    return int(h.max()), top, bottom, i, end[0] - 1, j, end[1] - 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ARNW", max_size=70), st.text("ARNW", max_size=70), st.sampled_from([1, 2, 3, 64]), st.sampled_from([1, 10]))
+def test_rows_made_anew_give_the_same_alignment(a, b, rows, gap):
+    """Ties among them, with few kept rows, so that segments are cut several times."""
+    kept, alignment.KEPT_ROWS = alignment.KEPT_ROWS, rows if rows > 1 else 2
+    try:
+        assert alignment.align(a, b, matrix32(), gap) == whole_table(a, b, matrix32(), gap)
+    finally:
+        alignment.KEPT_ROWS = kept
+
+
+def test_long_sequences_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    a = "".join(rng.choice(list("ARNDCQEGHILK"), 20_000))
+    b = "".join(c for i, c in enumerate(a) if i % 97)
+    tracemalloc.start()
+    found = alignment.align(a, b, matrix32())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and found[1].replace("-", "") == a[found[3] : found[4] + 1] and found[2].replace("-", "") == b[found[5] : found[6] + 1]
+    assert found[0] == sum(-10 if "-" in (x, y) else int(matrix32()[ord(x) & 31, ord(y) & 31]) for x, y in zip(*found[1:3]))
+
+
+def test_comparison_by_ids(spark):
+    from strandloom.operators.similarity import compared
+
+    seqs = spark.createDataFrame([("P1", A), ("P2", B), ("P3", "")], "id string, sequence string")
+    pairs = spark.createDataFrame([("P1", "P2"), ("P2", "P1"), ("P1", "P3"), ("P1", "P9")], "id_a string, id_b string")
+    rows = {(r["id_a"], r["id_b"]): r for r in compared(pairs, seqs).collect()}
+    assert set(rows) == {("P1", "P2"), ("P2", "P1"), ("P1", "P3")}
+    assert rows["P1", "P2"]["score"] == rows["P2", "P1"]["score"] == 98 and rows["P1", "P2"]["a_start"] == 13 and rows["P1", "P3"]["score"] is None
+
+
+def test_columns_in_sql(spark):
+    alignment.register(spark)
+    rows = spark.sql(f"SELECT * FROM align_columns('{A}', '{B}') ORDER BY place").collect()
+    assert "".join(r["residue_a"] for r in rows) == "LAAQKPGGAPTTSLIGNESRSDQPSTVAAA" and rows[0]["place"] == 1 and rows[0]["mark"] == "."
+    assert spark.sql(f"SELECT * FROM align_columns('{A}', NULL)").count() == 0
+    assert spark.sql("SELECT identity_percent('AC-GT', 'ACG-A') AS p").first()["p"] == 40.0
