@@ -203,7 +203,9 @@ class _Reader(DataSourceReader):
         files = sorted((f.path, f.size) for f in where.get_file_info(fs.FileSelector(path)) if f.path.endswith(SUFFIX))
         return [_Part(file, size, at, at + step) for file, size in files for at in range(0, size, step)]
 
-    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Part | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's, where there are no others
+            return
         where, _ = file_system(self.options["path"])
         asked = self.options.get("ids")
         with where.open_input_file(partition.path) as source:
