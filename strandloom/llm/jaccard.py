@@ -19,7 +19,7 @@ one component already: components of the links are the groups.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from fractions import Fraction
 from functools import partial, reduce
 
@@ -195,12 +195,19 @@ def _block_pairs(work: Workspace, rows: DataFrame, order: list[Column], first_on
     return cut.join(sides[0].union(sides[1]), ["key", "block"]).drop("block"), blocks
 
 
+def _column(column: pa.Array) -> Iterable:
+    """A column's values; lists of numbers as views of the batch."""
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    return map(lambda a, b: values[a:b], offsets[:-1], offsets[1:])
+
+
 def _by_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """The rows of each pair of blocks, from sorted ones."""
     key, rows = None, []
     for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        for row in zip(*columns):
+        for row in zip(*map(_column, batch.columns)):
             if row[:3] != key and rows:
                 yield rows
                 rows = []
@@ -300,12 +307,18 @@ def links(
     work: Workspace, found: DataFrame, documents: DataFrame, ratio: Fraction, shingle_words: int = SHINGLE_WORDS, *, text_col: str = "text",
     near: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Links (u, v) between distinct sets such that the components are those of all pairs as similar as asked."""
+    """Links (u, v) between distinct sets such that the components are those of all pairs as similar as asked.
+
+    found is what described() gives, as a table of `work`; it is removed once it is read.
+    """
     spark = documents.sparkSession
     firsts = [F.first(c).alias(c) for c in ("size", "sim", "prefix")]
-    sets = work.keep(found.filter("size > 0").groupBy("fp").agg(F.min("text").alias("text"), *firsts))
-    keyed = sets.select(F.explode("prefix").alias("key"), "fp")
+    described_sets = work.keep(found.filter("size > 0").groupBy("fp").agg(F.min("text").alias("text"), *firsts))
+    work.drop(found)
+    keyed = described_sets.select(F.explode("prefix").alias("key"), "fp")
     shared = work.keep(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"))
+    sets = work.keep(described_sets.drop("prefix"))
+    work.drop(described_sets)
     drop_unused(spark)  # the shuffles of all keys
     sizes = sets.select("fp", "size")
     commonest = Window.partitionBy("fp").orderBy(F.desc("n"), "key")  # a set's own keys
@@ -317,6 +330,7 @@ def links(
     ends = work.keep(reduce(DataFrame.union, [g.select("fp") for g in (*several, members)]).distinct())
     marks = _marks(sets.join(ends, "fp", "left_semi"), "text")  # one text says what the set is
     whole = work.keep(_sets(documents, text_col, shingle_words, marks).join(ends, "fp", "left_semi").dropDuplicates(["fp"]))
+    work.drop(ends)
     drop_unused(spark)
 
     cost = F.greatest("size", F.lit(LEAST_COST))
@@ -355,6 +369,6 @@ def keep_one(
         raise ValueError("the similarity must lie between 0 and 1")
     work = Workspace(documents.sparkSession, "jaccard")
     found = work.keep(described(documents, ratio, shingle_words, id_col=id_col, text_col=text_col))
+    numbers = work.keep(found.select(F.col("id").alias(id_col), "fp"))
     linked = links(work, found, documents, ratio, shingle_words, text_col=text_col, near=near)
-    numbers = found.select(F.col("id").alias(id_col), "fp")
     return keep_least(documents, numbers, linked, partial(set_number, shingle_words=shingle_words), id_col=id_col, text_col=text_col)
