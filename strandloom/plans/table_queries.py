@@ -196,8 +196,7 @@ def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines.repartition(3, "seq_no").write.parquet(f"{folder}/lines")
     query = jobs.log_stream(spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/lines"), folder, n=LAST)
     query.awaitTermination()
-    kept = spark.read.parquet(f"{folder}/lines-{query.lastProgress['batchId']}")
-    return settled(kept.select(formats.line_category(F.col("line")).alias("category"), "seq_no", "line"), folder)
+    return settled(jobs.last_lines(spark, folder), folder)
 
 
 LOG_STREAM = f"""WITH {LOG_LINES} SELECT category, seq_no, line FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY seq_no DESC) AS place FROM lines) WHERE place <= {LAST}"""
