@@ -114,14 +114,15 @@ def fit(
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, docs_per_language / r["count"]))]) if sizes else F.lit(None)
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) / 1_000_000  # by both: many rows may have one id, or none
     sample = usable.filter(F.col("text").isNotNull() & (draw < (share[F.col("lang")] if sizes else F.lit(0.0)))).select("text", "lang")
-    return build(_counted(sample).toPandas(), smoothing)  # bounded by the sample
+    # bounded by the sample; tokens are grouped by their codes, which takes the driver less memory
+    return build(_counted(sample).toPandas().astype({"token": "category"}), smoothing)
 
 
 def build(table: pd.DataFrame, smoothing: float = 0.5) -> LanguageModel:
     """The model of counts (lang, kind, token, n); smoothing is added to each count, unseen tokens among them."""
     languages = sorted(set(table["lang"]))
-    keys = table.groupby(["kind", "token"], sort=True).ngroup().to_numpy()
-    where = pd.Series(table["lang"], dtype=pd.CategoricalDtype(languages)).cat.codes.to_numpy()
+    keys = table.groupby(["kind", "token"], sort=True, observed=True).ngroup().to_numpy()
+    where = table["lang"].astype(pd.CategoricalDtype(languages)).cat.codes.to_numpy()
     counts = np.zeros((keys.max() + 1 if len(table) else 0, len(languages)))
     np.add.at(counts, (keys, where), table["n"].to_numpy(float))
     tokens = table.assign(key=keys).drop_duplicates("key").sort_values("key")
