@@ -9,8 +9,9 @@ from strandloom.functions import bias, names
 from strandloom.functions.alphabet import letters_only
 from strandloom.functions.names import STEM_LENGTH, STOPWORDS, SUFFIXES
 from strandloom.operators import annotation
-from strandloom.plans.sequence_queries import align_parts_sql
+from strandloom.plans.sequence_queries import align_parts, align_parts_sql, part_sequences
 from strandloom.session import spread, table
+from strandloom.sources import links
 
 BRANDS = ["brand#2", "brand#7"]
 
@@ -179,12 +180,54 @@ SELECT CAST(k AS BIGINT) AS line_no, ['FILTERING REASONS (sorted by length - sho
 UNION ALL SELECT row_number() OVER (ORDER BY len(reason), reason) + 2, CASE WHEN len(reason) < 40 THEN rpad(reason, 40, ' ') ELSE reason END || ' : ' || CASE WHEN n < 1000000 THEN lpad(CAST(n AS VARCHAR), 6, ' ') ELSE CAST(n AS VARCHAR) END FROM counts
 UNION ALL SELECT kinds + 3 + k, ['', repeat('=', 80), 'Total filtered: ' || gone, '  phase 0: ' || n0, '  phase 1: ' || n1, '  phase 2: 0', 'Total kept: ' || kept][k + 1] FROM total, range(7) t(k)"""
 
+BIASED_UNDER = bias.PIPELINE_BIASED_UNDER
+
+
+def judged_finds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of part names as finds, with the goodness of their alignments, and phase and reason of those that are biased."""
+    seqs = part_sequences(spark, sf_dir)
+    found = align_parts(spark, sf_dir).select("query_seq", "target_seq", "score", "goodness", "reason")
+
+    def side(i: int, end: str) -> DataFrame:
+        said = {f"id{i}": F.format_string("P%d", "seq_no"), f"len{i}": F.length("sequence"), f"name{i}": F.col("name")}
+        return seqs.select(F.col("seq_no").alias(end), *[c.alias(name) for name, c in said.items()])
+
+    finds = found.join(side(1, "query_seq"), "query_seq").join(side(2, "target_seq"), "target_seq")
+    return finds.withColumn("phase", F.when(F.col("goodness") < BIASED_UNDER, "bias"))
+
+
+def kept_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the finds that their composition does not explain."""
+    return links.kept_report(judged_finds(spark, sf_dir), ["bias"])
+
+
+def biased_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the finds that their composition explains, with the reason."""
+    return links.biased_report(judged_finds(spark, sf_dir).filter("phase is not null"))
+
+
+def _report_sql(biased: bool) -> str:
+    note = "|| ' [' || reason || ']'" if biased else ""
+    top = "['Composition-biased alignments: ' || count(*) FILTER (goodness < {b}) || ' entries', '']" if biased else "['Kept ' || count(*) FILTER (goodness >= {b}) || ' entries after filtering', 'Filtered out ' || count(*) FILTER (goodness < {b}) || ' entries (bias)', '']"
+    return f"""WITH found AS (SELECT query_seq, target_seq, score, goodness, reason FROM ({align_parts_sql(_bias_sql)})),
+named AS (
+  SELECT f.*, x.p_name AS name1, y.p_name AS name2, len(regexp_replace(x.p_name, '[^A-Za-z]', '', 'g')) AS len1, len(regexp_replace(y.p_name, '[^A-Za-z]', '', 'g')) AS len2
+  FROM found f JOIN part x ON x.p_partkey = query_seq JOIN part y ON y.p_partkey = target_seq
+),
+top AS (SELECT unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS line_no FROM (SELECT {top.format(b=BIASED_UNDER)} AS lines FROM named)),
+ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, 'P' || query_seq, 'P' || target_seq) AS place FROM named WHERE goodness {"<" if biased else ">="} {BIASED_UNDER})
+SELECT line_no, line FROM top
+UNION ALL SELECT place * 3 - 3 + k + {2 if biased else 3}, ['P' || query_seq || '-P' || target_seq || ' s(' || score || ') Length: ' || len1 || '/' || len2 {note}, ' ' || name1, ' ' || name2][k + 1] FROM ranked, range(3) t(k)"""
+
+
 QUERIES = {
+    "kept_report": kept_report, "biased_report": biased_report,
     "bias_names": bias_names, "bias_phase": bias_phase, "reasons_report": reasons_report,
     "munge_filter": munge_filter, "document_tokens": document_tokens, "explain_documents": explain_documents, "reason_histogram": reason_histogram,
     "shared_longest": shared_longest, "panther_neighbours": panther_neighbours,
 }
 ORACLES = {
+    "kept_report": _report_sql(False), "biased_report": _report_sql(True),
     "align_parts": align_parts_sql(_bias_sql),
     "bias_names": BIAS_NAMES, "bias_phase": BIAS_PHASE, "reasons_report": REASONS_REPORT,
     "munge_filter": MUNGE_FILTER,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,31 @@ def finds_report(finds: DataFrame) -> DataFrame:
     return top.union(lines.select((F.col("place") * 3 - 2 + F.col("k")).alias("line_no"), "line"))
 
 
+def _entries(finds: DataFrame, after: int, note: Column) -> DataFrame:
+    """(line_no, line): three lines for each find, best score first, from line `after` on; note ends the first."""
+    ranked = numbered(finds, [F.desc("score"), F.asc("id1"), F.asc("id2")], rank="place")
+    head = F.concat(F.format_string("%s-%s s(%d) Length: %d/%d", "id1", "id2", "score", "len1", "len2"), note)
+    lines = ranked.select("place", F.posexplode(F.array(head, F.concat(F.lit(" "), "name1"), F.concat(F.lit(" "), "name2"))).alias("k", "line"))
+    return lines.select((F.col("place") * 3 - 3 + F.col("k") + after).alias("line_no"), "line")
+
+
+def kept_report(finds: DataFrame, phases: Sequence[str]) -> DataFrame:
+    """(line_no, line): the finds whose `phase` is null, under lines with their number and that of the finds each phase took."""
+    counts = [F.count_if(F.col("phase") == name).alias(f"n{i}") for i, name in enumerate(phases)]
+    total = finds.agg(F.count_if(F.col("phase").isNull()).alias("kept"), *counts)
+    said = [F.format_string("Kept %d entries after filtering", "kept"), *[F.format_string(f"Filtered out %d entries ({name})", f"n{i}") for i, name in enumerate(phases)], F.lit("")]
+    top = total.select(F.posexplode(F.array(*said)).alias("line_no", "line")).select(F.col("line_no").cast("long"), "line")
+    return top.union(_entries(finds.filter("phase is null"), len(said), F.lit("")))
+
+
+def biased_report(finds: DataFrame) -> DataFrame:
+    """(line_no, line): finds with the `reason` for which their composition explains them, under a line with their number."""
+    total = finds.agg(F.count("*").alias("n"))
+    said = F.array(F.format_string("Composition-biased alignments: %d entries", "n"), F.lit(""))
+    top = total.select(F.posexplode(said).alias("line_no", "line")).select(F.col("line_no").cast("long"), "line")
+    return top.union(_entries(finds, 2, F.concat(F.lit(" ["), "reason", F.lit("]"))))
+
+
 def write_lines(report: DataFrame, path: str) -> None:
     """A report (line_no, line) as text files whose names are in the order of their lines."""
     report.repartitionByRange("line_no").sortWithinPartitions("line_no").select("line").write.text(path)
