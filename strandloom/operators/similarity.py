@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -136,14 +138,29 @@ def resumable_join(
     Pairs of blocks are done in waves, each written to a folder of its own. A run that stops - here after
     `stop_after` new waves - is taken up by calling again with the same sequences and parameters: waves that are
     written whole are not done again, one that was cut off is done anew and takes its own place. Returns the links so far.
+
+    The folder records the parameters and a fingerprint of the sequences (their number and a sum of their hashes), and
+    holds the packed blocks: a call with others is an error, and blocks are read again rather than packed again.
     """
     spark = sequences.sparkSession
-    rows, count = _blocked(sequences, id_col, seq_col, block_residues)
+    hashes = F.sum(F.xxhash64(F.col(id_col), F.coalesce(F.col(seq_col), F.lit(""))).cast("decimal(20,0)")).cast("string")
+    sums = sequences.agg(F.count("*").alias("n"), hashes.alias("hashes")).first()
+    run = {"threshold": threshold, "waves": waves, "gap": gap, "include_self": include_self, "block_residues": block_residues, "matrix": crc32(matrix32(weights).tobytes()), "sequences": [sums["n"], sums["hashes"]]}
+    if path_exists(spark, f"{folder}/manifest/_SUCCESS"):
+        recorded = json.loads(spark.read.text(f"{folder}/manifest").first()[0])
+        count = recorded.pop("blocks")
+        if differing := sorted(name for name in run if run[name] != recorded.get(name)):
+            raise ValueError(f"{folder} is of a run with other {', '.join(differing)}")
+    else:
+        rows, count = _blocked(sequences, id_col, seq_col, block_residues)
+        if count:
+            _packed(rows).write.mode("overwrite").parquet(f"{folder}/blocks")
+        spark.createDataFrame([(json.dumps(run | {"blocks": count}),)], "said string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
     if not count:
         return spark.createDataFrame([], LINKS)
     left = [w for w in range(waves) if not path_exists(spark, f"{folder}/wave={w}/_SUCCESS")]
     if left:
-        blocks = _packed(rows)
+        blocks = spark.read.parquet(f"{folder}/blocks")
         for wave in left[:stop_after]:
             pairs = _block_pairs(blocks, count, F.pmod(F.xxhash64("low", "high"), F.lit(waves)) == wave)
             _met(blocks, pairs, weights, gap, threshold, include_self).write.mode("overwrite").parquet(f"{folder}/wave={wave}")

@@ -80,6 +80,10 @@ def test_finished_waves_are_not_done_again(spark):
     whole = similarity.resumable_join(frame, 40, folder, waves=4, block_residues=100)
     assert first < whole.count() and sorted(map(tuple, whole.collect())) == sorted(map(tuple, similarity.similarity_join(frame, 40).collect()))
     assert sorted(r[0] for r in spark.read.parquet(f"{folder}/wave=0").select("_metadata.file_path").distinct().collect()) == stamp
+    for other in ({"threshold": 41}, {"gap": 9}, {"sequences": frame.filter("seq_no > 0")}):
+        given = {"sequences": frame, "threshold": 40, "gap": 10} | other
+        with pytest.raises(ValueError, match=f"other {next(iter(other))}"):
+            similarity.resumable_join(folder=folder, waves=4, block_residues=100, **given)
     remove_folder(spark, folder)
     assert not path_exists(spark, folder)
 
