@@ -5,7 +5,9 @@ first: sets whose SimHashes the Golay keys bring within two bits are verified an
 fingerprints of 64 bits differ in ten bits in the middle, and no key of Golay codewords that tolerates ten is telling,
 so a prefix filter looks for the rest. In any one order of all shingles, two sets as similar as asked share one of the
 first n - ceil(similarity * n) + 1 of each of them, its prefix. The order puts shingles that a sample of documents
-shares last, where prefixes hardly reach; the sample bears on the work alone.
+shares last, where prefixes hardly reach; the sample bears on the work alone. Chance phrases give most sets a shared
+key, so prefixes are longer by a share of ceil(similarity * n): similar sets have as many more of them in common, and
+a set with fewer keys that any other has goes no further. Only the whole sets of those that are left travel.
 
 Pairs are not made of the sets that a fingerprint or a key, a shingle in a prefix, brings together. Sets with linked
 fingerprints are a group, and each set goes to the groups of its two commonest keys that it shares; groups are cut into
@@ -42,6 +44,7 @@ SAMPLED = 20_000  # documents at most, and
 SAMPLED_SHARE = 0.05
 LEAST_MARKS, MOST_MARKS = 1 << 22, 1 << 28  # bits
 HOT = 100_000  # shingles put last
+MORE = Fraction(1, 16)  # of the least a set has in common with a similar one: so many more keys
 SLICE = 256
 GROUPS_OF_A_SET = 2
 BLOCK_COST, LEAST_COST = 1 << 18, 1 << 9  # hashes of a block, and what the smallest set counts as
@@ -66,10 +69,18 @@ def set_number(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return xxhash.xxh64_intdigest(shingles(text, shingle_words).tobytes(), SEED)
 
 
-def prefix(hashes: np.ndarray, ratio: Fraction, hot: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The first hashes of a set of which similar sets share one; `hot` is sorted, and goes last by its ranks."""
+def needed(n: int, ratio: Fraction, more: Fraction = MORE) -> int:
+    """How many keys of a prefix that is longer by needed - 1 a set of n hashes shares with any similar one.
+
+    It rises no faster than the least number of hashes in common does, so this holds for the larger of two sets as well.
+    """
+    return 1 + -(-n * ratio.numerator // ratio.denominator) * more.numerator // more.denominator
+
+
+def prefix(hashes: np.ndarray, ratio: Fraction, hot: np.ndarray, ranks: np.ndarray, more: int = 0) -> np.ndarray:
+    """The first hashes of a set of which similar sets share one, and `more` after them; `hot` is sorted, and goes last by its ranks."""
     n = len(hashes)
-    taken = n - -(-n * ratio.numerator // ratio.denominator) + 1 if n else 0
+    taken = n - -(-n * ratio.numerator // ratio.denominator) + 1 + more if n else 0
     rank = np.zeros(n, np.int64)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
@@ -133,10 +144,10 @@ def shared_shingles(documents: DataFrame, text_col: str, shingle_words: int) ->
 
 
 def described(documents: DataFrame, ratio: Fraction, shingle_words: int, *, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, fp, text, size, sim, prefix) of every row, without a shuffle: numbers of its set and of its text, and its set's SimHash."""
+    """(id_col, fp, text, size, sim, needed, prefix) of every row, without a shuffle: numbers of its set and of its text, and its set's SimHash."""
     source = documents.select(id_col, text_col)
     given = source.sparkSession.sparkContext.broadcast(shared_shingles(documents, text_col, shingle_words))
-    fields = [T.StructField(n, T.LongType()) for n in ("fp", "text", "size", "sim")]
+    fields = [T.StructField(n, T.LongType()) for n in ("fp", "text", "size", "sim", "needed")]
     schema = T.StructType([T.StructField("id", source.schema[0].dataType), *fields, T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,12 +158,27 @@ def described(documents: DataFrame, ratio: Fraction, shingle_words: int, *, id_c
                 found = [shingles(t, shingle_words) for t in texts]
                 columns = [batch.column(0), _signed([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found]), _signed(list(map(_text_hash, texts)))]
                 columns += [pa.array(map(len, found), pa.int64()), _signed(list(map(simhash_of, found)))]
-                columns.append(pa.array([prefix(h, ratio, *given.value) for h in found], pa.list_(pa.int64())))
+                least = [needed(len(h), ratio) for h in found]
+                columns += [pa.array(least, pa.int64()), pa.array([prefix(h, ratio, *given.value, n - 1) for h, n in zip(found, least)], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
+def shared_keys(work: Workspace, described_sets: DataFrame) -> DataFrame:
+    """(key, fp, n) of the sets that may be similar to another: keys of their prefixes without the further ones, and how many of the sets have each."""
+    keyed = described_sets.select("fp", F.posexplode("prefix").alias("place", "key"), (F.size("prefix") - F.col("needed")).alias("last"))
+    keyed = keyed.select("key", "fp", (F.col("place") <= F.col("last")).alias("own"))
+    several = keyed.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
+    shared = work.keep(keyed.join(several, "key", "left_semi"))
+    counted = shared.groupBy("fp").agg(F.count("*").alias("_n")).join(described_sets.select("fp", "needed"), "fp")
+    likely = shared.filter("own").drop("own").join(counted.filter("_n >= needed").select("fp"), "fp", "left_semi")
+    left = work.keep(likely.select("key", "fp"))
+    work.drop(shared)
+    drop_unused(work.spark)  # the shuffles of all keys
+    return work.keep(left.join(left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"))
+
+
 def _ordered(u: str, v: str) -> list[Column]:
     return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
 
@@ -312,14 +338,14 @@ def links(
     found is what described() gives, as a table of `work`; it is removed once it is read.
     """
     spark = documents.sparkSession
-    firsts = [F.first(c).alias(c) for c in ("size", "sim", "prefix")]
+    firsts = [F.first(c).alias(c) for c in ("size", "sim", "needed", "prefix")]
     described_sets = work.keep(found.filter("size > 0").groupBy("fp").agg(F.min("text").alias("text"), *firsts))
     work.drop(found)
-    keyed = described_sets.select(F.explode("prefix").alias("key"), "fp")
-    shared = work.keep(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"))
-    sets = work.keep(described_sets.drop("prefix"))
+    drop_unused(spark)
+    shared = shared_keys(work, described_sets)
+    sets = work.keep(described_sets.drop("prefix", "needed").join(shared.select("fp").distinct(), "fp", "left_semi"))
     work.drop(described_sets)
-    drop_unused(spark)  # the shuffles of all keys
+    drop_unused(spark)
     sizes = sets.select("fp", "size")
     commonest = Window.partitionBy("fp").orderBy(F.desc("n"), "key")  # a set's own keys
     members = shared.withColumn("_rank", F.row_number().over(commonest)).filter(f"_rank <= {GROUPS_OF_A_SET}").select("key", "fp")

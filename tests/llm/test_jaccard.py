@@ -82,6 +82,42 @@ def test_prefix_is_never_short():
     assert len(jaccard.prefix(none, Fraction(4, 5), none, none)) == 0
 
 
+def test_similar_sets_share_the_keys_needed():
+    """Of pairs just similar enough, whatever differs: both sets find as many keys in the other's prefix as they need."""
+    from fractions import Fraction
+
+    rng, none, ratio = np.random.default_rng(4), np.array([], np.int64), Fraction(4, 5)
+    for trial in range(3000):
+        a = int(rng.integers(1, 200))
+        b = int(rng.integers(-(-4 * a // 5), a + 1))
+        common = -(-4 * (a + b) // 9)
+        if common > b:
+            continue
+        values = rng.permutation(10_000)[: a + b - common]
+        if trial % 2:  # what differs comes first in the order
+            values = np.roll(np.sort(values), common)
+        x, y = np.sort(values[:a]), np.sort(np.concatenate((values[:common], values[a:])))
+        least = [jaccard.needed(len(s), ratio) for s in (x, y)]
+        found = [jaccard.prefix(s, ratio, none, none, n - 1) for s, n in zip((x, y), least)]
+        assert len(np.intersect1d(*found)) >= max(least)
+
+
+def test_chance_phrases_do_not_travel(spark):
+    """Texts that share a phrase or two with others, as most do, are set aside before whole sets move; near copies stay."""
+    from fractions import Fraction
+
+    phrases = [prose(5000 + k, 6) for k in range(40)]
+    rows = [(k, " ".join((prose(k, 150), phrases[k % 40], prose(3000 + k, 150), phrases[(k + 7) % 40]))) for k in range(400)]
+    rows += [(1000 + k, changed(rows[k][1], k, 0.005)) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    work = jaccard.Workspace(spark, "test")
+    found = work.keep(jaccard.described(docs, Fraction(4, 5), 5, id_col="doc_id", text_col="text"))
+    left = {r["fp"] for r in jaccard.shared_keys(work, found).select("fp").collect()}
+    ids = {r["id"] for r in found.collect() if r["fp"] in left}
+    assert {k for k, _ in rows[400:]} | set(range(20)) == ids
+    assert kept(jaccard.keep_one(docs)) == brute(rows)
+
+
 def crowd(n, words, changes, seed):
     """Copies of one text, each with some words of its own: few of all pairs are similar enough."""
     rng = random.Random(seed)
