@@ -16,7 +16,8 @@ into one component. Then, in groups of several blocks, what still has another la
 blocks of one and the same label don't meet. A task counts what two blocks have in common by a product of matrices, and
 its links are a forest. At last, keys under which labels differ are gone through for pairs with different labels that no
 group has compared; these are verified by their whole sets. So every pair that is similar enough is verified or lies in
-one component already: components of the links are the groups.
+one component already: components of the links are the groups. Before that, the parities of how many hashes a set has in
+each of SKETCH_BITS bins are compared: two sets differ in as many hashes at least as in parities.
 """
 
 from __future__ import annotations
@@ -49,6 +50,8 @@ SLICE = 256
 GROUPS_OF_A_SET = 2
 BLOCK_COST, LEAST_COST = 1 << 18, 1 << 9  # hashes of a block, and what the smallest set counts as
 MATRIX_COLUMNS = 4096
+KEY_PARTS = 2  # keys are counted in so many turns, so that their shuffles don't lie on the disk all at once
+SKETCH_BITS = 512
 
 
 def shingles(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -169,13 +172,18 @@ def shared_keys(work: Workspace, described_sets: DataFrame) -> DataFrame:
     """(key, fp, n) of the sets that may be similar to another: keys of their prefixes without the further ones, and how many of the sets have each."""
     keyed = described_sets.select("fp", F.posexplode("prefix").alias("place", "key"), (F.size("prefix") - F.col("needed")).alias("last"))
     keyed = keyed.select("key", "fp", (F.col("place") <= F.col("last")).alias("own"))
-    several = keyed.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
-    shared = work.keep(keyed.join(several, "key", "left_semi"))
+    parts = []
+    for k in range(KEY_PARTS):
+        part = keyed.filter(F.pmod("key", F.lit(KEY_PARTS)) == k)
+        several = part.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
+        parts.append(work.keep(part.join(several, "key", "left_semi")))
+        drop_unused(work.spark)
+    shared = reduce(DataFrame.union, parts)
     counted = shared.groupBy("fp").agg(F.count("*").alias("_n")).join(described_sets.select("fp", "needed"), "fp")
     likely = shared.filter("own").drop("own").join(counted.filter("_n >= needed").select("fp"), "fp", "left_semi")
     left = work.keep(likely.select("key", "fp"))
-    work.drop(shared)
-    drop_unused(work.spark)  # the shuffles of all keys
+    work.drop(*parts)
+    drop_unused(work.spark)
     return work.keep(left.join(left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"))
 
 
@@ -212,6 +220,7 @@ def _block_pairs(work: Workspace, rows: DataFrame, order: list[Column], first_on
     """
     run = placed(work, rows, "key", order, {"_upto": F.col("cost")})
     cut = work.keep(run.withColumn("block", F.expr(f"(_upto - 1) div {BLOCK_COST}")).drop("place", "group_size", "_upto", "_part"))
+    drop_unused(work.spark)
     blocks = work.keep(cut.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")))
     one, two = (blocks.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "low", "high")]) for side in "ab")
     meet = one.join(two, "key").filter("block_a <= block_b")
@@ -301,8 +310,26 @@ def _compared(dealt: DataFrame, ratio: Fraction) -> DataFrame:
     return source.mapInArrow(run, "u long, v long").select(*_ordered("u", "v"))
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """The parities of the numbers of hashes in SKETCH_BITS bins."""
+    return np.packbits(np.bincount(hashes & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1).tobytes()
+
+
+def _sketches(whole: DataFrame) -> DataFrame:
+    """(fp, sketch) of whole sets (fp, hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(sketch, _column(batch.column(1))), pa.binary())], names=["fp", "sketch"])
+
+    return whole.select("fp", "hashes").mapInArrow(run, "fp long, sketch binary")
+
+
 def _uncompared(dealt: DataFrame, ratio: Fraction) -> DataFrame:
-    """Distinct pairs (u, v) of sets of different labels that no group has in common; dealt has key, a, b, side, fp, label, size, groups."""
+    """Distinct pairs (u, v) of sets of different labels that no group has in common and whose sketches allow for so similar ones.
+
+    dealt has key, a, b, side, fp, label, size, groups, sketch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_pair(batches):
@@ -310,14 +337,18 @@ def _uncompared(dealt: DataFrame, ratio: Fraction) -> DataFrame:
             rest = slice(split, None) if split < len(rows) else slice(None)
             fps, labels, sizes = (np.array([r[c] for r in rows]) for c in ("fp", "label", "size"))
             groups = np.array([(list(r["groups"]) * GROUPS_OF_A_SET)[:GROUPS_OF_A_SET] for r in rows])
+            parities = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint64).reshape(len(rows), -1)
             for i in range(split):
                 wanted = (labels[rest] != labels[i]) & (np.maximum(sizes[rest], sizes[i]) * ratio.numerator <= np.minimum(sizes[rest], sizes[i]) * ratio.denominator)
                 wanted &= ~(groups[rest][:, :, None] == groups[i][None, None, :]).any(axis=(1, 2))
-                other = fps[rest][wanted]
+                at = np.flatnonzero(wanted)
+                differing = np.bitwise_count(parities[rest][at] ^ parities[i]).sum(axis=1, dtype=np.int64)
+                most = (sizes[rest][at] + sizes[i]) * (ratio.denominator - ratio.numerator)
+                other = fps[rest][at[differing * (ratio.denominator + ratio.numerator) <= most]]
                 if len(other):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), fps[i])), pa.array(other)], names=["u", "v"])
 
-    source = dealt.select("key", "a", "b", "side", "fp", "label", "size", "groups").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side")
+    source = dealt.select("key", "a", "b", "side", "fp", "label", "size", "groups", "sketch").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side")
     return source.mapInArrow(run, "u long, v long").select(*_ordered("u", "v")).distinct()
 
 
@@ -375,7 +406,9 @@ def links(
     if rows.isEmpty():
         return linked
     groups_of = members.groupBy("fp").agg(F.collect_list("key").alias("groups"))  # two at most
-    rest = work.keep(_uncompared(_block_pairs(work, rows, by_label, False)[0].join(groups_of, "fp"), ratio))
+    told = work.keep(groups_of.join(_sketches(whole), "fp"))
+    drop_unused(spark)
+    rest = work.keep(_uncompared(_block_pairs(work, rows, by_label, False)[0].join(told, "fp"), ratio))
     drop_unused(spark)
     return work.keep(linked.union(_verified(rest, whole, ratio)))
 
@@ -397,4 +430,6 @@ def keep_one(
     found = work.keep(described(documents, ratio, shingle_words, id_col=id_col, text_col=text_col))
     numbers = work.keep(found.select(F.col("id").alias(id_col), "fp"))
     linked = links(work, found, documents, ratio, shingle_words, text_col=text_col, near=near)
+    work.drop_all_but(numbers, linked)
+    drop_unused(work.spark)
     return keep_least(documents, numbers, linked, partial(set_number, shingle_words=shingle_words), id_col=id_col, text_col=text_col)

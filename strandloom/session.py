@@ -111,6 +111,13 @@ class Workspace:
             for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
                 remove_folder(self.spark, folder)
 
+    def drop_all_but(self, *kept: DataFrame) -> None:
+        """Removes all that keep() has written but these tables and what they are made of."""
+        left = {file.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in kept for file in df.inputFiles()}
+        for number in range(1, self.made + 1):
+            if str(number) not in left:
+                remove_folder(self.spark, f"{self.folder}/{number}")
+
     def close(self) -> None:
         """Removes all that keep() has written."""
         remove_folder(self.spark, self.folder)

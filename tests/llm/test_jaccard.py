@@ -118,6 +118,29 @@ def test_chance_phrases_do_not_travel(spark):
     assert kept(jaccard.keep_one(docs)) == brute(rows)
 
 
+def test_sketches_never_differ_in_more_than_the_sets():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 60, 700, 3000):
+        values = rng.integers(-(1 << 62), 1 << 62, n + 40)
+        for k in (0, 1, 7, 40):
+            x, y = (np.frombuffer(jaccard.sketch(s), np.uint8) for s in (values[:n], values[k : n + k]))
+            assert np.bitwise_count(x ^ y).sum() <= 2 * min(n, k)
+
+
+def test_pairs_that_differ_too_much_are_not_made(spark):
+    """Sets that share keys in plenty but are far from similar make no pairs for whole sets to be joined to."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(8)
+    common, rows = rng.integers(0, 1 << 60, 60), []
+    for k in range(50):
+        sets = np.concatenate((common, rng.integers(0, 1 << 60, 90))) if k else common
+        rows += [(1, 0, 0, 0, k, k, len(sets), [k], bytearray(jaccard.sketch(sets)))]
+    rows += [(1, 0, 0, 0, 100, 100, 60, [100], bytearray(jaccard.sketch(common)))]
+    dealt = spark.createDataFrame(rows, "key long, a long, b long, side int, fp long, label long, size long, groups array<long>, sketch binary")
+    assert {tuple(r) for r in jaccard._uncompared(dealt, Fraction(4, 5)).collect()} == {(0, 100)}
+
+
 def crowd(n, words, changes, seed):
     """Copies of one text, each with some words of its own: few of all pairs are similar enough."""
     rng = random.Random(seed)
