@@ -40,7 +40,7 @@ DOCUMENT_END = 1
 FRAME_TOKENS = 1 << 15
 SPLIT_BYTES = 64 << 20
 LEVEL = 3
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 KNOWN_RUNS = 600_000
 ENCODED_AT_ONCE = 16_384  # runs
 SUFFIX = ".tokens.zst"
@@ -241,13 +241,21 @@ class _Writer(DataSourceArrowWriter):
         with where.open_output_stream(f"{path}/{name}") as out:
             writer = FrameWriter(out, int(self.options.get("width", 4)), int(self.options.get("frametokens", FRAME_TOKENS)))
             for batch in iterator:
-                lists = batch.column(1)
-                offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-                for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                    writer.add(doc_id, flat[offsets[i] : offsets[i + 1]])
+                for ids, offsets, flat in self._lists(batch):
+                    for i, doc_id in enumerate(ids):
+                        writer.add(doc_id, flat[offsets[i] : offsets[i + 1]])
             writer.finish()
         return _Written(context.partitionId(), name)
 
+    def _lists(self, batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+        """Document ids, and offsets and values of their tokens; texts are encoded slice by slice, here, so their ids cross to no other process."""
+        if pa.types.is_list(batch.column(1).type):
+            yield batch.column(0).to_pylist(), batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+            return
+        end = int(self.options["end"]) if self.options.get("end") else None
+        for some in slices(batch):
+            yield some.column(0).to_pylist(), *encode_column(some.column(1), self.options["vocabulary"], end)
+
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         where, path = file_system(self.options["path"])
         where.create_dir(path, recursive=True)
@@ -273,7 +281,7 @@ class TokenFrames(DataSource):
     """Reads and writes folders of token files.
 
     Written rows are (doc_id long, ids array<int>), each partition one file in its order; options `width` (bytes an id)
-    and `frameTokens`. Rows read are SCHEMA: `start` counts the ids before the document in its file; options `ids`
+    and `frameTokens`. Or they are (doc_id long, text string): options `vocabulary` and `end`, the id after each text. Rows read are SCHEMA: `start` counts the ids before the document in its file; options `ids`
     (document ids, comma-separated: no other documents are decompressed) and `splitBytes`.
     """
 
@@ -379,7 +387,8 @@ def write(documents: DataFrame, folder: str, *, id_col: str = "doc_id", text_col
     order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("_hash"), F.asc("_copy")]
     keyed = named.withColumns({"_hash": F.xxhash64("text"), "_copy": F.monotonically_increasing_id()})
     dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    encoded(dealt, id_col="doc_id", text_col="text", vocabulary=vocabulary, end=end).write.format("token_frames").option("width", width).mode("append").save(folder)
+    rows = dealt.select("doc_id", "text").write.format("token_frames").option("width", width).option("vocabulary", vocabulary)
+    (rows if end is None else rows.option("end", end)).mode("append").save(folder)
 
 
 def read(spark: SparkSession, folder: str, ids: Sequence[int] | None = None) -> DataFrame:

@@ -121,6 +121,21 @@ def test_runs_and_the_library():
         assert ids[offsets[i] : offsets[i + 1]].tolist() == [*tokenizer(token_files.WORD_BPE).encode(text or "", add_special_tokens=False).ids, 1]
 
 
+def test_texts_are_encoded_where_they_are_written(spark, monkeypatch):
+    """One Python process a task: no second one encodes before the writer."""
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "Word " * 50)], "doc_id long, text string")
+    given = []
+    plain = type(docs).write.fget
+    monkeypatch.setattr(type(docs), "write", property(lambda self: given.append(self._jdf.queryExecution().toString()) or plain(self)))
+    work, folder = written(spark, docs)
+    assert len(given) == 1 and "MapInArrow" not in given[0]
+    monkeypatch.undo()
+    rows = sorted(token_files.digest(token_files.read(spark, folder), work).collect(), key=lambda r: r["start"])
+    assert [tuple(r) for r in rows] == want([(1, "a b"), (2, None), (3, "Word " * 50)])
+    work, folder = written(spark, docs, end=None)
+    assert [len(r["ids"]) for r in token_files.read(spark, folder).orderBy("doc_id").collect()][1] == 0
+
+
 def test_folder_with_files_is_not_written_again(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     _, folder = written(spark, docs)
