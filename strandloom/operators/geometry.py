@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,9 @@ from strandloom.session import cut_lineage
 BOND_LENGTH = 1.9
 CELL_FACTOR = 2.0 / 1.9
 LEAST_SQUARE = 0.01
+CELL = ("cx", "cy", "cz")
+CORES_AT_ONCE = 4096
+PAIRS_AT_ONCE = 1 << 20
 
 TRANSFORM = T.StructType([
     T.StructField("rotation", T.ArrayType(T.DoubleType())), T.StructField("translation", T.ArrayType(T.DoubleType())),
@@ -62,6 +67,107 @@ def ring_bonds(bonds: DataFrame, sizes: tuple[int, ...] = (5, 6)) -> DataFrame:
     return out.filter(F.col("ring_size").isin(list(sizes)))
 
 
+def near_rings(points: DataFrame, cutoff: float = BOND_LENGTH, *, id_col: str = "id", least_square: float = LEAST_SQUARE) -> DataFrame:
+    """(i, j, ring_size): bonds between near points, as near_pairs has them, whose smallest ring has five or six points.
+
+    In a crowd nearly every bond has a ring of three, and bonds grow with the square of its points; so bonds are not
+    made into rows. Points of a cell meet those within a bond's length of it, and only bonds whose ends have no common
+    neighbour leave the task. These then meet the points within three lengths, as far as a ring of six reaches.
+    Points without an id or a finite place have no bonds. An id with several places has the bonds of all of them;
+    where there is one, bonds are made and ring_bonds goes through them.
+    """
+    finite = [F.abs(c) < float("inf") for c in "xyz"]  # neither nulls nor NaN
+    points = cut_lineage(points.select(F.col(id_col).alias("id"), "x", "y", "z").filter(F.col("id").isNotNull() & finite[0] & finite[1] & finite[2]).distinct())
+    if not points.groupBy("id").count().filter("count > 1").isEmpty():
+        return ring_bonds(near_pairs(points, cutoff, least_square=least_square).select("i", "j").distinct())
+    length = cutoff * CELL_FACTOR
+    kind = points.schema["id"].dataType.simpleString()
+
+    def near(place: np.ndarray, point: np.ndarray) -> np.ndarray:
+        """Which of the places (3 x n, by x) are bonded to a point, the nearest first."""
+        low, high = np.searchsorted(place[0], (point[0] - length, point[0] + length))
+        square = _squares(point[:, None], place[:, low:high])[0]
+        found = np.flatnonzero((square <= cutoff * cutoff) & (square > least_square))
+        return found[np.argsort(square[found], kind="stable")] + low
+
+    def bonded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        square = _squares(a, b)
+        return (square <= cutoff * cutoff) & (square > least_square)
+
+    def without_triangle(cores: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        ids, place = _by_x(around)
+        out = []
+        for i, point in zip(cores["id"].to_numpy(), cores[list("xyz")].to_numpy(float)):
+            others = near(place, point)
+            left, at, size = others[ids[others] > i], 0, 8
+            while len(left) and at < len(others):  # a few of the nearest rule out most
+                left = left[~bonded(place[:, left], place[:, others[at : at + size]]).any(axis=1)]
+                at, size = at + size, max(8, min(4 * size, PAIRS_AT_ONCE // max(1, len(left))))
+            out += [(i, *point, ids[j], *place[:, j]) for j in left]
+        return pd.DataFrame(out, columns=["id", "x", "y", "z", "j", "x2", "y2", "z2"])
+
+    def rings(cores: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        ids, place = _by_x(around)
+        steps: dict[int, np.ndarray] = {}
+
+        def onward(at: np.ndarray, end: object) -> np.ndarray:
+            """Where a step from these leads, but for one end."""
+            for k in at.tolist():
+                if k not in steps:
+                    steps[k] = near(place, place[:, k])
+            to = np.unique(np.concatenate([steps[k] for k in at.tolist()]))
+            return to[ids[to] != end]
+
+        def meet(a: np.ndarray, b: np.ndarray) -> bool:
+            size = max(1, PAIRS_AT_ONCE // max(1, len(b)))
+            return any(bonded(place[:, a[k : k + size]], place[:, b]).any() for k in range(0, len(a), size))
+
+        out = []
+        for i, j, one, other in zip(cores["id"].to_numpy(), cores["j"].to_numpy(), cores[["x", "y", "z"]].to_numpy(float), cores[["x2", "y2", "z2"]].to_numpy(float)):
+            a, b = near(place, one), near(place, other)
+            a, b = a[ids[a] != j], b[ids[b] != i]
+            if not len(a) or not len(b) or meet(a, b):  # no ring, or one of four
+                continue
+            a, b = onward(a, i), onward(b, j)
+            if len(np.intersect1d(a, b, assume_unique=True)):
+                out.append((i, j, 5))
+            elif meet(a, b):
+                out.append((i, j, 6))
+        return pd.DataFrame(out, columns=["i", "j", "ring_size"])
+
+    left = cut_lineage(_with_surroundings(points, points, 2 * length, length, without_triangle, f"id {kind}, x double, y double, z double, j {kind}, x2 double, y2 double, z2 double"))
+    return _with_surroundings(left, points, 4 * length, 3 * length, rings, f"i {kind}, j {kind}, ring_size int")
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances (n x m) of points a (3 x n) and b (3 x m), added in the order of SQL."""
+    x, y, z = (b[k] - a[k][:, None] for k in range(3))
+    return x * x + y * y + z * z
+
+
+def _by_x(points: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and places (3 x n), sorted by x."""
+    points = points.sort_values("x")
+    return points["id"].to_numpy(), np.ascontiguousarray(points[list("xyz")].to_numpy(float).T)
+
+
+def _with_surroundings(cores: DataFrame, points: DataFrame, side: float, reach: float, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What the kernel makes of the cores of each grid cell and the points up to `reach` from the cell.
+
+    A cell of more than CORES_AT_ONCE cores is several groups, each with all points around it.
+    """
+    placed = cores.withColumns({f"c{c}": F.floor(F.col(c) / side) for c in "xyz"})
+    parts = placed.groupBy(*CELL).agg(F.ceil(F.count("*") / CORES_AT_ONCE).cast("int").alias("parts"))
+    mine = placed.join(parts, list(CELL)).withColumn("part", F.pmod(F.xxhash64(*cores.columns), "parts").cast("int")).drop("parts")
+    around = points.select(*[F.col(c).alias(c) for c in points.columns])  # not the columns of the cores
+    for c in "xyz":
+        around = around.withColumn(f"c{c}", F.explode(F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side))))
+    around = around.join(parts, list(CELL)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    keys, n = [*CELL, "part"], int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: small rows, long work
+    both = [df.repartition(n, *keys).groupBy(*keys) for df in (mine, around)]
+    return both[0].cogroup(both[1]).applyInPandas(kernel, schema)
+
+
 def superposition_sums(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
     """The sums over point pairs (arrays of three) that a superposition needs, by group."""
     p, q = [F.col(a)[i] for i in range(3)], [F.col(b)[i] for i in range(3)]

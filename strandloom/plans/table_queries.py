@@ -73,8 +73,7 @@ SELECT i, j, round(d, 9) AS distance_sq FROM d WHERE d <= {CUTOFF} * CAST({CUTOF
 
 def near_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bonds between near points whose smallest ring has five or six points."""
-    bonds = geometry.near_pairs(vector_points(spark, sf_dir), CUTOFF, least_square=1e-6)
-    return geometry.ring_bonds(bonds.select("i", "j"))
+    return geometry.near_rings(vector_points(spark, sf_dir), CUTOFF, least_square=1e-6)
 
 
 # steps from one end of a bond to the other without it; the fewest, and the bond, make its smallest ring

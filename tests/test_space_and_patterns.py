@@ -1,4 +1,6 @@
 import itertools
+import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.alphabet import CHEMICAL_ORDER
 from strandloom.operators import geometry, integrity, ordering, patterns
+from strandloom.session import shared_folder
 
 
 def test_near_pairs(spark):
@@ -25,6 +28,53 @@ def test_rings(spark):
     assert got == {(min(b), max(b)): 6 for b in six} | {(min(b), max(b)): 5 for b in five}
 
 
+def rings_by_hand(points, cutoff, least_square):
+    near = {i: {j for j, *q in points if least_square < sum((x - y) ** 2 for x, y in zip(p, q)) <= cutoff**2} for i, *p in points}
+    out = set()
+    for i, j in ((i, j) for i in near for j in near[i] if i < j and not near[i] & near[j]):
+        front, seen = {i}, {i}
+        for size in range(2, 7):
+            front = set().union(*({k for k in near[a] if (a, k) != (i, j)} for a in front)) - seen
+            seen |= front
+            if j in front:
+                out |= {(i, j, size)} if size > 4 else set()
+                break
+    return out
+
+
+def test_near_rings_without_bonds_as_rows(spark, tmp_path):
+    """A crowd of some 30,000 bonds beside rings of five, six and seven, copies of a point, and odd places."""
+    rng = np.random.default_rng(4)
+    crowd = rng.normal(scale=0.3, size=(250, 3))
+    ring = lambda n, x: [(x + 0.8 / np.sin(np.pi / n) * np.cos(2 * np.pi * k / n), 0.8 / np.sin(np.pi / n) * np.sin(2 * np.pi * k / n), -7.0) for k in range(n)]
+    places = [*crowd, *ring(5, -9.0), *ring(6, 0.0), *ring(7, 9.0), *ring(6, 20.0), ring(6, 20.0)[0], *rng.uniform(-2.5, 2.5, size=(60, 3)), *rng.uniform(30, 38, size=(120, 3))]
+    points = [(int(i), *map(float, p)) for i, p in zip(rng.permutation(len(places)), places)]
+    odd = [(9000, math.nan, 0.0, 0.0), (9001, math.inf, 0.0, 0.0), (9002, None, 0.0, 0.0), (None, 0.0, 0.0, 0.1), points[0]]
+    frame = spark.createDataFrame(points + odd, "id long, x double, y double, z double")
+    size = lambda: sum(f.stat().st_size for f in Path(shared_folder(spark).removeprefix("file:")).rglob("*") if f.is_file())
+    before = size()
+    got = [tuple(r) for r in geometry.near_rings(frame).collect()]
+    assert size() - before < 2_000_000
+    want = rings_by_hand(points, 1.9, 0.01)
+    assert len(got) == len(set(got)) and set(got) == want and {n for _, _, n in want} == {5, 6}
+
+
+@pytest.mark.parametrize("cores", [1, 7])
+def test_near_rings_of_cells_in_parts(spark, monkeypatch, cores):
+    monkeypatch.setattr(geometry, "CORES_AT_ONCE", cores)
+    monkeypatch.setattr(geometry, "PAIRS_AT_ONCE", 16)
+    rng = np.random.default_rng(5)
+    points = [(i, *map(float, p)) for i, p in enumerate(rng.uniform(0, 8, size=(150, 3)))]
+    got = geometry.near_rings(spark.createDataFrame(points, "id long, x double, y double, z double")).collect()
+    assert {tuple(r) for r in got} == rings_by_hand(points, 1.9, 0.01) != set()
+
+
+def test_near_rings_of_an_id_with_two_places(spark):
+    chain = [(k, 1.8 * k, 0.0, 0.0) for k in range(5)] + [(0, 1.8 * 5, 0.0, 0.0)]  # five ids, closed by the first one's other place
+    got = geometry.near_rings(spark.createDataFrame(chain, "id long, x double, y double, z double")).collect()
+    assert {tuple(r) for r in got} == {(0, 1, 5), (1, 2, 5), (2, 3, 5), (3, 4, 5), (0, 4, 5)}
+
+
 def test_superposition(spark):
     rng = np.random.default_rng(1)
     turn, _ = np.linalg.qr(rng.normal(size=(3, 3)))
