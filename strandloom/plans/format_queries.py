@@ -10,7 +10,7 @@ from strandloom.functions.alphabet import letters_only
 from strandloom.operators import annotation, integrity
 from strandloom.plans.annotation_queries import _tokens_sql
 from strandloom.plans.sequence_queries import FIND_NAMES, find_names
-from strandloom.session import Workspace, cut_lineage, scratch_folder, settled, table
+from strandloom.session import Workspace, cut_lineage, scratch_folder, settled, spread, table
 from strandloom.sources import links, packed, sequences
 
 TITLE = "Seen again"
@@ -330,9 +330,10 @@ def matrix_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         read = alphabet.read_matrices(spark, f"{folder}/{name}")
         alphabet.register_matrix(f"{name} read", next(iter(read.values())))
     scores = alphabet.matrix_table(spark, ["EQUAL read", "PAM250 read"])  # some hundred rows
-    names_ = table(spark, sf_dir, "part").select("p_partkey", letters_only(F.col("p_name")).alias("s"))
-    pairs = names_.select("p_partkey", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.struct(F.substring("s", i, F.lit(1)).alias("a"), F.substring("s", i + 1, F.lit(1)).alias("b")))).alias("p"))
-    joined = pairs.select("p_partkey", "p.a", "p.b").join(scores, ["a", "b"])
+    names_ = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", letters_only(F.col("p_name")).alias("s"))
+    places = F.when(F.length("s") > 1, F.sequence(F.lit(1), F.length("s") - 1))  # a sequence to 0 would count down
+    pairs = names_.select("p_partkey", F.explode(F.transform(places, lambda i: F.struct(F.substring("s", i, F.lit(1)).alias("a"), F.substring("s", i + 1, F.lit(1)).alias("b")))).alias("p"))
+    joined = pairs.select("p_partkey", "p.a", "p.b").join(F.broadcast(scores), ["a", "b"])  # else the pairs may be, estimated by the names that they come from
     out = joined.groupBy("p_partkey").agg(*[F.sum(F.when(F.col("name") == f"{n} read", F.col("score"))).cast("long").alias(n.lower()) for n in ("EQUAL", "PAM250")])
     return settled(out, folder)
 

@@ -1,10 +1,12 @@
 import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import taxonomy
 from strandloom.operators import forest, integrity, similarity
+from strandloom.plans import format_queries
 from strandloom.session import path_exists, remove_folder, scratch_folder
 from strandloom.sources import links, sequences
 from strandloom.streaming import jobs
@@ -104,3 +106,36 @@ def test_mismatches_stop_after_ten(spark):
     left = spark.createDataFrame([(i, str(i % 2)) for i in range(40)], "k long, v string")
     right = spark.createDataFrame([(i, "0") for i in range(38)], "k long, v string")
     assert [r["k"] for r in integrity.first_mismatches(integrity.zip_compare(left, right, "k", ["v"]), "k").collect()] == list(range(1, 20, 2))
+
+
+def part_names(spark, folder, names):
+    spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string").write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def test_matrix_scores_sends_no_pairs_to_the_driver(spark, tmp_path, monkeypatch):
+    """Names are few bytes in a file, so the rows of their neighbouring letters look small enough to broadcast."""
+    plans = []
+    monkeypatch.setattr(format_queries, "settled", lambda df, folder: plans.append(df._jdf.queryExecution().executedPlan()) or df)
+    got = format_queries.matrix_scores(spark, part_names(spark, tmp_path, ["cold plate", "ring"] * 50))
+    sides = []
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.initialPlan()
+        if node.nodeName() == "BroadcastExchange":
+            sides.append(node.toString())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(plans[0])
+    assert len(sides) == 1 and "Generate" not in sides[0] and got.count() == 100
+
+
+def test_matrix_scores_of_short_names(spark, tmp_path):
+    """Names of one letter or none have no neighbouring letters, so no row."""
+    folder = part_names(spark, tmp_path, ["a", "", None, "W w", "7", "WJ", "cat"])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet/*.parquet'")
+    want = con.sql(format_queries.MATRIX_SCORES).fetchall()
+    assert sorted(tuple(r) for r in format_queries.matrix_scores(spark, folder).collect()) == sorted(want) and {r[0] for r in want} == {3, 6}
