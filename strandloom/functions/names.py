@@ -131,6 +131,12 @@ def sequential_ids(a: Column, b: Column, prefix: str = "PTHR") -> Column:
     return F.array_min(F.concat(one, other))
 
 
+def first_step(a: Column, b: Column) -> Column:
+    """The least n for which one of two arrays of numbers has n and the other n + 1, else null."""
+    upper = lambda x, y: F.array_min(F.array_intersect(F.transform(x, lambda n: n + 1), y))
+    return F.least(upper(a, b), upper(b, a)) - 1
+
+
 def recommended_name(description: Column, organism: Column) -> Column:
     """`{RecName Full}; {organism}`, or NAME MISSING."""
     full = F.regexp_extract(description, RECOMMENDED_NAME, 1)

@@ -117,6 +117,30 @@ def test_bias_phase_of_odd_names(spark, tmp_path):
     assert [r[:3] for r in got] == sorted(con.sql(f"SELECT id1, id2, goodness FROM ({annotation_queries.BIAS_PHASE})").fetchall()) and len(got) == 7
 
 
+def test_first_steps(spark):
+    cases = [([5, 1], [6], 5), ([6], [9, 5], 5), ([3, 7], [8, 4, 2], 2), ([1, 3], [1, 3], None), ([], [1], None), ([-1], [0], -1)]
+    frame = spark.createDataFrame(cases, "a array<long>, b array<long>, want long").select(names.first_step(F.col("a"), F.col("b")).alias("got"), "want")
+    assert all(r["got"] == r["want"] for r in frame.collect())
+
+
+def test_panther_neighbours_of_odd_lines(spark, tmp_path):
+    """Suppliers of five and six digits, null ones and null parts, missing parts, and parts at the ends of blocks."""
+    ends = [(255, 7), (256, 7), (256, 8), (257, 9), (511, 3), (512, 2), (514, 2), (-1, 4), (0, 4), (0, 5), (-256, 6), (-257, 7)]
+    lines = [(1, 99999), (1, 100000), (2, 100000), (2, 99999), (3, 100001), (10, None), (11, 5), (11, None), (12, None), (None, 5), *ends, *ends]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = [tuple(r) for r in annotation_queries.panther_neighbours(spark, str(tmp_path)).collect()]
+    want = con.sql(f"SELECT l_partkey, common, sequential FROM ({annotation_queries.PANTHER_NEIGHBOURS})").fetchall()
+    assert sorted(got, key=str) == sorted(want, key=str) and (1, "PTHR99999", "PTHR99999/PTHR100000") in got and (10, None, None) in got
+
+
+def test_panther_neighbours_of_many_families(spark, tmp_path):
+    """Two parts of 20,000 suppliers each, none of them shared: no work for each two of them."""
+    spark.range(40_000).selectExpr("id % 2 as l_partkey", "id * 3 as l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in annotation_queries.panther_neighbours(spark, str(tmp_path)).collect()] == [(0, None, None)]
+
+
 def test_record_filter(spark):
     schema = "i int, data_class string, organism string, description string, xrefs array<struct<db:string>>"
     rows = [
