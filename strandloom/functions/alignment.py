@@ -105,11 +105,14 @@ def align(a: str, b: str, matrix: np.ndarray, gap: int = GAP) -> tuple | None:
     i, j = end
     top: list[str] = []
     bottom: list[str] = []
-    for k in range((i - 1) // every, -1, -1):
-        i, j, done = _back(a, b, x, y, k * every, i, j, kept[k], matrix, gap, top, bottom)
-        kept.pop()
-        if done:
-            break
+    if every == 1:  # all rows are there
+        i, j, _ = _walk(a, b, x, y, 0, i, j, kept, matrix, gap, top, bottom)
+    else:
+        for k in range((i - 1) // every, -1, -1):
+            i, j, done = _back(a, b, x, y, k * every, i, j, kept[k], matrix, gap, top, bottom)
+            kept.pop()
+            if done:
+                break
     return best, "".join(reversed(top)), "".join(reversed(bottom)), i, end[0] - 1, j, end[1] - 1
 
 
@@ -124,7 +127,11 @@ def _back(a: str, b: str, x: np.ndarray, y: np.ndarray, low: int, i: int, j: int
             if done:
                 return i, j, True
         return i, j, False
-    h = [first, *_rows(x[low:i], y, first, matrix, gap)]
+    return _walk(a, b, x, y, low, i, j, [first, *_rows(x[low:i], y, first, matrix, gap)], matrix, gap, top, bottom)
+
+
+def _walk(a: str, b: str, x: np.ndarray, y: np.ndarray, low: int, i: int, j: int, h: Sequence[np.ndarray], matrix: np.ndarray, gap: int, top: list[str], bottom: list[str]) -> tuple[int, int, bool]:
+    """_back with the rows from `low` on at hand."""
     while h[i - low][j] > 0:
         if i == low:
             return i, j, False
